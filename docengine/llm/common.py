@@ -145,8 +145,14 @@ def words_of(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def word_hashes(body: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    return mix(Rolling(BYTE_VALUES[lane][body], lane).slices(start, end))
+    """A 64-bit hash of each word's bytes, by pieces of the text of bounded size (or one word)."""
+    out, a = np.zeros(len(start), U64), 0
+    while a < len(start):
+        b = max(a + 1, int(np.searchsorted(end, start[a] + CHUNK_BYTES, "right")))
+        piece = body[start[a] : end[b - 1]]
+        out[a:b] = Rolling(BYTE_VALUES[lane][piece], lane).slices(start[a:b] - start[a], end[a:b] - start[a])
+        a = b
+    return mix(out)
 
 
 def fold_case(body: np.ndarray) -> np.ndarray:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docengine.llm import bpe, chat_format, language_id, quality_rules, url_filters, warc
+from docengine.llm import bpe, chat_format, decontaminate, language_id, quality_rules, substring_dedup, url_filters, warc
 from docengine.llm.common import table
 
 URL_RULES = (
@@ -61,6 +61,34 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.dedup(table(spark, sf_dir, "documents")))
+
+
+OP4_SQL = """
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+), win AS (
+  SELECT doc_id, i, md5(list_aggregate(ws[i:i + 34], 'string_agg', ' ')) AS h
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM d)
+), dup AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS n FROM win) WHERE n > 1
+), word AS (
+  SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS j FROM d
+), gone AS (
+  SELECT word.doc_id, w, j,
+    max(CASE WHEN dup.i IS NOT NULL THEN dup.i END) OVER (PARTITION BY word.doc_id ORDER BY j) AS last_start
+  FROM word LEFT JOIN dup ON word.doc_id = dup.doc_id AND word.j = dup.i
+), kept AS (
+  SELECT doc_id, count(*) AS n, count(*) FILTER (j - last_start < 35) AS removed,
+    string_agg(w, ' ' ORDER BY j) FILTER (last_start IS NULL OR j - last_start >= 35) AS text
+  FROM gone GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_words, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "</s>[INST] ok [/INST]"
@@ -96,6 +124,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
@@ -116,8 +148,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_quality_rules": op2_quality_rules,
     "op3_language_id": op3_language_id,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_chat_format": op5_chat_format,
     "op6_bpe": op6_bpe,
+    "op8_decontamination": op8_decontamination,
     "op10_warc": op10_warc,
 }
-ORACLES: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op5_chat_format": OP5_SQL, "op10_warc": OP10_SQL}
+ORACLES: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op5_chat_format": OP5_SQL, "op10_warc": OP10_SQL}
