@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docengine.llm import bpe, chat_format, decontaminate, language_id, quality_rules, substring_dedup, url_filters, warc
+from docengine.llm import bpe, chat_format, decontaminate, language_id, quality_rules, substring_dedup, suffix_dedup, url_filters, warc
 from docengine.llm.common import table
 
 URL_RULES = (
@@ -128,6 +128,29 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.dedup(table(spark, sf_dir, "documents")))
+
+
+OP9_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 100)) AS w FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d)),
+dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY w) AS least FROM win) WHERE doc_id > least),
+edge AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM dup),
+part AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM edge),
+span AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM part GROUP BY doc_id, run),
+gap AS (SELECT doc_id, run, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY run), 0) AS from_b FROM span),
+kept AS (
+  SELECT d.doc_id, count(run) AS n_spans, coalesce(sum(b - a), 0) AS n_removed, any_value(h) AS h, coalesce(max(b), 0) AS tail,
+    coalesce(string_agg(substr(h, CAST(2 * from_b + 1 AS BIGINT), CAST(2 * (a - from_b) AS BIGINT)), '' ORDER BY run), '') AS heads
+  FROM d LEFT JOIN gap ON d.doc_id = gap.doc_id GROUP BY d.doc_id
+)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, CAST(n_spans AS BIGINT) AS n_spans,
+  sha256(unhex(heads || substr(h, CAST(2 * tail + 1 AS BIGINT)))) AS kept_sha256
+FROM kept
+"""
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
@@ -152,6 +175,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_chat_format": op5_chat_format,
     "op6_bpe": op6_bpe,
     "op8_decontamination": op8_decontamination,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_warc": op10_warc,
 }
-ORACLES: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op5_chat_format": OP5_SQL, "op10_warc": OP10_SQL}
+ORACLES: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op5_chat_format": OP5_SQL, "op9_suffix_dedup": OP9_SQL, "op10_warc": OP10_SQL}
