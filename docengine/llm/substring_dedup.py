@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docengine.llm.common import (
@@ -39,12 +39,14 @@ U64 = np.uint64
 KEYS = ["doc_id", "text_key"]
 
 
+def key_columns() -> list[Column]:
+    """doc_id, a null one as the smallest, and text_key: a row is told from others by its id and a hash of its text, so
+    that spans find their rows again even if ids repeat. Rows alike in both are copies with the same result."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.xxhash64("text", F.col("doc_id").isNull()).alias("text_key")]
+
+
 def with_keys(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key and text: a row is told from others by its id and a hash of its text, so that spans find their
-    rows again even if ids repeat. Rows alike in both are copies with the same result."""
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.xxhash64("text", F.col("doc_id").isNull()).alias("text_key"), "text"
-    )
+    return docs.select(*key_columns(), "text")
 
 
 class Windows:
