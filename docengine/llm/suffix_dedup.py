@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from docengine.llm import packs
 from docengine.llm.common import BYTE_VALUES, Rolling, buffers, chunks, covered, mix, partitions, ranges, sliding_min, written
-from docengine.llm.substring_dedup import KEYS, with_keys
+from docengine.llm.substring_dedup import KEYS, key_columns, with_keys
 from docengine.llm.suffix_array import neighbours_alike, suffix_array
 
 LENGTH = 50
@@ -194,5 +194,31 @@ def dedup(docs: DataFrame) -> DataFrame:
     return remove_spans(keyed, written(repeated_spans(keyed), "suffix-spans"))
 
 
+def dedup_documents(docs: DataFrame) -> DataFrame:
+    """docs with the repeated bytes taken out of text, all other columns as they are; what is left of a character cut in
+    two goes too. A null text stays null. Documents stay even if nothing of their text is left."""
+    marked = [f"__{k}" for k in KEYS]
+    spans = written(repeated_spans(with_keys(docs)), "suffix-spans")
+    lists = spans.groupBy(*KEYS).agg(F.collect_list(F.struct("first", "end")).alias("__spans"))
+    lists = lists.select(*(F.col(k).alias(m) for k, m in zip(KEYS, marked)), "__spans")
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            listed, texts = batch.column(len(docs_columns)), batch.column(at).to_pylist()
+            for i, text in enumerate(texts):
+                if listed[i].is_valid and text:
+                    data = np.frombuffer(text.encode(), np.uint8)
+                    first, end = (x.to_numpy() for x in listed[i].values.flatten())
+                    texts[i] = data[~covered(len(data), first, end)].tobytes().decode("utf-8", "ignore")
+            columns = batch.columns[: len(docs_columns)]
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=docs_columns)
+
+    docs_columns = docs.columns
+    keyed = docs.select("*", *(c.alias(m) for c, m in zip(key_columns(), marked))).join(lists, marked, "left")
+    return keyed.select(*docs_columns, "__spans").mapInArrow(run, docs.schema)
+
+
 def digest(result: DataFrame) -> DataFrame:
     return result.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
