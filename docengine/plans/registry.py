@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from docengine.plans import documents, reviews
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = documents.Q | reviews.Q
+ORACLES: dict[str, str] = documents.S | reviews.S
