@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +17,7 @@ from pyspark.sql import functions as F
 SPACES = "\\x20\\x09-\\x0D"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Text that one vectorised step handles at once; a longer document makes a step of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 U64 = np.uint64
 _RNG = np.random.default_rng(20240229)
@@ -55,6 +58,39 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def bounded_batches(spark: SparkSession, size: str = "16m") -> None:
+    """Arrow batches of at most size from now on in this session, so that a few long rows do not fill a worker's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def release_memory() -> None:
+    """Gives freed memory back to the system: Python workers wait for their next task with what they hold."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def released(fn: Callable) -> Callable:
+    """fn, a function of one or two tables or of a stream of batches, with freed memory given back at its end."""
+
+    def after(out):
+        if isinstance(out, Iterator):
+            return _to_end(out)
+        release_memory()
+        return out
+
+    if fn.__code__.co_argcount == 2:
+        return wraps(fn)(lambda left, right: after(fn(left, right)))
+    return wraps(fn)(lambda data: after(fn(data)))
+
+
+def _to_end(batches: Iterator) -> Iterator:
+    try:
+        yield from batches
+    finally:
+        release_memory()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -87,7 +123,7 @@ def powers(base: int, n: int) -> np.ndarray:
         have[0] = 1
         with np.errstate(over="ignore"):
             have = np.multiply.accumulate(have)
-        if size <= 1 << 23:
+        if size <= 1 << 21:
             _POWERS[base] = have
     return have[:n]
 

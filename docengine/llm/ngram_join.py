@@ -26,12 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docengine.llm import packs
-from docengine.llm.common import Rolling, buffers, chunks, fold_case, mix, partitions, ranges, signed, word_hashes, words_of, written
+from docengine.llm.common import Rolling, bounded_batches, buffers, chunks, fold_case, mix, partitions, ranges, released, signed, word_hashes, words_of, written
 from docengine.llm.components import components
 from docengine.llm.substring_dedup import KEYS, key_columns, with_keys
 
 #: The longest lead over the least prefix that a document may choose.
-MOST_MATCHES = 3
+MOST_MATCHES = 4
+#: The share of all n-grams, by hash, whose frequencies are counted.
+BAND = 0.5
 
 U64 = np.uint64
 
@@ -59,10 +61,6 @@ def in_band(values: np.ndarray, share: float) -> np.ndarray:
     return (values & U64(0xFFFF)) < U64(int(share * 65536))
 
 
-def band_share(percent: int) -> float:
-    return min(1.0, 2.5 * (100 - percent) / 100)
-
-
 def needed(n: np.ndarray | int, percent: int):
     """The least overlap of a set of n with any set similar enough."""
     return -(-percent * n // 100)
@@ -72,6 +70,7 @@ INFO = "doc_id long, text_key long, n_shingles long, s1 long, s2 long"
 
 
 def _info(n: int):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             body, offsets = buffers(batch.column(2))
@@ -91,6 +90,7 @@ def _info(n: int):
 
 
 def _send(groups: int, n: int, share: float):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = packs.Packer(groups)
         for batch in batches:
@@ -105,7 +105,7 @@ def _send(groups: int, n: int, share: float):
     return run
 
 
-PREFIXES = "token long, doc_id long, text_key long, n_shingles long, level int, matches int, text string"
+PREFIXES = "token long, doc_id long, text_key long, n_shingles long, place int, level int, matches int, text string"
 
 
 def matches_for(frequency: np.ndarray, n: int, base: int) -> int:
@@ -124,13 +124,13 @@ def matches_for(frequency: np.ndarray, n: int, base: int) -> int:
 
 
 def _prefixes(n: int, percent: int, share: float):
+    @released
     def run(docs: pa.Table, other: pa.Table) -> pa.Table:
-        known, _ = packs.unpack(other.column("fps"), U64)
-        counts, _ = packs.unpack(other.column("counts"), np.uint32)
+        known, counts = packs.unpack_values(other.column("fps")), packs.unpack(other.column("counts"), np.uint32)
         order = np.argsort(known)
         known, counts = known[order], counts[order].astype(np.int64)
         rep = {(a, b) for a, b in zip(other.column("doc_id").to_pylist(), other.column("text_key").to_pylist()) if b is not None}
-        out: dict[str, list] = {k: [] for k in ("token", "doc_id", "text_key", "n_shingles", "level", "matches")}
+        out: dict[str, list] = {k: [] for k in ("token", "doc_id", "text_key", "n_shingles", "place", "level", "matches")}
         texts: dict[str, list] = {k: [] for k in ("doc_id", "text_key", "n_shingles", "text")}
         for batch in docs.to_batches():
             ids, keys, column = batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist(), batch.column("text")
@@ -148,8 +148,9 @@ def _prefixes(n: int, percent: int, share: float):
                     band = in_band(value, share)
                     frequency = np.where(band, 1, 2)
                     if len(known):
-                        place = np.minimum(np.searchsorted(known, value), len(known) - 1)
-                        found = known[place] == value
+                        short = packs.sent(value)
+                        place = np.minimum(np.searchsorted(known, short), len(known) - 1)
+                        found = band & (known[place] == short)
                         frequency[found] = counts[place[found]]
                     base = size - int(needed(size, percent)) + 1
                     put = np.lexsort((value, frequency, ~band))[: base + MOST_MATCHES - 1]
@@ -163,11 +164,12 @@ def _prefixes(n: int, percent: int, share: float):
                         out["doc_id"].append(np.full(m, key[0]))
                         out["text_key"].append(np.full(m, key[1]))
                         out["n_shingles"].append(np.full(m, size))
+                        out["place"].append(np.flatnonzero(shared))
                         out["level"].append(level[shared])
                         out["matches"].append(np.full(m, matches))
                         for k, x in zip(texts, (*key, size, column[i].as_py())):
                             texts[k].append(x)
-        types = dict(zip(("token", "doc_id", "text_key", "n_shingles", "level", "matches", "text"), (*[pa.int64()] * 4, pa.int32(), pa.int32(), pa.string())))
+        types = dict(zip(("token", "doc_id", "text_key", "n_shingles", "place", "level", "matches", "text"), (*[pa.int64()] * 4, *[pa.int32()] * 3, pa.string())))
         rows = {k: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), types[k]) for k, x in out.items()}
         first = pa.table(rows | {"text": pa.nulls(len(rows["token"]), pa.string())})
         m = len(texts["doc_id"])
@@ -180,6 +182,7 @@ def _prefixes(n: int, percent: int, share: float):
 def _verified(n: int, percent: int):
     """Keeps the pairs whose sets are similar enough; columns u, v and the two texts."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = np.zeros(len(batch), bool)
@@ -209,15 +212,19 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFram
     return joined.select("u", "v", "u_text", "v_text").mapInArrow(_verified(n, percent), "u long, v long")
 
 
-def _sizes_fit(a: str, b: str, percent: int):
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+def _may_link(a: tuple[str, str], b: tuple[str, str], asked, percent: int):
+    """Whether two sets may be similar enough, from their sizes and a shared n-gram's place in each: one of their first
+    asked shared n-grams leaves enough n-grams after it in both. Each of a and b names a size and a place."""
+    (n, p), (m, q) = ((F.col(x), F.col(y)) for x, y in (a, b))
+    overlap = F.ceil(percent * (n + m) / (100 + percent))
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.least(n - p, m - q) - 1 + asked >= overlap)
 
 
 def star_pairs(prefixes: DataFrame, percent: int) -> DataFrame:
     """Each document of an n-gram's group with the group's least document."""
-    heads = prefixes.groupBy("token").agg(F.min(F.struct(*KEYS, "n_shingles")).alias("h"), F.count("*").alias("c")).filter("c > 1")
-    heads = heads.select("token", F.col("h.doc_id").alias("v"), F.col("h.text_key").alias("v_key"), F.col("h.n_shingles").alias("v_n"))
-    met = prefixes.join(heads, "token").filter(((F.col("doc_id") != F.col("v")) | (F.col("text_key") != F.col("v_key"))) & _sizes_fit("n_shingles", "v_n", percent))
+    heads = prefixes.groupBy("token").agg(F.min(F.struct(*KEYS, "n_shingles", "place")).alias("h"), F.count("*").alias("c")).filter("c > 1")
+    heads = heads.select("token", F.col("h.doc_id").alias("v"), F.col("h.text_key").alias("v_key"), F.col("h.n_shingles").alias("v_n"), F.col("h.place").alias("v_place"))
+    met = prefixes.join(heads, "token").filter(((F.col("doc_id") != F.col("v")) | (F.col("text_key") != F.col("v_key"))) & _may_link(("n_shingles", "place"), ("v_n", "v_place"), MOST_MATCHES, percent))
     return met.select(F.col("doc_id").alias("u"), F.col("text_key").alias("u_key"), "v", "v_key").distinct()
 
 
@@ -228,11 +235,11 @@ def cross_pairs(prefixes: DataFrame, roots: DataFrame, percent: int) -> DataFram
     per_root = rows.groupBy("token", "root").agg(F.count("*").alias("c"))
     groups = per_root.groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.count("*").alias("kinds")).filter("kinds > 1").drop("kinds")
     mixed = written(rows.join(groups, "token"), "mixed-prefixes")
-    left = mixed.filter("root <> major").select("token", *(F.col(c).alias(f"a_{c}") for c in (*KEYS, "n_shingles", "level", "matches", "root")))
-    right = mixed.select("token", "major", *(F.col(c).alias(f"b_{c}") for c in (*KEYS, "n_shingles", "level", "matches", "root")))
+    left = mixed.filter("root <> major").select("token", *(F.col(c).alias(f"a_{c}") for c in (*KEYS, "n_shingles", "place", "level", "matches", "root")))
+    right = mixed.select("token", "major", *(F.col(c).alias(f"b_{c}") for c in (*KEYS, "n_shingles", "place", "level", "matches", "root")))
     met = left.join(right, "token").filter(
         (F.col("a_root") != F.col("b_root")) & ((F.col("b_root") == F.col("major")) | (F.col("a_root") < F.col("b_root")))
-        & _sizes_fit("a_n_shingles", "b_n_shingles", percent) & (F.greatest("a_level", "b_level") <= F.least("a_matches", "b_matches"))
+        & _may_link(("a_n_shingles", "a_place"), ("b_n_shingles", "b_place"), F.least("a_matches", "b_matches"), percent) & (F.greatest("a_level", "b_level") <= F.least("a_matches", "b_matches"))
     )
     a, b = F.struct(F.col("a_doc_id").alias("id"), F.col("a_text_key").alias("key")), F.struct(F.col("b_doc_id").alias("id"), F.col("b_text_key").alias("key"))
     met = met.select(F.greatest(a, b).alias("x"), F.least(a, b).alias("y"), F.least("a_matches", "b_matches").alias("asked"))
@@ -242,7 +249,8 @@ def cross_pairs(prefixes: DataFrame, roots: DataFrame, percent: int) -> DataFram
 
 def similar_groups(docs: DataFrame, *, n: int, percent: int) -> DataFrame:
     """doc_id, text_key, n_shingles and component_id of every row of docs with keys."""
-    p, share = partitions(docs.sparkSession), band_share(percent)
+    p, share = partitions(docs.sparkSession), BAND
+    bounded_batches(docs.sparkSession)
     info = written(docs.mapInArrow(_info(n), INFO), "ngram-sets")
     same = ["n_shingles", "s1", "s2"]
     classes = info.filter("n_shingles > 0").groupBy(*same).agg(F.min(F.struct(*KEYS)).alias("rep"), F.count("*").alias("members"))

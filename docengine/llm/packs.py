@@ -13,15 +13,34 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from docengine.llm.common import released
+
 U64 = np.uint64
-SCHEMA = "bucket int, g int, fps binary, counts binary"
+SCHEMA = "bucket int, groups binary, fps binary, counts binary"
 #: Values that a task holds before it sends them.
-HELD = 2_000_000
+HELD = 400_000
+#: Bytes of a value that are sent: equal ends are taken for equal values, which here only costs needless candidates.
+SENT = 6
+
+
+def sent(values: np.ndarray) -> np.ndarray:
+    """The part of each value that is compared."""
+    return values & ((U64(1) << U64(8 * SENT)) - U64(1))
 
 
 def bucket_of(values: np.ndarray, buckets: int) -> np.ndarray:
-    """Equal ranges of the values' upper half, so sorted values have sorted buckets."""
-    return ((values >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
+    """A bucket of a value that is sent, by 32 of its bits."""
+    return ((values >> U64(8 * SENT - 32)) & U64(0xFFFFFFFF)) * U64(buckets) >> U64(32)
+
+
+def to_bytes(values: np.ndarray) -> bytes:
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8)[:, :SENT].tobytes()
+
+
+def from_bytes(data: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(data) // SENT, 8), np.uint8)
+    out[:, :SENT] = data.reshape(-1, SENT)
+    return out.view(U64).ravel()
 
 
 def runs_of(*keys: np.ndarray) -> np.ndarray:
@@ -35,23 +54,21 @@ def runs_of(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def pack(groups: np.ndarray, values: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """One row for each bucket and group, its values sorted and once each."""
+def pack(groups: np.ndarray, values: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """One row for each bucket: by group its values, sorted and once each, and how often each came."""
+    values = sent(values)
     order = np.lexsort((values, groups))
-    groups, values, counts = groups[order], values[order], counts[order]
+    groups, values = groups[order], values[order]
     first = runs_of(groups, values)
-    counts = np.add.reduceat(counts, first).astype(np.uint32) if len(first) else counts.astype(np.uint32)
-    groups, values = groups[first], values[first]
-    bucket = bucket_of(values, buckets)
-    cut = runs_of(groups, bucket)
-    ends = [*cut[1:].tolist(), len(values)]
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(bucket[cut].astype(np.int32)), pa.array(groups[cut].astype(np.int32)),
-            pa.array([values[a:b].tobytes() for a, b in zip(cut.tolist(), ends)], pa.binary()), pa.array([counts[a:b].tobytes() for a, b in zip(cut.tolist(), ends)], pa.binary()),
-        ],
-        names=["bucket", "g", "fps", "counts"],
-    )
+    counts = np.diff(np.concatenate((first, [len(values)]))).astype(np.uint32)
+    groups, values = groups[first].astype(np.int32), values[first]
+    bucket = bucket_of(values, buckets).astype(np.int64)
+    order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
+    bucket, groups, values, counts = bucket[order], groups[order], values[order], counts[order]
+    cut = runs_of(bucket).tolist()
+    ends = [*cut[1:], len(values)]
+    parts = ([form(x[a:b]) for a, b in zip(cut, ends)] for x, form in ((groups, np.ndarray.tobytes), (values, to_bytes), (counts, np.ndarray.tobytes)))
+    return pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int32)), *(pa.array(x, pa.binary()) for x in parts)], names=["bucket", "groups", "fps", "counts"])
 
 
 class Packer:
@@ -69,20 +86,24 @@ class Packer:
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.n:
             groups, values = (np.concatenate(x) for x in zip(*self.held))
-            yield pack(groups, values, np.ones(len(values), np.int64), self.buckets)
+            yield pack(groups, values, self.buckets)
         self.held, self.n = [], 0
 
 
-def unpack(column: pa.ChunkedArray, dtype) -> tuple[np.ndarray, np.ndarray]:
-    """The values of a binary column's rows one after the other, and each row's number of values."""
-    parts = [np.frombuffer(x.as_buffer(), dtype) if x.is_valid else np.zeros(0, dtype) for x in column]
-    return (np.concatenate(parts) if parts else np.zeros(0, dtype)), np.array([len(p) for p in parts], np.int64)
+def unpack(column: pa.ChunkedArray, dtype) -> np.ndarray:
+    """The values of a binary column's rows, one row after the other; null counts as empty."""
+    parts = [np.frombuffer(x.as_buffer(), dtype) for x in column if x.is_valid]
+    return np.concatenate(parts) if parts else np.zeros(0, dtype)
+
+
+def unpack_values(column: pa.ChunkedArray) -> np.ndarray:
+    return from_bytes(unpack(column, np.uint8))
 
 
+@released
 def _repeated(table: pa.Table) -> pa.Table:
-    values, sizes = unpack(table.column("fps"), U64)
-    counts, _ = unpack(table.column("counts"), np.uint32)
-    groups = np.repeat(table.column("g").to_numpy(), sizes)
+    values = unpack_values(table.column("fps"))
+    counts, groups = unpack(table.column("counts"), np.uint32), unpack(table.column("groups"), np.int32)
     order = np.argsort(values, kind="stable")
     values, counts, groups = values[order], counts[order].astype(np.int64), groups[order]
     first = runs_of(values)
@@ -99,7 +120,7 @@ def _repeated(table: pa.Table) -> pa.Table:
     return pa.table(
         {
             "g": pa.array(groups[cut].astype(np.int32)),
-            "fps": pa.array([values[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()),
+            "fps": pa.array([to_bytes(values[a:b]) for a, b in zip(cut, ends)], pa.binary()),
             "counts": pa.array([total[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()),
         }
     )

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docengine.llm.common import (
-    Rolling, buffers, chunks, covered, mix, new_path, partitions, ranges, remove, signed, sliding_min, word_hashes, words_of, written,
+    Rolling, buffers, chunks, covered, mix, new_path, partitions, ranges, released, remove, signed, sliding_min, word_hashes, words_of, written,
 )
 
 WINDOW = 35
@@ -90,6 +90,7 @@ FINGERPRINTS = "doc_id long, text_key long, first int, last int, fingerprint lon
 def fingerprints(docs: DataFrame) -> DataFrame:
     """One row for each run of neighbouring windows with one fingerprint, from rows with keys."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -176,6 +177,7 @@ def verified_spans(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     lists = places.groupBy(*KEYS).agg(F.collect_list(F.struct("first", "last", "single", "fingerprint")).alias("places"))
     joined = docs.join(lists, KEYS)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys, listed = batch.column(0), batch.column(1), batch.column(3)
@@ -203,6 +205,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by blanks) of every row of docs."""
     lists = spans.groupBy(*KEYS).agg(F.collect_list(F.struct("first", "end")).alias("spans"))
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, listed = batch.column(2), batch.column(3)

@@ -14,24 +14,24 @@ columns are ignored, whatever their names; an empty table gives no rows.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docengine.llm import packs
-from docengine.llm.common import BYTE_VALUES, Rolling, buffers, chunks, covered, mix, partitions, ranges, sliding_min, written
-from docengine.llm.substring_dedup import KEYS, key_columns, with_keys
+from docengine.llm.common import BYTE_VALUES, Rolling, bounded_batches, buffers, chunks, covered, mix, partitions, ranges, released, sliding_min
+from docengine.llm.substring_dedup import KEYS, key_columns
 from docengine.llm.suffix_array import neighbours_alike, suffix_array
 
 LENGTH = 50
 #: Bytes of the short runs whose least hash is a window's fingerprint.
 SHINGLE = 20
 #: Shards for each shuffle partition: a shard's arrays take some sixty times its bytes.
-SHARDS = 4
+SHARDS = 8
 
 U64 = np.uint64
 
@@ -57,6 +57,7 @@ def window_groups(body: np.ndarray, offsets: np.ndarray, length: int = LENGTH, s
 
 
 def _send(groups: int):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = packs.Packer(groups)
         for batch in batches:
@@ -70,154 +71,196 @@ def _send(groups: int):
     return run
 
 
-REGIONS = "shard int, doc_ids binary, keys binary, firsts binary, sizes binary, body binary"
+def ordinals(ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Tells the texts of one doc_id apart: 0 for its least text_key, 1 for the next. A group has all rows of its ids, so
+    this comes out the same wherever it is computed."""
+    order = np.lexsort((keys, ids))
+    i, k = ids[order], keys[order]
+    new_id = np.concatenate(([True], i[1:] != i[:-1]))[: len(i)]
+    pair = np.cumsum(new_id | np.concatenate(([True], k[1:] != k[:-1]))[: len(i)]) - 1
+    out = np.empty(len(i), np.int64)
+    out[order] = pair - pair[new_id][np.cumsum(new_id) - 1] if len(i) else pair
+    return out
+
+
+REGIONS = "shard int, doc_ids binary, ordinals binary, firsts binary, sizes binary, body binary"
+FORMS = {"doc_ids": np.int64, "ordinals": np.int32, "firsts": np.int64, "sizes": np.int32, "body": np.uint8}
 
 
 def _regions(shards: int):
-    """The text around a group's repeated fingerprints, packed by shard."""
+    """The text around a group's repeated fingerprints, packed by shard and compressed."""
 
+    @released
     def run(docs: pa.Table, wanted: pa.Table) -> pa.Table:
-        out: dict[str, list] = {k: [] for k in ("shard", "doc_ids", "keys", "firsts", "sizes", "body")}
-        known = np.sort(packs.unpack(wanted.column("fps"), U64)[0])
-        for batch in docs.to_batches() if len(known) else ():
-            ids, keys = batch.column("doc_id").to_numpy(), batch.column("text_key").to_numpy()
-            body, offsets = buffers(batch.column("text"))
-            for a, b in chunks(offsets, 4 << 20):
+        docs = docs.combine_chunks()
+        known = np.sort(packs.unpack_values(wanted.column("fps")))
+        found: list[tuple] = []
+        if len(known) and docs.num_rows:
+            ids, keys = docs.column("__doc_id").to_numpy(), docs.column("__text_key").to_numpy()
+            told = ordinals(ids, keys)
+            body, offsets = buffers(docs.column("text").chunk(0))
+            for a, b in chunks(offsets):
                 row, first, last, marks = window_groups(body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                marks = packs.sent(marks)
                 hit = known[np.minimum(np.searchsorted(known, marks), len(known) - 1)] == marks
-                row, first, last, shard = a + row[hit], first[hit], last[hit], packs.bucket_of(marks[hit], shards)
-                order = np.argsort(shard, kind="stable")
-                row, first, last, shard = row[order], first[order], last[order], shard[order]
-                sizes = last - first + LENGTH
-                cut = packs.runs_of(shard).tolist()
-                for i, j in zip(cut, [*cut[1:], len(shard)]):
-                    out["shard"].append(int(shard[i]))
-                    out["doc_ids"].append(ids[row[i:j]].tobytes())
-                    out["keys"].append(keys[row[i:j]].tobytes())
-                    out["firsts"].append(first[i:j].astype(np.int64).tobytes())
-                    out["sizes"].append(sizes[i:j].astype(np.int32).tobytes())
-                    out["body"].append(body[ranges(offsets[row[i:j]] + first[i:j], sizes[i:j])].tobytes())
-        types = [pa.int32(), *[pa.binary()] * 5]
-        return pa.table([pa.array(x, t) for x, t in zip(out.values(), types)], names=list(out))
+                found.append((a + row[hit], first[hit], last[hit], packs.bucket_of(marks[hit], shards).astype(np.int32)))
+        out: dict[str, list] = {k: [] for k in ("shard", *FORMS)}
+        if found:
+            row, first, last, shard = (np.concatenate(x) for x in zip(*found))
+            order = np.argsort(shard, kind="stable")
+            row, first, last, shard = row[order], first[order], last[order], shard[order]
+            sizes = last - first + LENGTH
+            cut = packs.runs_of(shard).tolist()
+            press = zstandard.ZstdCompressor(level=3)
+            for i, j in zip(cut, [*cut[1:], len(shard)]):
+                r = row[i:j]
+                out["shard"].append(int(shard[i]))
+                for (k, form), x in zip(FORMS.items(), (ids[r], told[r], first[i:j], sizes[i:j], body[ranges(offsets[r] + first[i:j], sizes[i:j])])):
+                    out[k].append(press.compress(x.astype(form).tobytes()))
+        return pa.table([pa.array(x, t) for x, t in zip(out.values(), (pa.int32(), *[pa.binary()] * 5))], names=list(out))
 
     return run
 
 
-SPANS = "doc_id long, text_key long, first long, end long"
-
-
-def repeated_windows(body: np.ndarray, sizes: np.ndarray, ids: np.ndarray, length: int = LENGTH, memory: int | None = None) -> np.ndarray:
-    """Which places of the regions begin a window that also starts in a region of a smaller id."""
+def least_owners(body: np.ndarray, sizes: np.ndarray, ids: np.ndarray, length: int = LENGTH, memory: int | None = None) -> np.ndarray:
+    """For each place of the regions that begins a window the least id of the regions that have the same window."""
     n = len(sizes)
     # each region ends with a symbol that sorts before all bytes
     present = np.zeros(256, bool)
     present[body] = True
     code = np.cumsum(present).astype(np.uint16)
     ends = np.cumsum(sizes)
-    text = np.insert(code[body], ends, 0).astype(np.uint16)
+    text = np.insert(code[body], ends, 0)
     order = suffix_array(text, int(present.sum()) + 1, depth=length, **({} if memory is None else {"memory": memory}))
-    starts = ends - sizes
     window = np.zeros(len(text), bool)
-    window[ranges(starts + np.arange(n), np.maximum(sizes - length + 1, 0))] = True
+    window[ranges(ends - sizes + np.arange(n), np.maximum(sizes - length + 1, 0))] = True
+    del text
     order = order[window[order]]
-    region = np.repeat(np.arange(n), sizes + 1)[order]
+    region = np.repeat(np.arange(n, dtype=np.int32), sizes + 1)[order]
     order = order - region  # places in body
-    flagged = np.zeros(len(body), bool)
+    out = np.full(len(body), np.iinfo(np.int64).max)
     if len(order):
-        alike = neighbours_alike(body, order, length)
-        first = np.flatnonzero(~alike)
-        owner = ids[region]
-        least = np.minimum.reduceat(owner, first)
-        flagged[order] = owner > np.repeat(least, np.diff(np.concatenate((first, [len(order)]))))
-    return flagged
+        first = np.flatnonzero(~neighbours_alike(body, order, length))
+        least = np.minimum.reduceat(ids[region], first)
+        out[order] = np.repeat(least, np.diff(np.concatenate((first, [len(order)]))))
+    return out
 
 
+SPANS = "doc_id long, ordinal int, first long, end long"
+
+
+def _unpack(table: pa.Table, name: str) -> np.ndarray:
+    open_up = zstandard.ZstdDecompressor()
+    parts = [np.frombuffer(open_up.decompress(x.as_buffer()), FORMS[name]) for x in table.column(name)]
+    return np.concatenate(parts) if parts else np.zeros(0, FORMS[name])
+
+
+@released
 def _sort_shard(table: pa.Table) -> pa.Table:
-    ids, _ = packs.unpack(table.column("doc_ids"), np.int64)
-    keys, _ = packs.unpack(table.column("keys"), np.int64)
-    firsts, _ = packs.unpack(table.column("firsts"), np.int64)
-    sizes = packs.unpack(table.column("sizes"), np.int32)[0].astype(np.int64)
-    body, _ = packs.unpack(table.column("body"), np.uint8)
-    flagged = repeated_windows(body, sizes, ids)
-    region = np.repeat(np.arange(len(sizes)), sizes)
-    on = np.flatnonzero(flagged)
-    new = np.ones(len(on), bool)
-    new[1:] = (on[1:] != on[:-1] + 1) | (region[on[1:]] != region[on[:-1]])
-    begin = np.flatnonzero(new)
-    last = np.concatenate((begin[1:], [len(on)])) - 1 if len(begin) else begin
-    r = region[on[begin]]
-    starts = np.cumsum(sizes) - sizes
-    first, end = firsts[r] + on[begin] - starts[r], firsts[r] + on[last] - starts[r] + LENGTH
-    return pa.table({"doc_id": ids[r], "text_key": keys[r], "first": first, "end": end})
-
-
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, first and end (bytes) of repeats, from rows with keys."""
+    """Spans of a shard's repeats. Regions alike in all bytes are sorted once, under their least id; each of them then
+    takes the windows that belong to a smaller one than its own."""
+    ids, told, firsts, sizes = (_unpack(table, k) for k in ("doc_ids", "ordinals", "firsts", "sizes"))
+    sizes = sizes.astype(np.int64)
+    body = _unpack(table, "body")
+    data, ends = body.tobytes(), np.cumsum(sizes)
+    starts = ends - sizes
+    seen: dict[bytes, int] = {}
+    kind = np.array([seen.setdefault(data[a:b], len(seen)) for a, b in zip(starts.tolist(), ends.tolist())], np.int64)
+    del seen, data
+    _, one = np.unique(kind, return_index=True)
+    owner = np.full(len(one), np.iinfo(np.int64).max)
+    np.minimum.at(owner, kind, ids)
+    kept = sizes[one]
+    least = least_owners(body[ranges(starts[one], kept)], kept, owner)
+    begin = (np.cumsum(kept) - kept)[kind]
+    windows = sizes - LENGTH + 1
+    region = np.repeat(np.arange(len(sizes)), windows)
+    place = ranges(np.zeros(len(sizes), np.int64), windows)
+    on = np.flatnonzero(least[begin[region] + place] < ids[region])
+    region, place = region[on], place[on]
+    new = packs.runs_of(region, place - np.arange(len(place)))
+    last = np.concatenate((new[1:], [len(on)])) - 1 if len(new) else new
+    r = region[new]
+    return pa.table({"doc_id": ids[r], "ordinal": told[r], "first": firsts[r] + place[new], "end": firsts[r] + place[last] + LENGTH})
+
+
+def _removed(docs: pa.Table, spans: pa.Table, take_out) -> None:
+    """Calls take_out(row, which bytes go) for each row of a group with spans."""
+    if not docs.num_rows or not spans.num_rows:
+        return
+    ids, told = spans.column("doc_id").to_numpy(), spans.column("ordinal").to_numpy()
+    order = np.lexsort((told, ids))
+    ids, told = ids[order], told[order]
+    first, end = (spans.column(k).to_numpy()[order] for k in ("first", "end"))
+    cut = packs.runs_of(ids, told)
+    where = {(i, t): (a, b) for i, t, a, b in zip(ids[cut].tolist(), told[cut].tolist(), cut.tolist(), [*cut[1:].tolist(), len(ids)])}
+    own, keys = docs.column("__doc_id").to_numpy(), docs.column("__text_key").to_numpy()
+    _, offsets = buffers(docs.column("text").chunk(0))
+    for row, key in enumerate(zip(own.tolist(), ordinals(own, keys).tolist())):
+        if key in where:
+            a, b = where[key]
+            take_out(row, covered(int(offsets[row + 1] - offsets[row]), first[a:b], end[a:b]))
+
+
+def _group(docs: DataFrame) -> DataFrame:
     n = partitions(docs.sparkSession)
-    grouped = docs.select(F.pmod(F.xxhash64(*KEYS), F.lit(n)).cast("int").alias("g"), *KEYS, "text")
-    sent = grouped.select("g", "text").mapInArrow(_send(n), packs.SCHEMA)
-    wanted = packs.repeated_by_group(sent)
-    regions = grouped.groupBy("g").cogroup(wanted.groupBy("g")).applyInArrow(_regions(n * SHARDS), REGIONS)
-    return regions.groupBy("shard").applyInArrow(_sort_shard, SPANS)
-
+    keys = [c.alias(f"__{k}") for c, k in zip(key_columns(), KEYS)]
+    return docs.select("*", *keys).withColumn("__g", F.pmod(F.xxhash64("__doc_id"), F.lit(n)).cast("int"))
 
-def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """doc_id, text_key, n_bytes, n_removed, n_spans and kept (the bytes that stay) of every row with keys."""
-    lists = spans.groupBy(*KEYS).agg(F.collect_list(F.struct("first", "end")).alias("spans"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            body, offsets = buffers(batch.column(2))
-            listed = batch.column(3)
-            n_removed, n_spans, kept = [], [], []
-            for i in range(len(batch)):
-                text = body[offsets[i] : offsets[i + 1]]
-                if listed[i].is_valid:
-                    first, end = (x.to_numpy() for x in listed[i].values.flatten())
-                    gone = covered(len(text), first, end)
-                    n_removed.append(int(gone.sum()))
-                    n_spans.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
-                    text = text[~gone]
-                else:
-                    n_removed.append(0)
-                    n_spans.append(0)
-                kept.append(text.tobytes())
-            arrays = [pa.array(np.diff(offsets), pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["doc_id", "text_key", "n_bytes", "n_removed", "n_spans", "kept"])
-
-    out = docs.join(lists, KEYS, "left").mapInArrow(run, "doc_id long, text_key long, n_bytes long, n_removed long, n_spans long, kept binary")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")))
+def _with_spans(docs: DataFrame, then, schema) -> DataFrame:
+    """Applies then(docs, spans) to each group of docs and its repeats. The documents are dealt out by group once; both
+    steps that need a group's texts read that same exchange."""
+    n = partitions(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
+    grouped = _group(docs)
+    sent = grouped.select("__g", "text").mapInArrow(_send(n), packs.SCHEMA)
+    wanted = packs.repeated_by_group(sent).withColumnRenamed("g", "__g")
+    regions = grouped.groupBy("__g").cogroup(wanted.groupBy("__g")).applyInArrow(_regions(n * SHARDS), REGIONS)
+    spans = regions.groupBy("shard").applyInArrow(_sort_shard, SPANS).withColumn("__g", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
+    return grouped.groupBy("__g").cogroup(spans.groupBy("__g")).applyInArrow(then, schema)
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    keyed = with_keys(docs)
-    return remove_spans(keyed, written(repeated_spans(keyed), "suffix-spans"))
+    """doc_id, n_bytes, n_removed, n_spans and kept (the bytes that stay) of every row."""
+
+    @released
+    def run(table: pa.Table, spans: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        n = table.num_rows
+        body, offsets = buffers(table.column("text").chunk(0)) if n else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
+        removed, runs = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        kept = [body[offsets[i] : offsets[i + 1]] for i in range(n)]
+
+        def take_out(row: int, gone: np.ndarray) -> None:
+            removed[row] = gone.sum()
+            runs[row] = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+            kept[row] = kept[row][~gone]
+
+        _removed(table, spans, take_out)
+        return pa.table({"doc_id": table.column("doc_id").cast(pa.int64()), "n_bytes": np.diff(offsets), "n_removed": removed, "n_spans": runs, "kept": pa.array([x.tobytes() for x in kept], pa.binary())})
+
+    return _with_spans(docs.select("doc_id", "text"), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
     """docs with the repeated bytes taken out of text, all other columns as they are; what is left of a character cut in
     two goes too. A null text stays null. Documents stay even if nothing of their text is left."""
-    marked = [f"__{k}" for k in KEYS]
-    spans = written(repeated_spans(with_keys(docs)), "suffix-spans")
-    lists = spans.groupBy(*KEYS).agg(F.collect_list(F.struct("first", "end")).alias("__spans"))
-    lists = lists.select(*(F.col(k).alias(m) for k, m in zip(KEYS, marked)), "__spans")
-    at = docs.columns.index("text")
+    columns = docs.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            listed, texts = batch.column(len(docs_columns)), batch.column(at).to_pylist()
-            for i, text in enumerate(texts):
-                if listed[i].is_valid and text:
-                    data = np.frombuffer(text.encode(), np.uint8)
-                    first, end = (x.to_numpy() for x in listed[i].values.flatten())
-                    texts[i] = data[~covered(len(data), first, end)].tobytes().decode("utf-8", "ignore")
-            columns = batch.columns[: len(docs_columns)]
-            columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=docs_columns)
-
-    docs_columns = docs.columns
-    keyed = docs.select("*", *(c.alias(m) for c, m in zip(key_columns(), marked))).join(lists, marked, "left")
-    return keyed.select(*docs_columns, "__spans").mapInArrow(run, docs.schema)
+    @released
+    def run(table: pa.Table, spans: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        texts = table.column("text").to_pylist()
+
+        def take_out(row: int, gone: np.ndarray) -> None:
+            texts[row] = np.frombuffer(texts[row].encode(), np.uint8)[~gone].tobytes().decode("utf-8", "ignore")
+
+        _removed(table, spans, take_out)
+        out = table.select(columns)
+        return out.set_column(columns.index("text"), "text", pa.array(texts, pa.string()))
+
+    return _with_spans(docs, run, docs.schema)
 
 
 def digest(result: DataFrame) -> DataFrame:
