@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docengine.llm import packs
-from docengine.llm.common import Rolling, bounded_batches, buffers, chunks, fold_case, mix, partitions, ranges, released, signed, word_hashes, words_of, written
+from docengine.llm.common import SPACES, Rolling, bounded_batches, buffers, chunks, fold_case, mix, partitions, ranges, released, signed, word_hashes, words_of, written
 from docengine.llm.components import components
 from docengine.llm.substring_dedup import KEYS, key_columns, with_keys
 
@@ -278,9 +278,9 @@ def join(docs: DataFrame, *, n: int = 5, percent: int = 80) -> DataFrame:
 def keep_one(docs: DataFrame, *, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs without those that are not the first of their group, with all their columns. Rows without n-grams
     are in no group and stay."""
-    keyed = docs.select("*", *(c.alias(f"__{k}") for c, k in zip(key_columns(), KEYS)))
+    keyed = docs.select(F.struct("*").alias("row"), *key_columns())
     groups = similar_groups(with_keys(docs), n=n, percent=percent)
     first = groups.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(*KEYS)).alias("k")).select("k.*")
-    stay = first.union(groups.filter("n_shingles = 0").select(*KEYS).distinct())
-    stay = stay.select(F.col("doc_id").alias("__doc_id"), F.col("text_key").alias("__text_key"))
-    return keyed.join(stay, ["__doc_id", "__text_key"], "left_semi").dropDuplicates(["__doc_id", "__text_key"]).select(*docs.columns)
+    has_words = F.coalesce(F.col("row.text").rlike(f"[^{SPACES}]"), F.lit(False))
+    kept = keyed.filter(has_words).join(first, KEYS, "left_semi").dropDuplicates(KEYS)
+    return kept.union(keyed.filter(~has_words)).select("row.*")

@@ -203,9 +203,11 @@ def _removed(docs: pa.Table, spans: pa.Table, take_out) -> None:
 
 
 def _group(docs: DataFrame) -> DataFrame:
+    """The columns of docs by place (c0, c1 and so on, but text), with keys and group."""
     n = partitions(docs.sparkSession)
+    own = [F.col(f"`{c}`").alias("text" if c == "text" else f"c{i}") for i, c in enumerate(docs.columns)]
     keys = [c.alias(f"__{k}") for c, k in zip(key_columns(), KEYS)]
-    return docs.select("*", *keys).withColumn("__g", F.pmod(F.xxhash64("__doc_id"), F.lit(n)).cast("int"))
+    return docs.select(*own, *keys).withColumn("__g", F.pmod(F.xxhash64("__doc_id"), F.lit(n)).cast("int"))
 
 
 def _with_spans(docs: DataFrame, then, schema) -> DataFrame:
@@ -238,7 +240,7 @@ def dedup(docs: DataFrame) -> DataFrame:
             kept[row] = kept[row][~gone]
 
         _removed(table, spans, take_out)
-        return pa.table({"doc_id": table.column("doc_id").cast(pa.int64()), "n_bytes": np.diff(offsets), "n_removed": removed, "n_spans": runs, "kept": pa.array([x.tobytes() for x in kept], pa.binary())})
+        return pa.table({"doc_id": table.column("c0").cast(pa.int64()), "n_bytes": np.diff(offsets), "n_removed": removed, "n_spans": runs, "kept": pa.array([x.tobytes() for x in kept], pa.binary())})
 
     return _with_spans(docs.select("doc_id", "text"), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
@@ -257,7 +259,7 @@ def dedup_documents(docs: DataFrame) -> DataFrame:
             texts[row] = np.frombuffer(texts[row].encode(), np.uint8)[~gone].tobytes().decode("utf-8", "ignore")
 
         _removed(table, spans, take_out)
-        out = table.select(columns)
+        out = table.select(range(len(columns))).rename_columns(columns)
         return out.set_column(columns.index("text"), "text", pa.array(texts, pa.string()))
 
     return _with_spans(docs, run, docs.schema)
