@@ -203,7 +203,7 @@ def verified_spans(docs: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by blanks) of every row of docs."""
-    lists = spans.groupBy(*KEYS).agg(F.collect_list(F.struct("first", "end")).alias("spans"))
+    lists = spans.groupBy(*KEYS).agg(F.collect_set(F.struct("first", "end")).alias("spans"))
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,8 @@ Only text that may repeat is sorted. Every window of the string's length has a f
 byte run in it, so equal windows have equal ones; the groups of documents learn which of their fingerprints occur twice or
 more. The text around those goes, by fingerprint, to shards, so that equal windows meet in one shard, and each shard's
 suffixes are sorted by external induced sorting: its queues spill to disk. Neighbours in that order with a common prefix of
-the string's length are the repeats, and of those the smallest doc_id keeps its bytes.
+the string's length are the repeats, and of those the smallest doc_id keeps its bytes. A group sends a region of text once,
+whether one of its documents has it or a third of all: a shard gets no more copies than there are groups.
 
 Defined cases: a null or empty text has no bytes; a text shorter than the string keeps all; a null doc_id counts as
 smaller than all others; rows with one doc_id take nothing from each other, rows that repeat get the same result; extra
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from docengine.llm import packs
 from docengine.llm.common import BYTE_VALUES, Rolling, bounded_batches, buffers, chunks, covered, mix, partitions, ranges, released, sliding_min
-from docengine.llm.substring_dedup import KEYS, key_columns
+from docengine.llm.substring_dedup import key_columns
 from docengine.llm.suffix_array import neighbours_alike, suffix_array
 
 LENGTH = 50
@@ -71,53 +72,64 @@ def _send(groups: int):
     return run
 
 
-def ordinals(ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Tells the texts of one doc_id apart: 0 for its least text_key, 1 for the next. A group has all rows of its ids, so
-    this comes out the same wherever it is computed."""
-    order = np.lexsort((keys, ids))
-    i, k = ids[order], keys[order]
-    new_id = np.concatenate(([True], i[1:] != i[:-1]))[: len(i)]
-    pair = np.cumsum(new_id | np.concatenate(([True], k[1:] != k[:-1]))[: len(i)]) - 1
-    out = np.empty(len(i), np.int64)
-    out[order] = pair - pair[new_id][np.cumsum(new_id) - 1] if len(i) else pair
-    return out
+def region_keys(body: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each region's bytes, 128 bits in all: regions alike in them count as equal."""
+    size = mix((end - start).astype(U64))
+    return tuple(mix(Rolling(BYTE_VALUES[lane][body], lane).slices(start, end) ^ size) for lane in (0, 1))
+
+
+def _hits(table: pa.Table, known):
+    """By pieces of a group's text: row, first place, size and keys of the regions, and the marks, where known says so."""
+    body, offsets = buffers(table.column("text").chunk(0))
+    for a, b in chunks(offsets):
+        part, at = body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        row, first, last, marks = window_groups(part, at)
+        begin = at[row] + first
+        yield from known(a, part, row, first, begin, begin + last - first + LENGTH, marks)
 
 
-REGIONS = "shard int, doc_ids binary, ordinals binary, firsts binary, sizes binary, body binary"
-FORMS = {"doc_ids": np.int64, "ordinals": np.int32, "firsts": np.int64, "sizes": np.int32, "body": np.uint8}
+REGIONS = "bucket int, g int, shards binary, least binary, most binary, sizes binary, body binary"
+FORMS = {"shards": np.int32, "least": np.int64, "most": np.int64, "sizes": np.int32, "body": np.uint8}
 
 
-def _regions(shards: int):
-    """The text around a group's repeated fingerprints, packed by shard and compressed."""
+def _regions(buckets: int):
+    """The text around a group's repeated fingerprints, packed by bucket of shards and compressed. However many of the
+    group's documents have a region, it is sent once, with their least and greatest ids."""
 
     @released
     def run(docs: pa.Table, wanted: pa.Table) -> pa.Table:
         docs = docs.combine_chunks()
         known = np.sort(packs.unpack_values(wanted.column("fps")))
         found: list[tuple] = []
+
+        def repeated(a, part, row, first, begin, end, marks):
+            marks = packs.sent(marks)
+            hit = known[np.minimum(np.searchsorted(known, marks), len(known) - 1)] == marks
+            row, first, begin, end, marks = row[hit], first[hit], begin[hit], end[hit], marks[hit]
+            if len(row):
+                yield a + row, first, (end - begin).astype(np.int32), *region_keys(part, begin, end), packs.bucket_of(marks, buckets * SHARDS).astype(np.int32)
+
         if len(known) and docs.num_rows:
-            ids, keys = docs.column("__doc_id").to_numpy(), docs.column("__text_key").to_numpy()
-            told = ordinals(ids, keys)
-            body, offsets = buffers(docs.column("text").chunk(0))
-            for a, b in chunks(offsets):
-                row, first, last, marks = window_groups(body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                marks = packs.sent(marks)
-                hit = known[np.minimum(np.searchsorted(known, marks), len(known) - 1)] == marks
-                found.append((a + row[hit], first[hit], last[hit], packs.bucket_of(marks[hit], shards).astype(np.int32)))
-        out: dict[str, list] = {k: [] for k in ("shard", *FORMS)}
+            found = list(_hits(docs, repeated))
+        out: dict[str, list] = {k: [] for k in ("bucket", "g", *FORMS)}
         if found:
-            row, first, last, shard = (np.concatenate(x) for x in zip(*found))
-            order = np.argsort(shard, kind="stable")
-            row, first, last, shard = row[order], first[order], last[order], shard[order]
-            sizes = last - first + LENGTH
-            cut = packs.runs_of(shard).tolist()
+            ids, g = docs.column("__doc_id").to_numpy(), docs.column("__g")[0].as_py()
+            body, offsets = buffers(docs.column("text").chunk(0))
+            row, first, sizes, k0, k1, shard = (np.concatenate(x) for x in zip(*found))
+            order = np.lexsort((k1, k0, shard))
+            one = packs.runs_of(shard[order], k0[order], k1[order])
+            owners = ids[row[order]]
+            least, most = np.minimum.reduceat(owners, one), np.maximum.reduceat(owners, one)
+            order = order[one]
+            start, sizes, shard = (offsets[row] + first)[order], sizes[order], shard[order]
+            cut = packs.runs_of(shard // SHARDS).tolist()
             press = zstandard.ZstdCompressor(level=3)
             for i, j in zip(cut, [*cut[1:], len(shard)]):
-                r = row[i:j]
-                out["shard"].append(int(shard[i]))
-                for (k, form), x in zip(FORMS.items(), (ids[r], told[r], first[i:j], sizes[i:j], body[ranges(offsets[r] + first[i:j], sizes[i:j])])):
+                out["bucket"].append(int(shard[i]) // SHARDS)
+                out["g"].append(g)
+                for (k, form), x in zip(FORMS.items(), (shard[i:j], least[i:j], most[i:j], sizes[i:j], body[ranges(start[i:j], sizes[i:j])])):
                     out[k].append(press.compress(x.astype(form).tobytes()))
-        return pa.table([pa.array(x, t) for x, t in zip(out.values(), (pa.int32(), *[pa.binary()] * 5))], names=list(out))
+        return pa.table([pa.array(x, t) for x, t in zip(out.values(), (pa.int32(), pa.int32(), *[pa.binary()] * 5))], names=list(out))
 
     return run
 
@@ -146,80 +158,128 @@ def least_owners(body: np.ndarray, sizes: np.ndarray, ids: np.ndarray, length: i
     return out
 
 
-SPANS = "doc_id long, ordinal int, first long, end long"
+SPANS = "__g int, keys0 binary, keys1 binary, counts binary, firsts binary, ends binary, owners binary"
+RUNS = {"keys0": U64, "keys1": U64, "counts": np.int32, "firsts": np.int32, "ends": np.int32, "owners": np.int64}
 
 
-def _unpack(table: pa.Table, name: str) -> np.ndarray:
+def _unpack(column: pa.ChunkedArray, form) -> list[np.ndarray]:
     open_up = zstandard.ZstdDecompressor()
-    parts = [np.frombuffer(open_up.decompress(x.as_buffer()), FORMS[name]) for x in table.column(name)]
-    return np.concatenate(parts) if parts else np.zeros(0, FORMS[name])
+    return [np.frombuffer(open_up.decompress(x.as_buffer()), form) for x in column]
+
+
+def _joined(parts: list[np.ndarray], form) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, form)
+
+
+def sort_shard(g: np.ndarray, least: np.ndarray, most: np.ndarray, sizes: np.ndarray, body: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Group, keys and number of runs of the regions that lose bytes, and each run: first place, end, and the least id of
+    the runs' windows. Regions alike are sorted once, under their least id."""
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    k0, k1 = region_keys(body, starts, ends)
+    order = np.lexsort((k1, k0))
+    one = packs.runs_of(k0[order], k1[order])
+    kind = np.empty(len(g), np.int64)
+    kind[order] = np.repeat(np.arange(len(one)), np.diff(np.concatenate((one, [len(g)]))))
+    owner, kept = np.minimum.reduceat(least[order], one), sizes[order[one]]
+    below = least_owners(body[ranges(starts[order[one]], kept)], kept, owner)
+    windows = kept - LENGTH + 1
+    region, place = np.repeat(np.arange(len(one)), windows), ranges(np.zeros(len(one), np.int64), windows)
+    below = below[np.repeat(np.cumsum(kept) - kept, windows) + place]
+    new = packs.runs_of(region, below)
+    last = np.concatenate((new[1:], [len(place)])) - 1
+    edge = np.searchsorted(region[new], np.arange(len(one) + 1))
+    # the runs of its kind that belong to a smaller id than some document's that has the region
+    counts = (edge[1:] - edge[:-1])[kind]
+    at = ranges(edge[kind], counts)
+    sent = np.repeat(np.arange(len(g)), counts)
+    on = below[new][at] < most[sent]
+    at, sent = at[on], sent[on]
+    counts = np.bincount(sent, minlength=len(g))
+    some = counts > 0
+    return g[some], k0[some], k1[some], counts[some], place[new][at], place[last][at] + LENGTH, below[new][at]
 
 
 @released
-def _sort_shard(table: pa.Table) -> pa.Table:
-    """Spans of a shard's repeats. Regions alike in all bytes are sorted once, under their least id; each of them then
-    takes the windows that belong to a smaller one than its own."""
-    ids, told, firsts, sizes = (_unpack(table, k) for k in ("doc_ids", "ordinals", "firsts", "sizes"))
+def _sort_bucket(table: pa.Table) -> pa.Table:
+    """Sorts a bucket's shards one after the other; the runs go back by group of documents."""
+    parts = {k: _unpack(table.column(k), form) for k, form in FORMS.items()}
+    g = np.repeat(table.column("g").to_numpy(), [len(x) for x in parts["sizes"]])
+    shards, least, most, sizes, body = (_joined(parts[k], form) for k, form in FORMS.items())
+    del parts
     sizes = sizes.astype(np.int64)
-    body = _unpack(table, "body")
-    data, ends = body.tobytes(), np.cumsum(sizes)
-    starts = ends - sizes
-    seen: dict[bytes, int] = {}
-    kind = np.array([seen.setdefault(data[a:b], len(seen)) for a, b in zip(starts.tolist(), ends.tolist())], np.int64)
-    del seen, data
-    _, one = np.unique(kind, return_index=True)
-    owner = np.full(len(one), np.iinfo(np.int64).max)
-    np.minimum.at(owner, kind, ids)
-    kept = sizes[one]
-    least = least_owners(body[ranges(starts[one], kept)], kept, owner)
-    begin = (np.cumsum(kept) - kept)[kind]
-    windows = sizes - LENGTH + 1
-    region = np.repeat(np.arange(len(sizes)), windows)
-    place = ranges(np.zeros(len(sizes), np.int64), windows)
-    on = np.flatnonzero(least[begin[region] + place] < ids[region])
-    region, place = region[on], place[on]
-    new = packs.runs_of(region, place - np.arange(len(place)))
-    last = np.concatenate((new[1:], [len(on)])) - 1 if len(new) else new
-    r = region[new]
-    return pa.table({"doc_id": ids[r], "ordinal": told[r], "first": firsts[r] + place[new], "end": firsts[r] + place[last] + LENGTH})
-
-
-def _removed(docs: pa.Table, spans: pa.Table, take_out) -> None:
-    """Calls take_out(row, which bytes go) for each row of a group with spans."""
+    starts = np.cumsum(sizes) - sizes
+    found = []
+    for shard in np.unique(shards):
+        on = np.flatnonzero(shards == shard)
+        found.append(sort_shard(g[on], least[on], most[on], sizes[on], body[ranges(starts[on], sizes[on])]))
+    g, k0, k1, counts, *runs = (np.concatenate(x) for x in zip(*found))
+    at = np.cumsum(counts) - counts
+    order = np.argsort(g, kind="stable")
+    cut = packs.runs_of(g[order]).tolist()
+    out: dict[str, list] = {k: [] for k in ("__g", *RUNS)}
+    press = zstandard.ZstdCompressor(level=3)
+    for i, j in zip(cut, [*cut[1:], len(order)]):
+        own = order[i:j]
+        own_runs = ranges(at[own], counts[own])
+        out["__g"].append(int(g[own[0]]))
+        for (k, form), x in zip(RUNS.items(), (k0[own], k1[own], counts[own], *(r[own_runs] for r in runs))):
+            out[k].append(press.compress(x.astype(form).tobytes()))
+    return pa.table([pa.array(x, t) for x, t in zip(out.values(), (pa.int32(), *[pa.binary()] * 6))], names=list(out))
+
+
+def _gone(docs: pa.Table, spans: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Which bytes of a group's texts go, and where each row's begin: every row finds the regions of its own text among
+    those that lose bytes, and takes the runs of a smaller id than its own."""
+    _, offsets = buffers(docs.column("text").chunk(0)) if docs.num_rows else (None, np.zeros(1, np.int64))
     if not docs.num_rows or not spans.num_rows:
-        return
-    ids, told = spans.column("doc_id").to_numpy(), spans.column("ordinal").to_numpy()
-    order = np.lexsort((told, ids))
-    ids, told = ids[order], told[order]
-    first, end = (spans.column(k).to_numpy()[order] for k in ("first", "end"))
-    cut = packs.runs_of(ids, told)
-    where = {(i, t): (a, b) for i, t, a, b in zip(ids[cut].tolist(), told[cut].tolist(), cut.tolist(), [*cut[1:].tolist(), len(ids)])}
-    own, keys = docs.column("__doc_id").to_numpy(), docs.column("__text_key").to_numpy()
-    _, offsets = buffers(docs.column("text").chunk(0))
-    for row, key in enumerate(zip(own.tolist(), ordinals(own, keys).tolist())):
-        if key in where:
-            a, b = where[key]
-            take_out(row, covered(int(offsets[row + 1] - offsets[row]), first[a:b], end[a:b]))
+        return np.zeros(int(offsets[-1]), bool), offsets
+    keys0, keys1, counts, firsts, ends, owners = (_joined(_unpack(spans.column(k), form), form) for k, form in RUNS.items())
+    run_at = np.cumsum(counts) - counts
+    order = np.lexsort((keys1, keys0))
+    keys0, keys1, counts, run_at = keys0[order], keys1[order], counts[order], run_at[order]
+    ids = docs.column("__doc_id").to_numpy()
+
+    def mine(a, part, row, first, begin, end, marks):
+        k0, k1 = region_keys(part, begin, end)
+        at = np.searchsorted(keys0, k0)
+        while True:
+            near = np.minimum(at, len(keys0) - 1)
+            same = (at < len(keys0)) & (keys0[near] == k0)
+            other = same & (keys1[near] != k1)
+            if not other.any():
+                break
+            at = at + other
+        at, row, first = at[same], a + row[same], first[same]
+        runs = ranges(run_at[at], counts[at])
+        row, first = np.repeat(row, counts[at]), np.repeat(first, counts[at])
+        on = owners[runs] < ids[row]
+        begin = (offsets[row] + first)[on]
+        yield begin + firsts[runs[on]], begin + ends[runs[on]]
+
+    found = list(_hits(docs, mine))
+    begin, end = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+    return covered(int(offsets[-1]), begin, end), offsets
 
 
 def _group(docs: DataFrame) -> DataFrame:
-    """The columns of docs by place (c0, c1 and so on, but text), with keys and group."""
+    """The columns of docs by place (c0, c1 and so on, but text), with id and group."""
     n = partitions(docs.sparkSession)
     own = [F.col(f"`{c}`").alias("text" if c == "text" else f"c{i}") for i, c in enumerate(docs.columns)]
-    keys = [c.alias(f"__{k}") for c, k in zip(key_columns(), KEYS)]
-    return docs.select(*own, *keys).withColumn("__g", F.pmod(F.xxhash64("__doc_id"), F.lit(n)).cast("int"))
+    keyed = docs.select(*own, key_columns()[0].alias("__doc_id"))
+    return keyed.withColumn("__g", F.pmod(F.xxhash64("__doc_id", "text"), F.lit(n)).cast("int"))
 
 
 def _with_spans(docs: DataFrame, then, schema) -> DataFrame:
-    """Applies then(docs, spans) to each group of docs and its repeats. The documents are dealt out by group once; both
-    steps that need a group's texts read that same exchange."""
+    """Applies then(docs, spans) to each group of docs and the runs that it may lose. The documents are dealt out by group
+    once; both steps that need a group's texts read that same exchange."""
     n = partitions(docs.sparkSession)
     bounded_batches(docs.sparkSession)
     grouped = _group(docs)
     sent = grouped.select("__g", "text").mapInArrow(_send(n), packs.SCHEMA)
     wanted = packs.repeated_by_group(sent).withColumnRenamed("g", "__g")
-    regions = grouped.groupBy("__g").cogroup(wanted.groupBy("__g")).applyInArrow(_regions(n * SHARDS), REGIONS)
-    spans = regions.groupBy("shard").applyInArrow(_sort_shard, SPANS).withColumn("__g", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
+    regions = grouped.groupBy("__g").cogroup(wanted.groupBy("__g")).applyInArrow(_regions(n), REGIONS)
+    spans = regions.groupBy("bucket").applyInArrow(_sort_bucket, SPANS)
     return grouped.groupBy("__g").cogroup(spans.groupBy("__g")).applyInArrow(then, schema)
 
 
@@ -230,17 +290,15 @@ def dedup(docs: DataFrame) -> DataFrame:
     def run(table: pa.Table, spans: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         n = table.num_rows
-        body, offsets = buffers(table.column("text").chunk(0)) if n else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
-        removed, runs = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        kept = [body[offsets[i] : offsets[i + 1]] for i in range(n)]
-
-        def take_out(row: int, gone: np.ndarray) -> None:
-            removed[row] = gone.sum()
-            runs[row] = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-            kept[row] = kept[row][~gone]
-
-        _removed(table, spans, take_out)
-        return pa.table({"doc_id": table.column("c0").cast(pa.int64()), "n_bytes": np.diff(offsets), "n_removed": removed, "n_spans": runs, "kept": pa.array([x.tobytes() for x in kept], pa.binary())})
+        body = buffers(table.column("text").chunk(0))[0] if n else np.zeros(0, np.uint8)
+        gone, offsets = _gone(table, spans)
+        begins = gone.copy()
+        begins[1:] &= ~gone[:-1]
+        edges = offsets[:-1][offsets[:-1] < len(gone)]
+        begins[edges] = gone[edges]
+        removed, runs = (np.diff(np.concatenate(([0], np.cumsum(x)))[offsets]) for x in (gone, begins))
+        kept = [body[a:b][~gone[a:b]].tobytes() if lost else body[a:b].tobytes() for a, b, lost in zip(offsets[:-1], offsets[1:], removed)]
+        return pa.table({"doc_id": table.column("c0").cast(pa.int64()), "n_bytes": np.diff(offsets), "n_removed": removed.astype(np.int64), "n_spans": runs.astype(np.int64), "kept": pa.array(kept, pa.binary())})
 
     return _with_spans(docs.select("doc_id", "text"), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
@@ -254,11 +312,11 @@ def dedup_documents(docs: DataFrame) -> DataFrame:
     def run(table: pa.Table, spans: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         texts = table.column("text").to_pylist()
-
-        def take_out(row: int, gone: np.ndarray) -> None:
-            texts[row] = np.frombuffer(texts[row].encode(), np.uint8)[~gone].tobytes().decode("utf-8", "ignore")
-
-        _removed(table, spans, take_out)
+        gone, offsets = _gone(table, spans)
+        lost = np.diff(np.concatenate(([0], np.cumsum(gone)))[offsets])
+        for row in np.flatnonzero(lost):
+            own = gone[offsets[row] : offsets[row + 1]]
+            texts[row] = np.frombuffer(texts[row].encode(), np.uint8)[~own].tobytes().decode("utf-8", "ignore")
         out = table.select(range(len(columns))).rename_columns(columns)
         return out.set_column(columns.index("text"), "text", pa.array(texts, pa.string()))
 
