@@ -7,8 +7,9 @@ more n-grams to look up but asks more shared ones of a candidate before it is ve
 
 Frequencies are counted over all documents, for a fixed share of the n-grams by hash that the order puts first and that
 prefixes nearly always lie in; the order of the others, by hash, is as valid and only costs more. Candidates are verified
-first against one document of each n-gram's group; components of those links then need no pairs among themselves, so a
-large group of near copies is settled by stars, and only pairs across components are listed.
+first against one central document of each n-gram's group; components of those links then need no pairs among themselves, so
+a large group of near copies is settled by stars, and only pairs across components are listed, by an n-gram that can be the
+first that both share.
 
 Defined cases: a null or blank text has no n-grams and is linked with nothing; a text with fewer words than n has its whole
 word sequence as its only n-gram; rows that repeat are copies of each other; rows of one doc_id are one document as far
@@ -212,39 +213,47 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFram
     return joined.select("u", "v", "u_text", "v_text").mapInArrow(_verified(n, percent), "u long, v long")
 
 
-def _may_link(a: tuple[str, str], b: tuple[str, str], asked, percent: int):
-    """Whether two sets may be similar enough, from their sizes and a shared n-gram's place in each: one of their first
-    asked shared n-grams leaves enough n-grams after it in both. Each of a and b names a size and a place."""
+def _may_link(a: tuple[str, str], b: tuple[str, str], percent: int):
+    """Whether two sets whose first shared n-gram has these places may be similar enough: no more n-grams are shared than
+    both have from there on. Each of a and b names a size and a place."""
     (n, p), (m, q) = ((F.col(x), F.col(y)) for x, y in (a, b))
     overlap = F.ceil(percent * (n + m) / (100 + percent))
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.least(n - p, m - q) - 1 + asked >= overlap)
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.least(n - p, m - q) >= overlap)
 
 
 def star_pairs(prefixes: DataFrame, percent: int) -> DataFrame:
-    """Each document of an n-gram's group with the group's least document."""
-    heads = prefixes.groupBy("token").agg(F.min(F.struct(*KEYS, "n_shingles", "place")).alias("h"), F.count("*").alias("c")).filter("c > 1")
+    """Each document of an n-gram's group with the group's head: the one that has the n-gram first in its order. In a group
+    of near copies that is one with few changes of its own, so most of the others are similar to it."""
+    first = prefixes.filter("level = 1")
+    heads = first.groupBy("token").agg(F.min(F.struct("place", *KEYS, "n_shingles")).alias("h"), F.count("*").alias("c")).filter("c > 1")
     heads = heads.select("token", F.col("h.doc_id").alias("v"), F.col("h.text_key").alias("v_key"), F.col("h.n_shingles").alias("v_n"), F.col("h.place").alias("v_place"))
-    met = prefixes.join(heads, "token").filter(((F.col("doc_id") != F.col("v")) | (F.col("text_key") != F.col("v_key"))) & _may_link(("n_shingles", "place"), ("v_n", "v_place"), MOST_MATCHES, percent))
+    met = first.join(heads, "token").filter(((F.col("doc_id") != F.col("v")) | (F.col("text_key") != F.col("v_key"))) & _may_link(("n_shingles", "place"), ("v_n", "v_place"), percent))
     return met.select(F.col("doc_id").alias("u"), F.col("text_key").alias("u_key"), "v", "v_key").distinct()
 
 
 def cross_pairs(prefixes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share as many prefix n-grams as both ask for. In each n-gram's group the pairs
-    within its largest component are never formed."""
-    rows = prefixes.join(roots.select(F.col("id").alias("doc_id"), "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    """Pairs of different components that share as many prefix n-grams as both ask for. They meet at an n-gram that may be
+    the first they share, which lies in the shortest prefix of both; then the shared ones of the longer prefixes are
+    counted. In each n-gram's group the pairs within its largest component are never formed."""
+    first = prefixes.filter("level = 1").drop("level")
+    rows = first.join(roots.select(F.col("id").alias("doc_id"), "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     per_root = rows.groupBy("token", "root").agg(F.count("*").alias("c"))
     groups = per_root.groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.count("*").alias("kinds")).filter("kinds > 1").drop("kinds")
     mixed = written(rows.join(groups, "token"), "mixed-prefixes")
-    left = mixed.filter("root <> major").select("token", *(F.col(c).alias(f"a_{c}") for c in (*KEYS, "n_shingles", "place", "level", "matches", "root")))
-    right = mixed.select("token", "major", *(F.col(c).alias(f"b_{c}") for c in (*KEYS, "n_shingles", "place", "level", "matches", "root")))
+    left = mixed.filter("root <> major").select("token", *(F.col(c).alias(f"a_{c}") for c in (*KEYS, "n_shingles", "place", "matches", "root")))
+    right = mixed.select("token", "major", *(F.col(c).alias(f"b_{c}") for c in (*KEYS, "n_shingles", "place", "matches", "root")))
     met = left.join(right, "token").filter(
         (F.col("a_root") != F.col("b_root")) & ((F.col("b_root") == F.col("major")) | (F.col("a_root") < F.col("b_root")))
-        & _may_link(("a_n_shingles", "a_place"), ("b_n_shingles", "b_place"), F.least("a_matches", "b_matches"), percent) & (F.greatest("a_level", "b_level") <= F.least("a_matches", "b_matches"))
+        & _may_link(("a_n_shingles", "a_place"), ("b_n_shingles", "b_place"), percent)
     )
     a, b = F.struct(F.col("a_doc_id").alias("id"), F.col("a_text_key").alias("key")), F.struct(F.col("b_doc_id").alias("id"), F.col("b_text_key").alias("key"))
-    met = met.select(F.greatest(a, b).alias("x"), F.least(a, b).alias("y"), F.least("a_matches", "b_matches").alias("asked"))
-    found = met.groupBy("x", "y").agg(F.count("*").alias("c"), F.min("asked").alias("asked")).filter("c >= asked")
-    return found.select(F.col("x.id").alias("u"), F.col("x.key").alias("u_key"), F.col("y.id").alias("v"), F.col("y.key").alias("v_key"))
+    met = met.select(F.greatest(a, b).alias("x"), F.least(a, b).alias("y"), F.least("a_matches", "b_matches").alias("asked")).distinct()
+    pairs = written(met.select(F.col("x.id").alias("u"), F.col("x.key").alias("u_key"), F.col("y.id").alias("v"), F.col("y.key").alias("v_key"), "asked"), "cross-candidates")
+    side = lambda p: prefixes.select(F.col("doc_id").alias(p), F.col("text_key").alias(f"{p}_key"), "token", F.col("level").alias(f"{p}_level"))
+    both = pairs.filter("asked > 1").join(side("u"), ["u", "u_key"]).filter("u_level <= asked").join(side("v"), ["v", "v_key", "token"]).filter("v_level <= asked")
+    several = both.groupBy("u", "u_key", "v", "v_key", "asked").agg(F.count("*").alias("c")).filter("c >= asked")
+    ends = ("u", "u_key", "v", "v_key")
+    return pairs.filter("asked = 1").select(*ends).union(several.select(*ends))
 
 
 def similar_groups(docs: DataFrame, *, n: int, percent: int) -> DataFrame:
