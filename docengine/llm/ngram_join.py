@@ -5,8 +5,8 @@ order for all documents, rare ones first; two sets similar enough share at least
 for every l. Each document picks the l for which its prefix costs least, by the known frequencies: a longer prefix has
 more n-grams to look up but asks more shared ones of a candidate before it is verified. Verification compares whole sets.
 
-Frequencies are counted over all documents, for a fixed share of the n-grams by hash that the order puts first and that
-prefixes nearly always lie in; the order of the others, by hash, is as valid and only costs more. Candidates are verified
+Frequencies are counted over all documents. They can be left out for a fixed share of the n-grams by hash, which the order
+then puts last: that is as valid, exchanges less, and forms more candidates. Candidates are verified
 first against one central document of each n-gram's group; components of those links then need no pairs among themselves, so
 a large group of near copies is settled by stars, and only pairs across components are listed, by an n-gram that can be the
 first that both share.
@@ -33,8 +33,9 @@ from docengine.llm.substring_dedup import KEYS, key_columns, with_keys
 
 #: The longest lead over the least prefix that a document may choose.
 MOST_MATCHES = 4
-#: The share of all n-grams, by hash, whose frequencies are counted.
-BAND = 0.5
+#: The share of all n-grams, by hash, whose frequencies are counted. In large groups of near copies the rare n-grams that
+#: tell copies apart must come first, or nearly all pairs of a group are candidates.
+BAND = 1.0
 
 U64 = np.uint64
 
