@@ -293,4 +293,4 @@ def keep_one(docs: DataFrame, *, n: int = 5, percent: int = 80) -> DataFrame:
     first = groups.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(*KEYS)).alias("k")).select("k.*")
     has_words = F.coalesce(F.col("row.text").rlike(f"[^{SPACES}]"), F.lit(False))
     kept = keyed.filter(has_words).join(first, KEYS, "left_semi").dropDuplicates(KEYS)
-    return kept.union(keyed.filter(~has_words)).select("row.*")
+    return kept.select("row.*").union(keyed.filter(~has_words).select("row.*"))
