@@ -232,7 +232,9 @@ def dedup(docs: DataFrame, *, batches: int = BATCHES) -> DataFrame:
     index = FingerprintIndex(docs.sparkSession)
     for b in range(batches):
         index.add(marks.filter(F.pmod("doc_id", F.lit(batches)) == b))
-    candidates = written(marks.join(index.repeated(), "fingerprint", "left_semi"), "candidates")
+    # written first, so that the join below stands alone and the partition of a hot fingerprint can be split
+    repeated = written(index.repeated(), "repeated-fingerprints")
+    candidates = written(marks.join(repeated, "fingerprint", "left_semi"), "candidates")
     index.close()
     return remove_spans(keyed, verified_spans(keyed, candidates))
 
