@@ -280,7 +280,7 @@ def exact_citations(spark: SparkSession, sf: str) -> DataFrame:
 @query("cit01_citation_scores")
 def citation_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Exact hits are found on the JVM; only the rest goes to the similarity function."""
-    d = A.table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 1200).alias("source"), F.concat(F.substring("text", 21, 30), F.when(F.col("doc_id") % 2 == 0, " zq").otherwise("")).alias("quote"))
+    d = A.table(spark, sf, "documents").select("doc_id", F.col("text").alias("source"), F.concat(F.substring("text", 21, 30), F.when(F.col("doc_id") % 2 == 0, " zq").otherwise("")).alias("quote"))
     exact = F.lower("source").contains(F.lower(T.full_trim(F.col("quote"))))
     return d.filter(exact).select("doc_id", F.lit(100.0).alias("score")).unionByName(d.filter(~exact).select("doc_id", fuzzy.citation_column(F.col("quote"), F.col("source")).alias("score")))
 

@@ -94,3 +94,13 @@ def test_tables_and_sections():
     text = "# A\n| x | y |\n|---|---|\n| 1 | 2 |\n\n## B\n### C\n## D\n"
     assert chunking.tables_of(text) == [(["x", "y"], [["1", "2"]])]
     assert [(s[0], s[1], s[4]) for s in chunking.sections_of(text)] == [(1, "A", -1), (2, "B", 0), (3, "C", 1), (2, "D", 0)]
+
+
+def test_citation_scores_search_the_whole_text(spark, tmp_path):
+    from docengine.plans import registry
+
+    quote = "the quick brown fox jumps over"
+    text = "-" * 20 + quote + "\n" + "filler " * 300 + quote + " zq"
+    spark.createDataFrame([(2, text), (3, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    scores = {r["doc_id"]: r["score"] for r in registry.QUERIES["cit01_citation_scores"](spark, str(tmp_path)).collect()}
+    assert scores == {2: 100.0, 3: 100.0}
