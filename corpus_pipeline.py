@@ -20,8 +20,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by five-word shingles at a similarity of 0.8 one stays, the smallest doc_id."""
-    return ngram_join.keep_one(docs, n=5, percent=80)
+    """Of each group of documents linked by five-word shingles at a similarity of 0.8 one stays, the smallest doc_id.
+    Rows that share a doc_id, or have none, are linked by their texts alone."""
+    return ngram_join.keep_one(docs, n=5, percent=80, by_row=True)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

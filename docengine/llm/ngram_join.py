@@ -13,7 +13,7 @@ first that both share.
 
 Defined cases: a null or blank text has no n-grams and is linked with nothing; a text with fewer words than n has its whole
 word sequence as its only n-gram; rows that repeat are copies of each other; rows of one doc_id are one document as far
-as components go; a null doc_id counts as smallest; extra columns are ignored, whatever their names; an empty table gives
+as components go, except in keep_one by row; a null doc_id counts as smallest; extra columns are ignored, whatever their names; an empty table gives
 no rows.
 """
 
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docengine.llm import packs
@@ -207,11 +207,18 @@ def _verified(n: int, percent: int):
     return run
 
 
-def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (u, u_key, v, v_key) that are similar enough, as u and v."""
+def member(by_row: bool, doc_id: str = "doc_id", text_key: str = "text_key") -> Column:
+    """What components link: documents by doc_id, or rows by doc_id and text_key, so that rows of one id are told apart."""
+    return F.struct(F.col(doc_id).alias("doc_id"), F.col(text_key).alias("text_key")) if by_row else F.col(doc_id)
+
+
+def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int, by_row: bool = False) -> DataFrame:
+    """The pairs (u, u_key, v, v_key) that are similar enough, as members u and v."""
     side = lambda p: texts.select(F.col("doc_id").alias(p), F.col("text_key").alias(f"{p}_key"), F.col("text").alias(f"{p}_text"))
     joined = pairs.join(side("u"), ["u", "u_key"]).join(side("v"), ["v", "v_key"])
-    return joined.select("u", "v", "u_text", "v_text").mapInArrow(_verified(n, percent), "u long, v long")
+    ends = joined.select(member(by_row, "u", "u_key").alias("u"), member(by_row, "v", "v_key").alias("v"), "u_text", "v_text")
+    kind = "struct<doc_id: long, text_key: long>" if by_row else "long"
+    return ends.mapInArrow(_verified(n, percent), f"u {kind}, v {kind}")
 
 
 def _may_link(a: tuple[str, str], b: tuple[str, str], percent: int):
@@ -232,12 +239,12 @@ def star_pairs(prefixes: DataFrame, percent: int) -> DataFrame:
     return met.select(F.col("doc_id").alias("u"), F.col("text_key").alias("u_key"), "v", "v_key").distinct()
 
 
-def cross_pairs(prefixes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+def cross_pairs(prefixes: DataFrame, roots: DataFrame, percent: int, by_row: bool = False) -> DataFrame:
     """Pairs of different components that share as many prefix n-grams as both ask for. They meet at an n-gram that may be
     the first they share, which lies in the shortest prefix of both; then the shared ones of the longer prefixes are
     counted. In each n-gram's group the pairs within its largest component are never formed."""
     first = prefixes.filter("level = 1").drop("level")
-    rows = first.join(roots.select(F.col("id").alias("doc_id"), "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    rows = first.withColumn("id", member(by_row)).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")).drop("id")
     per_root = rows.groupBy("token", "root").agg(F.count("*").alias("c"))
     groups = per_root.groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.count("*").alias("kinds")).filter("kinds > 1").drop("kinds")
     mixed = written(rows.join(groups, "token"), "mixed-prefixes")
@@ -257,8 +264,8 @@ def cross_pairs(prefixes: DataFrame, roots: DataFrame, percent: int) -> DataFram
     return pairs.filter("asked = 1").select(*ends).union(several.select(*ends))
 
 
-def similar_groups(docs: DataFrame, *, n: int, percent: int) -> DataFrame:
-    """doc_id, text_key, n_shingles and component_id of every row of docs with keys."""
+def similar_groups(docs: DataFrame, *, n: int, percent: int, by_row: bool = False) -> DataFrame:
+    """doc_id, text_key, n_shingles and component_id of every row of docs with keys: the least member of its component."""
     p, share = partitions(docs.sparkSession), BAND
     bounded_batches(docs.sparkSession)
     info = written(docs.mapInArrow(_info(n), INFO), "ngram-sets")
@@ -271,11 +278,11 @@ def similar_groups(docs: DataFrame, *, n: int, percent: int) -> DataFrame:
     other = wanted.unionByName(reps, allowMissingColumns=True)
     both = written(grouped.groupBy("g").cogroup(other.groupBy("g")).applyInArrow(_prefixes(n, percent, share), PREFIXES), "ngram-prefixes")
     prefixes, texts = both.filter("token IS NOT NULL").drop("text"), both.filter("token IS NULL").select(*KEYS, "text")
-    stars = written(verify(star_pairs(prefixes, percent), texts, n, percent), "star-links")
-    cross = written(verify(cross_pairs(prefixes, components(stars), percent), texts, n, percent), "cross-links")
-    copies = info.join(classes.filter("members > 1").drop("members"), same).select(F.col("doc_id").alias("u"), F.col("rep.doc_id").alias("v"))
+    stars = written(verify(star_pairs(prefixes, percent), texts, n, percent, by_row), "star-links")
+    cross = written(verify(cross_pairs(prefixes, components(stars), percent, by_row), texts, n, percent, by_row), "cross-links")
+    copies = info.join(classes.filter("members > 1").drop("members"), same).select(member(by_row).alias("u"), member(by_row, "rep.doc_id", "rep.text_key").alias("v"))
     roots = components(stars.union(cross).union(copies))
-    return info.join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(*KEYS, "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+    return info.withColumn("id", member(by_row)).join(roots, "id", "left").select(*KEYS, "n_shingles", F.coalesce("root", "id").alias("component_id"))
 
 
 def join(docs: DataFrame, *, n: int = 5, percent: int = 80) -> DataFrame:
@@ -285,11 +292,11 @@ def join(docs: DataFrame, *, n: int = 5, percent: int = 80) -> DataFrame:
     return out.select(back("doc_id"), "n_shingles", back("component_id"))
 
 
-def keep_one(docs: DataFrame, *, n: int = 5, percent: int = 80) -> DataFrame:
+def keep_one(docs: DataFrame, *, n: int = 5, percent: int = 80, by_row: bool = False) -> DataFrame:
     """The rows of docs without those that are not the first of their group, with all their columns. Rows without n-grams
-    are in no group and stay."""
+    are in no group and stay. By row, only texts link rows: unrelated texts of one doc_id, or of none, all stay."""
     keyed = docs.select(F.struct("*").alias("row"), *key_columns())
-    groups = similar_groups(with_keys(docs), n=n, percent=percent)
+    groups = similar_groups(with_keys(docs), n=n, percent=percent, by_row=by_row)
     first = groups.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(*KEYS)).alias("k")).select("k.*")
     has_words = F.coalesce(F.col("row.text").rlike(f"[^{SPACES}]"), F.lit(False))
     kept = keyed.filter(has_words).join(first, KEYS, "left_semi").dropDuplicates(KEYS)

@@ -143,6 +143,16 @@ def test_keep_one_and_take_out(documents, hard_rows):
     assert text[7] is None and text[1] == "" and text[6] == "x "[:1] + " " + " y"[-2:] or "x" in text[6]
 
 
+def test_keep_one_by_row_links_texts_alone(documents):
+    r = random.Random(3)
+    a, b, c, d = (" ".join(r.choice("abcdefgh") + str(r.randrange(50)) for _ in range(40)) for _ in range(4))
+    rows = [(1, a), (2, b), (None, a + " x"), (None, b + " x"), (None, c), (None, c), (7, d), (7, c + " y"), (8, d + " z"), (9, "")]
+    numbered = [(i, t) for i, (_, t) in enumerate(sorted(rows, key=lambda x: -(1 << 63) if x[0] is None else x[0]))]
+    groups = {root for _, n, root in brute_join(numbered, 5, 80) if n}
+    kept = ngram_join.keep_one(documents(rows, True), n=5, percent=80, by_row=True)
+    assert len(groups) == 4 and got(kept, "doc_id", "text") == sorted([(None, a + " x"), (None, b + " x"), (None, c), (7, d), (9, "")], key=repr)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(100, 140)] + [(5, 3), (3, 9), (7, 7)]
     out = {r["id"]: r["root"] for r in components(spark.createDataFrame(links, "u long, v long")).collect()}

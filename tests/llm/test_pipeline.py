@@ -64,6 +64,14 @@ def test_pipeline_matches_brute_force(spark, small):
     assert not {10_004, 10_005, 10_006, 10_007} & {d for d, *_ in got}
 
 
+def test_unrelated_texts_without_an_id_all_stay(spark, sf_dir):
+    texts = [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").filter("length(text) BETWEEN 400 AND 4000").orderBy("doc_id").limit(12).collect()]
+    kept = {d for d, _, root in brute_join(list(enumerate(texts)), 5, 80) if d == root}
+    docs = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    out = corpus_pipeline.near_duplicates(spark, docs, sf_dir)
+    assert len(kept) > 1 and out.count() == len(kept)
+
+
 def test_stages_keep_the_columns_of_documents(spark, small):
     docs = spark.read.parquet(f"{small[0]}/documents.parquet").withColumn("row", F.lit(1)).withColumn("__g", F.lit("x"))
     for _, stage in corpus_pipeline.STAGES[:-1]:
