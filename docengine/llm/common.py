@@ -152,6 +152,11 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body[at[0] : at[-1]], at - at[0]
 
 
+def whole(column: pa.ChunkedArray) -> pa.Array:
+    """All chunks of a text column as one array; large_string, as string can't hold more than 2 GiB."""
+    return pa.chunked_array([*column.cast(pa.large_string()).chunks, pa.array([], pa.large_string())]).combine_chunks()
+
+
 def chunks(offsets: np.ndarray, size: int = CHUNK_BYTES):
     """Ranges of rows of about size bytes each."""
     first, n = 0, len(offsets) - 1

@@ -24,14 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docengine.llm import packs
-from docengine.llm.common import BYTE_VALUES, Rolling, bounded_batches, buffers, chunks, covered, mix, partitions, ranges, released, sliding_min
+from docengine.llm.common import BYTE_VALUES, Rolling, bounded_batches, buffers, chunks, covered, mix, partitions, ranges, released, sliding_min, whole
 from docengine.llm.substring_dedup import key_columns
 from docengine.llm.suffix_array import neighbours_alike, suffix_array
 
 LENGTH = 50
 #: Bytes of the short runs whose least hash is a window's fingerprint.
 SHINGLE = 20
-#: Shards for each shuffle partition: a shard's arrays take some sixty times its bytes.
+#: Bytes of text of a group, about: the number of groups follows the input's size.
+GROUP_BYTES = 16 << 20
+#: Shards for each group's bucket: a shard's arrays take some sixty times its bytes.
 SHARDS = 8
 
 U64 = np.uint64
@@ -80,7 +82,7 @@ def region_keys(body: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[n
 
 def _hits(table: pa.Table, known):
     """By pieces of a group's text: row, first place, size and keys of the regions, and the marks, where known says so."""
-    body, offsets = buffers(table.column("text").chunk(0))
+    body, offsets = buffers(whole(table.column("text")))
     for a, b in chunks(offsets):
         part, at = body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         row, first, last, marks = window_groups(part, at)
@@ -98,7 +100,6 @@ def _regions(buckets: int):
 
     @released
     def run(docs: pa.Table, wanted: pa.Table) -> pa.Table:
-        docs = docs.combine_chunks()
         known = np.sort(packs.unpack_values(wanted.column("fps")))
         found: list[tuple] = []
 
@@ -114,7 +115,7 @@ def _regions(buckets: int):
         out: dict[str, list] = {k: [] for k in ("bucket", "g", *FORMS)}
         if found:
             ids, g = docs.column("__doc_id").to_numpy(), docs.column("__g")[0].as_py()
-            body, offsets = buffers(docs.column("text").chunk(0))
+            body, offsets = buffers(whole(docs.column("text")))
             row, first, sizes, k0, k1, shard = (np.concatenate(x) for x in zip(*found))
             order = np.lexsort((k1, k0, shard))
             one = packs.runs_of(shard[order], k0[order], k1[order])
@@ -231,7 +232,7 @@ def _sort_bucket(table: pa.Table) -> pa.Table:
 def _gone(docs: pa.Table, spans: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Which bytes of a group's texts go, and where each row's begin: every row finds the regions of its own text among
     those that lose bytes, and takes the runs of a smaller id than its own."""
-    _, offsets = buffers(docs.column("text").chunk(0)) if docs.num_rows else (None, np.zeros(1, np.int64))
+    _, offsets = buffers(whole(docs.column("text")))
     if not docs.num_rows or not spans.num_rows:
         return np.zeros(int(offsets[-1]), bool), offsets
     keys0, keys1, counts, firsts, ends, owners = (_joined(_unpack(spans.column(k), form), form) for k, form in RUNS.items())
@@ -262,9 +263,14 @@ def _gone(docs: pa.Table, spans: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return covered(int(offsets[-1]), begin, end), offsets
 
 
-def _group(docs: DataFrame) -> DataFrame:
-    """The columns of docs by place (c0, c1 and so on, but text), with id and group."""
-    n = partitions(docs.sparkSession)
+def groups_for(docs: DataFrame) -> int:
+    """As many groups as shuffle partitions, or more where a group would have more than GROUP_BYTES of text."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(partitions(docs.sparkSession), -(-size // GROUP_BYTES))
+
+
+def _group(docs: DataFrame, n: int) -> DataFrame:
+    """The columns of docs by place (c0, c1 and so on, but text), with id and one of n groups."""
     own = [F.col(f"`{c}`").alias("text" if c == "text" else f"c{i}") for i, c in enumerate(docs.columns)]
     keyed = docs.select(*own, key_columns()[0].alias("__doc_id"))
     return keyed.withColumn("__g", F.pmod(F.xxhash64("__doc_id", "text"), F.lit(n)).cast("int"))
@@ -273,9 +279,9 @@ def _group(docs: DataFrame) -> DataFrame:
 def _with_spans(docs: DataFrame, then, schema) -> DataFrame:
     """Applies then(docs, spans) to each group of docs and the runs that it may lose. The documents are dealt out by group
     once; both steps that need a group's texts read that same exchange."""
-    n = partitions(docs.sparkSession)
+    n = groups_for(docs)
     bounded_batches(docs.sparkSession)
-    grouped = _group(docs)
+    grouped = _group(docs, n)
     sent = grouped.select("__g", "text").mapInArrow(_send(n), packs.SCHEMA)
     wanted = packs.repeated_by_group(sent).withColumnRenamed("g", "__g")
     regions = grouped.groupBy("__g").cogroup(wanted.groupBy("__g")).applyInArrow(_regions(n), REGIONS)
@@ -288,9 +294,7 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     @released
     def run(table: pa.Table, spans: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        n = table.num_rows
-        body = buffers(table.column("text").chunk(0))[0] if n else np.zeros(0, np.uint8)
+        body = buffers(whole(table.column("text")))[0]
         gone, offsets = _gone(table, spans)
         begins = gone.copy()
         begins[1:] &= ~gone[:-1]
@@ -310,7 +314,6 @@ def dedup_documents(docs: DataFrame) -> DataFrame:
 
     @released
     def run(table: pa.Table, spans: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
         texts = table.column("text").to_pylist()
         gone, offsets = _gone(table, spans)
         lost = np.diff(np.concatenate(([0], np.cumsum(gone)))[offsets])

@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from docengine.llm import bpe, ngram_join, substring_dedup, suffix_dedup
@@ -153,6 +154,18 @@ def test_keep_one_by_row_links_texts_alone(documents):
     assert len(groups) == 4 and got(kept, "doc_id", "text") == sorted([(None, a + " x"), (None, b + " x"), (None, c), (7, d), (9, "")], key=repr)
 
 
+def test_suffix_dedup_reads_all_chunks(spark, documents, monkeypatch):
+    table = pa.table({"text": pa.chunked_array([["ab" * 40, None], [], ["cd", "ef" * 40]])})
+    part_rows = lambda a, part, row, *_: iter([(a + row).tolist()])
+    assert {r for rows in suffix_dedup._hits(table, part_rows) for r in rows} == {0, 3}
+    gone, offsets = suffix_dedup._gone(table, pa.table({"keys0": pa.array([], pa.binary())}))
+    assert offsets.tolist() == [0, 80, 80, 82, 162] and len(gone) == 162
+    docs = documents([(i, "x" * 100) for i in range(30)])
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", 100)
+    assert suffix_dedup.groups_for(docs) == 30 and suffix_dedup.groups_for(documents([])) == 4
+    assert sum(r["n_removed"] for r in suffix_dedup.dedup(docs).collect()) == 2900
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(100, 140)] + [(5, 3), (3, 9), (7, 7)]
     out = {r["id"]: r["root"] for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
