@@ -6,7 +6,10 @@ byte run in it, so equal windows have equal ones; the groups of documents learn
 more. The text around those goes, by fingerprint, to shards, so that equal windows meet in one shard, and each shard's
 suffixes are sorted by external induced sorting: its queues spill to disk. Neighbours in that order with a common prefix of
 the string's length are the repeats, and of those the smallest doc_id keeps its bytes. A group sends a region of text once,
-whether one of its documents has it or a third of all: a shard gets no more copies than there are groups.
+whether one of its documents has it or a third of all: a shard gets no more copies than there are groups. At the edge of a
+shared passage regions reach into each document's own text and nearly all differ. So where a fingerprint occurs more than
+HOT times its windows are compared one by one, by 128 bits of hash, and dealt out by that hash: of one fingerprint a shard
+gets no more than HOT regions to sort.
 
 Defined cases: a null or empty text has no bytes; a text shorter than the string keeps all; a null doc_id counts as
 smaller than all others; rows with one doc_id take nothing from each other, rows that repeat get the same result; extra
@@ -35,6 +38,8 @@ SHINGLE = 20
 GROUP_BYTES = 16 << 20
 #: Shards for each group's bucket: a shard's arrays take some sixty times its bytes.
 SHARDS = 8
+#: Occurrences of a fingerprint beyond which its windows are dealt out one by one.
+HOT = 4096
 
 U64 = np.uint64
 
@@ -90,25 +95,43 @@ def _hits(table: pa.Table, known):
         yield from known(a, part, row, first, begin, begin + last - first + LENGTH, marks)
 
 
-REGIONS = "bucket int, g int, shards binary, least binary, most binary, sizes binary, body binary"
-FORMS = {"shards": np.int32, "least": np.int64, "most": np.int64, "sizes": np.int32, "body": np.uint8}
+def single_windows(hot: np.ndarray, row: np.ndarray, first: np.ndarray, begin: np.ndarray, end: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The regions with each hot one replaced by its windows."""
+    n = np.where(hot, end - begin - LENGTH + 1, 1)
+    of, step = np.repeat(np.arange(len(row)), n), ranges(np.zeros(len(row), np.int64), n)
+    begin, hot = begin[of] + step, hot[of]
+    return hot, row[of], first[of] + step, begin, np.where(hot, begin + LENGTH, end[of]), marks[of]
 
 
-def _regions(buckets: int):
+#: hot: keys and fingerprints of the windows of hot fingerprints, a bucket's last shard; they have no bytes in body.
+REGIONS = "bucket int, g int, shards binary, least binary, most binary, sizes binary, body binary, hot binary"
+FORMS = {"shards": np.int32, "least": np.int64, "most": np.int64, "sizes": np.int32, "body": np.uint8, "hot": U64}
+
+
+def _regions(buckets: int, most_alike: int = HOT):
     """The text around a group's repeated fingerprints, packed by bucket of shards and compressed. However many of the
-    group's documents have a region, it is sent once, with their least and greatest ids."""
+    group's documents have a region, or a window of a fingerprint with more than most_alike occurrences, it is sent once,
+    with their least and greatest ids."""
 
     @released
     def run(docs: pa.Table, wanted: pa.Table) -> pa.Table:
-        known = np.sort(packs.unpack_values(wanted.column("fps")))
+        known, counts = packs.unpack_values(wanted.column("fps")), packs.unpack(wanted.column("counts"), np.uint32)
+        order = np.argsort(known)
+        known, counts = known[order], counts[order]
         found: list[tuple] = []
 
         def repeated(a, part, row, first, begin, end, marks):
             marks = packs.sent(marks)
-            hit = known[np.minimum(np.searchsorted(known, marks), len(known) - 1)] == marks
-            row, first, begin, end, marks = row[hit], first[hit], begin[hit], end[hit], marks[hit]
+            at = np.minimum(np.searchsorted(known, marks), len(known) - 1)
+            hit = known[at] == marks
+            row, first, begin, end, marks, hot = row[hit], first[hit], begin[hit], end[hit], marks[hit], counts[at[hit]] > most_alike
             if len(row):
-                yield a + row, first, (end - begin).astype(np.int32), *region_keys(part, begin, end), packs.bucket_of(marks, buckets * SHARDS).astype(np.int32)
+                if hot.any():
+                    hot, row, first, begin, end, marks = single_windows(hot, row, first, begin, end, marks)
+                k0, k1 = region_keys(part, begin, end)
+                shard = packs.bucket_of(marks, buckets * SHARDS)
+                shard = np.where(hot, packs.bucket_of(k0, buckets) * U64(SHARDS + 1) + U64(SHARDS), shard + shard // U64(SHARDS))
+                yield a + row, first, (end - begin).astype(np.int32), k0, k1, shard.astype(np.int32), marks
 
         if len(known) and docs.num_rows:
             found = list(_hits(docs, repeated))
@@ -116,21 +139,23 @@ def _regions(buckets: int):
         if found:
             ids, g = docs.column("__doc_id").to_numpy(), docs.column("__g")[0].as_py()
             body, offsets = buffers(whole(docs.column("text")))
-            row, first, sizes, k0, k1, shard = (np.concatenate(x) for x in zip(*found))
+            row, first, sizes, k0, k1, shard, marks = (np.concatenate(x) for x in zip(*found))
             order = np.lexsort((k1, k0, shard))
             one = packs.runs_of(shard[order], k0[order], k1[order])
             owners = ids[row[order]]
             least, most = np.minimum.reduceat(owners, one), np.maximum.reduceat(owners, one)
             order = order[one]
-            start, sizes, shard = (offsets[row] + first)[order], sizes[order], shard[order]
-            cut = packs.runs_of(shard // SHARDS).tolist()
+            start, sizes, shard, k0, k1, marks = (offsets[row] + first)[order], sizes[order], shard[order], k0[order], k1[order], marks[order]
+            cut = packs.runs_of(shard // (SHARDS + 1)).tolist()
             press = zstandard.ZstdCompressor(level=3)
             for i, j in zip(cut, [*cut[1:], len(shard)]):
-                out["bucket"].append(int(shard[i]) // SHARDS)
+                hot = i + int(np.searchsorted(shard[i:j] % (SHARDS + 1), SHARDS))
+                out["bucket"].append(int(shard[i]) // (SHARDS + 1))
                 out["g"].append(g)
-                for (k, form), x in zip(FORMS.items(), (shard[i:j], least[i:j], most[i:j], sizes[i:j], body[ranges(start[i:j], sizes[i:j])])):
+                bytes_of, keys_of = body[ranges(start[i:hot], sizes[i:hot])], np.concatenate((k0[hot:j], k1[hot:j], marks[hot:j]))
+                for (k, form), x in zip(FORMS.items(), (shard[i:j], least[i:j], most[i:j], sizes[i:j], bytes_of, keys_of)):
                     out[k].append(press.compress(x.astype(form).tobytes()))
-        return pa.table([pa.array(x, t) for x, t in zip(out.values(), (pa.int32(), pa.int32(), *[pa.binary()] * 5))], names=list(out))
+        return pa.table([pa.array(x, t) for x, t in zip(out.values(), (pa.int32(), pa.int32(), *[pa.binary()] * 6))], names=list(out))
 
     return run
 
@@ -159,8 +184,8 @@ def least_owners(body: np.ndarray, sizes: np.ndarray, ids: np.ndarray, length: i
     return out
 
 
-SPANS = "__g int, keys0 binary, keys1 binary, counts binary, firsts binary, ends binary, owners binary"
-RUNS = {"keys0": U64, "keys1": U64, "counts": np.int32, "firsts": np.int32, "ends": np.int32, "owners": np.int64}
+SPANS = "__g int, keys0 binary, keys1 binary, counts binary, firsts binary, ends binary, owners binary, hot binary"
+RUNS = {"keys0": U64, "keys1": U64, "counts": np.int32, "firsts": np.int32, "ends": np.int32, "owners": np.int64, "hot": U64}
 
 
 def _unpack(column: pa.ChunkedArray, form) -> list[np.ndarray]:
@@ -201,17 +226,35 @@ def sort_shard(g: np.ndarray, least: np.ndarray, most: np.ndarray, sizes: np.nda
     return g[some], k0[some], k1[some], counts[some], place[new][at], place[last][at] + LENGTH, below[new][at]
 
 
+def match_windows(g: np.ndarray, least: np.ndarray, most: np.ndarray, k0: np.ndarray, k1: np.ndarray) -> tuple[np.ndarray, ...]:
+    """What sort_shard returns, for single windows: those with equal keys have the least of their ids."""
+    order = np.lexsort((k1, k0))
+    one = packs.runs_of(k0[order], k1[order])
+    owner = np.empty(len(g), np.int64)
+    owner[order] = np.repeat(np.minimum.reduceat(least[order], one), np.diff(np.concatenate((one, [len(g)]))))
+    on = np.flatnonzero(owner < most)
+    n = np.ones(len(on), np.int64)
+    return g[on], k0[on], k1[on], n, n - 1, n * LENGTH, owner[on], on
+
+
 @released
 def _sort_bucket(table: pa.Table) -> pa.Table:
-    """Sorts a bucket's shards one after the other; the runs go back by group of documents."""
+    """Sorts a bucket's shards one after the other and matches its windows of hot fingerprints; the runs go back by group
+    of documents, with the hot fingerprints that they are of."""
     parts = {k: _unpack(table.column(k), form) for k, form in FORMS.items()}
     g = np.repeat(table.column("g").to_numpy(), [len(x) for x in parts["sizes"]])
-    shards, least, most, sizes, body = (_joined(parts[k], form) for k, form in FORMS.items())
+    shards, least, most, sizes, body = (_joined(parts[k], form) for k, form in FORMS.items() if k != "hot")
+    keys = np.concatenate([x.reshape(3, -1) for x in parts["hot"]], axis=1)
     del parts
-    sizes = sizes.astype(np.int64)
+    hot = shards % (SHARDS + 1) == SHARDS
+    sizes = np.where(hot, 0, sizes.astype(np.int64))
     starts = np.cumsum(sizes) - sizes
-    found = []
-    for shard in np.unique(shards):
+    found, hot_g, hot_marks = [], np.zeros(0, g.dtype), np.zeros(0, U64)
+    if hot.any():
+        *windows, on = match_windows(g[hot], least[hot], most[hot], keys[0], keys[1])
+        found.append(windows)
+        hot_g, hot_marks = windows[0], keys[2][on]
+    for shard in np.unique(shards[~hot]):
         on = np.flatnonzero(shards == shard)
         found.append(sort_shard(g[on], least[on], most[on], sizes[on], body[ranges(starts[on], sizes[on])]))
     g, k0, k1, counts, *runs = (np.concatenate(x) for x in zip(*found))
@@ -224,9 +267,9 @@ def _sort_bucket(table: pa.Table) -> pa.Table:
         own = order[i:j]
         own_runs = ranges(at[own], counts[own])
         out["__g"].append(int(g[own[0]]))
-        for (k, form), x in zip(RUNS.items(), (k0[own], k1[own], counts[own], *(r[own_runs] for r in runs))):
+        for (k, form), x in zip(RUNS.items(), (k0[own], k1[own], counts[own], *(r[own_runs] for r in runs), np.unique(hot_marks[hot_g == g[own[0]]]))):
             out[k].append(press.compress(x.astype(form).tobytes()))
-    return pa.table([pa.array(x, t) for x, t in zip(out.values(), (pa.int32(), *[pa.binary()] * 6))], names=list(out))
+    return pa.table([pa.array(x, t) for x, t in zip(out.values(), (pa.int32(), *[pa.binary()] * 7))], names=list(out))
 
 
 def _gone(docs: pa.Table, spans: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -235,13 +278,18 @@ def _gone(docs: pa.Table, spans: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     _, offsets = buffers(whole(docs.column("text")))
     if not docs.num_rows or not spans.num_rows:
         return np.zeros(int(offsets[-1]), bool), offsets
-    keys0, keys1, counts, firsts, ends, owners = (_joined(_unpack(spans.column(k), form), form) for k, form in RUNS.items())
+    keys0, keys1, counts, firsts, ends, owners, hot_marks = (_joined(_unpack(spans.column(k), form), form) for k, form in RUNS.items())
+    hot_marks = np.unique(hot_marks)
     run_at = np.cumsum(counts) - counts
     order = np.lexsort((keys1, keys0))
     keys0, keys1, counts, run_at = keys0[order], keys1[order], counts[order], run_at[order]
     ids = docs.column("__doc_id").to_numpy()
 
     def mine(a, part, row, first, begin, end, marks):
+        if len(hot_marks):
+            hot = np.isin(packs.sent(marks), hot_marks)
+            if hot.any():
+                _, row, first, begin, end, _ = single_windows(hot, row, first, begin, end, marks)
         k0, k1 = region_keys(part, begin, end)
         at = np.searchsorted(keys0, k0)
         while True:
@@ -276,7 +324,7 @@ def _group(docs: DataFrame, n: int) -> DataFrame:
     return keyed.withColumn("__g", F.pmod(F.xxhash64("__doc_id", "text"), F.lit(n)).cast("int"))
 
 
-def _with_spans(docs: DataFrame, then, schema) -> DataFrame:
+def _with_spans(docs: DataFrame, then, schema, hot: int = HOT) -> DataFrame:
     """Applies then(docs, spans) to each group of docs and the runs that it may lose. The documents are dealt out by group
     once; both steps that need a group's texts read that same exchange."""
     n = groups_for(docs)
@@ -284,12 +332,12 @@ def _with_spans(docs: DataFrame, then, schema) -> DataFrame:
     grouped = _group(docs, n)
     sent = grouped.select("__g", "text").mapInArrow(_send(n), packs.SCHEMA)
     wanted = packs.repeated_by_group(sent).withColumnRenamed("g", "__g")
-    regions = grouped.groupBy("__g").cogroup(wanted.groupBy("__g")).applyInArrow(_regions(n), REGIONS)
+    regions = grouped.groupBy("__g").cogroup(wanted.groupBy("__g")).applyInArrow(_regions(n, hot), REGIONS)
     spans = regions.groupBy("bucket").applyInArrow(_sort_bucket, SPANS)
     return grouped.groupBy("__g").cogroup(spans.groupBy("__g")).applyInArrow(then, schema)
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, *, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the bytes that stay) of every row."""
 
     @released
@@ -304,7 +352,7 @@ def dedup(docs: DataFrame) -> DataFrame:
         kept = [body[a:b][~gone[a:b]].tobytes() if lost else body[a:b].tobytes() for a, b, lost in zip(offsets[:-1], offsets[1:], removed)]
         return pa.table({"doc_id": table.column("c0").cast(pa.int64()), "n_bytes": np.diff(offsets), "n_removed": removed.astype(np.int64), "n_spans": runs.astype(np.int64), "kept": pa.array(kept, pa.binary())})
 
-    return _with_spans(docs.select("doc_id", "text"), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return _with_spans(docs.select("doc_id", "text"), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", hot)
 
 
 def dedup_documents(docs: DataFrame) -> DataFrame:

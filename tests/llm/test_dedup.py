@@ -8,8 +8,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 
-from docengine.llm import bpe, ngram_join, substring_dedup, suffix_dedup
+from docengine.llm import bpe, ngram_join, packs, substring_dedup, suffix_dedup
+from docengine.llm.common import buffers
 from docengine.llm.components import components
 from docengine.llm.suffix_array import suffix_array
 
@@ -166,6 +168,32 @@ def test_suffix_dedup_reads_all_chunks(spark, documents, monkeypatch):
     assert sum(r["n_removed"] for r in suffix_dedup.dedup(docs).collect()) == 2900
 
 
+def test_edges_of_a_hot_passage_do_not_meet_in_one_shard():
+    r = random.Random(8)
+    own = lambda n: "".join(r.choice("abcdefghijklmnop ") for _ in range(n))
+    passage, n = own(150), 12000
+    texts = pa.table({"text": [own(60) + passage + own(60) for _ in range(n)], "__doc_id": range(n), "__g": [0] * n})
+    marks = np.concatenate([packs.sent(x[3]) for x in [suffix_dedup.window_groups(*buffers(texts.column("text").chunk(0)))]])
+    values, counts = np.unique(marks, return_counts=True)
+    wanted = pa.table({"fps": [packs.to_bytes(values[counts > 1])], "counts": [counts[counts > 1].astype(np.uint32).tobytes()]})
+    alike = Counter()
+    for row in suffix_dedup._regions(4)(texts, wanted).to_pylist():
+        sizes, body = (np.frombuffer(zstandard.decompress(row[k]), form) for k, form in (("sizes", np.int32), ("body", np.uint8)))
+        ends = np.cumsum(sizes)
+        ends = np.concatenate(([0], ends[ends <= len(body)]))  # windows of hot fingerprints come last and have no bytes here
+        alike.update(suffix_dedup.window_groups(body, ends)[3].tolist())
+    assert alike and max(alike.values()) <= suffix_dedup.HOT
+
+
+def test_hot_windows_match_brute_force(documents, hard_rows):
+    r = random.Random(9)
+    own = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage, other = own(200), own(75)
+    rows = [(i // 2, own(40) + passage[i % 3 :] + own(40) + (other if i % 4 else "")) for i in range(60)] + hard_rows
+    out = suffix_dedup.digest(suffix_dedup.dedup(documents(rows), hot=8))
+    assert got(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_suffix(rows)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(100, 140)] + [(5, 3), (3, 9), (7, 7)]
     out = {r["id"]: r["root"] for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
