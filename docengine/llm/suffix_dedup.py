@@ -4,12 +4,15 @@ are removed.
 Only text that may repeat is sorted. Every window of the string's length has a fingerprint, the hash of the least short
 byte run in it, so equal windows have equal ones; the groups of documents learn which of their fingerprints occur twice or
 more. The text around those goes, by fingerprint, to shards, so that equal windows meet in one shard, and each shard's
-suffixes are sorted by external induced sorting: its queues spill to disk. Neighbours in that order with a common prefix of
-the string's length are the repeats, and of those the smallest doc_id keeps its bytes. A group sends a region of text once,
-whether one of its documents has it or a third of all: a shard gets no more copies than there are groups. At the edge of a
-shared passage regions reach into each document's own text and nearly all differ. So where a fingerprint occurs more than
-HOT times its windows are compared one by one, by 128 bits of hash, and dealt out by that hash: of one fingerprint a shard
-gets no more than HOT regions to sort.
+suffixes are sorted by external induced sorting (see suffix_array), which carries the common prefixes of neighbours along.
+Neighbours that have the string's length in common are the repeats, and of those the smallest doc_id keeps its bytes. A
+group sends a region of text once, whether one of its documents has it or a third of all: a shard gets no more copies than
+there are groups, and sorts a region once. At the edge of a shared passage regions reach into each document's own text and
+nearly all differ. So where a fingerprint occurs more than HOT times its windows are compared one by one, by 128 bits of
+hash, and dealt out by that hash: of one fingerprint a shard gets no more than HOT regions to sort.
+
+Groups and shards follow the input's size. A shard's text, its sort and what the sort finds are in files of the task; in
+memory are some fifty bytes for each region.
 
 Defined cases: a null or empty text has no bytes; a text shorter than the string keeps all; a null doc_id counts as
 smaller than all others; rows with one doc_id take nothing from each other, rows that repeat get the same result; extra
@@ -27,17 +30,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docengine.llm import packs
-from docengine.llm.common import BYTE_VALUES, Rolling, bounded_batches, buffers, chunks, covered, mix, partitions, ranges, released, sliding_min, whole
+from docengine.llm.common import BYTE_VALUES, Rolling, bounded_batches, buffers, chunks, covered, mix, partitions, ranges, release_memory, released, sliding_min, whole
 from docengine.llm.substring_dedup import key_columns
-from docengine.llm.suffix_array import neighbours_alike, suffix_array
+from docengine.llm.suffix_array import MEMORY, Column, padded, scratch, suffixes
 
 LENGTH = 50
 #: Bytes of the short runs whose least hash is a window's fingerprint.
 SHINGLE = 20
 #: Bytes of text of a group, about: the number of groups follows the input's size.
-GROUP_BYTES = 16 << 20
-#: Shards for each group's bucket: a shard's arrays take some sixty times its bytes.
-SHARDS = 8
+GROUP_BYTES = 8 << 20
+#: Bytes of the input for each shard, about.
+SHARD_BYTES = 16 << 20
 #: Occurrences of a fingerprint beyond which its windows are dealt out one by one.
 HOT = 4096
 
@@ -103,15 +106,15 @@ def single_windows(hot: np.ndarray, row: np.ndarray, first: np.ndarray, begin: n
     return hot, row[of], first[of] + step, begin, np.where(hot, begin + LENGTH, end[of]), marks[of]
 
 
-#: hot: keys and fingerprints of the windows of hot fingerprints, a bucket's last shard; they have no bytes in body.
-REGIONS = "bucket int, g int, shards binary, least binary, most binary, sizes binary, body binary, hot binary"
-FORMS = {"shards": np.int32, "least": np.int64, "most": np.int64, "sizes": np.int32, "body": np.uint8, "hot": U64}
+#: hot: keys and fingerprints of the windows of hot fingerprints, which come last and have no bytes in body.
+REGIONS = "shard int, g int, least binary, most binary, sizes binary, body binary, hot binary"
+FORMS = {"least": np.int64, "most": np.int64, "sizes": np.uint8, "body": np.uint8, "hot": U64}
 
 
-def _regions(buckets: int, most_alike: int = HOT):
-    """The text around a group's repeated fingerprints, packed by bucket of shards and compressed. However many of the
-    group's documents have a region, or a window of a fingerprint with more than most_alike occurrences, it is sent once,
-    with their least and greatest ids."""
+def _regions(shards: int, most_alike: int = HOT):
+    """The text around a group's repeated fingerprints, packed by shard and compressed. However many of the group's
+    documents have a region, or a window of a fingerprint with more than most_alike occurrences, it is sent once, with
+    their least and greatest ids."""
 
     @released
     def run(docs: pa.Table, wanted: pa.Table) -> pa.Table:
@@ -129,13 +132,12 @@ def _regions(buckets: int, most_alike: int = HOT):
                 if hot.any():
                     hot, row, first, begin, end, marks = single_windows(hot, row, first, begin, end, marks)
                 k0, k1 = region_keys(part, begin, end)
-                shard = packs.bucket_of(marks, buckets * SHARDS)
-                shard = np.where(hot, packs.bucket_of(k0, buckets) * U64(SHARDS + 1) + U64(SHARDS), shard + shard // U64(SHARDS))
+                shard = np.where(hot, packs.bucket_of(k0, shards) * U64(2) + U64(1), packs.bucket_of(marks, shards) * U64(2))
                 yield a + row, first, (end - begin).astype(np.int32), k0, k1, shard.astype(np.int32), marks
 
         if len(known) and docs.num_rows:
             found = list(_hits(docs, repeated))
-        out: dict[str, list] = {k: [] for k in ("bucket", "g", *FORMS)}
+        out: dict[str, list] = {k: [] for k in ("shard", "g", *FORMS)}
         if found:
             ids, g = docs.column("__doc_id").to_numpy(), docs.column("__g")[0].as_py()
             body, offsets = buffers(whole(docs.column("text")))
@@ -146,42 +148,62 @@ def _regions(buckets: int, most_alike: int = HOT):
             least, most = np.minimum.reduceat(owners, one), np.maximum.reduceat(owners, one)
             order = order[one]
             start, sizes, shard, k0, k1, marks = (offsets[row] + first)[order], sizes[order], shard[order], k0[order], k1[order], marks[order]
-            cut = packs.runs_of(shard // (SHARDS + 1)).tolist()
+            cut = packs.runs_of(shard // 2).tolist()
             press = zstandard.ZstdCompressor(level=3)
             for i, j in zip(cut, [*cut[1:], len(shard)]):
-                hot = i + int(np.searchsorted(shard[i:j] % (SHARDS + 1), SHARDS))
-                out["bucket"].append(int(shard[i]) // (SHARDS + 1))
+                hot = i + int(np.searchsorted(shard[i:j] % 2, 1))
+                out["shard"].append(int(shard[i]) // 2)
                 out["g"].append(g)
                 bytes_of, keys_of = body[ranges(start[i:hot], sizes[i:hot])], np.concatenate((k0[hot:j], k1[hot:j], marks[hot:j]))
-                for (k, form), x in zip(FORMS.items(), (shard[i:j], least[i:j], most[i:j], sizes[i:j], bytes_of, keys_of)):
+                for (k, form), x in zip(FORMS.items(), (least[i:j], most[i:j], sizes[i:j], bytes_of, keys_of)):
                     out[k].append(press.compress(x.astype(form).tobytes()))
         return pa.table([pa.array(x, t) for x, t in zip(out.values(), (pa.int32(), pa.int32(), *[pa.binary()] * 6))], names=list(out))
 
     return run
 
 
-def least_owners(body: np.ndarray, sizes: np.ndarray, ids: np.ndarray, length: int = LENGTH, memory: int | None = None) -> np.ndarray:
-    """For each place of the regions that begins a window the least id of the regions that have the same window."""
-    n = len(sizes)
+def _parts(sizes: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of regions of about most bytes each."""
+    yield from chunks(np.concatenate(([0], np.cumsum(sizes))), most)
+
+
+def least_owners(body: np.ndarray, sizes: np.ndarray, ids: np.ndarray, length: int = LENGTH, memory: int = MEMORY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each region begins in the sorted text, a group for each place there that begins a window, and for each group
+    of equal windows the least id of the regions that have it. The three are in files but for the first."""
     # each region ends with a symbol that sorts before all bytes
-    present = np.zeros(256, bool)
-    present[body] = True
-    code = np.cumsum(present).astype(np.uint16)
-    ends = np.cumsum(sizes)
-    text = np.insert(code[body], ends, 0)
-    order = suffix_array(text, int(present.sum()) + 1, depth=length, **({} if memory is None else {"memory": memory}))
-    window = np.zeros(len(text), bool)
-    window[ranges(ends - sizes + np.arange(n), np.maximum(sizes - length + 1, 0))] = True
-    del text
-    order = order[window[order]]
-    region = np.repeat(np.arange(n, dtype=np.int32), sizes + 1)[order]
-    order = order - region  # places in body
-    out = np.full(len(body), np.iinfo(np.int64).max)
-    if len(order):
-        first = np.flatnonzero(~neighbours_alike(body, order, length))
-        least = np.minimum.reduceat(ids[region], first)
-        out[order] = np.repeat(least, np.diff(np.concatenate((first, [len(order)]))))
-    return out
+    ends = np.cumsum(sizes.astype(np.int64) + 1)
+    starts, n = ends - sizes - 1, int(ends[-1]) if len(ends) else 0
+    text, region, group, least = padded(n, np.uint8, length), scratch(n, np.uint32), scratch(n, np.uint32), Column(np.int64)
+    done = 0
+    for a, b in _parts(sizes):
+        text[starts[a] : ends[b - 1]] = 1
+        at = ranges(starts[a:b], sizes[a:b])
+        text[at] = body[done : done + len(at)] + np.uint8(2)
+        region[starts[a] : ends[b - 1]] = np.repeat(np.arange(a, b), sizes[a:b].astype(np.int64) + 1)
+        done += len(at)
+    open_least = None
+    for places, common in suffixes(text, n, 250, cap=length, memory=memory):
+        new = np.cumsum(common < length)
+        own = region[places]
+        window = places + length < ends[own]
+        kind, owners = new[window], ids[own[window]]
+        if len(kind):
+            first = packs.runs_of(kind)
+            lows = np.minimum.reduceat(owners, first)
+            if open_least is not None:
+                if kind[0] == 0:
+                    lows[0] = min(lows[0], open_least)
+                else:
+                    least.append(np.array([open_least]))
+            group[places[window]] = least.n + np.repeat(np.arange(len(first)), np.diff(np.append(first, len(kind))))
+            least.append(lows[:-1])
+            open_least = lows[-1]
+        if open_least is not None and new[-1] > (kind[-1] if len(kind) else 0):
+            least.append(np.array([open_least]))
+            open_least = None
+    if open_least is not None:
+        least.append(np.array([open_least]))
+    return starts, group, least.array()
 
 
 SPANS = "__g int, keys0 binary, keys1 binary, counts binary, firsts binary, ends binary, owners binary, hot binary"
@@ -197,79 +219,85 @@ def _joined(parts: list[np.ndarray], form) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, form)
 
 
-def sort_shard(g: np.ndarray, least: np.ndarray, most: np.ndarray, sizes: np.ndarray, body: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Group, keys and number of runs of the regions that lose bytes, and each run: first place, end, and the least id of
-    the runs' windows. Regions alike are sorted once, under their least id."""
-    ends = np.cumsum(sizes)
-    starts = ends - sizes
-    k0, k1 = region_keys(body, starts, ends)
+def runs_of_owners(body: np.ndarray, sizes: np.ndarray, owner: np.ndarray, most: np.ndarray, length: int = LENGTH, memory: int = MEMORY) -> tuple[np.ndarray, ...]:
+    """Region, first place, end and least id of the runs of windows, in each of some regions, that belong to a smaller id
+    than most."""
+    starts, group, least = least_owners(body, sizes, owner, length, memory)
+    windows, found = sizes.astype(np.int64) - length + 1, []
+    for a, b in _parts(sizes):
+        region, place = np.repeat(np.arange(a, b), windows[a:b]), ranges(np.zeros(b - a, np.int64), windows[a:b])
+        below = least[group[starts[region] + place]]
+        new = packs.runs_of(region, below)
+        last = np.concatenate((new[1:], [len(place)])) - 1
+        on = below[new] < most[region[new]]
+        new, last = new[on], last[on]
+        found.append((region[new], place[new].astype(np.int32), (place[last] + length).astype(np.int32), below[new]))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else tuple(np.zeros(0, np.int64) for _ in range(4))
+
+
+def match_windows(least: np.ndarray, k0: np.ndarray, k1: np.ndarray) -> np.ndarray:
+    """For single windows the least id of those with equal keys."""
     order = np.lexsort((k1, k0))
     one = packs.runs_of(k0[order], k1[order])
-    kind = np.empty(len(g), np.int64)
-    kind[order] = np.repeat(np.arange(len(one)), np.diff(np.concatenate((one, [len(g)]))))
-    owner, kept = np.minimum.reduceat(least[order], one), sizes[order[one]]
-    below = least_owners(body[ranges(starts[order[one]], kept)], kept, owner)
-    windows = kept - LENGTH + 1
-    region, place = np.repeat(np.arange(len(one)), windows), ranges(np.zeros(len(one), np.int64), windows)
-    below = below[np.repeat(np.cumsum(kept) - kept, windows) + place]
-    new = packs.runs_of(region, below)
-    last = np.concatenate((new[1:], [len(place)])) - 1
-    edge = np.searchsorted(region[new], np.arange(len(one) + 1))
-    # the runs of its kind that belong to a smaller id than some document's that has the region
-    counts = (edge[1:] - edge[:-1])[kind]
-    at = ranges(edge[kind], counts)
-    sent = np.repeat(np.arange(len(g)), counts)
-    on = below[new][at] < most[sent]
-    at, sent = at[on], sent[on]
-    counts = np.bincount(sent, minlength=len(g))
-    some = counts > 0
-    return g[some], k0[some], k1[some], counts[some], place[new][at], place[last][at] + LENGTH, below[new][at]
-
-
-def match_windows(g: np.ndarray, least: np.ndarray, most: np.ndarray, k0: np.ndarray, k1: np.ndarray) -> tuple[np.ndarray, ...]:
-    """What sort_shard returns, for single windows: those with equal keys have the least of their ids."""
+    owner = np.empty(len(order), np.int64)
+    owner[order] = np.repeat(np.minimum.reduceat(least[order], one), np.diff(np.concatenate((one, [len(order)]))))
+    return owner
+
+
+def _sort_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorts a shard's regions and matches its windows of hot fingerprints; the runs that documents may lose go back by
+    group of documents, with the hot fingerprints that they are of."""
+    texts, held, hot = Column(np.uint8), [], []
+    for batch in batches:
+        columns = {k: _unpack(batch.column(k), form) for k, form in FORMS.items()}
+        for g, least, most, sizes, body, keys in zip(batch.column("g").to_pylist(), *columns.values()):
+            keys = keys.reshape(3, -1)
+            m = len(sizes) - keys.shape[1]
+            ends = np.cumsum(sizes[:m], dtype=np.int64)
+            held.append((np.full(m, g, np.int32), least[:m], most[:m], sizes[:m], texts.n + ends - sizes[:m], *region_keys(body, ends - sizes[:m], ends)))
+            hot.append((np.full(len(sizes) - m, g, np.int32), least[m:], most[m:], *keys))
+            texts.append(body)
+    g, least, most, sizes, at, k0, k1 = (np.concatenate(x) for x in zip(*held))
+    del held
+    # regions alike are sorted once, under their least id, in the order in which they came
     order = np.lexsort((k1, k0))
     one = packs.runs_of(k0[order], k1[order])
-    owner = np.empty(len(g), np.int64)
-    owner[order] = np.repeat(np.minimum.reduceat(least[order], one), np.diff(np.concatenate((one, [len(g)]))))
-    on = np.flatnonzero(owner < most)
-    n = np.ones(len(on), np.int64)
-    return g[on], k0[on], k1[on], n, n - 1, n * LENGTH, owner[on], on
-
-
-@released
-def _sort_bucket(table: pa.Table) -> pa.Table:
-    """Sorts a bucket's shards one after the other and matches its windows of hot fingerprints; the runs go back by group
-    of documents, with the hot fingerprints that they are of."""
-    parts = {k: _unpack(table.column(k), form) for k, form in FORMS.items()}
-    g = np.repeat(table.column("g").to_numpy(), [len(x) for x in parts["sizes"]])
-    shards, least, most, sizes, body = (_joined(parts[k], form) for k, form in FORMS.items() if k != "hot")
-    keys = np.concatenate([x.reshape(3, -1) for x in parts["hot"]], axis=1)
-    del parts
-    hot = shards % (SHARDS + 1) == SHARDS
-    sizes = np.where(hot, 0, sizes.astype(np.int64))
-    starts = np.cumsum(sizes) - sizes
-    found, hot_g, hot_marks = [], np.zeros(0, g.dtype), np.zeros(0, U64)
-    if hot.any():
-        *windows, on = match_windows(g[hot], least[hot], most[hot], keys[0], keys[1])
-        found.append(windows)
-        hot_g, hot_marks = windows[0], keys[2][on]
-    for shard in np.unique(shards[~hot]):
-        on = np.flatnonzero(shards == shard)
-        found.append(sort_shard(g[on], least[on], most[on], sizes[on], body[ranges(starts[on], sizes[on])]))
-    g, k0, k1, counts, *runs = (np.concatenate(x) for x in zip(*found))
-    at = np.cumsum(counts) - counts
-    order = np.argsort(g, kind="stable")
-    cut = packs.runs_of(g[order]).tolist()
-    out: dict[str, list] = {k: [] for k in ("__g", *RUNS)}
+    kind, kept = np.empty(len(g), np.int64), order[one]
+    rank = np.argsort(kept)
+    place_of = np.empty(len(kept), np.int64)
+    place_of[rank] = np.arange(len(kept))
+    kind[order] = np.repeat(place_of, np.diff(np.append(one, len(g))))
+    owner, top = (np.minimum.reduceat(least[order], one)[rank], np.maximum.reduceat(most[order], one)[rank]) if len(one) else (least, most)
+    kept = kept[rank]
+    source, body = texts.array(), Column(np.uint8)
+    for a, b in _parts(sizes[kept]):
+        body.append(source[ranges(at[kept[a:b]], sizes[kept[a:b]])])
+    texts.close()
+    region, first, end, below = runs_of_owners(body.array(), sizes[kept], owner, top)
+    edge = np.searchsorted(region, np.arange(len(kept) + 1))
+    hot_g, hot_least, hot_most, *hot_keys = (np.concatenate(x) for x in zip(*hot))
+    hot_owner = match_windows(hot_least, *hot_keys[:2]) if len(hot_g) else hot_least
+    by_g, hot_by_g = np.argsort(g, kind="stable"), np.argsort(hot_g, kind="stable")
     press = zstandard.ZstdCompressor(level=3)
-    for i, j in zip(cut, [*cut[1:], len(order)]):
-        own = order[i:j]
-        own_runs = ranges(at[own], counts[own])
-        out["__g"].append(int(g[own[0]]))
-        for (k, form), x in zip(RUNS.items(), (k0[own], k1[own], counts[own], *(r[own_runs] for r in runs), np.unique(hot_marks[hot_g == g[own[0]]]))):
-            out[k].append(press.compress(x.astype(form).tobytes()))
-    return pa.table([pa.array(x, t) for x, t in zip(out.values(), (pa.int32(), *[pa.binary()] * 7))], names=list(out))
+    for group in np.union1d(g, hot_g).tolist():
+        own = by_g[slice(*np.searchsorted(g[by_g], (group, group + 1)))]
+        counts = edge[kind[own] + 1] - edge[kind[own]]
+        runs, sent = ranges(edge[kind[own]], counts), np.repeat(own, counts)
+        on = below[runs] < most[sent]
+        runs, sent = runs[on], sent[on]
+        begin = packs.runs_of(sent)
+        regions, counts = sent[begin], np.diff(np.append(begin, len(sent)))
+        own = hot_by_g[slice(*np.searchsorted(hot_g[hot_by_g], (group, group + 1)))]
+        own = own[hot_owner[own] < hot_most[own]]
+        m = len(own)
+        parts = (
+            np.concatenate((k0[regions], hot_keys[0][own])), np.concatenate((k1[regions], hot_keys[1][own])), np.concatenate((counts, np.ones(m))),
+            np.concatenate((first[runs], np.zeros(m))), np.concatenate((end[runs], np.full(m, LENGTH))), np.concatenate((below[runs], hot_owner[own])), np.unique(hot_keys[2][own]),
+        )
+        if len(parts[0]):
+            packed = [pa.array([press.compress(x.astype(form).tobytes())], pa.binary()) for x, form in zip(parts, RUNS.values())]
+            yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), *packed], names=["__g", *RUNS])
+    release_memory()
 
 
 def _gone(docs: pa.Table, spans: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -311,10 +339,10 @@ def _gone(docs: pa.Table, spans: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return covered(int(offsets[-1]), begin, end), offsets
 
 
-def groups_for(docs: DataFrame) -> int:
-    """As many groups as shuffle partitions, or more where a group would have more than GROUP_BYTES of text."""
+def groups_for(docs: DataFrame, *most: int) -> list[int]:
+    """As many groups as shuffle partitions, or more where a group would have more text than the given bytes."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(partitions(docs.sparkSession), -(-size // GROUP_BYTES))
+    return [max(partitions(docs.sparkSession), -(-size // m)) for m in most]
 
 
 def _group(docs: DataFrame, n: int) -> DataFrame:
@@ -327,13 +355,13 @@ def _group(docs: DataFrame, n: int) -> DataFrame:
 def _with_spans(docs: DataFrame, then, schema, hot: int = HOT) -> DataFrame:
     """Applies then(docs, spans) to each group of docs and the runs that it may lose. The documents are dealt out by group
     once; both steps that need a group's texts read that same exchange."""
-    n = groups_for(docs)
+    n, shards = groups_for(docs, GROUP_BYTES, SHARD_BYTES)
     bounded_batches(docs.sparkSession)
     grouped = _group(docs, n)
     sent = grouped.select("__g", "text").mapInArrow(_send(n), packs.SCHEMA)
     wanted = packs.repeated_by_group(sent).withColumnRenamed("g", "__g")
-    regions = grouped.groupBy("__g").cogroup(wanted.groupBy("__g")).applyInArrow(_regions(n, hot), REGIONS)
-    spans = regions.groupBy("bucket").applyInArrow(_sort_bucket, SPANS)
+    regions = grouped.groupBy("__g").cogroup(wanted.groupBy("__g")).applyInArrow(_regions(shards, hot), REGIONS)
+    spans = regions.groupBy("shard").applyInArrow(_sort_shard, SPANS)
     return grouped.groupBy("__g").cogroup(spans.groupBy("__g")).applyInArrow(then, schema)
 
 
