@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,6 +19,12 @@ SPACES = "\\x20\\x09-\\x0D"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Text that one vectorised step handles at once; a longer document makes a step of its own.
 CHUNK_BYTES = 1 << 18
+#: Bytes of text of a group of documents that one Python worker gets at once, about: the number of groups follows the
+#: input's size.
+GROUP_BYTES = 8 << 20
+
+#: Bytes of a word up to which its hash is a rolling sum.
+SHORT_WORD = 24
 
 U64 = np.uint64
 _RNG = np.random.default_rng(20240229)
@@ -95,6 +102,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def groups_for(docs: DataFrame, *most: int) -> list[int]:
+    """As many groups as shuffle partitions, or more where a group would have more text than the given bytes."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return [max(partitions(docs.sparkSession), -(-size // m)) for m in most]
+
+
 def sample_fraction(rows: int, bound: int) -> float:
     return min(1.0, bound / max(rows, 1))
 
@@ -186,13 +199,16 @@ def words_of(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def word_hashes(body: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, by pieces of the text of bounded size (or one word)."""
+    """A 64-bit hash of each word's bytes, by pieces of the text of bounded size (or one word). Sums modulo 2**64 can be
+    equal for long words made to that end, so words beyond SHORT_WORD bytes have a cryptographic hash."""
     out, a = np.zeros(len(start), U64), 0
     while a < len(start):
         b = max(a + 1, int(np.searchsorted(end, start[a] + CHUNK_BYTES, "right")))
         piece = body[start[a] : end[b - 1]]
         out[a:b] = Rolling(BYTE_VALUES[lane][piece], lane).slices(start[a:b] - start[a], end[a:b] - start[a])
         a = b
+    for i in np.flatnonzero(end - start > SHORT_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(body[start[i] : end[i]].tobytes(), digest_size=8, salt=bytes([lane])).digest(), "little")
     return mix(out)
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docengine.llm import packs
-from docengine.llm.common import SPACES, Rolling, bounded_batches, buffers, chunks, fold_case, mix, partitions, ranges, released, signed, word_hashes, words_of, written
+from docengine.llm.common import GROUP_BYTES, SPACES, Rolling, bounded_batches, buffers, chunks, fold_case, groups_for, mix, ranges, released, signed, word_hashes, words_of, written
 from docengine.llm.components import components
 from docengine.llm.substring_dedup import KEYS, key_columns, with_keys
 
@@ -266,7 +266,7 @@ def cross_pairs(prefixes: DataFrame, roots: DataFrame, percent: int, by_row: boo
 
 def similar_groups(docs: DataFrame, *, n: int, percent: int, by_row: bool = False) -> DataFrame:
     """doc_id, text_key, n_shingles and component_id of every row of docs with keys: the least member of its component."""
-    p, share = partitions(docs.sparkSession), BAND
+    (p,), share = groups_for(docs, GROUP_BYTES), BAND
     bounded_batches(docs.sparkSession)
     info = written(docs.mapInArrow(_info(n), INFO), "ngram-sets")
     same = ["n_shingles", "s1", "s2"]

@@ -30,15 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docengine.llm import packs
-from docengine.llm.common import BYTE_VALUES, Rolling, bounded_batches, buffers, chunks, covered, mix, partitions, ranges, release_memory, released, sliding_min, whole
+from docengine.llm.common import BYTE_VALUES, GROUP_BYTES, Rolling, bounded_batches, buffers, chunks, covered, groups_for, mix, ranges, release_memory, released, sliding_min, whole
 from docengine.llm.substring_dedup import key_columns
 from docengine.llm.suffix_array import MEMORY, Column, padded, scratch, suffixes
 
 LENGTH = 50
 #: Bytes of the short runs whose least hash is a window's fingerprint.
 SHINGLE = 20
-#: Bytes of text of a group, about: the number of groups follows the input's size.
-GROUP_BYTES = 8 << 20
 #: Bytes of the input for each shard, about.
 SHARD_BYTES = 16 << 20
 #: Occurrences of a fingerprint beyond which its windows are dealt out one by one.
@@ -339,12 +337,6 @@ def _gone(docs: pa.Table, spans: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return covered(int(offsets[-1]), begin, end), offsets
 
 
-def groups_for(docs: DataFrame, *most: int) -> list[int]:
-    """As many groups as shuffle partitions, or more where a group would have more text than the given bytes."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return [max(partitions(docs.sparkSession), -(-size // m)) for m in most]
-
-
 def _group(docs: DataFrame, n: int) -> DataFrame:
     """The columns of docs by place (c0, c1 and so on, but text), with id and one of n groups."""
     own = [F.col(f"`{c}`").alias("text" if c == "text" else f"c{i}") for i, c in enumerate(docs.columns)]

@@ -11,7 +11,7 @@ import pytest
 import zstandard
 
 from docengine.llm import bpe, ngram_join, packs, substring_dedup, suffix_dedup
-from docengine.llm.common import buffers
+from docengine.llm.common import buffers, groups_for
 from docengine.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -163,7 +163,7 @@ def test_suffix_dedup_reads_all_chunks(spark, documents, monkeypatch):
     assert offsets.tolist() == [0, 80, 80, 82, 162] and len(gone) == 162
     docs = documents([(i, "x" * 100) for i in range(30)])
     monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", 100)
-    assert suffix_dedup.groups_for(docs, 100, 1 << 30) == [30, 4] and suffix_dedup.groups_for(documents([]), 100) == [4]
+    assert groups_for(docs, suffix_dedup.GROUP_BYTES, 1 << 30) == [30, 4] and groups_for(documents([]), 100) == [4]
     assert sum(r["n_removed"] for r in suffix_dedup.dedup(docs).collect()) == 2900
 
 
@@ -197,3 +197,18 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(100, 140)] + [(5, 3), (3, 9), (7, 7)]
     out = {r["id"]: r["root"] for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert all(out[i] == 100 for i in range(100, 141)) and out[5] == out[9] == out[3] == 3
+
+
+def thue_morse(n):
+    """A word of n letters and its complement: their sums over powers of an odd base are equal modulo 2**64."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_with_equal_sums_are_told_apart(documents):
+    r = random.Random(11)
+    left, right = (" ".join("w%d" % r.randrange(10**6) for _ in range(20)) for _ in range(2))
+    rows = [(i, t) for n in (1024, 2048) for i, t in enumerate((f"{left} {thue_morse(n)[0]} {right}", f"{left} {thue_morse(n)[1]} {right}", *thue_morse(n)), 10 * n)]
+    out = substring_dedup.digest(substring_dedup.dedup(documents(rows)))
+    assert got(out, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_substring(rows)
+    assert got(ngram_join.join(documents(rows), n=3, percent=90), "doc_id", "n_shingles", "component_id") == brute_join(rows, 3, 90)
