@@ -167,11 +167,12 @@ def _parts(sizes: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
 
 def least_owners(body: np.ndarray, sizes: np.ndarray, ids: np.ndarray, length: int = LENGTH, memory: int = MEMORY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where each region begins in the sorted text, a group for each place there that begins a window, and for each group
-    of equal windows the least id of the regions that have it. The three are in files but for the first."""
+    of equal windows the least id of the regions that have it. The last two are in files."""
     # each region ends with a symbol that sorts before all bytes
     ends = np.cumsum(sizes.astype(np.int64) + 1)
     starts, n = ends - sizes - 1, int(ends[-1]) if len(ends) else 0
-    text, region, group, least = padded(n, np.uint8, length), scratch(n, np.uint32), scratch(n, np.uint32), Column(np.int64)
+    # by place the region, until the suffix there is visited; then its group
+    text, region, least = padded(n, np.uint8, length), scratch(n, np.uint32), Column(np.int64)
     done = 0
     for a, b in _parts(sizes):
         text[starts[a] : ends[b - 1]] = 1
@@ -193,7 +194,7 @@ def least_owners(body: np.ndarray, sizes: np.ndarray, ids: np.ndarray, length: i
                     lows[0] = min(lows[0], open_least)
                 else:
                     least.append(np.array([open_least]))
-            group[places[window]] = least.n + np.repeat(np.arange(len(first)), np.diff(np.append(first, len(kind))))
+            region[places[window]] = least.n + np.repeat(np.arange(len(first)), np.diff(np.append(first, len(kind))))
             least.append(lows[:-1])
             open_least = lows[-1]
         if open_least is not None and new[-1] > (kind[-1] if len(kind) else 0):
@@ -201,7 +202,7 @@ def least_owners(body: np.ndarray, sizes: np.ndarray, ids: np.ndarray, length: i
             open_least = None
     if open_least is not None:
         least.append(np.array([open_least]))
-    return starts, group, least.array()
+    return starts, region, least.array()
 
 
 SPANS = "__g int, keys0 binary, keys1 binary, counts binary, firsts binary, ends binary, owners binary, hot binary"
@@ -271,6 +272,7 @@ def _sort_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for a, b in _parts(sizes[kept]):
         body.append(source[ranges(at[kept[a:b]], sizes[kept[a:b]])])
     texts.close()
+    del source
     region, first, end, below = runs_of_owners(body.array(), sizes[kept], owner, top)
     edge = np.searchsorted(region, np.arange(len(kept) + 1))
     hot_g, hot_least, hot_most, *hot_keys = (np.concatenate(x) for x in zip(*hot))
