@@ -53,9 +53,11 @@ def routed_snippets(snippets: DataFrame, n: int = 5) -> DataFrame:
 
 
 def merge_best(fields: DataFrame) -> DataFrame:
-    """For each session and field the value of the most confident row, of equal ones the first by pos."""
+    """For each session and field the value of the most confident row, of equal ones the first by pos, and the greatest
+    value_type where the rows have one: one aggregation."""
     key = F.struct((-F.coalesce("confidence", F.lit(0.5))).alias("c"), F.col("pos"))
-    return fields.groupBy("session", "field_name").agg(F.min_by(F.struct("value"), key)["value"].alias("value"), F.max(F.coalesce("confidence", F.lit(0.5))).alias("confidence"))
+    kind = [F.max("value_type").alias("value_type")] if "value_type" in fields.columns else []
+    return fields.groupBy("session", "field_name").agg(F.min_by(F.struct("value"), key)["value"].alias("value"), F.max(F.coalesce("confidence", F.lit(0.5))).alias("confidence"), *kind)
 
 
 def merge_by_document(fields: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,17 +10,6 @@ from docengine.functions import text as T
 from docengine.functions.fuzzy import ratio_column, surname_column
 
 
-def _checks(df: DataFrame, check_type: str, status: Column, flagged: Column | None = None) -> DataFrame:
-    """session, check_type, field_name, status, flagged of the rows with a status."""
-    flag = (status != "pass") if flagged is None else flagged
-    out = df.select("session", F.lit(check_type).alias("check_type"), "field_name", status.alias("status"), flag.alias("flagged"))
-    return out.filter(F.col("status").isNotNull())
-
-
-def _of(fields: DataFrame, names) -> DataFrame:
-    return fields.filter(F.col("field_name").isin(*names))
-
-
 def truthy(value: Column, value_type: Column) -> Column:
     """Present and neither empty, nor a number zero, nor false."""
     zero = value_type.isin("int", "float") & (value.try_cast("double") == 0)
@@ -30,105 +17,94 @@ def truthy(value: Column, value_type: Column) -> Column:
     return F.coalesce(value.isNotNull() & (value != "") & ~zero & ~false, F.lit(False))
 
 
-def required_fields(sessions: DataFrame, fields: DataFrame) -> DataFrame:
-    """A row for each required field, a warning for each recommended one that is missing. The two lists are fixed."""
-    rules = [(n, True) for n in C.REQUIRED_FIELDS] + [(n, False) for n in C.RECOMMENDED_FIELDS]
-    table = F.broadcast(sessions.sparkSession.createDataFrame(rules, "field_name string, required boolean"))
-    have = fields.filter(truthy(F.col("value"), F.col("value_type"))).select("session", "field_name", F.lit(True).alias("have"))
-    out = sessions.select("session").distinct().join(table).join(have, ["session", "field_name"], "left")
-    status = F.when(F.col("required"), F.when(F.col("have"), "pass").otherwise("fail")).when(F.col("have").isNull(), "warning")
-    return _checks(out, "presence", status, F.col("required") & F.col("have").isNull())
-
-
-def date_formats(fields: DataFrame) -> DataFrame:
-    v = F.col("value")
-    good = v.rlike(r"^\d{4}-\d{2}-\d{2}$") & T.iso_date(v).isNotNull()
-    return _checks(_of(fields, C.DATE_FIELDS).filter("value IS NOT NULL AND value <> ''"), "format", F.when(good, "pass").otherwise("warning"))
+def _exploded(df: DataFrame, checks: list[tuple[Column, str, Column, Column]]) -> DataFrame:
+    """A row for each check (field_name, check_type, status, flagged) with a status, from one projection of df's rows."""
+    made = [F.when(s.isNotNull(), F.struct(F.lit(t).alias("check_type"), n.alias("field_name"), s.alias("status"), flag.alias("flagged"))) for n, t, s, flag in checks]
+    return df.select("session", F.explode(F.array(*made)).alias("c")).filter("c IS NOT NULL").select("session", "c.*")
 
 
-def project_id_format(fields: DataFrame) -> DataFrame:
-    v = F.col("value")
-    status = F.when(v.rlike(r"^\d{4}$"), "fail").when(v.rlike(f"^{C.PROJECT_ID}$") | v.rlike(f"^{C.ALTERNATIVE_ID}$"), "pass").otherwise("warning")
-    return _checks(_of(fields, ("project_id",)).filter("value IS NOT NULL AND value <> ''"), "format", status)
-
-
-def date_ranges(fields: DataFrame, as_of_year: int) -> DataFrame:
-    """Years before 1990 or too far ahead of the given one are warned of; text that is no date is passed over."""
-    year, name = F.year(T.iso_date(F.col("value"))), F.col("field_name")
+def _row_rules(as_of_year: int) -> dict[str, tuple[str, Column]]:
+    """For each rule on one merged field its check type and status, null where it doesn't apply."""
+    name, v, n, day = F.col("field_name"), F.col("value"), T.number(F.col("value")), T.iso_date(F.col("value"))
+    given = v.isNotNull() & (v != "")
+    # years before 1990 or too far ahead are warned of; text that is no date is passed over
     ahead = F.when(name.contains("end") | name.contains("permanence"), 50).otherwise(2)
-    return _checks(_of(fields, C.RANGE_DATE_FIELDS), "range", F.when(year.isNull(), None).when((year > as_of_year + ahead) | (year < 1990), "warning").otherwise("pass"))
-
-
-def percentage_ranges(fields: DataFrame) -> DataFrame:
-    n = T.number(F.col("value"))
-    return _checks(_of(fields, C.PERCENTAGE_FIELDS).filter("value IS NOT NULL"), "range", F.when(n.isNull(), "warning").when((n < 0) | (n > 100), "fail").otherwise("pass"))
-
-
-def area_range(fields: DataFrame) -> DataFrame:
-    n = T.number(F.col("value"))
-    return _checks(_of(fields, ("area_hectares",)), "range", F.when(n <= 0, "fail").when(n > 1e6, "warning").when(n.isNotNull(), "pass"))
-
-
-def period_ranges(fields: DataFrame) -> DataFrame:
-    """Whole years; a fraction is cut off a number but not read from text."""
-    v = F.col("value")
-    n = F.when((F.col("value_type") == "str") & ~v.rlike(r"^\s*[+-]?\d+\s*$"), None).otherwise(T.number(v).cast("long"))
-    return _checks(_of(fields, C.PERIOD_FIELDS), "range", F.when((n <= 0) | (n > 100), "warning").when(n.isNotNull(), "pass"))
-
-
-def period_consistency(fields: DataFrame) -> DataFrame:
-    """The crediting period ends after it starts; a permanence period that does not is failed."""
-    pick = lambda *names: T.iso_date(F.coalesce(*(F.max(F.when(F.col("field_name") == n, F.nullif("value", F.lit("")))) for n in names)))
-    ends = fields.groupBy("session").agg(
-        pick("crediting_period_start").alias("cs"), pick("crediting_period_end").alias("ce"),
-        pick("permanence_start_date", "permanence_period_start").alias("ps"), pick("permanence_end_date", "permanence_period_end").alias("pe"),
-    )
-    credit = F.when(F.col("ce") <= F.col("cs"), "fail").when(F.col("ce") > F.col("cs"), "pass")
-    lasting = F.when(F.col("pe") <= F.col("ps"), "fail")
-    return _checks(ends.withColumn("field_name", F.lit("crediting_period")), "consistency", credit).unionByName(_checks(ends.withColumn("field_name", F.lit("permanence_period")), "consistency", lasting))
-
-
-def generic_owner(fields: DataFrame) -> DataFrame:
-    hit = T.contains_any(F.lower(F.col("value")), C.GENERIC_OWNER_TERMS)
-    return _checks(_of(fields, ("owner_name",)).filter("value IS NOT NULL AND value <> ''"), "generic", F.when(hit, "fail").otherwise("pass"))
-
-
-def structural(sessions: DataFrame, fields: DataFrame, as_of_year: int) -> DataFrame:
-    """All checks of merged fields."""
-    parts = (
-        required_fields(sessions, fields), date_formats(fields), project_id_format(fields), date_ranges(fields, as_of_year), percentage_ranges(fields),
-        area_range(fields), period_ranges(fields), period_consistency(fields), generic_owner(fields),
-    )
-    return reduce(DataFrame.unionByName, parts)
-
-
-def date_alignment(by_document: DataFrame, names=C.ALIGNED_DATE_FIELDS, max_days: int = C.MAX_DAYS_APART) -> DataFrame:
-    """Dates of a field over documents at most max_days apart: the largest pairwise difference is max - min."""
-    d = T.iso_date(F.col("value"))
-    spread = _of(by_document, names).groupBy("session", "field_name").agg(F.count(d).alias("n"), F.date_diff(F.max(d), F.min(d)).alias("days"))
-    return _checks(spread.filter("n >= 2"), "date_alignment", F.when(F.col("days") <= max_days, "pass").otherwise("warning"))
-
-
-def id_consistency(by_document: DataFrame, names=("project_id",)) -> DataFrame:
-    kinds = _of(by_document, names).groupBy("session", "field_name").agg(F.count("value").alias("n"), F.min("value").alias("a"), F.max("value").alias("b"))
-    return _checks(kinds.filter("n >= 2"), "id_consistency", F.when(F.col("a") == F.col("b"), "pass").otherwise("fail"))
-
-
-def numeric_consistency(by_document: DataFrame, names=C.NUMERIC_FIELDS, tolerance: float = C.NUMERIC_TOLERANCE) -> DataFrame:
-    """(max - min) / max within tolerance; with max 0 only if min is 0 too."""
-    v = T.number(F.col("value"))
-    s = _of(by_document, names).groupBy("session", "field_name").agg(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"))
-    spread = F.when(F.col("hi") == 0, F.when(F.col("lo") == 0, 0.0).otherwise(1.0)).otherwise((F.col("hi") - F.col("lo")) / F.col("hi"))
-    return _checks(s.filter("n >= 2"), "numeric_consistency", F.when(spread <= tolerance, "pass").otherwise("warning"))
+    # whole years; a fraction is cut off a number but not read from text
+    years = F.when((F.col("value_type") == "str") & ~v.rlike(r"^\s*[+-]?\d+\s*$"), None).otherwise(n.cast("long"))
+    return {
+        "date_format": ("format", F.when(name.isin(*C.DATE_FIELDS) & given, F.when(v.rlike(r"^\d{4}-\d{2}-\d{2}$") & day.isNotNull(), "pass").otherwise("warning"))),
+        "project_id": ("format", F.when((name == "project_id") & given, F.when(v.rlike(r"^\d{4}$"), "fail").when(v.rlike(f"^{C.PROJECT_ID}$") | v.rlike(f"^{C.ALTERNATIVE_ID}$"), "pass").otherwise("warning"))),
+        "date_range": ("range", F.when(name.isin(*C.RANGE_DATE_FIELDS) & day.isNotNull(), F.when((F.year(day) > as_of_year + ahead) | (F.year(day) < 1990), "warning").otherwise("pass"))),
+        "percentage": ("range", F.when(name.isin(*C.PERCENTAGE_FIELDS) & v.isNotNull(), F.when(n.isNull(), "warning").when((n < 0) | (n > 100), "fail").otherwise("pass"))),
+        "area": ("range", F.when(name == "area_hectares", F.when(n <= 0, "fail").when(n > 1e6, "warning").when(n.isNotNull(), "pass"))),
+        "period": ("range", F.when(name.isin(*C.PERIOD_FIELDS), F.when((years <= 0) | (years > 100), "warning").when(years.isNotNull(), "pass"))),
+        "owner": ("generic", F.when((name == "owner_name") & given, F.when(T.contains_any(F.lower(v), C.GENERIC_OWNER_TERMS), "fail").otherwise("pass"))),
+    }
+
+
+def field_checks(fields: DataFrame, as_of_year: int, *rules: str) -> DataFrame:
+    """The named rules on merged fields (all without names), in one pass over them."""
+    made = _row_rules(as_of_year)
+    return _exploded(fields, [(F.col("field_name"), t, s, s != "pass") for t, s in (made[r] for r in rules or made)])
+
+
+def session_checks(fields: DataFrame, *, presence: bool = True, periods: bool = True, sessions: DataFrame | None = None) -> DataFrame:
+    """Presence: a row for each required field, a warning for each recommended one that is missing. Periods: the crediting
+    period ends after it starts; a permanence period that does not is failed. Sessions without any field are those of
+    sessions, if given. One aggregation by session."""
+    name, v = F.col("field_name"), F.col("value")
+    day = lambda *names: T.iso_date(F.coalesce(*(F.max(F.when(name == n, F.nullif(v, F.lit("")))) for n in names)))
+    rules = [(n, True) for n in C.REQUIRED_FIELDS] + [(n, False) for n in C.RECOMMENDED_FIELDS]
+    have = [F.max(F.when(name == n, truthy(v, F.col("value_type")))).alias(f"have_{i}") for i, (n, _) in enumerate(rules)]
+    ends = [day("crediting_period_start").alias("cs"), day("crediting_period_end").alias("ce"), day("permanence_start_date", "permanence_period_start").alias("ps"), day("permanence_end_date", "permanence_period_end").alias("pe")]
+    by_session = fields.groupBy("session").agg(*(have if presence else []), *(ends if periods else []))
+    if sessions is not None:
+        by_session = sessions.select("session").distinct().join(by_session, "session", "left")
+    checks = []
+    if presence:
+        for i, (n, required) in enumerate(rules):
+            found = F.coalesce(F.col(f"have_{i}"), F.lit(False))
+            checks.append((F.lit(n), "presence", F.when(found, "pass").otherwise("fail") if required else F.when(~found, "warning"), ~found if required else F.lit(False)))
+    if periods:
+        credit = F.when(F.col("ce") <= F.col("cs"), "fail").when(F.col("ce") > F.col("cs"), "pass")
+        checks += [(F.lit("crediting_period"), "consistency", credit, credit != "pass"), (F.lit("permanence_period"), "consistency", F.when(F.col("pe") <= F.col("ps"), "fail"), F.lit(True))]
+    return _exploded(by_session, checks)
+
+
+def structural(fields: DataFrame, as_of_year: int, sessions: DataFrame | None = None) -> DataFrame:
+    """All checks of merged fields: one pass over them and one aggregation by session, which share the merge before."""
+    return field_checks(fields, as_of_year).unionByName(session_checks(fields, sessions=sessions))
+
+
+def document_checks(by_document: DataFrame, *kinds: str) -> DataFrame:
+    """Checks of a field over documents (dates, ids, numbers; all without names), from one aggregation: dates at most
+    MAX_DAYS_APART, where the largest pairwise difference is max - min; one id; (max - min) / max of numbers within the
+    tolerance, with max 0 only if min is 0 too. A field needs two values."""
+    name, v = F.col("field_name"), F.col("value")
+    day, number, own_id = F.when(name.isin(*C.ALIGNED_DATE_FIELDS), T.iso_date(v)), F.when(name.isin(*C.NUMERIC_FIELDS), T.number(v)), F.when(name == "project_id", v)
+    values = {"dates": day, "ids": own_id, "numbers": number}
+    kinds = kinds or tuple(values)
+    spread = by_document.groupBy("session", "field_name").agg(*(f(values[k]).alias(f"{k}_{a}") for k in kinds for a, f in (("n", F.count), ("lo", F.min), ("hi", F.max))))
+    lo, hi = F.col("numbers_lo"), F.col("numbers_hi")
+    status = {
+        "dates": ("date_alignment", F.when(F.date_diff("dates_hi", "dates_lo") <= C.MAX_DAYS_APART, "pass").otherwise("warning")),
+        "ids": ("id_consistency", F.when(F.col("ids_lo") == F.col("ids_hi"), "pass").otherwise("fail")),
+        "numbers": ("numeric_consistency", F.when(F.when(hi == 0, F.when(lo == 0, 0.0).otherwise(1.0)).otherwise((hi - lo) / hi) <= C.NUMERIC_TOLERANCE, "pass").otherwise("warning")),
+    }
+    checks = [(F.col("field_name"), status[k][0], F.when(F.col(f"{k}_n") >= 2, status[k][1])) for k in kinds]
+    return _exploded(spread, [(n, t, s, s != "pass") for n, t, s in checks])
 
 
 def name_consistency(by_document: DataFrame, names=C.NAME_FIELDS, threshold: float = C.NAME_SIMILARITY) -> DataFrame:
     """One name in any case and spacing passes; else the least similarity of two distinct names decides. A field's
     distinct names are paired, not its documents."""
     key = F.lower(T.full_trim(F.col("value")))
-    distinct = _of(by_document, names).filter(F.col("value").isNotNull()).groupBy("session", "field_name", key.alias("name")).agg(F.min("document").alias("pos"), F.count("*").alias("n"))
+    named = by_document.filter(F.col("field_name").isin(*names) & F.col("value").isNotNull())
+    distinct = named.groupBy("session", "field_name", key.alias("name")).agg(F.min("document").alias("pos"), F.count("*").alias("n"))
     totals = distinct.groupBy("session", "field_name").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).filter("n >= 2")
-    a, b = distinct.alias("a"), distinct.alias("b")
+    # of a field with one name nothing is paired, so only the others go through the join
+    several = distinct.join(totals.filter("kinds > 1").select("session", "field_name"), ["session", "field_name"], "left_semi")
+    a, b = several.alias("a"), several.alias("b")
     pairs = a.join(b, ["session", "field_name"]).filter("(a.pos < b.pos) OR (a.pos = b.pos AND a.name < b.name)")
     least = pairs.select("session", "field_name", ratio_column(F.col("a.name"), F.col("b.name")).alias("s")).groupBy("session", "field_name").agg(F.min("s").alias("similarity"))
     out = totals.join(least, ["session", "field_name"], "left")
@@ -137,21 +113,22 @@ def name_consistency(by_document: DataFrame, names=C.NAME_FIELDS, threshold: flo
 
 
 def cross_document(by_document: DataFrame) -> DataFrame:
-    """All checks across documents, of sessions with two documents at least."""
-    enough = by_document.groupBy("session").agg(F.count_distinct("document").alias("d")).filter("d >= 2").select("session")
-    used = by_document.join(enough, "session", "left_semi")
-    parts = (date_alignment(used), name_consistency(used).drop("similarity"), id_consistency(used), numeric_consistency(used))
-    return reduce(DataFrame.unionByName, parts)
+    """All checks across documents; each needs values of two documents."""
+    return document_checks(by_document).unionByName(name_consistency(by_document).drop("similarity"))
 
 
-def summary(checks: DataFrame) -> DataFrame:
-    """Counts of each session's checks; all_passed means none failed and none flagged."""
+def summary(checks: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
+    """Counts of each session's checks; all_passed means none failed and none flagged. A session of sessions without checks
+    has zeros, and passes."""
     count = lambda x: F.count_if(x).cast("long")
     s = F.col("status")
-    return checks.groupBy("session").agg(
+    out = checks.groupBy("session").agg(
         F.count("*").alias("total"), count(s == "pass").alias("passed"), count(s == "warning").alias("warnings"), count(s == "fail").alias("failed"),
         count(F.col("flagged")).alias("flagged"), (count(s == "pass") / F.count("*")).alias("pass_rate"), ((count(s == "fail") == 0) & (count(F.col("flagged")) == 0)).alias("all_passed"),
     )
+    if sessions is None:
+        return out
+    return sessions.select("session").distinct().join(out, "session", "left").fillna(0).fillna({"all_passed": True})
 
 
 def pairwise_dates(a: Column, b: Column, max_days: int = C.MAX_DAYS_APART) -> Column:

@@ -98,7 +98,7 @@ def unconverted_mapped(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("agg07_merge_best", f"WITH {A.FIELDS} SELECT session, field_name, value, confidence FROM merged")
 def merge_best(spark: SparkSession, sf: str) -> DataFrame:
-    return evidence.merge_best(A.fields(spark, sf))
+    return evidence.merge_best(A.fields(spark, sf).drop("value_type"))
 
 
 @query("agg08_merge_by_document", f"WITH {A.FIELDS} SELECT session, document, field_name, value FROM by_document")
@@ -139,9 +139,7 @@ def fuzzy_owners(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def merged_fields(spark: SparkSession, sf: str) -> DataFrame:
-    f = A.fields(spark, sf)
-    kinds = f.groupBy("session", "field_name").agg(F.max("value_type").alias("value_type"))
-    return evidence.merge_best(f).join(kinds, ["session", "field_name"])
+    return evidence.merge_best(A.fields(spark, sf))
 
 
 def names(xs) -> str:
@@ -167,61 +165,67 @@ structural AS (
 )"""
 
 
-def merged_sessions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    f = merged_fields(spark, sf)
-    return f.select("session"), f
-
-
 @query("str10_structural_checks", f"WITH {STRUCTURAL} SELECT session, check_type, field_name, status, flagged FROM structural")
 def structural_checks(spark: SparkSession, sf: str) -> DataFrame:
-    s, f = merged_sessions(spark, sf)
-    return validation.structural(s, f, AS_OF_YEAR)
+    return validation.structural(merged_fields(spark, sf), AS_OF_YEAR)
 
 
 def _structural_part(name: str, cte: str, fn) -> None:
     flag = "flagged" if cte == "presence" else "status <> 'pass' AS flagged"
-    query(name, f"WITH {STRUCTURAL} SELECT session, check_type, field_name, status, {flag} FROM {cte} WHERE status IS NOT NULL")(fn)
+    query(name, f"WITH {STRUCTURAL} SELECT session, check_type, field_name, status, {flag} FROM {cte} WHERE status IS NOT NULL")(lambda spark, sf: fn(merged_fields(spark, sf)))
 
 
-_structural_part("str01_required_fields", "presence", lambda spark, sf: validation.required_fields(*merged_sessions(spark, sf)))
-_structural_part("str02_date_format", "format", lambda spark, sf: validation.date_formats(merged_fields(spark, sf)))
-_structural_part("str03_project_id_format", "idformat", lambda spark, sf: validation.project_id_format(merged_fields(spark, sf)))
-_structural_part("str04_date_range", "daterange", lambda spark, sf: validation.date_ranges(merged_fields(spark, sf), AS_OF_YEAR))
-_structural_part("str05_percentage_range", "percent", lambda spark, sf: validation.percentage_ranges(merged_fields(spark, sf)))
-_structural_part("str06_area_range", "area", lambda spark, sf: validation.area_range(merged_fields(spark, sf)))
-_structural_part("str07_period_range", "period", lambda spark, sf: validation.period_ranges(merged_fields(spark, sf)))
-_structural_part("str08_period_consistency", "consistent", lambda spark, sf: validation.period_consistency(merged_fields(spark, sf)))
-_structural_part("str09_generic_owner", "generic", lambda spark, sf: validation.generic_owner(merged_fields(spark, sf)))
+_structural_part("str01_required_fields", "presence", lambda f: validation.session_checks(f, periods=False))
+_structural_part("str02_date_format", "format", lambda f: validation.field_checks(f, AS_OF_YEAR, "date_format"))
+_structural_part("str03_project_id_format", "idformat", lambda f: validation.field_checks(f, AS_OF_YEAR, "project_id"))
+_structural_part("str04_date_range", "daterange", lambda f: validation.field_checks(f, AS_OF_YEAR, "date_range"))
+_structural_part("str05_percentage_range", "percent", lambda f: validation.field_checks(f, AS_OF_YEAR, "percentage"))
+_structural_part("str06_area_range", "area", lambda f: validation.field_checks(f, AS_OF_YEAR, "area"))
+_structural_part("str07_period_range", "period", lambda f: validation.field_checks(f, AS_OF_YEAR, "period"))
+_structural_part("str08_period_consistency", "consistent", lambda f: validation.session_checks(f, presence=False))
+_structural_part("str09_generic_owner", "generic", lambda f: validation.field_checks(f, AS_OF_YEAR, "owner"))
+
+#: The owner names that the adapter makes, and the similarity of each two, which SQL has no function for.
+OWNERS = [f"{a} {b}" for a in ("farm of", "nick") for b in "anr"]
+SIMILAR = ", ".join(f"('{a}', '{b}', CAST({fuzzy.ratio(a, b)!r} AS DOUBLE))" for a in OWNERS for b in OWNERS)
 
 CROSS = f"""{A.FIELDS}, dates AS (SELECT session, 'date_alignment' AS check_type, field_name, CASE WHEN date_diff('day', min(TRY_CAST(value AS DATE)), max(TRY_CAST(value AS DATE))) <= {C.MAX_DAYS_APART} THEN 'pass' ELSE 'warning' END AS status
   FROM by_document WHERE field_name IN {names(C.ALIGNED_DATE_FIELDS)} GROUP BY session, field_name HAVING count(TRY_CAST(value AS DATE)) >= 2),
 ids AS (SELECT session, 'id_consistency' AS check_type, field_name, CASE WHEN count(DISTINCT value) = 1 THEN 'pass' ELSE 'fail' END AS status FROM by_document WHERE field_name = 'project_id' GROUP BY session, field_name HAVING count(value) >= 2),
 nums AS (SELECT session, field_name, min(TRY_CAST(value AS DOUBLE)) AS lo, max(TRY_CAST(value AS DOUBLE)) AS hi FROM by_document WHERE field_name IN {names(C.NUMERIC_FIELDS)} GROUP BY session, field_name HAVING count(TRY_CAST(value AS DOUBLE)) >= 2),
-numeric_ AS (SELECT session, 'numeric_consistency' AS check_type, field_name, CASE WHEN CASE WHEN hi = 0 THEN CASE WHEN lo = 0 THEN 0 ELSE 1 END ELSE (hi - lo) / hi END <= {C.NUMERIC_TOLERANCE} THEN 'pass' ELSE 'warning' END AS status FROM nums)"""
+numeric_ AS (SELECT session, 'numeric_consistency' AS check_type, field_name, CASE WHEN CASE WHEN hi = 0 THEN CASE WHEN lo = 0 THEN 0 ELSE 1 END ELSE (hi - lo) / hi END <= {C.NUMERIC_TOLERANCE} THEN 'pass' ELSE 'warning' END AS status FROM nums),
+own AS (SELECT session, field_name, lower(trim(value)) AS name, min(document) AS pos, count(*) AS n FROM by_document WHERE field_name IN {names(C.NAME_FIELDS)} GROUP BY ALL),
+similar_(a, b, s) AS (VALUES {SIMILAR}),
+least_ AS (SELECT x.session, x.field_name, min(s) AS similarity FROM own x JOIN own y ON x.session = y.session AND x.field_name = y.field_name AND (x.pos, x.name) < (y.pos, y.name) JOIN similar_ ON a = x.name AND b = y.name GROUP BY ALL),
+named AS (SELECT session, 'name_consistency' AS check_type, field_name, CASE WHEN kinds = 1 THEN 'pass' WHEN similarity >= {C.NAME_SIMILARITY} THEN 'warning' ELSE 'fail' END AS status, coalesce(similarity, 1.0) AS similarity
+  FROM (SELECT session, field_name, count(*) AS kinds, sum(n) AS n FROM own GROUP BY ALL) LEFT JOIN least_ USING (session, field_name) WHERE n >= 2)"""
 _cross = "SELECT session, check_type, field_name, status, status <> 'pass' AS flagged FROM "
 
 
+ALL_CROSS = f"{_cross} dates UNION ALL {_cross} ids UNION ALL {_cross} numeric_ UNION ALL {_cross} named"
+
+
 @query("xdc01_date_alignment", f"WITH {CROSS} {_cross} dates")
 def date_alignment(spark: SparkSession, sf: str) -> DataFrame:
-    return validation.date_alignment(merge_by_document(spark, sf))
+    return validation.document_checks(merge_by_document(spark, sf), "dates")
 
 
 @query("xdc03_id_consistency", f"WITH {CROSS} {_cross} ids")
 def id_consistency(spark: SparkSession, sf: str) -> DataFrame:
-    return validation.id_consistency(merge_by_document(spark, sf))
+    return validation.document_checks(merge_by_document(spark, sf), "ids")
 
 
 @query("xdc04_numeric_consistency", f"WITH {CROSS} {_cross} numeric_")
 def numeric_consistency(spark: SparkSession, sf: str) -> DataFrame:
-    return validation.numeric_consistency(merge_by_document(spark, sf))
+    return validation.document_checks(merge_by_document(spark, sf), "numbers")
 
 
-@query("xdc02_name_consistency")
+@query("xdc02_name_consistency", f"WITH {CROSS} SELECT session, check_type, field_name, status, status <> 'pass' AS flagged, similarity FROM named")
 def name_consistency(spark: SparkSession, sf: str) -> DataFrame:
     return validation.name_consistency(merge_by_document(spark, sf))
 
 
-@query("xdc05_cross_document")
+@query("xdc05_cross_document", f"WITH {CROSS} {ALL_CROSS}")
 def cross_document(spark: SparkSession, sf: str) -> DataFrame:
     return validation.cross_document(merge_by_document(spark, sf))
 
@@ -230,18 +234,25 @@ SUMMARY = """session, count(*) AS total, count(*) FILTER (status = 'pass') AS pa
   count(*) FILTER (status = 'pass') / count(*) AS pass_rate, count(*) FILTER (status = 'fail') = 0 AND count(*) FILTER (flagged) = 0 AS all_passed"""
 
 
-@query("agg14_validation_summary", f"""WITH {CROSS}, checks AS ({_cross} dates UNION ALL {_cross} ids UNION ALL {_cross} numeric_) SELECT {SUMMARY} FROM checks GROUP BY session""")
+@query("agg14_validation_summary", f"""WITH {CROSS}, checks AS ({ALL_CROSS}) SELECT {SUMMARY} FROM checks GROUP BY session""")
 def validation_summary(spark: SparkSession, sf: str) -> DataFrame:
-    b = merge_by_document(spark, sf)
-    checks = validation.date_alignment(b).unionByName(validation.id_consistency(b)).unionByName(validation.numeric_consistency(b))
-    return validation.summary(checks)
+    return validation.summary(cross_document(spark, sf))
 
 
-@query("agg15_layer_summary", f"""WITH {STRUCTURAL}, {CROSS.removeprefix(A.FIELDS + ", ")}, checks AS (SELECT * FROM structural UNION ALL {_cross} dates UNION ALL {_cross} ids UNION ALL {_cross} numeric_) SELECT {SUMMARY} FROM checks GROUP BY session""")
+@query("agg15_layer_summary", f"""WITH {STRUCTURAL}, {CROSS.removeprefix(A.FIELDS + ", ")}, checks AS (SELECT * FROM structural UNION ALL {ALL_CROSS}) SELECT {SUMMARY} FROM checks GROUP BY session""")
 def layer_summary(spark: SparkSession, sf: str) -> DataFrame:
-    b = merge_by_document(spark, sf)
-    cross = validation.date_alignment(b).unionByName(validation.id_consistency(b)).unionByName(validation.numeric_consistency(b))
-    return validation.summary(structural_checks(spark, sf).unionByName(cross))
+    return validation.summary(structural_checks(spark, sf).unionByName(cross_document(spark, sf)))
+
+
+@query("crd01_session_validation", f"""WITH {STRUCTURAL}, {CROSS.removeprefix(A.FIELDS + ", ")}, checks AS (SELECT * FROM structural UNION ALL {ALL_CROSS}), s AS (SELECT {SUMMARY} FROM checks GROUP BY session),
+wanted AS (SELECT DISTINCT l_orderkey || '-' || (year(l_shipdate) + CAST(l_linenumber % 2 AS INTEGER)) AS session FROM lineitem)
+SELECT w.session, coalesce(total, 0) AS total, coalesce(passed, 0) AS passed, coalesce(warnings, 0) AS warnings, coalesce(failed, 0) AS failed, coalesce(flagged, 0) AS flagged, coalesce(pass_rate, 0.0) AS pass_rate, coalesce(all_passed, true) AS all_passed
+FROM wanted w LEFT JOIN s ON w.session = s.session""")
+def session_validation(spark: SparkSession, sf: str) -> DataFrame:
+    """Sessions with and without evidence; those without have an empty result."""
+    year = F.year("l_shipdate") + (F.col("l_linenumber") % 2).cast("int")
+    wanted = A.table(spark, sf, "lineitem").select(F.concat_ws("-", F.col("l_orderkey").cast("string"), year.cast("string")).alias("session"))
+    return validation.summary(structural_checks(spark, sf).unionByName(cross_document(spark, sf)), wanted)
 
 
 @query("agg16_checks_by_type", f"WITH {STRUCTURAL} SELECT check_type, field_name, status, count(*) AS n FROM structural GROUP BY ALL")
