@@ -30,7 +30,7 @@ SPLITTERS = 32
 #: Levels of the recursion; the minima of the last are sorted by their first cap symbols of the text itself.
 LEVELS = 2
 #: Parts of about equal size in which a sweep visits the suffixes; a symbol is not divided.
-PARTS = 96
+PARTS = 64
 
 #: Rows of an array of tuples.
 KEY, PLACE, COMMON = range(3)

@@ -38,7 +38,7 @@ LENGTH = 50
 #: Bytes of the short runs whose least hash is a window's fingerprint.
 SHINGLE = 20
 #: Bytes of the input for each shard, about.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 4 << 20
 #: Occurrences of a fingerprint beyond which its windows are dealt out one by one.
 HOT = 4096
 
