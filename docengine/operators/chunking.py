@@ -11,18 +11,20 @@ from pyspark.sql import DataFrame
 WHOLE, SIZE, OVERLAP, LOOK_BACK = 100_000, 80_000, 2_000, 500
 
 
-def boundary(text: str, start: int, end: int, look_back: int = LOOK_BACK) -> int:
-    """Where to end a piece: after a paragraph, else a sentence, else a word, within the last characters; else at end."""
-    low = max(end - look_back, start + (end - start) // 2)
+def boundary(text: str, start: int, end: int, size: int, look_back: int = LOOK_BACK) -> int:
+    """Where to end a piece: behind a paragraph, else behind a sentence and its blank, else before a blank, within the last
+    characters; else at end. A piece has a fifth of size at least, 10,000 characters at most of that."""
+    least = min(size // 5, 10_000)
+    if end - start < least:
+        return end
+    low = max(start + least, end - look_back)
     region = text[low:end]
-    at = region.rfind("\n\n")
-    if at >= 0:
-        return low + at + 2
-    ends = [m.end() for m in re.finditer(r"[.!?][ \n]", region)]
-    if ends:
-        return low + ends[-1]
-    at = region.rfind(" ")
-    return low + at + 1 if at >= 0 else end
+    paragraph, sentences, blank = region.rfind("\n\n"), [m.end() for m in re.finditer(r"[.!?][ \n]", region)], region.rfind(" ")
+    if paragraph >= 0:
+        return low + paragraph + 2
+    if sentences:
+        return low + sentences[-1]
+    return low + blank if blank >= 0 else end
 
 
 def split_text(text: str, size: int = SIZE, overlap: int = OVERLAP, whole: int = WHOLE) -> list[tuple[int, str]]:
@@ -35,7 +37,7 @@ def split_text(text: str, size: int = SIZE, overlap: int = OVERLAP, whole: int =
     while start < len(text):
         end = min(start + size, len(text))
         if end < len(text):
-            end = boundary(text, start, end)
+            end = boundary(text, start, end, size)
         out.append((start, text[start:end]))
         if end >= len(text):
             break

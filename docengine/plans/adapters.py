@@ -65,22 +65,20 @@ REQUIREMENTS = "requirements AS (SELECT *, 'evidence on ' || lower(category) AS
 
 
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One snippet for most documents; those of two requirements and one document in seven are left out, so that some
-    requirements have none."""
+    """One snippet for each document: its whole text."""
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
-    kept = d.filter((F.col("doc_id") % 7 != 0) & ~(F.col("doc_id") % 23).isin(4, 11))
-    return kept.select(
+    return d.select(
         F.col("source").alias("session"), F.concat(F.lit("REQ-"), F.lpad((F.col("doc_id") % 23 + 1).cast("string"), 3, "0")).alias("requirement_id"), F.col("doc_id").alias("pos"),
-        F.substring("text", 1, 400).alias("text"), F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("document_id"), ((F.col("doc_id") * 37 % 101) / 100.0).cast("double").alias("confidence"),
+        "text", F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("document_id"), ((F.col("doc_id") * 37 % 101) / 100.0).cast("double").alias("confidence"),
         F.coalesce(F.col("quality") == 1, F.lit(False)).alias("schema_match"), (F.col("doc_id") % 40).cast("int").alias("page"),
         F.concat(F.lit("doc "), F.col("doc_id").cast("string"), F.lit(", p."), (F.col("doc_id") % 40).cast("string")).alias("citation"),
     )
 
 
 SNIPPETS = """snippets AS (
-  SELECT source AS session, 'REQ-' || lpad(CAST(d.doc_id % 23 + 1 AS VARCHAR), 3, '0') AS requirement_id, d.doc_id AS pos, substr(text, 1, 400) AS text, 'D' || d.doc_id AS document_id,
+  SELECT source AS session, 'REQ-' || lpad(CAST(d.doc_id % 23 + 1 AS VARCHAR), 3, '0') AS requirement_id, d.doc_id AS pos, text, 'D' || d.doc_id AS document_id,
     CAST(d.doc_id * 37 % 101 AS DOUBLE) / 100.0 AS confidence, coalesce(quality = 1, false) AS schema_match, CAST(d.doc_id % 40 AS INTEGER) AS page, 'doc ' || d.doc_id || ', p.' || (d.doc_id % 40) AS citation
-  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE d.doc_id % 7 <> 0 AND d.doc_id % 23 NOT IN (4, 11)
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
 )"""
 
 

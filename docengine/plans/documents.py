@@ -62,17 +62,17 @@ def class_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return discovery.class_counts(A.doc_index(spark, sf))
 
 
-@query("src10_text_quality", """WITH t AS (SELECT doc_id, substr(text, 1, CAST(doc_id % 400 AS INTEGER)) AS t, doc_id % 13 AS pages FROM documents)
+@query("src10_text_quality", """WITH t AS (SELECT doc_id, text || repeat('#', CAST(doc_id % 5 * length(text) // 5 AS INTEGER)) AS t, doc_id % 13 AS pages FROM documents)
 SELECT doc_id, CASE WHEN pages = 0 THEN 'no pages' WHEN length(t) < 100 THEN 'too short' WHEN length(regexp_replace(t, '[^\\p{L}\\p{N} ]', '', 'g')) < 0.7 * length(t) THEN 'unreadable' END AS problem FROM t""")
 def text_quality(spark: SparkSession, sf: str) -> DataFrame:
-    t = A.table(spark, sf, "documents").select("doc_id", F.substring("text", F.lit(1), (F.col("doc_id") % 400).cast("int")).alias("t"), (F.col("doc_id") % 13).alias("pages"))
+    t = A.table(spark, sf, "documents").select("doc_id", F.concat("text", F.repeat(F.lit("#"), F.floor(F.col("doc_id") % 5 * F.length("text") / 5).cast("int"))).alias("t"), (F.col("doc_id") % 13).alias("pages"))
     return t.select("doc_id", discovery.text_quality(F.col("t"), F.col("pages")).alias("problem"))
 
 
-@query("src15_needs_ocr", """WITH t AS (SELECT doc_id, substr(text, 1, CAST(doc_id % 120 AS INTEGER)) AS t, doc_id % 3 AS blocks FROM documents)
+@query("src15_needs_ocr", """WITH t AS (SELECT doc_id, text AS t, doc_id % 3 AS blocks FROM documents)
 SELECT doc_id, length(regexp_replace(t, '\\s', '', 'g')) < 50 AND blocks > 0 AS needs_ocr FROM t""")
 def needs_ocr(spark: SparkSession, sf: str) -> DataFrame:
-    t = A.table(spark, sf, "documents").select("doc_id", F.substring("text", F.lit(1), (F.col("doc_id") % 120).cast("int")).alias("t"), (F.col("doc_id") % 3).alias("blocks"))
+    t = A.table(spark, sf, "documents").select("doc_id", F.col("text").alias("t"), (F.col("doc_id") % 3).alias("blocks"))
     return t.select("doc_id", discovery.needs_ocr(F.col("t"), F.col("blocks")).alias("needs_ocr"))
 
 
@@ -90,10 +90,10 @@ def uploads(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("pos", discovery.upload_name(path).alias("name"), content.alias("content"))
 
 
-@query("src21_best_text", "SELECT 'D' || doc_id AS document_id, CASE WHEN doc_id % 3 = 0 THEN 'hq:' || md5(text) ELSE 'fast:' || md5(text) END AS text FROM documents WHERE doc_id % 3 < 2")
+@query("src21_best_text", "SELECT 'D' || doc_id AS document_id, CASE WHEN doc_id % 3 = 0 THEN 'hq:' || md5(text) ELSE 'fast:' || md5(text) END AS text FROM documents")
 def best_text(spark: SparkSession, sf: str) -> DataFrame:
     d = A.table(spark, sf, "documents").select(F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("document_id"), F.md5(F.col("text").cast("binary")).alias("h"), "doc_id")
-    fast = d.filter("doc_id % 3 < 2").select("document_id", F.lit("fast").alias("quality"), F.concat(F.lit("fast:"), "h").alias("text"))
+    fast = d.select("document_id", F.lit("fast").alias("quality"), F.concat(F.lit("fast:"), "h").alias("text"))
     hq = d.filter("doc_id % 3 = 0").select("document_id", F.lit("hq").alias("quality"), F.concat(F.lit("hq:"), "h").alias("text"))
     return discovery.best_text(fast.union(hq))
 
@@ -132,7 +132,7 @@ def expected_classes(spark: SparkSession, sf: str) -> DataFrame:
     return A.requirements(spark).select("requirement_id", F.array_join(mapping.expected_classes(F.col("category"), F.col("accepted_evidence")), ",").alias("classes"))
 
 
-MAPPINGS = f"""{A.DOC_INDEX}, {A.REQUIREMENTS}, docs AS (SELECT session || '-' || (pos % 7) AS session, pos, document_id, classification FROM doc_index WHERE pos % 9 <> 4),
+MAPPINGS = f"""{A.DOC_INDEX}, {A.REQUIREMENTS}, docs AS (SELECT session || '-' || (pos % 7) AS session, pos, document_id, classification FROM doc_index),
 wanted AS (SELECT requirement_id, unnest(x) AS classification, generate_subscripts(x, 1) AS class_pos FROM (SELECT requirement_id, {expected_sql()} AS x FROM requirements)),
 classes AS (SELECT session, classification, count(*) AS n, arg_min(document_id, pos) AS first_document FROM docs GROUP BY ALL),
 hits AS (SELECT session, requirement_id, CAST(sum(n) AS BIGINT) AS n, arg_min(first_document, class_pos) AS first_document FROM classes JOIN wanted USING (classification) GROUP BY ALL),
@@ -150,7 +150,7 @@ mappings AS (
 
 
 def mapped_docs(spark: SparkSession, sf: str) -> DataFrame:
-    d = A.doc_index(spark, sf).filter("pos % 9 <> 4")
+    d = A.doc_index(spark, sf)
     return d.withColumn("session", F.concat("session", F.lit("-"), (F.col("pos") % 7).cast("string")))
 
 
@@ -234,9 +234,9 @@ def truncate_sentence(spark: SparkSession, sf: str) -> DataFrame:
     return A.table(spark, sf, "documents").select("doc_id", T.truncate_at_sentence(F.col("text"), 200).alias("text"))
 
 
-@query("txt07_escape_cell", """SELECT page_id, replace(replace(replace(replace(replace(replace(replace(substr(html, 1, 2000), '|', '\\|'), chr(10), ' '), chr(13), ''), '<br>', chr(1)), '<', '&lt;'), '>', '&gt;'), chr(1), '<br>') AS cell FROM pages""")
+@query("txt07_escape_cell", """SELECT page_id, replace(replace(replace(replace(replace(replace(replace(html, '|', '\\|'), chr(10), ' '), chr(13), ''), '<br>', chr(1)), '<', '&lt;'), '>', '&gt;'), chr(1), '<br>') AS cell FROM pages""")
 def escape_cell(spark: SparkSession, sf: str) -> DataFrame:
-    return A.table(spark, sf, "pages").select("page_id", T.escape_cell(F.substring("html", 1, 2000)).alias("cell"))
+    return A.table(spark, sf, "pages").select("page_id", T.escape_cell(F.col("html")).alias("cell"))
 
 
 @query("txt08_citation", """SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN NULL WHEN doc_id % 3 = 0 AND doc_id % 4 = 0 THEN source ELSE source || ' (' || concat_ws(', ', CASE WHEN doc_id % 3 <> 0 THEN 'Section ' || lang END, CASE WHEN doc_id % 4 <> 0 THEN 'p.' || (doc_id % 40) END) || ')' END AS citation FROM documents""")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docengine.plans import documents, reviews
+from docengine.plans import casework, documents, reviews
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = documents.Q | reviews.Q
-ORACLES: dict[str, str] = documents.S | reviews.S
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = documents.Q | reviews.Q | casework.Q
+ORACLES: dict[str, str] = documents.S | reviews.S | casework.S

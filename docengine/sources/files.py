@@ -54,7 +54,7 @@ def list_sessions(spark: SparkSession, path: str) -> DataFrame:
 
 def text_sidecars(spark: SparkSession, path: str) -> DataFrame:
     """Extracted texts beside the documents: stem, quality (hq, fast or the plain one) and text."""
-    t = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    t = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path, wholetext=True).select("value", F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("path"))
     name = X.basename(F.col("path"))
     return t.select("path", F.regexp_replace(name, r"(\.fast|\.hq)?\.md$", "").alias("stem"), F.coalesce(X.found(name, r"\.(fast|hq)\.md$"), F.lit("plain")).alias("quality"), F.col("value").alias("text"))
 

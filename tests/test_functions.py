@@ -104,3 +104,13 @@ def test_citation_scores_search_the_whole_text(spark, tmp_path):
     spark.createDataFrame([(2, text), (3, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     scores = {r["doc_id"]: r["score"] for r in registry.QUERIES["cit01_citation_scores"](spark, str(tmp_path)).collect()}
     assert scores == {2: 100.0, 3: 100.0}
+
+
+def test_chunk_boundaries():
+    assert chunking.boundary("a" * 50 + "\n\n" + "b c. d" * 8, 0, 90, 100) == 52
+    assert chunking.boundary("abc. " + "d" * 40 + ". e fgh", 0, 50, 100) == 47
+    text = "word " * 10
+    at = chunking.boundary(text, 0, 43, 100)
+    assert at == 39 and text[at] == " "
+    assert chunking.boundary("x" * 80, 0, 60, 100) == 60
+    assert chunking.boundary("x. " * 80, 0, 15, 100) == 15

@@ -16,11 +16,13 @@ def test_discover_and_text(spark, tmp_path):
     (root / "copy of plan.pdf").write_bytes(b"same")
     (root / "note.txt").write_bytes(b"x")
     (root / ".hidden" / "a.pdf").write_bytes(b"y")
-    got = {r["filename"].replace("%20", " "): r for r in files.discover(spark, str(root), "s").collect()}
+    got = {r["filename"]: r for r in files.discover(spark, str(root), "s").collect()}
     assert set(got) == {"Project Plan.pdf", "copy of plan.pdf"}
     assert got["Project Plan.pdf"]["is_first"] and not got["copy of plan.pdf"]["is_first"]
     (root / "a.fast.md").write_text("--- Page 1 ---\n\none\n\n--- Page 2 ---\n\ntwo")
+    (root / "Project Plan+.hq.md").write_text("text")
     t = files.text_sidecars(spark, str(root))
+    assert {(r["stem"], r["quality"]) for r in t.collect()} == {("a", "fast"), ("Project Plan+", "hq")}
     assert [(r["page"], r["text"]) for r in files.pages(t).orderBy("page").collect()] == [(1, "one"), (2, "two")]
 
 
