@@ -4,7 +4,8 @@ whose prototype, the bundle of its training texts, has the largest cosine with i
 
 Defined cases: a null text or one without a letter is "und" with score 0; so is every text when there is nothing to learn
 from. Equal cosines go to the first language by name. The score is the cosine, at least 0. Repeated rows count each time,
-extra columns are ignored, an empty table gives no rows. Long texts are bundled whole, in pieces of bounded size.
+extra columns are ignored, an empty table gives no rows. Long texts are bundled whole, in pieces of bounded size that give
+the same n-grams as the text in one. What the driver holds grows with the number of languages, 512 numbers for each.
 """
 
 from __future__ import annotations
@@ -41,27 +42,27 @@ class Encoder:
         known = np.array([c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isalpha()])
         self.slots[known] = np.where(known < LETTERS, known, known % (LETTERS - 1) + 1)
 
-    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        """The n-grams of letters, with one blank for each run of other characters, and how often each occurs."""
-        codes = self.slots[np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)]
-        if not codes.any():
-            return None
-        codes = np.concatenate(([0], codes, [0]))
-        codes = codes[np.concatenate(([True], (codes[1:] != 0) | (codes[:-1] != 0)))]
-        grams = np.zeros(max(0, len(codes) - NGRAM + 1), np.int64)
-        for k in range(NGRAM):
-            grams = grams * LETTERS + codes[k : len(codes) - NGRAM + 1 + k]
-        return np.unique(grams, return_counts=True)
+    def grams(self, text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The n-grams of letters, with one blank for each run of other characters and at both ends, and how often each
+        occurs, by pieces of the text; a piece begins with the last slots of the one before, so none is lost or made."""
+        text, before = text.lower(), np.zeros(1, np.int64)
+        for i in range(0, len(text), PIECE):
+            codes = np.concatenate((before, self.slots[np.frombuffer(text[i : i + PIECE].encode("utf-32-le", "surrogatepass"), np.uint32)]))
+            if i + PIECE >= len(text):
+                codes = np.append(codes, 0)
+            codes = codes[np.concatenate(([True], (codes[1:] != 0) | (codes[:-1] != 0)))]
+            before = codes[1 - NGRAM :]
+            found = np.zeros(max(0, len(codes) - NGRAM + 1), np.int64)
+            for k in range(NGRAM):
+                found = found * LETTERS + codes[k : len(codes) - NGRAM + 1 + k]
+            if len(found):
+                yield np.unique(found, return_counts=True)
 
     def vector(self, text: str | None) -> np.ndarray | None:
         """The bundle scaled to length 1; None without letters."""
-        total = None
-        for i in range(0, len(text or ""), PIECE):
-            found = self.counts(text[max(0, i - NGRAM + 1) : i + PIECE])
-            if found is None:
-                continue
-            grams, n = found
-            total = np.zeros(self.dimensions) if total is None else total
+        total, letters = np.zeros(self.dimensions), False
+        for grams, n in self.grams(text or ""):
+            letters = letters or bool(grams.any())
             for j in range(0, len(grams), 4096):
                 g = grams[j : j + 4096]
                 bound = self.placed[NGRAM - 1][g % LETTERS]
@@ -69,7 +70,7 @@ class Encoder:
                     g = g // LETTERS
                     bound *= self.placed[k][g % LETTERS]
                 total += n[j : j + 4096].astype(np.float32) @ bound.astype(np.float32)
-        if total is None:
+        if not letters:
             return None
         size = np.linalg.norm(total)
         return total / size if size else total
