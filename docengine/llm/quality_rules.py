@@ -105,14 +105,19 @@ RULES = (
 
 
 def _measured(rules: Sequence[QualityRule]) -> Callable:
+    """Time and rejections of each rule on every text. The words, which all rules share, are split before and billed to none."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ns, rejected, n = [0] * len(rules), [0] * len(rules), 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 n += 1
+                words = View(text).words
                 for i, r in enumerate(rules):
+                    view = View(text)
+                    view.words = words
                     began = time.perf_counter_ns()
-                    rejected[i] += r.rejects(View(text))
+                    rejected[i] += r.rejects(view)
                     ns[i] += time.perf_counter_ns() - began
         if n:
             yield pa.RecordBatch.from_pydict({"rule": list(range(len(rules))), "ns": ns, "rejected": rejected})
