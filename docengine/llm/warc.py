@@ -1,10 +1,14 @@
 """WARC archives whose records are single Zstandard frames under one dictionary, which a leading skippable frame holds.
 
-Each partition trains a dictionary on the records it archives first, and writes one archive: the dictionary in a skippable
-frame, then a frame for each record, with empty skippable frames between them. Any Zstandard reader that is given the
+Each partition writes archives of up to ARCHIVE_FRAMES frames, so that no file grows with the input. For each archive a
+dictionary is trained on its first records; the archive is the dictionary in a skippable frame, then a frame for each
+record, with empty skippable frames between them. Any Zstandard reader that is given the
 dictionary reads the file as one WARC stream. Spark's own writer commits the files, so lost tasks leave nothing behind.
 Equal payloads are stored once: the record of the largest page_id is a response, the others are revisits of it.
 
+A response's block is an HTTP response whose body is the page; a revisit's is that response's head alone. Pages come
+without a time, so the date is a parameter.
+
 Defined cases: null html is an empty payload; a null page_id counts as the smallest, and its record id says "null"; rows
 that repeat the largest page_id with the same payload are responses too. Extra columns are ignored, an empty table gives
 no rows. An archive with too few records for training has their bytes as its dictionary.
@@ -16,6 +20,7 @@ import base64
 import hashlib
 import struct
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 import zstandard
@@ -29,6 +34,11 @@ DICTIONARY_MAGIC = b"\x5d\x2a\x4d\x18"
 #: An empty skippable frame; it is plain text to Spark's text writer, which puts it between records.
 SEPARATOR = "P*M\x18\x00\x00\x00\x00"
 DICTIONARY_BYTES = 32 << 10
+#: Frames of an archive, its dictionary included.
+ARCHIVE_FRAMES = 10_000
+#: The date of all records, unless another is given.
+DATE = "1970-01-01T00:00:00Z"
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Records, and bytes of them, that a dictionary is trained on.
 TRAIN_RECORDS, TRAIN_BYTES = 400, 4 << 20
 
@@ -37,15 +47,16 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, date: str = DATE) -> bytes:
     """A response carries its payload; a revisit names the record that has it."""
-    body = b"" if revisit else payload
+    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    block, urn = head if revisit else head + payload, lambda i: f"<urn:page:{'null' if i is None else i}>"
     lines = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{'null' if page_id is None else page_id}>",
-        "WARC-Target-URI: " + (url or "").replace("\r", "%0D").replace("\n", "%0A"), "Content-Type: text/html", f"WARC-Payload-Digest: sha1:{digest}",
-        f"X-Payload-Length: {len(payload)}", *([f"WARC-Refers-To: <urn:page:{'null' if refers_to is None else refers_to}>"] if revisit else []), f"Content-Length: {len(body)}",
+        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {urn(page_id)}", f"WARC-Date: {date}",
+        "WARC-Target-URI: " + (url or "").replace("\r", "%0D").replace("\n", "%0A"), "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{digest}",
+        *([f"WARC-Refers-To: {urn(refers_to)}", f"WARC-Profile: {PROFILE}"] if revisit else []), f"Content-Length: {len(block)}",
     ]
-    return "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def _dictionary(samples: list[bytes]) -> zstandard.ZstdCompressionDict:
@@ -74,22 +85,31 @@ def _frames(records: Iterator[bytes]) -> Iterator[bytes]:
         yield press.compress(r)
 
 
-def _archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def records() -> Iterator[bytes]:
-        for batch in batches:
-            for page_id, url, html, refers_to, revisit in zip(*(c.to_pylist() for c in batch.columns)):
-                payload = html or b""
-                yield record(page_id, url, payload, payload_digest(payload), refers_to, revisit)
-
-    held, size = [], 0
-    for frame in _frames(records()):
-        held.append(frame)
-        size += len(frame)
-        if size >= 4 << 20:
+def _archive(date: str, frames: int):
+    """The frames of a partition's archives; each has as many but the last, so that Spark's writer cuts files between them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def records() -> Iterator[bytes]:
+            for batch in batches:
+                for page_id, url, html, refers_to, revisit in zip(*(c.to_pylist() for c in batch.columns)):
+                    payload = html or b""
+                    yield record(page_id, url, payload, payload_digest(payload), refers_to, revisit, date)
+
+        held, size, all_records, before = [], 0, records(), -1
+        made = 0
+        while made != before:
+            before = made
+            for frame in _frames(islice(all_records, frames - 1)):
+                made += 1
+                held.append(frame)
+                size += len(frame)
+                if size >= 4 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], names=["frame"])
+                    held, size = [], 0
+        if held:
             yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], names=["frame"])
-            held, size = [], 0
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], names=["frame"])
+
+    return run
 
 
 def plan_records(pages: DataFrame) -> DataFrame:
@@ -103,20 +123,21 @@ def plan_records(pages: DataFrame) -> DataFrame:
     return joined.select("page_id", "url", "html", F.when(revisit, F.col("first_rank")).alias("refers_to"), revisit.alias("revisit"))
 
 
-def write_archives(pages: DataFrame, path: str) -> None:
-    """One archive for each partition of the planned records."""
-    frames = plan_records(pages).mapInArrow(_archive, "frame binary")
-    frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR).text(path)
+def write_archives(pages: DataFrame, path: str, *, date: str = DATE, archive_frames: int = ARCHIVE_FRAMES) -> None:
+    """Archives of up to archive_frames frames from each partition of the planned records."""
+    frames = plan_records(pages).mapInArrow(_archive(date, archive_frames), "frame binary")
+    frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", archive_frames).text(path)
 
 
-def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+def parse(content: bytes | memoryview) -> Iterator[tuple[dict[str, str], bytes]]:
     """The headers and block of every record of an archive."""
-    if not content:
+    content = memoryview(content)
+    if not len(content):
         return
     if content[:4] != DICTIONARY_MAGIC:
         raise ValueError("the archive does not begin with its dictionary")
     size = struct.unpack_from("<I", content, 4)[0]
-    body = content[8 : 8 + size]
+    body = bytes(content[8 : 8 + size])
     kind = zstandard.DICT_TYPE_FULLDICT if body[:4] == b"\x37\xa4\x30\xec" else zstandard.DICT_TYPE_RAWCONTENT
     open_up = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(body, dict_type=kind))
     at = 8 + size
@@ -149,10 +170,11 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column(0):
             rows = []
-            for h, block in parse(content.as_py()):
-                kind = h["WARC-Type"]
-                length, digest = int(h["X-Payload-Length"]), h["WARC-Payload-Digest"].removeprefix("sha1:")
-                if kind == "response" and (length != len(block) or digest != payload_digest(block)):
+            for h, block in parse(content.as_buffer()):
+                kind, digest = h["WARC-Type"], h["WARC-Payload-Digest"].removeprefix("sha1:")
+                head, _, payload = block.partition(b"\r\n\r\n")
+                length = int(head.rpartition(b"Content-Length: ")[2])
+                if kind == "response" and (length != len(payload) or digest != payload_digest(payload)):
                     raise ValueError(f"record {h['WARC-Record-ID']} does not match its digest")
                 rows.append((_id(h["WARC-Record-ID"]), length, digest, kind, _id(h.get("WARC-Refers-To"))))
             if rows:
