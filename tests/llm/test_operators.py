@@ -2,10 +2,13 @@
 
 import base64
 import hashlib
+import os
 import random
 import re
+import zlib
 
 import duckdb
+import numpy as np
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -218,3 +221,68 @@ def test_queries_match_sql(spark, sf_dir):
         found = [tuple(r[c] for c in columns) for r in got.collect()]
         at = [want.columns.index(c) for c in columns]
         assert sorted(map(repr, found)) == sorted(repr(tuple(r[i] for i in at)) for r in want.fetchall()), name
+
+
+def plain_vector(encoder, text):
+    """The sum over all n-grams of the product of their letters' vectors, each rolled by its place."""
+    letters = encoder.placed[language_id.NGRAM - 1]
+    slots = [0, *(int(encoder.slots[ord(c)]) for c in text.lower()), 0]
+    slots = [x for i, x in enumerate(slots) if x or not i or slots[i - 1]]
+    total = np.zeros(encoder.dimensions)
+    for i in range(len(slots) - language_id.NGRAM + 1):
+        bound = np.ones(encoder.dimensions)
+        for k in range(language_id.NGRAM):
+            bound *= np.roll(letters[slots[i + k]], language_id.NGRAM - 1 - k)
+        total += bound
+    return total / np.linalg.norm(total)
+
+
+@pytest.mark.parametrize("piece", [1 << 18, 64, 7, 1])
+def test_language_vectors_whatever_the_pieces(monkeypatch, piece):
+    monkeypatch.setattr(language_id, "PIECE", piece)
+    encoder = language_id.Encoder()
+    for text in ("ab, c 12 déf\n\n ghi  ", "x", "  many   words of Έλληνικά and 日本 " * 9, "a" * 150 + " - " * 80 + "b"):
+        assert np.allclose(encoder.vector(text), plain_vector(encoder, text))
+    assert encoder.vector(" 1 2 - ") is None and encoder.vector("") is None
+
+
+def test_language_verdicts_against_plain_version(documents):
+    texts = {"en": "the cat and the dog went to the house", "de": "der hund und die katze gingen in das haus", "fr": "le chien et le chat sont dans la maison"}
+    rows = [(i, f"{t} {'abc'[i % 3]}", lang) for i, (lang, t) in enumerate(list(texts.items()) * 6)]
+    df = documents([(i, t) for i, t, _ in rows]).drop("lang").join(documents([]).sparkSession.createDataFrame([(i, lang) for i, _, lang in rows], "doc_id long, lang string"), "doc_id")
+    encoder, prototypes = language_id.Encoder(), {}
+    for i, t, lang in rows:
+        if zlib.crc32(str(i).encode()) % 5:
+            prototypes[lang] = prototypes.get(lang, 0) + plain_vector(encoder, t)
+    names = sorted(prototypes)
+    matrix = np.array([prototypes[k] / np.linalg.norm(prototypes[k]) for k in names])
+    for r in language_id.identify(df).collect():
+        cosines = matrix @ plain_vector(encoder, dict((i, t) for i, t, _ in rows)[r["doc_id"]])
+        assert r["lang_pred"] == names[int(cosines.argmax())] and abs(r["score"] - cosines.max()) < 1e-4
+
+
+def test_warc_archives_are_cut_and_valid(spark, tmp_path):
+    path, n = str(tmp_path / "cut"), 57
+    pages = spark.createDataFrame([(i, f"https://a.org/{i}", f"<p>{i % 40}</p>" * (1 + i % 3)) for i in range(n)], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, path, date="2024-05-06T07:08:09Z", archive_frames=8)
+    files = [f for f in os.listdir(path) if f.startswith("part-")]
+    counts = []
+    for f in files:
+        with open(os.path.join(path, f), "rb") as file:
+            records = list(warc.parse(file.read()))
+        counts.append(len(records))
+        for h, block in records:
+            assert h["WARC-Date"] == "2024-05-06T07:08:09Z" and h["Content-Type"].startswith("application/http") and int(h["Content-Length"]) == len(block)
+            assert block.startswith(b"HTTP/1.1 200 OK\r\n") and (h["WARC-Type"] == "revisit") == ("WARC-Profile" in h) == ("WARC-Refers-To" in h)
+    assert sum(counts) == n and max(counts) == 7 and len(files) >= 9
+    got = {r["page_id"]: r for r in warc.read_archives(spark, path).collect()}
+    assert len(got) == n and got[0]["payload_bytes"] == len("<p>0</p>")
+
+
+def test_empty_tables_give_no_rows(spark, documents):
+    urls = spark.createDataFrame([], "page_id long, url string, html string")
+    assert url_filters.filter_urls(urls, queries.URL_RULES).count() == 0
+    assert quality_rules.score_documents(documents([])).count() == quality_rules.filter_documents(documents([])).count() == 0
+    talks = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat_format.format_conversations(talks).count() == 0
+    assert bpe.encode_documents(documents([]), queries.tokenizer_path()).count() == 0
