@@ -8,6 +8,8 @@ The index holds sorted immutable runs of (fingerprint, count), bucketed by finge
 fingerprints that occur twice, or in an earlier run, are found by merge joins of the sorted runs and kept as hits; when a
 level has several runs they are merged into one of the next level. Hits are then verified: the whole word sequence of all
 windows that share a fingerprint is hashed, and where such a sequence occurs once only, its windows are hashed singly.
+FingerprintIndex.add_documents does all that for one batch, in this session or a later one; dedup adds the documents of one
+table in batches and verifies once, as there earlier batches lose the words that later ones repeat.
 
 Defined cases: a null or empty text has no words; a document shorter than a window keeps all its words; every row is a
 document of its own, so rows that repeat are copies of each other and lose their common windows; a null doc_id is a value
@@ -17,7 +19,8 @@ sequences are summed before they are dealt out, so no task gathers all copies.
 
 from __future__ import annotations
 
-import hashlib
+import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +36,7 @@ WINDOW = 35
 #: Words of the short runs whose least hash is a window's fingerprint.
 SHINGLE = 8
 #: Batches that the documents of one call are added in, and runs of a level that are merged into one.
-BATCHES, FAN_OUT = 2, 2
+BATCHES, FAN_OUT = 3, 2
 
 U64 = np.uint64
 KEYS = ["doc_id", "text_key"]
@@ -104,16 +107,53 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (fingerprint, n), by level. Runs are bucketed tables, so merge joins deal nothing out."""
+    """Sorted immutable runs of (fingerprint, n), by level, in a folder. Runs are bucketed tables, so merge joins deal
+    nothing out. What the index consists of is in a manifest that only grows, so a later session opens the index by its
+    folder and adds to it; the newest line counts, so a session that is lost half way leaves the index as it was."""
 
-    def __init__(self, spark: SparkSession, *, fan_out: int = FAN_OUT):
-        self.spark, self.fan_out, self.buckets = spark, fan_out, partitions(spark)
+    def __init__(self, spark: SparkSession, path: str | None = None, *, fan_out: int = FAN_OUT):
+        self.spark, self.path, self.fan_out = spark, path or new_path(spark, "fingerprint-index"), fan_out
+        self.buckets, self.version, self.batches = partitions(spark), 0, 0
         self.levels: list[list[tuple[str, str]]] = []
         self.hits: list[DataFrame] = []
 
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, *, fan_out: int = FAN_OUT) -> FingerprintIndex:
+        """The index in a folder, as its last session left it."""
+        out = cls(spark, path, fan_out=fan_out)
+        last = spark.read.schema("version long, buckets int, batches int, runs string").json(f"{path}/manifest").orderBy(F.desc("version")).first()
+        out.version, out.buckets, out.batches = last["version"], last["buckets"], last["batches"]
+        out.levels = [[tuple(r) for r in level] for level in json.loads(last["runs"])]
+        for name, at in out.runs():
+            if not spark.catalog.tableExists(name):
+                spark.sql(f"CREATE TABLE {name} (fingerprint BIGINT, n BIGINT) USING parquet CLUSTERED BY (fingerprint) SORTED BY (fingerprint) INTO {out.buckets} BUCKETS LOCATION '{at}'")
+        return out
+
+    def _save(self) -> None:
+        self.version += 1
+        line = self.spark.createDataFrame([(self.version, self.buckets, self.batches, json.dumps(self.levels))], "version long, buckets int, batches int, runs string")
+        line.coalesce(1).write.mode("append").json(f"{self.path}/manifest")
+
+    def add_documents(self, batch: DataFrame) -> DataFrame:
+        """Adds documents (doc_id, text) and returns what remove_spans returns for them: a word goes if a window over it also
+        starts anywhere else in this batch or an earlier one. Hits are verified against the texts of all batches, which the
+        index keeps for that."""
+        at = lambda kind, k: f"{self.path}/{kind}-{k}"
+        read = lambda kind, n: self.spark.read.parquet(*(at(kind, k) for k in range(n)))
+        k = self.batches
+        with_keys(batch).write.mode("overwrite").option("compression", "zstd").parquet(at("texts", k))
+        own = self.spark.read.parquet(at("texts", k))
+        fingerprints(own).write.mode("overwrite").option("compression", "zstd").parquet(at("marks", k))
+        hits = self.add(self.spark.read.parquet(at("marks", k)))
+        self.batches = k + 1
+        self._save()
+        candidates = written(read("marks", k + 1).join(hits.distinct(), "fingerprint", "left_semi"), "candidates")
+        spans = verified_spans(read("texts", k + 1), candidates)
+        return remove_spans(own, spans.join(own.select(*KEYS).distinct(), KEYS, "left_semi"))
+
     def _run(self, counts: DataFrame) -> tuple[str, str]:
-        path = new_path(self.spark, "fingerprint-run")
-        name = path.rpartition("/")[2].replace("-", "_")
+        name = f"fingerprint_run_{uuid.uuid4().hex}"
+        path = f"{self.path}/{name}"
         counts.write.bucketBy(self.buckets, "fingerprint").sortBy("fingerprint").option("path", path).option("compression", "zstd").saveAsTable(name)
         return name, path
 
@@ -160,9 +200,11 @@ class FingerprintIndex:
         return out.distinct()
 
     def close(self) -> None:
+        """Drops the index and its folder."""
         for name, path in self.runs():
             self._drop(name, path)
         self.levels = []
+        remove(self.spark, self.path)
 
 
 def verified_spans(docs: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -212,3 +212,29 @@ def test_words_with_equal_sums_are_told_apart(documents):
     out = substring_dedup.digest(substring_dedup.dedup(documents(rows)))
     assert got(out, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_substring(rows)
     assert got(ngram_join.join(documents(rows), n=3, percent=90), "doc_id", "n_shingles", "component_id") == brute_join(rows, 3, 90)
+
+
+def test_index_reopened_for_each_batch(spark, documents, hard_rows):
+    rows, seen, path = [r for r in hard_rows if len(r[1] or "") < 5000], [], None
+    for k in range(3):
+        batch = rows[k::3]
+        if path:
+            for name, _ in index.runs():
+                spark.sql(f"DROP TABLE {name}")  # a new session has no catalogue; the files stay
+        index = substring_dedup.FingerprintIndex.open(spark, path) if path else substring_dedup.FingerprintIndex(spark)
+        path = index.path
+        out = substring_dedup.digest(index.add_documents(documents(batch, True)))
+        seen += batch
+        want = brute_substring(seen)
+        assert got(out, "doc_id", "n_words", "n_removed", "kept_sha256") == sorted((r for r in (brute_row(seen, x) for x in batch)), key=repr)
+        assert len(want) == len(seen)
+    assert len(index.runs()) < 3
+    index.close()
+
+
+def brute_row(rows, row):
+    """What brute_substring says of one of rows."""
+    (at,) = [i for i, r in enumerate(rows) if r is row]
+    numbered = [(i, t) for i, (_, t) in enumerate(rows)]
+    (found,) = [r for r in brute_substring(numbered) if r[0] == at]
+    return (row[0], *found[1:])
