@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docengine.llm.common import (
-    Rolling, buffers, chunks, covered, mix, new_path, partitions, ranges, released, remove, signed, sliding_min, word_hashes, words_of, written,
+    Rolling, bounded_batches, buffers, chunks, covered, mix, new_path, partitions, ranges, released, remove, signed, sliding_min, word_hashes, words_of, written,
 )
 
 WINDOW = 35
@@ -138,6 +138,7 @@ class FingerprintIndex:
         """Adds documents (doc_id, text) and returns what remove_spans returns for them: a word goes if a window over it also
         starts anywhere else in this batch or an earlier one. Hits are verified against the texts of all batches, which the
         index keeps for that."""
+        bounded_batches(self.spark, "4m")
         at = lambda kind, k: f"{self.path}/{kind}-{k}"
         read = lambda kind, n: self.spark.read.parquet(*(at(kind, k) for k in range(n)))
         k = self.batches
@@ -269,6 +270,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame, *, batches: int = BATCHES) -> DataFrame:
     """Adds docs to a new index batch by batch, and removes every word that a repeated window covers."""
+    bounded_batches(docs.sparkSession, "4m")
     keyed = with_keys(docs)
     marks = written(fingerprints(keyed), "fingerprints")
     index = FingerprintIndex(docs.sparkSession)
