@@ -1,4 +1,5 @@
-"""Text similarity that has no built-in: ratio of matching blocks, token sets, best partial match. Pandas UDFs over Arrow."""
+"""Text similarity that has no built-in: ratio of matching blocks, edit ratios of token sets and of the best part. Pandas UDFs
+over Arrow."""
 
 from __future__ import annotations
 
@@ -13,29 +14,45 @@ def ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
+def common_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence: a row of its table is the bits of one number, of which each character of
+    the shared sequence clears one."""
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    full = row = (1 << len(a)) - 1
+    for c in b:
+        met = row & where.get(c, 0)
+        row = ((row + met) | (row - met)) & full
+    return len(a) - row.bit_count()
+
+
+def edit_ratio(a: str, b: str) -> float:
+    """1 less the insertions and deletions that turn a into b over both lengths; 0 to 100."""
+    return 200.0 * common_length(a, b) / (len(a) + len(b)) if a or b else 100.0
+
+
 def token_set_ratio(a: str, b: str) -> float:
-    """The best ratio among the common words, and these with either text's other words; 0 to 100."""
+    """The best edit ratio among the common words, and these with either text's other words; 0 to 100."""
     x, y = set(a.lower().split()), set(b.lower().split())
     if not x or not y:
         return 0.0
     common = " ".join(sorted(x & y))
-    left, right = (" ".join([common, *sorted(s)]).strip() for s in (x - y, y - x))
     if common and (not x - y or not y - x):
         return 100.0
+    left, right = (" ".join([common, *sorted(s)]).strip() for s in (x - y, y - x))
     pairs = [(left, right)] + ([(common, left), (common, right)] if common else [])
-    return 100.0 * max(ratio(p, q) for p, q in pairs)
+    return max(edit_ratio(p, q) for p, q in pairs)
 
 
 def partial_ratio(a: str, b: str) -> float:
-    """The best ratio of the shorter text to an equally long piece of the longer; 0 to 100."""
+    """The best edit ratio of the shorter text to a piece of the longer: as long, or cut short by an end; 0 to 100."""
     short, long = sorted((a.lower(), b.lower()), key=len)
     if not short:
-        return 0.0
-    best = 0.0
-    for block in SequenceMatcher(None, short, long, autojunk=False).get_matching_blocks():
-        start = max(0, block.b - block.a)
-        best = max(best, ratio(short, long[start : start + len(short)]))
-    return 100.0 * best
+        return 0.0 if long else 100.0
+    pieces = lambda n, text: (text[max(0, i) : i + n] for i in range(1 - n, len(text)))
+    best = max(edit_ratio(short, p) for p in pieces(len(short), long))
+    return best if len(short) < len(long) else max(best, *(edit_ratio(long, p) for p in pieces(len(long), short)))
 
 
 def owner_similarity(a: str, b: str) -> float:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docengine.functions import text as T
@@ -10,8 +10,12 @@ from docengine.functions import text as T
 
 def findings(statuses: DataFrame, snippets: DataFrame) -> DataFrame:
     """Status of each requirement with its strength, review flag and citations (five at most, by pos)."""
-    cites = snippets.groupBy("session", "requirement_id").agg(F.slice(F.transform(F.sort_array(F.collect_list(F.struct("pos", "citation"))), lambda x: x["citation"]), 1, 5).alias("citations"), F.count_distinct("document_id").alias("n_documents"))
-    out = statuses.join(cites, ["session", "requirement_id"], "left")
+    key = ["session", "requirement_id"]
+    # ranks limit each task's rows before they are dealt out, so that a large group is never gathered
+    first = snippets.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy("pos", "citation"))).filter("rank <= 5")
+    cites = first.groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "citation"))), lambda x: x["citation"]).alias("citations"))
+    documents = snippets.groupBy(*key).agg(F.count_distinct("document_id").alias("n_documents"))
+    out = statuses.join(cites, key, "left").join(documents, key, "left")
     c = F.col("confidence")
     return out.select(
         "session", "requirement_id", "status", "confidence", "n_snippets", F.coalesce("n_documents", F.lit(0)).cast("long").alias("n_documents"),
