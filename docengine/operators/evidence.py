@@ -87,7 +87,7 @@ def valid_project_id(value, raw_text):
 
 
 def fuzzy_owners(fields: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """Owner names of a document, names alike merged in order: the more confident of two stays. A document's names are
+    """Owner names of a document, names alike merged in order of pos, then of value: the more confident of two stays. A document's names are
     one small group; values are made distinct first, so repeats don't add to it."""
     import pandas as pd
 
@@ -95,7 +95,7 @@ def fuzzy_owners(fields: DataFrame, threshold: float = 0.75) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         kept: list[dict] = []
-        for row in pdf.sort_values("pos").to_dict("records"):
+        for row in pdf.sort_values(["pos", "value"]).to_dict("records"):
             for i, k in enumerate(kept):
                 if owner_similarity(row["value"], k["value"]) >= threshold:
                     if row["confidence"] > k["confidence"]:

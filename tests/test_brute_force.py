@@ -88,7 +88,7 @@ def test_owners(spark, sf_dir):
     want = set()
     for key, names in values.items():
         kept = []
-        for value, (confidence, pos) in sorted(names.items(), key=lambda x: x[1][1]):
+        for value, (confidence, pos) in sorted(names.items(), key=lambda x: (x[1][1], x[0])):
             for i, k in enumerate(kept):
                 a, b = value.lower(), k[0].lower()
                 if max(partial(a, b), token_set(a, b)) >= 75:
