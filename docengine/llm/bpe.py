@@ -20,10 +20,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docengine.llm.common import released
+
 #: Fixed value: the pattern of the byte-level pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces of text that a worker remembers; it forgets the older half beyond that.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
+#: Pairs of tokens whose fit a worker remembers; it forgets them all beyond that.
+PAIRS = 200_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -87,7 +91,7 @@ class Codec:
             else:
                 # of equal merges the left one goes first, so one across the border beats the right token's own
                 until, right = r_at + 1, parts[right][0]
-        if len(self.apart) > 2_000_000:
+        if len(self.apart) >= PAIRS:
             self.apart.clear()
         self.apart[key] = fits
         return fits
@@ -172,6 +176,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, *, with_ids: bool = F
     shared = docs.sparkSession.sparkContext.broadcast(load_spec(tokenizer_path))  # of a fixed size
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(shared.value)
         decimals = c.decimals
