@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.common import released
+from docengine.llm.common import bounded_batches, released
 
 #: Fixed value: the pattern of the byte-level pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -173,6 +173,7 @@ def load_spec(path: str) -> str:
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, *, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document, and the ids themselves if asked for."""
+    bounded_batches(docs.sparkSession, "4m")
     shared = docs.sparkSession.sparkContext.broadcast(load_spec(tokenizer_path))  # of a fixed size
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
 

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docengine.llm.common import bounded_batches, released
+
 #: Edits allowed for each character of an item.
 ERROR_RATE = 0.08
 #: Characters of items in one block, about: what an automaton and its broadcast may hold.
@@ -127,33 +129,43 @@ def blocks(items: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list[tu
         yield sorted({(r["item_id"], normal(r["text"])) for r in part.collect()}, key=lambda x: (x[0] is None, x))
 
 
+def _found(shared, error_rate: float):
+    @released
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(shared.value, error_rate)
+        for batch in batches:
+            rows = [(d, i, *m) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i, m in matcher.find(normal(t)).items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], names=["doc_id", "item_id", "distance", "end"])
+
+    return run
+
+
+def _clean(shared, error_rate: float, at: int):
+    @released
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(shared.value, error_rate)
+        for batch in batches:
+            yield batch.filter(pa.array([not matcher.find(normal(t)) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return run
+
+
 def find_contamination(docs: DataFrame, items: DataFrame, *, error_rate: float = ERROR_RATE) -> DataFrame:
     """doc_id, item_id, distance and end (in the normalised text) for every document that holds an item."""
+    bounded_batches(docs.sparkSession, "4m")
     schema = "doc_id long, item_id long, distance long, end long"
     parts = []
     for block in blocks(items):
         shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value, error_rate)
-            for batch in batches:
-                rows = [(d, i, *m) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i, m in matcher.find(normal(t)).items()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], names=["doc_id", "item_id", "distance", "end"])
-
-        parts.append(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema))
+        parts.append(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_found(shared, error_rate), schema))
     return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], schema)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, error_rate: float = ERROR_RATE) -> DataFrame:
     """The documents that hold no item, with all their columns."""
+    bounded_batches(docs.sparkSession, "4m")
     at = docs.columns.index("text")
     for block in blocks(items):
         shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value, error_rate)
-            for batch in batches:
-                yield batch.filter(pa.array([not matcher.find(normal(t)) for t in batch.column(at).to_pylist()], pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(_clean(shared, error_rate, at), docs.schema)
     return docs

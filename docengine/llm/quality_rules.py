@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.common import hashed_sample, sample_fraction
+from docengine.llm.common import bounded_batches, hashed_sample, released, sample_fraction
 
 SYMBOLS = "#*$%&|<>"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -107,6 +107,7 @@ RULES = (
 def _measured(rules: Sequence[QualityRule]) -> Callable:
     """Time and rejections of each rule on every text. The words, which all rules share, are split before and billed to none."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ns, rejected, n = [0] * len(rules), [0] * len(rules), 0
         for batch in batches:
@@ -140,8 +141,10 @@ def passes(view: View, ordered: Sequence[QualityRule]) -> bool:
 
 def filter_documents(docs: DataFrame, rules: Sequence[QualityRule] = RULES, *, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The documents that no rule rejects, with all their columns."""
+    bounded_batches(docs.sparkSession, "4m")
     ordered, at = plan_order(docs, rules, sample_rows=sample_rows), docs.columns.index("text")
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array([passes(View(x), ordered) for x in batch.column(at).to_pylist()], pa.bool_()))
@@ -151,8 +154,10 @@ def filter_documents(docs: DataFrame, rules: Sequence[QualityRule] = RULES, *, s
 
 def score_documents(docs: DataFrame, rules: Sequence[QualityRule] = RULES, *, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, the measures, base_failed and kept of every document."""
+    bounded_batches(docs.sparkSession, "4m")
     ordered = plan_order(docs, rules, sample_rows=sample_rows)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")}
