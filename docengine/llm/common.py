@@ -139,7 +139,7 @@ def powers(base: int, n: int) -> np.ndarray:
         have[0] = 1
         with np.errstate(over="ignore"):
             have = np.multiply.accumulate(have)
-        if size <= 1 << 21:
+        if size <= 1 << 19:
             _POWERS[base] = have
     return have[:n]
 
