@@ -7,6 +7,7 @@ import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import wraps
 
 import numpy as np
@@ -73,6 +74,18 @@ def bounded_batches(spark: SparkSession, size: str = "16m") -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, size: str) -> Iterator[None]:
+    """Arrow batches of at most size for what is run inside, and what was set before again afterwards."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def release_memory() -> None:
     """Gives freed memory back to the system: Python workers wait for their next task with what they hold."""
     pa.default_memory_pool().release_unused()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docengine.llm import bpe, chat_format, decontaminate, language_id, ngram_join, quality_rules, substring_dedup, suffix_dedup, url_filters, warc
+from docengine.llm import bpe, chat_format, collocations, decontaminate, language_id, merkle, mixing, ngram_join, quality_rules, substring_dedup, suffix_dedup, url_filters, warc
 from docengine.llm.common import table
 
 URL_RULES = (
@@ -189,6 +189,128 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
 FROM g
 """
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = """
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p),
+g AS (
+  SELECT lang, k, ws[i:i + k - 1] AS g FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS k))
+), f AS (SELECT lang, k, g, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE f >= 100 AND k > 1),
+held AS (
+  SELECT lang, s, max(f) AS longer FROM (SELECT lang, f, g[i:i + m - 1] AS s FROM c, (SELECT unnest([1, 2, 3, 4]) AS i), (SELECT unnest([2, 3, 4]) AS m) WHERE m < k AND i + m - 1 <= k) GROUP BY ALL
+), o AS (SELECT c.* FROM c LEFT JOIN held ON c.lang = held.lang AND c.g = s WHERE longer IS NULL OR 100 * longer < 100 * f),
+cut AS (SELECT *, unnest(range(1, k)) AS j FROM o),
+sc AS (
+  SELECT cut.lang, cut.g, cut.f AS a, n.n, x.f AS l, y.f AS r, j, (1000 * CAST(cut.f AS HUGEINT) * n.n) // (CAST(x.f AS HUGEINT) * y.f) AS score
+  FROM cut JOIN n ON n.lang = cut.lang JOIN f x ON x.lang = cut.lang AND x.g = cut.g[1:j] JOIN f y ON y.lang = cut.lang AND y.g = cut.g[j + 1:k]
+), b AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1),
+q AS (SELECT *, list_aggregate(g, 'string_agg', ' ') AS phrase FROM b)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM q QUALIFY rank <= 2000
+"""
+
+
+#: Weights of the sources in order of their names, repeating.
+MIX_WEIGHTS = (3, 1, 2)
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, mixing.cycled_weights(docs, MIX_WEIGHTS)).documents()
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce('s' || source, 't') AS skey, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '-')), 1, 3) AS BIGINT) AS bucket
+  FROM documents
+), s0 AS (SELECT skey, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY skey),
+s1 AS (SELECT *, row_number() OVER (ORDER BY skey) AS no FROM s0),
+s2 AS (SELECT *, [3, 1, 2][CAST((no - 1) % 3 + 1 AS INTEGER)] AS weight FROM s1),
+s3 AS (
+  SELECT *, 150 * (sum(source_size) OVER ()) - 200 * coalesce(sum(source_size) OVER (ORDER BY source_size / weight, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS num,
+    100 * sum(weight) OVER (ORDER BY source_size / weight, no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS den
+  FROM s2
+), lvl AS (SELECT num, den FROM s3 WHERE weight * num <= 2 * source_size * den ORDER BY source_size / weight, no LIMIT 1),
+s4 AS (SELECT no, skey, source_size, least(CAST(2 * source_size AS DOUBLE), CAST(weight * (SELECT num FROM lvl) AS DOUBLE) / CAST((SELECT den FROM lvl) AS DOUBLE)) AS target, (source_size + 63) // 64 AS blocks FROM s2),
+s AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE least(2 * blocks, CAST(floor(blocks * target / source_size + 0.5) AS BIGINT)) END AS slots FROM s4),
+r AS (SELECT *, CAST(sum(slots) OVER (ORDER BY no) - slots AS BIGINT) AS lo, CAST(sum(slots) OVER () AS BIGINT) AS total FROM s),
+slot AS (SELECT slot, CAST('0x' || substr(md5('7|slot|' || slot), 1, 15) AS BIGINT) % (SELECT max(total) FROM r) AS u FROM (SELECT unnest(range(0, (SELECT max(total) FROM r))) AS slot)),
+draw AS (SELECT slot, no, row_number() OVER (PARTITION BY no ORDER BY slot) - 1 AS j FROM slot JOIN r ON u >= lo AND u < lo + slots),
+have AS (SELECT r.no, slots, coalesce(c, 0) AS c FROM r LEFT JOIN (SELECT no, count(*) AS c FROM draw GROUP BY no) x ON x.no = r.no),
+moved AS (SELECT row_number() OVER (ORDER BY draw.no, j) AS q FROM draw JOIN have ON have.no = draw.no WHERE j >= slots),
+free AS (SELECT no, j, row_number() OVER (ORDER BY no, j) AS q FROM (SELECT no, unnest(range(c, slots)) AS j FROM have WHERE slots > c)),
+pick AS (SELECT draw.no, j FROM draw JOIN have ON have.no = draw.no WHERE j < slots UNION ALL SELECT free.no, free.j FROM moved JOIN free ON free.q = moved.q),
+e AS (SELECT no, blocks, unnest([0, 1]) AS epoch FROM s WHERE blocks > 0),
+k AS (
+  SELECT no, epoch, list_transform(range(1, 25), lambda x: {
+    'at': CAST('0x' || substr(md5('7|at|' || no || '|' || epoch || '|' || x), 1, 15) AS BIGINT) % blocks,
+    'a': CAST('0x' || substr(md5('7|a|' || no || '|' || epoch || '|' || x), 1, 15) AS BIGINT) % 2147483646 + 1,
+    'b': CAST('0x' || substr(md5('7|b|' || no || '|' || epoch || '|' || x), 1, 15) AS BIGINT) % 2147483647}) AS keys
+  FROM e
+), steps AS (SELECT pick.no, j // blocks AS epoch, blocks, j % blocks AS x FROM pick JOIN s ON s.no = pick.no),
+done AS (SELECT no, block, count(*) AS times FROM (
+  SELECT steps.no, list_reduce(list_prepend({'at': x, 'a': 0, 'b': 0}, keys), lambda z, y: {'at':
+    CASE WHEN (greatest(z.at, (y.at + blocks - z.at) % blocks) % 2147483647 * y.a + y.b) % 2147483647 % 2 = 1 THEN (y.at + blocks - z.at) % blocks ELSE z.at END, 'a': 0, 'b': 0}).at AS block
+  FROM steps JOIN k ON k.no = steps.no AND k.epoch = steps.epoch) GROUP BY ALL),
+placed AS (
+  SELECT d.*, s.no, s.source_size, s.target, row_number() OVER () AS id, coalesce(sum(size) OVER (PARTITION BY d.skey ORDER BY bucket, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+  FROM d JOIN s ON s.skey = d.skey
+), part AS (SELECT *, unnest(range(CAST(pos // 64 AS BIGINT), CAST((pos + size - 1) // 64 + 1 AS BIGINT))) AS block FROM placed WHERE size > 0),
+taken AS (SELECT id, sum((least((part.block + 1) * 64, pos + size) - greatest(part.block * 64, pos)) * times) AS taken FROM part JOIN done ON done.no = part.no AND done.block = part.block GROUP BY id)
+SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM placed LEFT JOIN taken ON taken.id = placed.id
+"""
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = merkle.manifest(merkle.document_leaves(table(spark, sf_dir, "documents")))
+    return made.prove().withColumnRenamed("id", "doc_id")
+
+
+def _h(*parts: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode(CAST({p} AS VARCHAR))) || ':' || CAST({p} AS VARCHAR), '-')" for p in parts) + ")"
+
+
+#: One step of a CRC-32 over a bit: the next byte comes in at every eighth.
+_CRC_BIT = "CASE WHEN t % 8 = 0 THEN xor(z, ascii(substr(s, CAST(t // 8 + 1 AS BIGINT), 1))) ELSE z END"
+
+OP13_SQL = f"""
+WITH RECURSIVE named AS (SELECT DISTINCT doc_id, CAST(doc_id AS VARCHAR) AS s FROM documents WHERE doc_id IS NOT NULL),
+sevenths AS (
+  SELECT doc_id FROM named WHERE xor(list_reduce(list_prepend(4294967295, range(0, 8 * length(s))), lambda z, t:
+    CASE WHEN ({_CRC_BIT}) & 1 = 1 THEN xor(({_CRC_BIT}) >> 1, 3988292384) ELSE ({_CRC_BIT}) >> 1 END), 4294967295) % 7 = 0
+), l AS (
+  SELECT doc_id, lang, {_h("doc_id", "source", "lang", "n_chars", "text")} AS leaf, {_h("doc_id", "source", "lang", "n_chars + CAST(doc_id IN (SELECT doc_id FROM sevenths) AS INTEGER)", "text")} AS held
+  FROM documents
+), g AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, count(*) AS n FROM l GROUP BY lang),
+leaves AS (SELECT doc_id, leaf, held, tree, n, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM l JOIN g ON l.lang IS NOT DISTINCT FROM g.lang),
+up AS (
+  SELECT tree, 0 AS level, i, n, leaf AS h FROM leaves
+  UNION ALL SELECT tree, any_value(level) + 1, i // 2, any_value(n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM up WHERE n > 1 GROUP BY tree, i // 2
+), sub AS (SELECT tree, h FROM up WHERE n = 1),
+top AS (
+  SELECT 0 AS level, tree AS i, (SELECT count(*) FROM g) AS n, h FROM sub
+  UNION ALL SELECT any_value(level) + 1, i // 2, any_value(n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY i // 2
+), nodes AS (
+  SELECT tree, level, i, n, h FROM up WHERE n > 1 UNION ALL SELECT NULL, level, i, n, h FROM top WHERE n > 1
+), fold AS (
+  SELECT doc_id, tree, i AS leaf_i, tree AS at_tree, 0 AS level, i, n, held AS h, '' AS proof FROM leaves
+  UNION ALL
+  SELECT f.doc_id, f.tree, leaf_i, CASE WHEN f.n = 1 THEN NULL ELSE at_tree END, CASE WHEN f.n = 1 THEN 0 ELSE f.level + 1 END, CASE WHEN f.n = 1 THEN f.tree ELSE f.i // 2 END, CASE WHEN f.n = 1 THEN (SELECT count(*) FROM g) ELSE (f.n + 1) // 2 END,
+    CASE WHEN f.n = 1 THEN f.h WHEN f.i % 2 = 0 THEN sha256(f.h || coalesce(s.h, '')) ELSE sha256(s.h || f.h) END, proof || CASE WHEN f.n = 1 THEN '' ELSE coalesce(s.h, '') END
+  FROM fold f LEFT JOIN nodes s ON s.tree IS NOT DISTINCT FROM f.at_tree AND s.level = f.level AND s.i = xor(f.i, 1) AND f.n > 1 WHERE f.n > 1 OR f.at_tree IS NOT NULL
+)
+SELECT x.doc_id, leaf, sub.h AS subroot, top.h AS root, sha256(proof) AS proof_sha256, fold.h AS folded_root, fold.h = top.h AS verified
+FROM leaves x JOIN fold ON fold.tree = x.tree AND fold.leaf_i = x.i AND fold.n = 1 AND fold.at_tree IS NULL JOIN sub ON sub.tree = x.tree, top WHERE top.n = 1
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_quality_rules": op2_quality_rules,
@@ -200,5 +322,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_warc": op10_warc,
+    "op11_collocations": op11_collocations,
+    "op12_mixing": op12_mixing,
+    "op13_merkle": op13_merkle,
 }
-ORACLES: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op5_chat_format": OP5_SQL, "op7_ngram_join": OP7_SQL, "op9_suffix_dedup": OP9_SQL, "op10_warc": OP10_SQL}
+ORACLES: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op5_chat_format": OP5_SQL, "op7_ngram_join": OP7_SQL, "op9_suffix_dedup": OP9_SQL, "op10_warc": OP10_SQL, "op11_collocations": OP11_SQL, "op12_mixing": OP12_SQL, "op13_merkle": OP13_SQL}
