@@ -24,16 +24,16 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docengine.llm.common import arrow_batches, buffers, chunks, fold_case, partitions, ranges, released, written
+from docengine.llm.common import arrow_batches, buffers, chunks, fold_case, partitions, ranges, released, word_hashes, written
 
-#: Bytes of text of a shard, and pairs of phrase and word that a bucket gets, about.
-SHARD_BYTES, BUCKET_PAIRS = 8 << 20, 1 << 20
-#: Buckets in which words are numbered.
-NUMBERED = 256
+#: Bytes of text of a shard, bytes of text for each bucket of words, and pairs of phrase and word that a bucket gets, about.
+SHARD_BYTES, BUCKET_BYTES, BUCKET_PAIRS = 4 << 20, 32 << 20, 1 << 20
 
 U64 = np.uint64
 LOW = U64(0xFFFFFFFF)
@@ -70,67 +70,154 @@ def _distinct(body: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.
     return coded.indices.to_numpy().astype(np.int64), coded.dictionary
 
 
-SHARDS = "shard long, at binary, code binary, vocabulary array<struct<code: long, lang: string, word: string, c: long>>"
+def packed(values: np.ndarray) -> bytes:
+    """Integers as compressed byte planes, as high bytes are mostly zero."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes())
 
 
-@released
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    number = TaskContext.get().partitionId() << 32
-    kind = pa.list_(pa.struct([("code", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("c", pa.int64())]))
-    for batch in batches:
-        langs = batch.column(0).dictionary_encode()
-        lang_of, names = langs.indices.to_numpy().astype(np.int64), langs.dictionary
-        body, offsets = buffers(batch.column(1))
-        for a, b in chunks(offsets, SHARD_BYTES):
-            part = fold_case(body[offsets[a] : offsets[b]])
-            start, end, row, at = words_at(part, offsets[a : b + 1] - offsets[a])
-            if not len(start):
-                continue
-            word, distinct = _distinct(part, start, end)
-            pairs, code, count = np.unique(word * len(names) + lang_of[a + row], return_inverse=True, return_counts=True)
-            entries = pa.StructArray.from_arrays([pa.array(np.arange(len(pairs))), names.take(pa.array(pairs % len(names))), distinct.take(pa.array(pairs // len(names))).cast(pa.string()), pa.array(count.astype(np.int64))], names=["code", "lang", "word", "c"])
-            vocabulary = pa.ListArray.from_arrays(pa.array([0, len(pairs)], pa.int32()), entries).cast(kind)
-            binary = lambda x: pa.array([np.ascontiguousarray(x.astype(np.uint32)).tobytes()], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([number]), binary(at), binary(code), vocabulary], names=["shard", "at", "code", "vocabulary"])
-            number += 1
-
-
-#: The lists of a shard for one length: sorted positions, the phrase that starts at each, and its last word.
+def unpacked(data: pa.Scalar, dtype=np.uint32) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data.as_buffer()), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
+
+
+def gaps(rising: np.ndarray, dtype=np.uint32) -> bytes:
+    """A sorted array by its differences."""
+    return packed(np.diff(rising, prepend=rising[:1] * 0).astype(dtype))
+
+
+def from_gaps(data: pa.Scalar, dtype=np.uint32) -> np.ndarray:
+    return np.cumsum(unpacked(data, dtype), dtype=dtype)
+
+
+def by_bucket(bucket: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order that puts buckets together and keeps what is inside, and each bucket with its range in that order."""
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    cut = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
+    return order, list(zip(bucket[cut].tolist(), cut, [*cut[1:], len(bucket)]))
+
+
+#: A shard's words in order: their positions and codes in its vocabulary, and the distinct words of each lang by bucket, a
+#: blank between words, with codes and counts. One row has the positions, the others the vocabulary.
+SHARDS = "shard long, n long, at binary, code binary, bucket int, lang string, words binary, codes binary, counts binary"
+
+
+def _shards(buckets: int):
+    @released
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = TaskContext.get().partitionId() << 32
+        fields = dict(zip(("shard", "n", "at", "code", "bucket", "lang", "words", "codes", "counts"), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.string(), *[pa.binary()] * 3)))
+        for batch in batches:
+            langs = batch.column(0).dictionary_encode()
+            lang_of, names = langs.indices.to_numpy().astype(np.int64), langs.dictionary.to_pylist()
+            body, offsets = buffers(batch.column(1))
+            for a, b in chunks(offsets, SHARD_BYTES):
+                part = fold_case(body[offsets[a] : offsets[b]])
+                start, end, row, at = words_at(part, offsets[a : b + 1] - offsets[a])
+                if not len(start):
+                    continue
+                word, distinct = _distinct(part, start, end)
+                pairs, code, count = np.unique(word * len(names) + lang_of[a + row], return_inverse=True, return_counts=True)
+                made = {c: [None] for c in fields} | {"shard": [shard], "n": [len(at)], "at": [gaps(at)], "code": [packed(code.astype(np.uint32))]}
+                letters, edges = buffers(distinct)
+                hashes = word_hashes(letters, edges[:-1], edges[1:])[pairs // len(names)]
+                for number, lang in enumerate(names):
+                    mine = np.flatnonzero(pairs % len(names) == number)
+                    order, parts = by_bucket(bucket_of(hashes[mine], buckets))
+                    mine = mine[order]
+                    for bucket, i, j in parts:
+                        some = distinct.take(pa.array(pairs[mine[i:j]] // len(names)))
+                        entry = {"shard": shard, "n": int(count[mine[i:j]].sum()), "bucket": bucket, "lang": lang, "words": " ".join(some.to_pylist()).encode(), "codes": packed(mine[i:j].astype(np.uint32)), "counts": packed(count[mine[i:j]].astype(np.uint32))}
+                        for c in fields:
+                            made[c].append(entry.get(c))
+                yield pa.RecordBatch.from_arrays([pa.array(made[c], t) for c, t in fields.items()], names=list(fields))
+                shard += 1
+
+    return run
+
+
+#: For a shard the codes of its frequent words and their numbers; without a shard the frequent words.
+WORDS = "shard long, codes binary, ids binary, lang string, word string, id long, f long"
+
+
+def numbered(many: int, bucket: int, buckets: int) -> np.ndarray:
+    """Numbers from 1 on that no other bucket gives."""
+    ids = np.arange(many) * buckets + bucket + 1
+    if many and ids[-1] >= 1 << 32:
+        raise OverflowError("more frequent words, or phrases of one length, than can be numbered")
+    return ids
+
+
+def _frequent_words(buckets: int, least: int):
+    @released
+    def run(table: pa.Table) -> pa.Table:
+        langs = table.column("lang").combine_chunks().dictionary_encode()
+        texts = pc.split_pattern(table.column("words").cast(pa.large_string()).combine_chunks(), " ")
+        lengths = pc.list_value_length(texts).to_numpy()
+        words = pc.list_flatten(texts).dictionary_encode()
+        key = words.indices.to_numpy().astype(np.int64) * len(langs.dictionary) + np.repeat(langs.indices.to_numpy(), lengths)
+        codes, counts = ([unpacked(x) for x in table.column(c)] for c in ("codes", "counts"))
+        known, inverse = np.unique(key, return_inverse=True)
+        total = np.zeros(len(known), np.int64)
+        np.add.at(total, inverse, np.concatenate(counts).astype(np.int64))
+        often = np.flatnonzero(total >= least)
+        ids = np.zeros(len(known), np.int64)
+        ids[often] = numbered(len(often), table.column("bucket")[0].as_py(), buckets)
+        mine = np.split(ids[inverse], np.cumsum(lengths)[:-1])
+        back = [(s, packed(c[i > 0]), packed(i[i > 0].astype(np.uint32))) for s, c, i in zip(table.column("shard").to_pylist(), codes, mine) if i.any()]
+        m, k = len(back), len(often)
+        to_shards = {"shard": pa.array([x[0] for x in back], pa.int64()), "codes": pa.array([x[1] for x in back], pa.binary()), "ids": pa.array([x[2] for x in back], pa.binary())}
+        found = {"lang": langs.dictionary.take(pa.array(known[often] % len(langs.dictionary))), "word": words.dictionary.take(pa.array(known[often] // len(langs.dictionary))).cast(pa.string()), "id": pa.array(ids[often]), "f": pa.array(total[often])}
+        return pa.table({c: pa.chunked_array([x, pa.nulls(k, x.type)]) for c, x in to_shards.items()} | {c: pa.chunked_array([pa.nulls(m, x.type), x]) for c, x in found.items()})
+
+    return run
+
+
+#: The lists of a shard for one length: sorted positions, the phrase that starts at each, and its last word, which for words
+#: is the phrase itself and left out.
 LISTS = "shard long, n long, at binary, phrase binary, word binary"
 
 
-def _lists(shard: int, at: np.ndarray, phrase: np.ndarray, word: np.ndarray) -> pa.Table:
-    binary = lambda x: pa.array([np.ascontiguousarray(x.astype(np.uint32)).tobytes()], pa.binary())
-    return pa.table({"shard": pa.array([shard], pa.int64()), "n": pa.array([len(at)], pa.int64()), "at": binary(at), "phrase": binary(phrase), "word": binary(word)})
+def _lists(shard: int, at: np.ndarray, phrase: np.ndarray, word: np.ndarray | None) -> pa.Table:
+    values = {"at": gaps(at), "phrase": packed(phrase.astype(np.uint32)), "word": None if word is None else packed(word.astype(np.uint32))}
+    return pa.table({"shard": pa.array([shard], pa.int64()), "n": pa.array([len(at)], pa.int64()), **{c: pa.array([x], pa.binary()) for c, x in values.items()}})
+
+
+NO_LISTS = _lists(-1, *[np.zeros(0, np.uint32)] * 3)[:0]
+
+
+def _read_lists(table: pa.Table | pa.RecordBatch, row: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    at, phrase = from_gaps(table.column("at")[row]), unpacked(table.column("phrase")[row])
+    word = table.column("word")[row]
+    return at, phrase, unpacked(word) if word.is_valid else phrase
 
 
-def _read(table: pa.Table | pa.RecordBatch, column: str, row: int = 0, dtype=np.uint32) -> np.ndarray:
-    return np.frombuffer(table.column(column)[row].as_buffer(), dtype)
+def _all(table: pa.Table, column: str, dtype=np.uint32, read=unpacked) -> np.ndarray:
+    return np.concatenate([np.zeros(0, dtype), *(read(x, dtype) for x in table.column(column))])
 
 
 @released
-def _word_lists(shards: pa.Table, numbers: pa.Table) -> pa.Table:
+def _word_lists(shards: pa.Table, replies: pa.Table) -> pa.Table:
     """The postings of a shard's frequent words."""
-    if not len(shards):
-        return _lists(-1, *[np.zeros(0, np.uint32)] * 3)[:0]
-    at, code = _read(shards, "at"), _read(shards, "code")
-    number = np.zeros(int(code.max()) + 1, np.int64)
-    number[numbers.column("code").to_numpy()] = numbers.column("id").to_numpy()
+    if not len(shards) or not len(replies):
+        return NO_LISTS
+    at, code = from_gaps(shards.column("at")[0]), unpacked(shards.column("code")[0])
+    number = np.zeros(int(code.max()) + 1, np.uint32)
+    number[_all(replies, "codes")] = _all(replies, "ids")
     word = number[code]
     keep = word > 0
-    return _lists(shards.column("shard")[0].as_py(), at[keep], word[keep], word[keep])
+    return _lists(shards.column("shard")[0].as_py(), at[keep], word[keep], None)
 
 
 def extended(at: np.ndarray, phrase: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Merge-join of the lists with the adjacent words' postings: where an occurrence has one that starts a place later, and
     the pair of its phrase and that one's last word."""
-    after = np.searchsorted(at, at + 1)
-    met = np.flatnonzero(at[np.minimum(after, len(at) - 1)] == at + 1) if len(at) else after
-    return met, (phrase[met].astype(U64) << U64(32)) | word[after[met]]
+    met = np.flatnonzero(at[1:] == at[:-1] + 1)
+    return met, (phrase[met].astype(U64) << U64(32)) | word[met + 1]
 
 
-def bucket_of(pairs: np.ndarray, buckets: int) -> np.ndarray:
-    mixed = (pairs ^ (pairs >> U64(29))) * U64(0x9E3779B97F4A7C15)
+def bucket_of(values: np.ndarray, buckets: int) -> np.ndarray:
+    mixed = (values ^ (values >> U64(29))) * U64(0x9E3779B97F4A7C15)
     return ((mixed >> U64(33)) * U64(buckets) >> U64(31)).astype(np.int64)
 
 
@@ -142,17 +229,14 @@ def _send(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                _, pairs = extended(*(_read(batch, c, i) for c in ("at", "phrase", "word")))
+                _, pairs = extended(*_read_lists(batch, i))
                 pairs, counts = np.unique(pairs, return_counts=True)
                 if not len(pairs):
                     continue
-                bucket = bucket_of(pairs, buckets)
-                order = np.argsort(bucket, kind="stable")
-                pairs, counts, bucket = pairs[order], counts[order].astype(np.uint32), bucket[order]
-                cut = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
-                ends = [*cut[1:], len(pairs)]
+                order, parts = by_bucket(bucket_of(pairs, buckets))
+                pairs, counts = pairs[order], counts[order].astype(np.uint32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[cut].astype(np.int32)), pa.array(np.full(len(cut), batch.column("shard")[i].as_py())), pa.array([pairs[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()), pa.array([counts[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary())],
+                    [pa.array([x[0] for x in parts], pa.int32()), pa.array([batch.column("shard")[i].as_py()] * len(parts), pa.int64()), pa.array([gaps(pairs[a:b], U64) for _, a, b in parts], pa.binary()), pa.array([packed(counts[a:b]) for _, a, b in parts], pa.binary())],
                     names=["bucket", "shard", "pairs", "counts"],
                 )
 
@@ -166,30 +250,25 @@ REPLIES = "shard long, pairs binary, ids binary, phrase long, first long, word l
 def _frequent(buckets: int, least: int):
     @released
     def run(table: pa.Table) -> pa.Table:
-        shards, bucket = table.column("shard").to_numpy(), table.column("bucket")[0].as_py()
-        parts = [_read(table, "pairs", i, U64) for i in range(len(table))]
-        pairs = np.concatenate(parts)
-        counts = np.concatenate([_read(table, "counts", i) for i in range(len(table))]).astype(np.int64)
+        parts = [from_gaps(x, U64) for x in table.column("pairs")]
+        pairs, counts = np.concatenate(parts), _all(table, "counts").astype(np.int64)
         order = np.argsort(pairs, kind="stable")
         known = pairs[order]
         first = np.flatnonzero(np.concatenate(([True], known[1:] != known[:-1])))
         total = np.add.reduceat(counts[order], first)
         often = total >= least
         known, total = known[first[often]], total[often]
-        ids = np.arange(len(known)) * buckets + bucket + 1
-        if len(ids) and ids[-1] >= 1 << 32:
-            raise OverflowError("more frequent phrases of one length than can be numbered")
+        ids = numbered(len(known), table.column("bucket")[0].as_py(), buckets)
         back = []
-        for shard, part in zip(shards.tolist(), parts):
+        for shard, part in zip(table.column("shard").to_pylist(), parts):
             at = np.searchsorted(known, part)
             mine = at[known[np.minimum(at, len(known) - 1)] == part] if len(known) else at[:0]
             if len(mine):
-                back.append((shard, known[mine].tobytes(), ids[mine].astype(np.uint32).tobytes()))
-        m = len(known)
-        nulls = lambda n, t: pa.nulls(n, t)
-        to_shards = pa.table({"shard": pa.array([x[0] for x in back], pa.int64()), "pairs": pa.array([x[1] for x in back], pa.binary()), "ids": pa.array([x[2] for x in back], pa.binary()), **{c: nulls(len(back), pa.int64()) for c in ("phrase", "first", "word", "a")}})
-        phrases = pa.table({"shard": nulls(m, pa.int64()), "pairs": nulls(m, pa.binary()), "ids": nulls(m, pa.binary()), "phrase": pa.array(ids), "first": pa.array((known >> U64(32)).astype(np.int64)), "word": pa.array((known & LOW).astype(np.int64)), "a": pa.array(total)})
-        return pa.concat_tables([to_shards, phrases])
+                back.append((shard, gaps(known[mine], U64), packed(ids[mine].astype(np.uint32))))
+        m, k = len(back), len(known)
+        to_shards = {"shard": pa.array([x[0] for x in back], pa.int64()), "pairs": pa.array([x[1] for x in back], pa.binary()), "ids": pa.array([x[2] for x in back], pa.binary())}
+        found = {"phrase": pa.array(ids), "first": pa.array((known >> U64(32)).astype(np.int64)), "word": pa.array((known & LOW).astype(np.int64)), "a": pa.array(total)}
+        return pa.table({c: pa.chunked_array([x, pa.nulls(k, x.type)]) for c, x in to_shards.items()} | {c: pa.chunked_array([pa.nulls(m, x.type), x]) for c, x in found.items()})
 
     return run
 
@@ -198,9 +277,9 @@ def _frequent(buckets: int, least: int):
 def _kept(lists: pa.Table, replies: pa.Table) -> pa.Table:
     """The lists of the longer phrases of a shard that are frequent."""
     if not len(lists) or not len(replies):
-        return _lists(-1, *[np.zeros(0, np.uint32)] * 3)[:0]
-    at, phrase, word = (_read(lists, c) for c in ("at", "phrase", "word"))
-    known, ids = (np.concatenate([_read(replies, c, i, t) for i in range(len(replies))]) for c, t in (("pairs", U64), ("ids", np.uint32)))
+        return NO_LISTS
+    at, phrase, word = _read_lists(lists)
+    known, ids = _all(replies, "pairs", U64, from_gaps), _all(replies, "ids")
     order = np.argsort(known)
     known, ids = known[order], ids[order]
     met, pairs = extended(at, phrase, word)
@@ -213,35 +292,32 @@ def frequent_phrases(docs: DataFrame, most_words: int, least: int) -> tuple[Data
     """lang, phrase, k (its number of words) and f of every phrase of up to most_words words that occurs least times or more,
     and lang and n, the number of words."""
     spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(partitions(spark), -(-size // BUCKET_BYTES))
     with arrow_batches(spark, f"{SHARD_BYTES}b"):
-        shards = written(docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(_shards, SHARDS), "phrase-shards")
-    local = shards.select("shard", F.explode("vocabulary").alias("v")).select("shard", "v.*")
-    counts = written(local.groupBy("lang", "word").agg(F.sum("c").alias("f")), "phrase-words")
-    totals = written(counts.groupBy("lang").agg(F.sum("f").alias("n")), "phrase-totals")
-    bucket = F.pmod(F.xxhash64("lang", "word"), F.lit(NUMBERED))
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy("lang", "word"))
-    words = counts.filter(F.col("f") >= least).withColumn("bucket", bucket)
-    words = written(words.select("lang", "word", "f", (place * NUMBERED - F.col("bucket")).cast("long").alias("id")), "phrase-vocabulary")
-    if (words.agg(F.max("id")).first()[0] or 0) >= 1 << 32:
-        raise OverflowError("more frequent words than can be numbered")
-    numbers = local.join(words, ["lang", "word"]).select(F.col("shard").alias("of"), "code", "id")
-    lists = written(shards.select("shard", "at", "code").groupBy("shard").cogroup(numbers.groupBy("of")).applyInArrow(_word_lists, LISTS), "phrase-lists")
-    now = words.select("lang", F.col("word").alias("phrase"), F.col("id"), "f")
-    out = [now.select("lang", "phrase", F.lit(1).alias("k"), "f")]
-    for k in range(2, most_words + 1):
-        occurrences = lists.agg(F.sum("n")).first()[0] or 0
-        if not occurrences:
-            break
-        buckets = max(partitions(spark), -(-occurrences // BUCKET_PAIRS))
-        replies = written(lists.mapInArrow(_send(buckets), PACKS).groupBy("bucket").applyInArrow(_frequent(buckets, least), REPLIES), "phrase-replies")
-        if k < most_words:
-            back = replies.filter("shard IS NOT NULL").select("shard", "pairs", "ids")
-            lists = written(lists.groupBy("shard").cogroup(back.groupBy("shard")).applyInArrow(_kept, LISTS), "phrase-lists")
-        found = replies.filter("shard IS NULL").select(F.col("phrase").alias("new"), F.col("first").alias("id"), F.col("word").alias("w"), F.col("a").alias("f"))
-        last = words.select(F.col("id").alias("w"), "word")
-        made = found.join(now.drop("f"), "id").join(last, "w").select("lang", F.concat_ws(" ", "phrase", "word").alias("phrase"), F.col("new").alias("id"), "f")
-        now = written(made, "phrase-found")
-        out.append(now.select("lang", "phrase", F.lit(k).alias("k"), "f"))
+        shards = written(docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(_shards(buckets), SHARDS), "phrase-shards")
+        vocabulary = shards.filter("bucket IS NOT NULL").select("shard", "bucket", "lang", "words", "codes", "counts")
+        words = written(vocabulary.groupBy("bucket").applyInArrow(_frequent_words(buckets, least), WORDS), "phrase-words")
+        totals = written(shards.filter("bucket IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
+        back = words.filter("shard IS NOT NULL").select("shard", "codes", "ids")
+        texts = shards.filter("bucket IS NULL").select("shard", "at", "code")
+        lists = written(texts.groupBy("shard").cogroup(back.groupBy("shard")).applyInArrow(_word_lists, LISTS), "phrase-lists")
+        now = words.filter("shard IS NULL").select("lang", F.col("word").alias("phrase"), "id", "f")
+        last = now.select(F.col("id").alias("w"), F.col("phrase").alias("word"))
+        out = [now.select("lang", "phrase", F.lit(1).alias("k"), "f")]
+        for k in range(2, most_words + 1):
+            occurrences = lists.agg(F.sum("n")).first()[0] or 0
+            if not occurrences:
+                break
+            buckets = max(partitions(spark), -(-occurrences // BUCKET_PAIRS))
+            replies = written(lists.mapInArrow(_send(buckets), PACKS).groupBy("bucket").applyInArrow(_frequent(buckets, least), REPLIES), "phrase-replies")
+            if k < most_words:
+                back = replies.filter("shard IS NOT NULL").select("shard", "pairs", "ids")
+                lists = written(lists.groupBy("shard").cogroup(back.groupBy("shard")).applyInArrow(_kept, LISTS), "phrase-lists")
+            found = replies.filter("shard IS NULL").select(F.col("phrase").alias("new"), F.col("first").alias("id"), F.col("word").alias("w"), F.col("a").alias("f"))
+            made = found.join(now.drop("f"), "id").join(last, "w").select("lang", F.concat_ws(" ", "phrase", "word").alias("phrase"), F.col("new").alias("id"), "f")
+            now = written(made, "phrase-found")
+            out.append(now.select("lang", "phrase", F.lit(k).alias("k"), "f"))
     return reduce(DataFrame.unionByName, out), totals
 
 

@@ -209,7 +209,7 @@ held AS (
 cut AS (SELECT *, unnest(range(1, k)) AS j FROM o),
 sc AS (
   SELECT cut.lang, cut.g, cut.f AS a, n.n, x.f AS l, y.f AS r, j, (1000 * CAST(cut.f AS HUGEINT) * n.n) // (CAST(x.f AS HUGEINT) * y.f) AS score
-  FROM cut JOIN n ON n.lang = cut.lang JOIN f x ON x.lang = cut.lang AND x.g = cut.g[1:j] JOIN f y ON y.lang = cut.lang AND y.g = cut.g[j + 1:k]
+  FROM cut JOIN n ON n.lang = cut.lang JOIN f x ON x.lang = cut.lang AND x.g = cut.g[1:j] JOIN f y ON y.lang = cut.lang AND y.g = cut.g[j + 1:cut.k]
 ), b AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1),
 q AS (SELECT *, list_aggregate(g, 'string_agg', ' ') AS phrase FROM b)
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
