@@ -50,8 +50,8 @@ def level_sizes(size: int) -> list[int]:
 class Span:
     """Nodes of one span as far as they are known: partial parents with their children by index, links of complete ones."""
 
-    def __init__(self, size: int):
-        self.sizes = level_sizes(size)[: DEPTH + 1]
+    def __init__(self, size: int, depth: int = DEPTH):
+        self.sizes = level_sizes(size)[: depth + 1]
         self.partial: dict[tuple[int, int], dict[int, bytes]] = {}
         self.links: dict[tuple[int, int], list[bytes]] = {}
         self.top: tuple[int, int, bytes] | None = None
@@ -107,10 +107,10 @@ def fold(digest: bytes, index: int, size: int, siblings: bytes) -> tuple[bytes,
     return digest, siblings[at:]
 
 
-def _combined(nodes: RDD, reducers: int) -> RDD:
+def _combined(nodes: RDD, reducers: int, depth: int) -> RDD:
     """(tree, index, path, null) of every node (tree, index, size, digest), and (tree, span, null, top) of every span."""
-    keyed = nodes.map(lambda r: ((r[0], r[1] // ARITY**DEPTH), (r[1], r[2], bytes(r[3]))))
-    first = lambda v: Span(v[1]).arrive(0, v[0], v[2])
+    keyed = nodes.map(lambda r: ((r[0], r[1] // ARITY**depth), (r[1], r[2], bytes(r[3]))))
+    first = lambda v: Span(v[1], depth).arrive(0, v[0], v[2])
     spans = keyed.combineByKey(first, lambda span, v: span.arrive(0, v[0], v[2]), Span.absorb, reducers)
 
     def rows(entry):
@@ -122,7 +122,7 @@ def _combined(nodes: RDD, reducers: int) -> RDD:
     return spans.flatMap(rows)
 
 
-def build(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+def build(nodes: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, list[DataFrame]]:
     """From tree, index, size and digest of all nodes: tree and digest of every root, and for every round the paths (tree,
     index, path) within its spans; index counts the round's nodes."""
     most, count = nodes.agg(F.coalesce(F.max("size"), F.lit(0)), F.count("*")).first()
@@ -130,12 +130,12 @@ def build(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     while most > 1 or not rounds:
         spark = nodes.sparkSession
         reducers = max(partitions(spark), -(-count // TASK_NODES))
-        made = spark.createDataFrame(_combined(now.select("tree", "index", "size", "digest").rdd, reducers), "tree long, index long, path binary, top binary", verifySchema=False)
+        made = spark.createDataFrame(_combined(now.select("tree", "index", "size", "digest").rdd, reducers, depth), "tree long, index long, path binary, top binary", verifySchema=False)
         made = written(made, "merkle-round")
         rounds.append(made.filter("path IS NOT NULL").select("tree", "index", "path"))
-        sizes = now.select("tree", F.ceil(F.col("size") / ARITY**DEPTH).alias("size")).distinct()
+        sizes = now.select("tree", F.ceil(F.col("size") / ARITY**depth).alias("size")).distinct()
         now = made.filter("top IS NOT NULL").select("tree", "index", F.col("top").alias("digest")).join(sizes, "tree")
-        most, count = -(-most // ARITY**DEPTH), -(-count // ARITY**DEPTH)
+        most, count = -(-most // ARITY**depth), -(-count // ARITY**depth)
     return now.select("tree", "digest"), rounds
 
 
@@ -203,20 +203,20 @@ class Manifest:
         return ready.mapInArrow(_proven(self.trees, self.root), "id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean")
 
 
-def manifest(rows: DataFrame) -> Manifest:
-    """From group, id, leaf and held (the leaf to be proven, as it may have been tampered with)."""
+def manifest(rows: DataFrame, depth: int = DEPTH) -> Manifest:
+    """From group, id, leaf and held (the leaf to be proven, as it may have been tampered with); a round builds depth levels."""
     leaves, trees = number_leaves(rows)
-    subroots, rounds = build(leaves.select("tree", "index", "size", F.col("leaf").alias("digest")))
+    subroots, rounds = build(leaves.select("tree", "index", "size", F.col("leaf").alias("digest")), depth)
     subroots, n = written(subroots, "merkle-subroots"), trees.count()
-    roots, over = build(subroots.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("index"), F.lit(n).cast("long").alias("size"), "digest"))
+    roots, over = build(subroots.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("index"), F.lit(n).cast("long").alias("size"), "digest"), depth)
     root = roots.first()
     out, up = leaves, subroots.select("tree", F.col("digest").alias("subroot"))
     for k, paths in enumerate(rounds):
         at = paths.select("tree", F.col("index").alias("at"), F.col("path").alias(f"path{k}"))
-        out = out.withColumn("at", F.floor(F.col("index") / ARITY ** (DEPTH * k))).join(at, ["tree", "at"]).drop("at")
+        out = out.withColumn("at", F.floor(F.col("index") / ARITY ** (depth * k))).join(at, ["tree", "at"]).drop("at")
     for k, paths in enumerate(over):
         at = paths.select(F.col("index").alias("at"), F.col("path").alias(f"over{k}"))
-        up = up.withColumn("at", F.floor(F.col("tree") / ARITY ** (DEPTH * k))).join(at, "at").drop("at")
+        up = up.withColumn("at", F.floor(F.col("tree") / ARITY ** (depth * k))).join(at, "at").drop("at")
     out = out.join(written(up, "merkle-over"), "tree")
     path = F.concat(*(f"path{k}" for k in range(len(rounds))), *(f"over{k}" for k in range(len(over))))
     return Manifest(bytes(root.digest) if root else b"", n, out.select("id", "tree", "index", "size", "leaf", "held", "subroot", path.alias("path")))
