@@ -3,10 +3,16 @@ over Arrow."""
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 
 def ratio(a: str, b: str) -> float:
@@ -84,17 +90,58 @@ def surname_column(a, b):
     return _pairwise(surname_similarity)(a, b)
 
 
+def best_window(quote: str, source: str) -> tuple[float, str]:
+    """The best token-set ratio of a quote to the windows of its source, and the first such window without white space at its
+    ends. Windows have one and a half of the quote's length and begin a quarter of it apart; a source shorter than a window
+    has none.
+
+    A window's ratio is at most what its characters allow: it shares no more of them with the quote than both have. Windows
+    that may hold one of the quote's words are exempt, as few other words can make their ratio higher. Windows are tried in
+    order of what they allow, until that is less than the best."""
+    size, step = int(len(quote) * 1.5), max(1, len(quote) // 4)
+    q, low = quote.strip().lower(), source.lower()
+    words = set(q.split())
+    starts = np.arange(0, len(source) - size + 1, step)
+    if not len(starts) or not words:
+        return 0.0, ""
+    own = " ".join(sorted(words))
+    letters = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.minimum(starts + size, len(letters))
+    within = np.minimum(starts, len(letters))
+    shared = np.full(len(starts), len(words) - 1)
+    for c, n in Counter(own.replace(" ", "")).items():
+        count = np.concatenate(([0], np.cumsum(letters == ord(c))))
+        shared += np.minimum(count[ends] - count[within], n)
+    shared = np.minimum(shared, len(own))
+    most = 200.0 * shared / (len(own) + shared)
+    for w in words:
+        at = [m.start() for m in re.finditer(f"(?={re.escape(w)})", low)]
+        if at:
+            first = np.searchsorted(at, starts)
+            most[(first < len(at)) & (np.take(at, np.minimum(first, len(at) - 1)) + len(w) <= starts + size)] = 100.0
+    best, place = 0.0, -1
+    for k in np.argsort(-most, kind="stable").tolist():
+        if most[k] < best - 1e-9 or best == 100.0 and k > place:
+            break
+        i = int(starts[k])
+        score = token_set_ratio(q, low[i : i + size])
+        if score > best or (score == best and 0 <= k < place):
+            best, place = score, k
+    return best, source[starts[place] : starts[place] + size].strip() if place >= 0 else ""
+
+
 def citation_score(quote: str | None, source: str | None) -> float:
-    """100 for a quote found in its source; else the best token-set ratio over windows of one and a half of its length, a
-    quarter of its length apart."""
-    q, s = (quote or "").strip().lower(), (source or "").lower()
-    if not q:
+    """100 for a quote found in its source; else that of its best window."""
+    if not quote or not source:
         return 0.0
-    if q in s:
-        return 100.0
-    size, step = int(len(q) * 1.5), max(1, len(q) // 4)
-    return max((token_set_ratio(q, s[i : i + size]) for i in range(0, len(s) - size + 1, step)), default=0.0)
+    return 100.0 if quote.strip().lower() in source.lower() else best_window(quote, source)[0]
+
 
+def best_windows(df: DataFrame, quote: str, source: str) -> DataFrame:
+    """df with score and snippet of each row's best window."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [best_window(q, s) for q, s in zip(b[quote], b[source])]
+            yield b.assign(score=[float(x) for x, _ in found], snippet=[x for _, x in found])
 
-def citation_column(quote, source):
-    return _pairwise(citation_score)(quote, source)
+    return df.mapInPandas(run, StructType([*df.schema.fields, StructField("score", DoubleType()), StructField("snippet", StringType())]))

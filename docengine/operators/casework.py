@@ -166,10 +166,8 @@ def markdown_of(documents: DataFrame, texts: DataFrame, *, fallbacks: bool = Tru
 
 
 def image_slices(chunks: DataFrame, most: int = 20) -> DataFrame:
-    """A document's images dealt over its chunks in order, as many each; what is beyond most in a chunk is left out."""
-    each = F.ceil(F.size("images") / F.col("n_chunks")).cast("int")
-    own = F.slice("images", (F.col("chunk_no") * each + 1).cast("int"), F.greatest(each, F.lit(1)))
-    return chunks.select("doc_id", "chunk_no", F.slice(own, 1, most).alias("images"))
+    """A document's images dealt over its chunks in order, most to each; what no chunk has room for is left out."""
+    return chunks.select("doc_id", "chunk_no", F.slice("images", (F.col("chunk_no") * most + 1).cast("int"), most).alias("images"))
 
 
 def capped_workbook(sections: DataFrame, cap: int = 60_000) -> DataFrame:

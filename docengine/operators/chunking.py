@@ -28,32 +28,34 @@ def boundary(text: str, start: int, end: int, size: int, look_back: int = LOOK_B
 
 
 def split_text(text: str, size: int = SIZE, overlap: int = OVERLAP, whole: int = WHOLE) -> list[tuple[int, str]]:
-    """(start, piece) of a text; a text of no more than whole characters is one piece."""
+    """(start, piece) of a text; a text of no more than whole characters is one piece. A piece that a boundary would leave
+    shorter than half of size ends at size. The next begins overlap before its end; where that is less than a tenth of size
+    on, it begins size less overlap on. So the last piece may be no more than the overlap with the one before."""
     if overlap >= size:
         raise ValueError("overlap must be smaller than size")
     if len(text) <= whole:
         return [(0, text)]
     out, start = [], 0
     while start < len(text):
-        end = min(start + size, len(text))
+        end = full = min(start + size, len(text))
         if end < len(text):
             end = boundary(text, start, end, size)
+            end = full if end < start + size // 2 else end
         out.append((start, text[start:end]))
-        if end >= len(text):
-            break
-        start = max(end - overlap, start + 1)
+        step = end - start - overlap
+        start += step if step >= size // 10 else size - overlap
     return out
 
 
 def chunk(docs: DataFrame, *, size: int = SIZE, overlap: int = OVERLAP, whole: int = WHOLE) -> DataFrame:
-    """doc_id, chunk_no, start and chunk of every text."""
+    """doc_id, chunk_no, n_chunks, start and chunk of every text; a null text has none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(d, i, s, c) for d, t in zip(b["doc_id"], b["text"]) if t is not None for i, (s, c) in enumerate(split_text(t, size, overlap, whole))]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_no", "start", "chunk"])
+            parts = ((d, split_text(t, size, overlap, whole)) for d, t in zip(b["doc_id"], b["text"]) if t is not None)
+            yield pd.DataFrame([(d, i, len(p), s, c) for d, p in parts for i, (s, c) in enumerate(p)], columns=["doc_id", "chunk_no", "n_chunks", "start", "chunk"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, chunk_no int, start long, chunk string")
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, chunk_no int, n_chunks int, start long, chunk string")
 
 
 def tables_of(text: str) -> list[tuple[list[str], list[list[str]]]]:

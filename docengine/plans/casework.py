@@ -232,8 +232,8 @@ def markdown_fallbacks(spark: SparkSession, sf: str) -> DataFrame:
     return W.markdown_of(*markdown_tables(spark, sf))
 
 
-@query("txt03_image_slices", """SELECT doc_id, CAST(i AS INTEGER) AS chunk_no, list_slice(list_slice(images, CAST(i * each + 1 AS BIGINT), CAST(i * each + greatest(each, 1) AS BIGINT)), 1, 20) AS images
-FROM (SELECT doc_id, images, nc, CAST(ceil(len(images) / nc) AS BIGINT) AS each, unnest(range(0, nc)) AS i FROM (SELECT doc_id, range(0, doc_id % 70) AS images, doc_id % 3 + 1 AS nc FROM documents))""")
+@query("txt03_image_slices", """SELECT doc_id, CAST(i AS INTEGER) AS chunk_no, list_slice(images, CAST(i * 20 + 1 AS BIGINT), CAST(i * 20 + 20 AS BIGINT)) AS images
+FROM (SELECT doc_id, images, unnest(range(0, nc)) AS i FROM (SELECT doc_id, range(0, doc_id % 70) AS images, doc_id % 3 + 1 AS nc FROM documents))""")
 def image_slices(spark: SparkSession, sf: str) -> DataFrame:
     n = F.col("doc_id")
     images = F.when(n % 70 > 0, F.sequence(F.lit(0).cast("long"), n % 70 - 1)).otherwise(F.array().cast("array<bigint>"))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docengine import constants as C
+from docengine.functions import canonical
 from docengine.functions import text as T
-from docengine.operators import chunking, discovery, mapping, spreadsheet
+from docengine.operators import chunking, discovery, extraction, mapping, spreadsheet
 from docengine.plans import adapters as A
+from docengine.sources import cache
 
 Q: dict = {}
 S: dict[str, str] = {}
@@ -352,9 +355,39 @@ def reply_schema(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("event_id", good.alias("valid"))
 
 
-@query("key01_cache_key", "SELECT doc_id, substr(sha256(source || chr(31) || lang || chr(31) || sha256(text)), 1, 16) AS key FROM documents")
+JSON_TEXT = """'"' || array_to_string(list_transform(string_split({c}, ''), lambda x: CASE WHEN x = '"' THEN '\\"' WHEN x = '\\' THEN '\\\\' WHEN x = chr(10) THEN '\\n' WHEN x = chr(13) THEN '\\r' WHEN x = chr(9) THEN '\\t'
+  WHEN x = chr(8) THEN '\\b' WHEN x = chr(12) THEN '\\f' WHEN unicode(x) BETWEEN 32 AND 126 THEN x WHEN unicode(x) < 65536 THEN format('\\u{{:04x}}', unicode(x))
+  ELSE format('\\u{{:04x}}\\u{{:04x}}', 55296 + (unicode(x) - 65536) // 1024, 56320 + (unicode(x) - 65536) % 1024) END), '') || '"'"""
+
+
+@query("key01_cache_key", f"""WITH r AS (SELECT doc_id, 'REQ-' || lpad(CAST(doc_id % 23 + 1 AS VARCHAR), 3, '0') AS req, coalesce(text, '') AS text, source || '"' || doc_id AS document_id, ['0.0', '0.1', '1e-05', '1.0', '2.5'][doc_id % 5 + 1] AS temperature FROM documents)
+SELECT doc_id, substr(sha256('{{"accepted_evidence": "any \\u00e9vidence", "document_hash": "' || substr(sha256(text), 1, 16) || '", "document_id": ' || {JSON_TEXT.format(c="document_id")} || ', "model": "m-1", "prompt_version": "v2", "requirement_id": "' || req
+  || '", "requirement_text": ' || {JSON_TEXT.format(c="text")} || ', "temperature": ' || temperature || '}}'), 1, 16) || '_' || ['docu', 'cros', 'stru'][doc_id % 3 + 1] AS key FROM r""")
 def cache_key(spark: SparkSession, sf: str) -> DataFrame:
-    return A.table(spark, sf, "documents").select("doc_id", T.cache_key(F.col("source"), F.col("lang"), F.sha2("text", 256)).alias("key"))
+    n, lit = F.col("doc_id"), F.lit
+    pick = lambda values, k: F.element_at(F.array(*(lit(v) for v in values)), (n % k + 1).cast("int"))
+    text = F.coalesce("text", lit(""))
+    key = canonical.request_key(
+        F.concat(lit("REQ-"), F.lpad((n % 23 + 1).cast("string"), 3, "0")), text, lit("any évidence"), F.concat("source", lit('"'), n.cast("string")), text, lit("m-1"), pick((0.0, 0.1, 1e-05, 1.0, 2.5), 5), lit("v2"),
+        pick(("document_presence", "cross_document", "structured_field"), 3),
+    )
+    return A.table(spark, sf, "documents").select("doc_id", key.alias("key"))
+
+
+CACHE_LOG = """log AS (SELECT user_id % 50 AS k, event_id AS seq, epoch(ts) AS now, ['set', 'get', 'get', 'set', 'get', 'delete', 'get'][event_id % 7 + 1] AS call, [NULL, 600, 86400][event_id % 3 + 1] AS ttl, event_type AS value FROM events)"""
+
+
+@query("cch01_cache_outcomes", f"""WITH {CACHE_LOG}, s AS (SELECT *, last_value(CASE WHEN call <> 'get' THEN {{'call': call, 'since': now, 'ttl': ttl, 'value': value}} END IGNORE NULLS) OVER (PARTITION BY k ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM log),
+h AS (SELECT *, coalesce(e.call = 'set' AND (e.ttl IS NULL OR now <= e.since + e.ttl), false) AS hit FROM s WHERE call = 'get')
+SELECT 'pdf' AS namespace, 'key ' || k AS key, seq, hit, CASE WHEN hit THEN e.value END AS value FROM h""")
+def cache_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.col("event_id")
+    pick = lambda values, k: F.element_at(F.array(*(F.lit(v) for v in values)), (n % k + 1).cast("int"))
+    log = A.table(spark, sf, "events").select(
+        F.lit("pdf").alias("namespace"), F.concat(F.lit("key "), (F.col("user_id") % 50).cast("string")).alias("key"), n.alias("seq"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"),
+        pick(("set", "get", "get", "set", "get", "delete", "get"), 7).alias("call"), pick((None, 600, 86400), 3).cast("long").alias("ttl"), F.col("event_type").alias("value"),
+    )
+    return cache.replay(log)
 
 
 @query("txt05_markdown_rows", "SELECT n_nationkey, '| ' || n_nationkey || ' | ' || n_name || ' | ' || n_regionkey || ' |  |' AS line FROM nation")
@@ -370,9 +403,77 @@ def rows_within(spark: SparkSession, sf: str) -> DataFrame:
     return spreadsheet.rows_within(p, 1000, 40).select("sheet", "pos", "line")
 
 
-@query("txt02_chunks")
+def chunks_sql(docs: str, size: int, overlap: int, whole: int) -> str:
+    """CTEs that end in chunks (doc_id, chunk_no, n_chunks, start, chunk) of the texts of docs: where each begins is found from
+    the one before."""
+    least = min(size // 5, 10_000)
+    ends = f"""SELECT doc_id, chunk_no, start, text, n, CASE WHEN n <= {whole} THEN n WHEN fin >= n THEN n WHEN cut < start + {size // 2} THEN fin ELSE cut END AS fin FROM (
+      SELECT *, CASE WHEN fin - start < {least} THEN fin WHEN contains(region, chr(10) || chr(10)) THEN low + length(region) - instr(reverse(region), chr(10) || chr(10)) + 1
+        WHEN regexp_matches(region, '[.!?][ \n]') THEN low + length(regexp_extract(region, '(?s)^(.*[.!?][ \n])', 1))
+        WHEN contains(region, ' ') THEN low + length(regexp_extract(region, '(?s)^(.*) ', 1)) ELSE fin END AS cut FROM (
+        SELECT *, substr(text, low + 1, fin - low) AS region FROM (
+          SELECT pt.doc_id, pt.chunk_no, pt.start, t.text, t.n, least(pt.start + {size}, t.n) AS fin, greatest(pt.start + {least}, least(pt.start + {size}, t.n) - {chunking.LOOK_BACK}) AS low FROM pt JOIN t ON t.doc_id = pt.doc_id)))"""
+    step = f"CASE WHEN n <= {whole} THEN n WHEN fin - start - {overlap} >= {size // 10} THEN fin - start - {overlap} ELSE {size - overlap} END"
+    return f"""t AS (SELECT doc_id, text, length(text) AS n FROM {docs} WHERE text IS NOT NULL),
+pt AS (SELECT doc_id, 0 AS chunk_no, CAST(0 AS BIGINT) AS start FROM t UNION ALL SELECT doc_id, chunk_no + 1, start + {step} FROM ({ends}) WHERE start + {step} < n),
+chunks AS (SELECT doc_id, chunk_no, CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS n_chunks, start, substr(text, start + 1, fin - start) AS chunk FROM ({ends}))"""
+
+
+CHUNK_SIZES = {"size": 2000, "overlap": 100, "whole": 2500}
+
+
+@query("txt02_chunks", f"WITH RECURSIVE {chunks_sql('documents', **CHUNK_SIZES)} SELECT * FROM chunks")
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return chunking.chunk(A.table(spark, sf, "documents"), size=2000, overlap=100, whole=2500)
+    return chunking.chunk(A.table(spark, sf, "documents"), **CHUNK_SIZES)
+
+
+def long_words(chunk: extraction.Chunk) -> list[extraction.Field]:
+    """Words with a capital and nine letters more; every eleventh chunk fails, as a model's call may."""
+    if (chunk.doc_id + chunk.number) % 11 == 0:
+        raise RuntimeError(f"no reply for chunk {chunk.number}")
+    return [extraction.Field("term", w, 0.5 + (chunk.number % 5) / 10, w) for w in re.findall("[A-Z][a-z]{9,}", chunk.text)]
+
+
+def ids_and_dates(chunk: extraction.Chunk) -> list[extraction.Field]:
+    found = [("project_id", C.PROJECT_ID, 0.9), ("date", r"\d{4}-\d{2}-\d{2}", 0.7)]
+    return [extraction.Field(kind, m, sure, m) for kind, pattern, sure in found for m in re.findall(pattern, chunk.text, re.A)]
+
+
+#: Stand-ins for a model's calls; any other function from a chunk to fields may be registered.
+EXTRACTORS = [extraction.register(extraction.Extractor("long_words", long_words)), extraction.register(extraction.Extractor("ids_and_dates", ids_and_dates))]
+
+EXTRACTED = f"""{A.RICH_TEXT}, {chunks_sql('rich', **CHUNK_SIZES)},
+named AS (SELECT *, 'document ' || doc_id || CASE WHEN n_chunks > 1 THEN ' (chunk ' || (chunk_no + 1) || '/' || n_chunks || ')' ELSE '' END AS source FROM chunks),
+terms AS (SELECT doc_id, chunk_no, source, unnest(regexp_extract_all(chunk, '[A-Z][a-z]{{9,}}')) AS value, unnest(range(0, len(regexp_extract_all(chunk, '[A-Z][a-z]{{9,}}')))) AS pos FROM named WHERE (doc_id + chunk_no) % 11 <> 0),
+ids AS (SELECT doc_id, chunk_no, source, regexp_extract_all(chunk, 'C\\d{{2}}-\\d+') AS a, regexp_extract_all(chunk, '\\d{{4}}-\\d{{2}}-\\d{{2}}') AS b FROM named),
+extracted AS (
+  SELECT doc_id, chunk_no, CAST(pos AS INTEGER) AS pos, 'long_words' AS extractor, 'term' AS field_type, value, source, CAST(0.5 AS DOUBLE) + CAST(chunk_no % 5 AS DOUBLE) / 10 AS confidence, value AS raw_text, NULL AS error FROM terms
+  UNION ALL SELECT doc_id, chunk_no, 0, 'long_words', NULL, NULL, source, NULL, NULL, 'RuntimeError: no reply for chunk ' || chunk_no FROM named WHERE (doc_id + chunk_no) % 11 = 0
+  UNION ALL SELECT doc_id, chunk_no, CAST(unnest(range(0, len(a) + len(b))) AS INTEGER), 'ids_and_dates', unnest(list_concat(list_transform(a, lambda x: 'project_id'), list_transform(b, lambda x: 'date'))), unnest(list_concat(a, b)), source,
+    unnest(list_concat(list_transform(a, lambda x: CAST(0.9 AS DOUBLE)), list_transform(b, lambda x: CAST(0.7 AS DOUBLE)))), unnest(list_concat(a, b)), NULL FROM ids
+)"""
+
+
+def extracted(spark: SparkSession, sf: str) -> DataFrame:
+    return extraction.extract(chunking.chunk(A.rich_text(spark, sf), **CHUNK_SIZES), "long_words", "ids_and_dates")
+
+
+@query("ext01_chunk_fields", f"WITH RECURSIVE {EXTRACTED} SELECT * FROM extracted")
+def chunk_fields(spark: SparkSession, sf: str) -> DataFrame:
+    return extracted(spark, sf)
+
+
+@query("ext02_merged_fields", f"""WITH RECURSIVE {EXTRACTED}
+SELECT doc_id, field_type, value, max(confidence) AS confidence, arg_min(chunk_no, (-confidence, chunk_no, pos)) AS chunk_no, arg_min(source, (-confidence, chunk_no, pos)) AS source, any_value(raw_text) AS raw_text, count(*) AS n_found, min(chunk_no) AS first_chunk
+FROM extracted WHERE error IS NULL GROUP BY doc_id, field_type, value""")
+def merged_fields(spark: SparkSession, sf: str) -> DataFrame:
+    return extraction.merge(extracted(spark, sf))
+
+
+@query("ext03_extraction_progress", f"""WITH RECURSIVE {EXTRACTED}, p AS (SELECT doc_id, count(DISTINCT CASE WHEN error IS NOT NULL THEN chunk_no END) AS failed, count(*) FILTER (error IS NULL) AS fields FROM extracted GROUP BY doc_id)
+SELECT c.doc_id, chunks, coalesce(failed, 0) AS failed, coalesce(fields, 0) AS fields FROM (SELECT doc_id, count(*) AS chunks FROM chunks GROUP BY doc_id) c LEFT JOIN p ON p.doc_id = c.doc_id""")
+def extraction_progress(spark: SparkSession, sf: str) -> DataFrame:
+    return extraction.progress(extracted(spark, sf), chunking.chunk(A.rich_text(spark, sf), **CHUNK_SIZES))
 
 
 @query("txt12_tables")

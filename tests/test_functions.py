@@ -63,7 +63,7 @@ def test_land_tenure_goldens(spark):
 def test_numeric_consistency_edges(spark):
     rows = [("zero", "a", "0"), ("zero", "b", "0"), ("one", "a", "0"), ("one", "b", "-3"), ("neg", "a", "-1"), ("neg", "b", "-9"), ("single", "a", "4"), ("far", "a", "100"), ("far", "b", "90")]
     df = spark.createDataFrame([(s, d, "area_hectares", v) for s, d, v in rows], "session string, document string, field_name string, value string")
-    assert {r["session"]: r["status"] for r in validation.numeric_consistency(df).collect()} == {"zero": "pass", "one": "warning", "neg": "pass", "far": "warning"}
+    assert {r["session"]: r["status"] for r in validation.document_checks(df, "numbers").collect()} == {"zero": "pass", "one": "warning", "neg": "pass", "far": "warning"}
 
 
 def test_merge_keeps_first_of_equals(spark):
