@@ -28,10 +28,20 @@ def json_text(text: Column) -> Column:
     return F.coalesce(F.concat(F.lit('"'), body, F.lit('"')), F.lit("null"))
 
 
+def _shortened(x: Column) -> Column:
+    """The JVM's decimals of a positive double, which may have a digit too many: one less, rounded, if that is the same number."""
+    text = x.cast("string")
+    mantissa, power = F.regexp_extract(text, r"^[\d.]+", 0), F.regexp_extract(text, "E.*$", 0)
+    point, digits = F.instr(mantissa, ".") - 1, F.replace(mantissa, F.lit("."), F.lit(""))
+    less = F.lpad(F.floor((digits.try_cast("decimal(30,0)") + 5) / 10).cast("string"), F.length(digits) - 1, "0")
+    made = F.regexp_replace(F.concat(F.substring(less, F.lit(1), point), F.lit("."), F.substring(less, point + 1, F.length(less))), r"(?<=\.\d{1,20})0+$", "")
+    shorter = F.concat(made, power)
+    return F.when((F.length(digits) > point + 1) & (shorter.try_cast("double") == x), shorter).otherwise(text)
+
+
 def json_double(x: Column) -> Column:
-    """A double by its decimals: without exponent from 0.0001 to below 1e16, else with one of two digits or more. They are the
-    shortest for numbers of up to 15 digits, as settings are; for others the JVM may give one digit more."""
-    text = F.abs(x).cast("string")
+    """A double by its shortest decimals: without exponent from 0.0001 to below 1e16, else with one of two digits or more."""
+    text = _shortened(F.abs(x))
     mantissa, power = F.regexp_extract(text, r"^([\d.]+)E", 1), F.regexp_extract(text, r"E(-?\d+)$", 1).try_cast("int")
     digits = F.regexp_replace(F.replace(mantissa, F.lit("."), F.lit("")), "(?<=.)0$", "")
     zeros = lambda n: F.repeat(F.lit("0"), n.cast("int"))
