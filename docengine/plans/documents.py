@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docengine import constants as C
@@ -396,11 +396,40 @@ def markdown_rows(spark: SparkSession, sf: str) -> DataFrame:
     return n.select("n_nationkey", spreadsheet.markdown_row(F.array(F.col("n_nationkey").cast("string"), "n_name", F.col("n_regionkey").cast("string")), 4).alias("line"))
 
 
-@query("win06_rows_within", """WITH r AS (SELECT p_brand AS sheet, p_partkey AS pos, '| ' || p_partkey || ' | ' || replace(p_name, '|', '\\|') || ' |' AS line FROM part WHERE p_partkey < 10000), s AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY sheet ORDER BY pos ROWS UNBOUNDED PRECEDING) AS size FROM r)
-SELECT sheet, pos, line FROM s WHERE size <= 1000 - 40""")
+PART_ROWS = """parts AS (SELECT p_brand || '.xlsx' AS path, CAST(p_partkey % 3 + 1 AS INTEGER) AS sheet_no, row_number() OVER (PARTITION BY p_brand, p_partkey % 3 ORDER BY p_partkey) AS pos, count(*) OVER (PARTITION BY p_brand, p_partkey % 3) AS n_rows,
+  '| ' || p_partkey || ' | ' || trim(replace(p_name, '|', '\\|')) || ' | ' || p_size || ' |' AS line FROM part)"""
+
+
+def part_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as rows of workbooks: a workbook a brand, three sheets each, with a header."""
+    p, key = A.table(spark, sf, "part"), F.col("p_partkey")
+    by = Window.partitionBy("p_brand", "no")
+    cells = p.select("p_brand", (key % 3 + 1).cast("int").alias("no"), "p_partkey", F.array(key.cast("string"), "p_name", F.col("p_size").cast("string")).alias("cells"))
+    data = cells.select("p_brand", "no", "cells", F.row_number().over(by.orderBy("p_partkey")).alias("pos"), F.count("*").over(by).alias("n_rows"))
+    heads = data.filter("pos = 1").select("p_brand", "no", F.array(F.lit("key"), F.lit(" "), F.lit("a|b")).alias("cells"), F.lit(0).alias("pos"), "n_rows")
+    return data.unionByName(heads).select(F.concat("p_brand", F.lit(".xlsx")).alias("path"), F.col("no").alias("sheet_no"), F.lit(3).alias("n_sheets"), F.concat(F.lit("s"), F.col("no").cast("string")).alias("sheet"), "n_rows", "pos", "cells", F.lit(None).cast("string").alias("error"))
+
+
+@query("win06_rows_within", f"""WITH {PART_ROWS}, s AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY path, sheet_no ORDER BY pos ROWS UNBOUNDED PRECEDING) AS size FROM parts)
+SELECT path, sheet_no, CAST(pos AS INTEGER) AS pos, line FROM s WHERE size <= 600 - 40""")
 def rows_within(spark: SparkSession, sf: str) -> DataFrame:
-    p = A.table(spark, sf, "part").select(F.col("p_brand").alias("sheet"), F.col("p_partkey").alias("pos"), spreadsheet.markdown_row(F.array(F.col("p_partkey").cast("string"), "p_name"), 2).alias("line"))
-    return spreadsheet.rows_within(p, 1000, 40).select("sheet", "pos", "line")
+    p = part_rows(spark, sf).filter("pos > 0").select("path", "sheet_no", "pos", spreadsheet.markdown_row(F.col("cells"), 3).alias("line"))
+    return spreadsheet.rows_within(p, 600, 40, ("path", "sheet_no")).select("path", "sheet_no", "pos", "line")
+
+
+@query("src08_workbook_texts", f"""WITH {PART_ROWS}, head AS (SELECT '| key | col_1 | a\\|b |' || chr(10) || '| --- | --- | --- |' AS h),
+s AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY path, sheet_no ORDER BY pos ROWS UNBOUNDED PRECEDING) + length(h) AS size FROM parts, head WHERE pos <= 25),
+g AS (SELECT path, sheet_no, any_value(n_rows) AS n_rows, least(any_value(n_rows), 25) AS have, any_value(h) || coalesce(chr(10) || string_agg(line, chr(10) ORDER BY pos) FILTER (size <= 550), '') AS t, count(*) FILTER (size <= 550) AS kept FROM s GROUP BY ALL),
+f AS (SELECT path, sheet_no, have, '--- Sheet "s' || sheet_no || '" (' || sheet_no || ' of 3) ---' || chr(10) || chr(10) || t
+  || CASE WHEN n_rows > 25 THEN chr(10) || chr(10) || '*Truncated by row cap: showing first 25 of ' || format('{{:,}}', n_rows) || ' data rows*' ELSE '' END
+  || CASE WHEN kept < have THEN chr(10) || chr(10) || '*Truncated by char cap (550): kept ' || kept || ' of ' || have || ' rows on this sheet*' ELSE '' END AS t FROM g),
+w AS (SELECT path, string_agg(t, chr(10) || chr(10) ORDER BY sheet_no) AS t, CAST(sum(have) AS BIGINT) AS row_count, count(*) AS tables_found FROM f GROUP BY path),
+c AS (SELECT *, length(t) AS n, 1500 - instr(reverse(substr(t, 1, 1500)), chr(10) || chr(10)) - 1 AS cut FROM w)
+SELECT path, 3 AS sheet_count, row_count, tables_found, CASE WHEN n <= 1500 THEN t ELSE substr(t, 1, cut) || chr(10) || chr(10) || '*Truncated by workbook cap (1,500 chars): kept first ' || format('{{:,}}', cut) || ' of ' || format('{{:,}}', n)
+  || ' total chars across 3 sheet(s). Full data remains on disk at ' || path || '.*' END AS markdown, CAST(NULL AS VARCHAR) AS error FROM c""")
+def workbook_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """With small caps, so that all of them are met."""
+    return spreadsheet.workbook_texts(part_rows(spark, sf), 25, 550, 1500)
 
 
 def chunks_sql(docs: str, size: int, overlap: int, whole: int) -> str:

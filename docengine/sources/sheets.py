@@ -1,6 +1,6 @@
 """Spreadsheets and map files read file by file: CSV and TSV, XLSX (zipped XML), GeoJSON and shapefile headers.
 
-Row order and blank or repeated headers matter here, so a file is one row of the binaryFile source and is read whole.
+Row order and blank or repeated headers matter here, so a file is one row of the binaryFile source.
 """
 
 from __future__ import annotations
@@ -8,82 +8,57 @@ from __future__ import annotations
 import csv
 import io
 import json
-import re
 import struct
-import zipfile
 from collections.abc import Callable, Iterator
-from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from docengine.sources.workbooks import Sheet, read_workbook
+
+#: Rows below a sheet's header that are read; how many there are is counted.
 ROW_CAP = 10_000
-ROWS = "path string, sheet string, pos int, cells array<string>, error string"
-SPACE = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
-RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
-
-
-def delimited_rows(path: str, data: bytes) -> Iterator[tuple[str, int, list[str]]]:
-    """Header and rows of a CSV or TSV file; bytes that are not UTF-8 are replaced."""
-    text = io.StringIO(data.decode("utf-8", "replace"), newline="")
-    for pos, row in enumerate(csv.reader(text, delimiter="\t" if path.lower().endswith(".tsv") else ",")):
-        if pos > ROW_CAP:
-            return
-        yield "", pos, row
-
-
-def _column(ref: str) -> int:
-    n = 0
-    for c in re.match(r"[A-Z]+", ref)[0]:
-        n = n * 26 + ord(c) - 64
-    return n - 1
-
-
-def workbook_rows(path: str, data: bytes) -> Iterator[tuple[str, int, list[str]]]:
-    """Header and rows of every sheet of an XLSX file."""
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        shared = []
-        if "xl/sharedStrings.xml" in z.namelist():
-            for item in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iterfind("m:si", SPACE):
-                shared.append("".join(t.text or "" for t in item.iter(f"{{{SPACE['m']}}}t")))
-        targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        for sheet in ElementTree.fromstring(z.read("xl/workbook.xml")).iterfind("m:sheets/m:sheet", SPACE):
-            target = targets[sheet.get(RELATION)].lstrip("/")
-            root = ElementTree.fromstring(z.read(target if target.startswith("xl/") else f"xl/{target}"))
-            for pos, row in enumerate(root.iterfind("m:sheetData/m:row", SPACE)):
-                if pos > ROW_CAP:
-                    break
-                cells: list[str] = []
-                for c in row.iterfind("m:c", SPACE):
-                    at = _column(c.get("r")) if c.get("r") else len(cells)
-                    cells += [""] * (at - len(cells))
-                    value = c.findtext("m:v", "", SPACE)
-                    if c.get("t") == "s" and value:
-                        value = shared[int(value)]
-                    elif c.get("t") == "inlineStr":
-                        value = "".join(t.text or "" for t in c.iter(f"{{{SPACE['m']}}}t"))
-                    cells.append(value)
-                yield sheet.get("name"), pos, cells
-
-
-def _reader(rows: Callable) -> Callable:
+ROWS = "path string, sheet_no int, n_sheets int, sheet string, n_rows long, pos int, cells array<string>, error string"
+
+
+def delimited_sheet(path: str, data: bytes, cap: int) -> Iterator[Sheet]:
+    """The one sheet of a CSV or TSV file, named like the file; bytes that are not UTF-8 are replaced."""
+    text = io.TextIOWrapper(io.BytesIO(data), "utf-8", "replace", newline="")
+    out, n = Sheet(1, 1, path.rsplit("/", 1)[-1]), 0
+    for row in csv.reader(text, delimiter="\t" if path.lower().endswith(".tsv") else ","):
+        n += 1
+        if n <= cap + 1:
+            out.rows.append(row)
+    out.data_rows = max(n - 1, 0)
+    yield out
+
+
+def workbook_sheets(path: str, data: bytes, cap: int) -> Iterator[Sheet]:
+    return read_workbook(io.BytesIO(data), cap)
+
+
+def _reader(sheets: Callable, cap: int) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [c.split()[0] for c in ROWS.split(", ")]
         for b in batches:
             for path, data in zip(b["path"], b["content"]):
                 try:
-                    out = [(path, sheet, pos, [str(x) for x in cells], None) for sheet, pos, cells in rows(path, bytes(data))]
+                    for s in sheets(path, bytes(data), cap):
+                        own = (path, s.number, s.of, s.name, s.data_rows)
+                        yield pd.DataFrame([(*own, pos, cells, None) for pos, cells in enumerate(s.rows)] or [(*own, None, None, None)], columns=columns)
                 except Exception as e:  # one bad file is a row of its own, not the end of the job
-                    out = [(path, None, None, None, f"{type(e).__name__}: {e}"[:300])]
-                yield pd.DataFrame(out, columns=["path", "sheet", "pos", "cells", "error"])
+                    yield pd.DataFrame([(path, None, None, None, None, None, None, f"{type(e).__name__}: {e}"[:300])], columns=columns)
 
     return run
 
 
-def read_sheets(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of all CSV, TSV and XLSX files under a folder; position 0 is a sheet's header."""
+def read_sheets(spark: SparkSession, path: str, cap: int = ROW_CAP) -> DataFrame:
+    """Rows of all CSV, TSV and XLSX files under a folder, with each sheet's place and its number of rows; position 0 is a
+    sheet's header, cap rows follow at most. A sheet without rows is one row without a position, a file that can't be read
+    one with an error; files of no bytes are passed over by Spark's reader."""
     files = lambda glob: spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path).select("path", "content")
     text, books = files("*.{csv,tsv,CSV,TSV}"), files("*.{xlsx,XLSX,xls,XLS}")
-    return text.mapInPandas(_reader(delimited_rows), ROWS).unionByName(books.mapInPandas(_reader(workbook_rows), ROWS))
+    return text.mapInPandas(_reader(delimited_sheet, cap), ROWS).unionByName(books.mapInPandas(_reader(workbook_sheets, cap), ROWS))
 
 
 def _points(x) -> Iterator[tuple[float, float]]:
