@@ -69,6 +69,11 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def present(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def bounded_batches(spark: SparkSession, size: str = "16m") -> None:
     """Arrow batches of at most size from now on in this session, so that a few long rows do not fill a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
@@ -244,6 +249,22 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return x if step == width else np.minimum(x[: len(x) - (width - step)], x[width - step :])
 
 
+#: Low bits of a hash that give way to a place when the least is looked for; the same for texts of every length.
+PLACE_BITS = 20
+
+
+def first_least(hashes: np.ndarray, width: int) -> np.ndarray:
+    """The place of the least hash of every run of width, the first of equal ones. Long sequences go by overlapping pieces, so
+    that what is compared of a hash does not depend on how long they are."""
+    bits, size = U64(PLACE_BITS), 1 << PLACE_BITS
+    out = [np.zeros(0, np.int64)]
+    for a in range(0, len(hashes) - width + 1, size - width + 1):
+        part = hashes[a : a + size]
+        least = sliding_min(((part >> bits) << bits) | np.arange(len(part), dtype=U64), width)
+        out.append((least & U64(size - 1)).astype(np.int64) + a)
+    return np.concatenate(out)
+
+
 def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The integers of every range start..start+length-1, one range after the other."""
     length = np.asarray(length, np.int64)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docengine.llm.common import (
-    Rolling, bounded_batches, buffers, chunks, covered, mix, new_path, partitions, ranges, released, remove, signed, sliding_min, word_hashes, words_of, written,
+    Rolling, bounded_batches, buffers, chunks, covered, first_least, mix, new_path, partitions, present, ranges, released, remove, signed, word_hashes, words_of, written,
 )
 
 WINDOW = 35
@@ -74,10 +74,7 @@ class Windows:
             return z, z, z, z, z
         at = np.arange(len(self.hashes) - k + 1)
         short = mix(self.rolling.slices(at, at + k))
-        # the place fills the low bits, so of equal hashes the first wins
-        bits = U64(max(1, int(len(short)).bit_length()))
-        least = sliding_min(((short >> bits) << bits) | at.astype(U64), w - k + 1)[self.starts]
-        place = (least & ((U64(1) << bits) - U64(1))).astype(np.int64)
+        place = first_least(short, w - k + 1)[self.starts]
         new = np.concatenate(([True], (place[1:] != place[:-1]) | (self.rows[1:] != self.rows[:-1])))
         begin = np.flatnonzero(new)
         last = np.concatenate((begin[1:], [len(new)])) - 1
@@ -109,22 +106,27 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 class FingerprintIndex:
     """Sorted immutable runs of (fingerprint, n), by level, in a folder. Runs are bucketed tables, so merge joins deal
     nothing out. What the index consists of is in a manifest that only grows, so a later session opens the index by its
-    folder and adds to it; the newest line counts, so a session that is lost half way leaves the index as it was."""
+    folder and adds to it; the newest line counts. Merged runs are dropped only after the line that does without them is
+    written, so a session that is lost half way leaves the index as it was, or as it would have become; what it left over is
+    never read."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, *, fan_out: int = FAN_OUT):
         self.spark, self.path, self.fan_out = spark, path or new_path(spark, "fingerprint-index"), fan_out
         self.buckets, self.version, self.batches = partitions(spark), 0, 0
         self.levels: list[list[tuple[str, str]]] = []
         self.hits: list[DataFrame] = []
+        self.stale: list[tuple[str, str]] = []
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, *, fan_out: int = FAN_OUT) -> FingerprintIndex:
-        """The index in a folder, as its last session left it."""
+        """The index in a folder, as its last session left it; a run that is not there is an error."""
         out = cls(spark, path, fan_out=fan_out)
         last = spark.read.schema("version long, buckets int, batches int, runs string").json(f"{path}/manifest").orderBy(F.desc("version")).first()
         out.version, out.buckets, out.batches = last["version"], last["buckets"], last["batches"]
         out.levels = [[tuple(r) for r in level] for level in json.loads(last["runs"])]
         for name, at in out.runs():
+            if not present(spark, f"{at}/_SUCCESS"):
+                raise FileNotFoundError(f"the index lacks its run {at}")
             if not spark.catalog.tableExists(name):
                 spark.sql(f"CREATE TABLE {name} (fingerprint BIGINT, n BIGINT) USING parquet CLUSTERED BY (fingerprint) SORTED BY (fingerprint) INTO {out.buckets} BUCKETS LOCATION '{at}'")
         return out
@@ -148,6 +150,7 @@ class FingerprintIndex:
         hits = self.add(self.spark.read.parquet(at("marks", k)))
         self.batches = k + 1
         self._save()
+        self.sweep()
         candidates = written(read("marks", k + 1).join(hits.distinct(), "fingerprint", "left_semi"), "candidates")
         spans = verified_spans(read("texts", k + 1), candidates)
         return remove_spans(own, spans.join(own.select(*KEYS).distinct(), KEYS, "left_semi"))
@@ -186,8 +189,13 @@ class FingerprintIndex:
                 merged = merged.union(t)
             self.levels[level] = []
             self._push(self._run(merged.groupBy("fingerprint").agg(F.sum("n").alias("n"))), level + 1)
-            for name, path in old:
-                self._drop(name, path)
+            self.stale += old
+
+    def sweep(self) -> None:
+        """Drops the runs that others have replaced."""
+        for name, path in self.stale:
+            self._drop(name, path)
+        self.stale = []
 
     def _drop(self, name: str, path: str) -> None:
         self.spark.sql(f"DROP TABLE {name}")
@@ -202,6 +210,7 @@ class FingerprintIndex:
 
     def close(self) -> None:
         """Drops the index and its folder."""
+        self.sweep()
         for name, path in self.runs():
             self._drop(name, path)
         self.levels = []
@@ -276,6 +285,7 @@ def dedup(docs: DataFrame, *, batches: int = BATCHES) -> DataFrame:
     index = FingerprintIndex(docs.sparkSession)
     for b in range(batches):
         index.add(marks.filter(F.pmod("doc_id", F.lit(batches)) == b))
+        index.sweep()
     # written first, so that the join below stands alone and the partition of a hot fingerprint can be split
     repeated = written(index.repeated(), "repeated-fingerprints")
     candidates = written(marks.join(repeated, "fingerprint", "left_semi"), "candidates")

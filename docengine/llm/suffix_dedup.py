@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docengine.llm import packs
-from docengine.llm.common import BYTE_VALUES, GROUP_BYTES, Rolling, bounded_batches, buffers, chunks, covered, groups_for, mix, ranges, release_memory, released, sliding_min, whole
+from docengine.llm.common import BYTE_VALUES, GROUP_BYTES, Rolling, bounded_batches, buffers, chunks, covered, first_least, groups_for, mix, ranges, release_memory, released, whole
 from docengine.llm.substring_dedup import key_columns
 from docengine.llm.suffix_array import MEMORY, Column, padded, scratch, suffixes
 
@@ -56,9 +56,7 @@ def window_groups(body: np.ndarray, offsets: np.ndarray, length: int = LENGTH, s
     rows = np.repeat(np.arange(len(n_windows)), n_windows)
     at = np.arange(len(body) - shingle + 1)
     short = mix(Rolling(BYTE_VALUES[0][body]).slices(at, at + shingle))
-    bits = U64(max(1, int(len(short)).bit_length()))
-    least = sliding_min(((short >> bits) << bits) | at.astype(U64), length - shingle + 1)[starts]
-    place = (least & ((U64(1) << bits) - U64(1))).astype(np.int64)
+    place = first_least(short, length - shingle + 1)[starts]
     begin = packs.runs_of(place, rows)
     last = np.concatenate((begin[1:], [len(place)])) - 1
     base = offsets[:-1][rows[begin]]

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 import zstandard
 
-from docengine.llm import bpe, ngram_join, packs, substring_dedup, suffix_dedup
+from docengine.llm import bpe, common, ngram_join, packs, substring_dedup, suffix_dedup
 from docengine.llm.common import buffers, groups_for
 from docengine.llm.components import components
 
@@ -238,3 +238,57 @@ def brute_row(rows, row):
     numbered = [(i, t) for i, (_, t) in enumerate(rows)]
     (found,) = [r for r in brute_substring(numbered) if r[0] == at]
     return (row[0], *found[1:])
+
+
+def test_least_hash_does_not_depend_on_length():
+    r = np.random.default_rng(1)
+    alike = r.integers(0, 1 << 20, 28).astype(np.uint64) + np.uint64(5 << 40)
+    far = np.full(3_000_000, (1 << 63) + 7, np.uint64) + np.arange(3_000_000, dtype=np.uint64) * np.uint64(1 << 30)
+    for at in (0, 1, 70, (1 << 20) - 30, (1 << 20) - 5, 2_999_972):
+        x = far.copy()
+        x[at : at + 28] = alike
+        assert common.first_least(x, 28)[at] - at == common.first_least(alike, 28)[0] == 0
+    x = r.integers(0, 1 << 63, 2_200_000).astype(np.uint64) << np.uint64(1)
+    got = common.first_least(x, 28)
+    assert len(got) == len(x) - 27
+    for i in [*range(0, 100), *range((1 << 20) - 60, (1 << 20) + 30), len(x) - 28]:
+        assert got[i] == i + int(np.argmin(x[i : i + 28] >> np.uint64(20)))
+
+
+def test_window_in_a_very_long_text(documents):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    window, long = [word() for _ in range(35)], [word() for _ in range(1_100_000)]
+    text = " ".join([*long[:700_000], *window, *long[700_000:]])
+    rows = {x["doc_id"]: x["n_removed"] for x in substring_dedup.digest(substring_dedup.dedup(documents([(1, " ".join(window)), (2, text), (3, "other " + " ".join(window[:34]))]))).collect()}
+    assert rows == {1: 35, 2: 35, 3: 0}
+
+
+@pytest.mark.parametrize("lost", ["_save", "sweep"])
+def test_index_outlives_a_lost_session(spark, documents, monkeypatch, lost):
+    r = random.Random(6)
+    text = lambda n: " ".join("".join(r.choice("abcdef") for _ in range(4)) for _ in range(n))
+    shared = text(60)
+    batches = [[(1, shared), (2, text(80))], [(3, text(80))], [(4, shared + " " + text(10))]]
+    index = substring_dedup.FingerprintIndex(spark)
+    path = index.path
+    index.add_documents(documents(batches[0]))
+
+    def fail(self):
+        raise RuntimeError("lost")
+
+    index = substring_dedup.FingerprintIndex.open(spark, path)
+    with monkeypatch.context() as m:
+        m.setattr(substring_dedup.FingerprintIndex, lost, fail)
+        with pytest.raises(RuntimeError):
+            index.add_documents(documents(batches[1]))
+    index = substring_dedup.FingerprintIndex.open(spark, path)
+    if index.batches == 1:
+        index.add_documents(documents(batches[1]))
+    out = {x["doc_id"]: x["n_removed"] for x in substring_dedup.FingerprintIndex.open(spark, path).add_documents(documents(batches[2])).collect()}
+    assert out == {4: 60}
+    index = substring_dedup.FingerprintIndex.open(spark, path)
+    name, at = index.runs()[-1]
+    index._drop(name, at)
+    with pytest.raises(FileNotFoundError):
+        substring_dedup.FingerprintIndex.open(spark, path)
