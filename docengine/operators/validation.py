@@ -131,6 +131,41 @@ def summary(checks: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
     return sessions.select("session").distinct().join(out, "session", "left").fillna(0).fillna({"all_passed": False})
 
 
+SYNTHESIS = "coherence_score double, compliance_status string, flags_for_review array<string>, reasoning string"
+
+
+def synthesis_result(reply: Column) -> Column:
+    """A model's judgement of a session, from its reply: the object in a json fence, else the whole reply, else the first object
+    without objects in it. Without a reply or an object in it, the result is unavailable and says why; then, and where the
+    reply has none, there are no flags."""
+    sound = lambda c: F.try_parse_json(c).isNotNull()
+    fenced, flat = T.found(reply, r"(?s)```json\s*(\{.*?\})\s*```"), T.flat_object(reply)
+    chosen = F.when(fenced.isNotNull(), fenced).when(sound(reply), reply).when(sound(flat), flat)
+    good = F.coalesce(sound(chosen) & F.startswith(F.ltrim(F.regexp_replace(chosen, r"\A\s+", "")), F.lit("{")), F.lit(False))
+    parsed = F.from_json(F.when(good, chosen), SYNTHESIS)
+    error = F.when(reply.isNull(), "no reply").when(~good, "no JSON object in the reply")
+    flags = F.coalesce(parsed["flags_for_review"], F.array().cast("array<string>"))
+    return F.struct(good.alias("available"), *(parsed[c].alias(c) for c in ("coherence_score", "compliance_status", "reasoning")), flags.alias("flags_for_review"), error.alias("error"))
+
+
+def layer_summary(structural: DataFrame, cross: DataFrame, synthesis: DataFrame) -> DataFrame:
+    """Counts of each session's checks over both rule layers, with the flags of its synthesis (session, result) among those
+    flagged. A session without a synthesis has none available."""
+    layered = structural.withColumn("layer", F.lit(1)).unionByName(cross.withColumn("layer", F.lit(2)))
+    count = lambda x: F.count_if(x).cast("long")
+    s, layer = F.col("status"), F.col("layer")
+    out = layered.groupBy("session").agg(
+        F.count("*").alias("total"), count(s == "pass").alias("passed"), count(s == "warning").alias("warnings"), count(s == "fail").alias("failed"), count(F.col("flagged")).alias("flags"),
+        count(layer == 1).alias("structural_checks"), count(layer == 2).alias("cross_document_checks"),
+    )
+    judged = synthesis.select("session", F.size("result.flags_for_review").cast("long").alias("more"), F.col("result.available").alias("available"))
+    out = out.join(judged, "session", "left").withColumn("flagged", F.col("flags") + F.coalesce("more", F.lit(0)))
+    return out.select(
+        "session", "total", "passed", "warnings", "failed", "flagged", (F.col("passed") / F.col("total")).alias("pass_rate"), "structural_checks", "cross_document_checks",
+        F.coalesce("available", F.lit(False)).alias("synthesis_available"), ((F.col("failed") == 0) & (F.col("flagged") == 0)).alias("all_passed"),
+    )
+
+
 def pairwise_dates(a: Column, b: Column, max_days: int = C.MAX_DAYS_APART) -> Column:
     """Days between two dates, and pass or fail."""
     days = F.abs(F.date_diff(a, b))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docengine import constants as C
-from docengine.functions import fuzzy
+from docengine.functions import canonical, fuzzy
 from docengine.functions import text as T
 from docengine.operators import evidence, metrics, report, review, validation
 from docengine.plans import adapters as A
@@ -239,9 +239,30 @@ def validation_summary(spark: SparkSession, sf: str) -> DataFrame:
     return validation.summary(cross_document(spark, sf))
 
 
-@query("agg15_layer_summary", f"""WITH {STRUCTURAL}, {CROSS.removeprefix(A.FIELDS + ", ")}, checks AS (SELECT * FROM structural UNION ALL {ALL_CROSS}) SELECT {SUMMARY} FROM checks GROUP BY session""")
+#: Replies of a model for the sessions of order lines: one with two flags, one without, one that is no JSON, and none.
+@query("agg15_layer_summary", f"""WITH {STRUCTURAL}, {CROSS.removeprefix(A.FIELDS + ", ")}, checks AS (SELECT *, 1 AS layer FROM structural UNION ALL SELECT *, 2 FROM ({ALL_CROSS})),
+c AS (SELECT {SUMMARY}, count(*) FILTER (layer = 1) AS structural_checks, count(*) FILTER (layer = 2) AS cross_document_checks, CAST(split_part(session, '-', 1) AS BIGINT) % 4 AS kind FROM checks GROUP BY session)
+SELECT session, total, passed, warnings, failed, flagged + CASE WHEN kind = 0 THEN 2 ELSE 0 END AS flagged, pass_rate, structural_checks, cross_document_checks, kind < 2 AS synthesis_available, all_passed AND kind <> 0 AS all_passed FROM c""")
 def layer_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return validation.summary(structural_checks(spark, sf).unionByName(cross_document(spark, sf)))
+    order = F.col("l_orderkey")
+    session = F.concat_ws("-", order.cast("string"), F.year("l_shipdate").cast("string"))
+    flags = F.concat(F.lit('```json\n{"coherence_score": 0.5, "flags_for_review": ["order '), order.cast("string"), F.lit('", "b {"]}\n```'))
+    reply = F.when(order % 4 == 0, flags).when(order % 4 == 1, '{"coherence_score": 1, "flags_for_review": []}').when(order % 4 == 2, "sorry")
+    judged = A.table(spark, sf, "lineitem").select(session.alias("session"), reply.alias("reply")).distinct().select("session", validation.synthesis_result(F.col("reply")).alias("result"))
+    return validation.layer_summary(structural_checks(spark, sf), cross_document(spark, sf), judged)
+
+
+@query("llm02_synthesis_results", """SELECT doc_id, k < 3 AS available, CASE WHEN k < 2 THEN (doc_id % 10) / 10.0::DOUBLE WHEN k = 2 THEN 0.25 END AS coherence_score, CASE WHEN k < 2 THEN 'partial' END AS compliance_status, CASE WHEN k < 2 THEN coalesce(text, '') END AS reasoning,
+  CASE WHEN k < 2 THEN source || ';' || lang WHEN k = 2 THEN 'x' ELSE '' END AS flags, CASE k WHEN 3 THEN 'no JSON object in the reply' WHEN 4 THEN 'no JSON object in the reply' WHEN 5 THEN 'no reply' END AS error
+FROM (SELECT *, doc_id % 6 AS k FROM documents)""")
+def synthesis_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Replies that hold each document's whole text: fenced, bare, within prose, broken, no object, none."""
+    n, lit, j = F.col("doc_id"), F.lit, canonical.json_text
+    whole = F.concat(lit('{"coherence_score": 0.'), (n % 10).cast("string"), lit(', "compliance_status": "partial", "flags_for_review": ['), j(F.col("source")), lit(", "), j(F.col("lang")), lit('], "nested": {"a": [{}]}, "reasoning": '), j(F.coalesce("text", lit(""))), lit("}"))
+    replies = [F.concat(lit("Here it is:\n```json\n"), whole, lit("\n```\nDone.")), whole, lit('I think {"coherence_score": 0.25, "flags_for_review": ["x"]} holds {'), lit('```json\n{"coherence_score": }\n```'), lit(" [1, 2]"), lit(None).cast("string")]
+    r = validation.synthesis_result(F.element_at(F.array(*replies), (n % 6 + 1).cast("int")))
+    out = A.table(spark, sf, "documents").select("doc_id", r.alias("r")).select("doc_id", "r.*")
+    return out.withColumn("flags", F.array_join("flags_for_review", ";")).drop("flags_for_review")
 
 
 @query("crd01_session_validation", f"""WITH {STRUCTURAL}, {CROSS.removeprefix(A.FIELDS + ", ")}, checks AS (SELECT * FROM structural UNION ALL {ALL_CROSS}), s AS (SELECT {SUMMARY} FROM checks GROUP BY session),

@@ -1,6 +1,7 @@
 """Files as tables, reports written and streams, on small files made here."""
 
 import json
+import struct
 import zipfile
 
 from pyspark.sql import functions as F
@@ -55,10 +56,40 @@ def test_sheets(spark, tmp_path):
     assert any(r["path"].endswith("bad.xls") and r["error"] for r in rows)
 
 
+def shapefile(parts, kind=5, records=1):
+    points = [p for part in parts for p in part]
+    starts = [sum(map(len, parts[:i])) for i in range(len(parts))]
+    body = struct.pack("<i4d2i", kind, 0, 1, 4, 5, len(parts), len(points)) + struct.pack(f"<{len(parts)}i", *starts) + b"".join(struct.pack("<2d", *p) for p in points)
+    rows = b"".join(struct.pack(">2i", i + 1, len(body) // 2) + body for i in range(records))
+    return struct.pack(">7i", 9994, 0, 0, 0, 0, 0, (100 + len(rows)) // 2) + struct.pack("<2i8d", 1000, kind, 0, 1, 4, 5, 0, 0, 0, 0) + rows
+
+
+def dbf(*columns):
+    rows = b"".join(n.encode().ljust(11, b"\0") + k.encode() + b"\0" * 4 + bytes([w, d]) + b"\0" * 14 for n, k, w, d in columns)
+    return struct.pack("<4BIHH20x", 3, 124, 1, 1, 0, 33 + len(rows), 20) + rows + b"\r"
+
+
 def test_maps(spark, tmp_path):
-    (tmp_path / "a.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": {"type": "Polygon", "coordinates": [[[0, 1], [2, 5], [1, 1]]]}}]}))
-    (r,) = sheets.read_maps(spark, str(tmp_path)).collect()
-    assert (r["bounds"], r["feature_count"], r["geometry"]) == ([0, 1, 2, 5], 1, "Polygon")
+    feature = lambda **p: {"type": "Feature", "properties": p, "geometry": {"type": "Polygon", "coordinates": [[[0, 1], [2, 5], [1, 1]]]}}
+    (tmp_path / "a.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": [feature(n=1, s="x", b=True), feature(n=1.5, s=None, m=2)]}))
+    (tmp_path / "none.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": []}))
+    (tmp_path / "bad.geojson").write_text("{")
+    ring = [(0, 0), (0, 4), (4, 4), (4, 0), (0, 0)]
+    hole = [(1, 1), (2, 1), (2, 2), (1, 2), (1, 1)]
+    for name, parts, kind, n in (("plain", [ring], 5, 3), ("holed", [ring, hole], 5, 1), ("two", [ring, [(x + 9, y) for x, y in ring]], 5, 1), ("line", [ring, hole], 3, 1), ("flawed", [ring], 5, 1), ("empty", [ring], 5, 0)):
+        (tmp_path / f"{name}.shp").write_bytes(shapefile(parts, kind, n))
+    (tmp_path / "plain.dbf").write_bytes(dbf(("NAME", "C", 40, 0), ("AREA", "N", 19, 5), ("ID", "N", 9, 0), ("DAY", "D", 8, 0), ("OK", "L", 1, 0)))
+    (tmp_path / "plain.prj").write_text('GEOGCS["WGS 84"]\n')
+    (tmp_path / "flawed.dbf").write_bytes(b"\3")
+    (tmp_path / "short.shp").write_bytes(b"xx")
+    got = {r["path"].rsplit("/", 1)[-1]: r for r in sheets.read_maps(spark, str(tmp_path)).collect()}
+    a, p = got["a.geojson"], got["plain.shp"]
+    assert (a["bounds"], a["feature_count"], a["geometry"], a["crs"], a["schema"]) == ([0, 1, 2, 5], 2, "Polygon", "EPSG:4326", {"n": "float", "s": "str", "b": "bool", "m": "int"})
+    assert (p["driver"], p["crs"], p["bounds"], p["feature_count"], p["geometry"], p["error"]) == ("ESRI Shapefile", 'GEOGCS["WGS 84"]', [0, 1, 4, 5], 3, "Polygon", None)
+    assert p["schema"] == {"NAME": "str:40", "AREA": "float:19.5", "ID": "int:9", "DAY": "date", "OK": "bool"}
+    assert [got[f"{n}.shp"]["geometry"] for n in ("holed", "two", "line", "empty")] == ["Polygon", "MultiPolygon", "MultiLineString", None] and got["holed.shp"]["schema"] == {} and got["holed.shp"]["crs"] is None
+    assert got["flawed.shp"]["error"].startswith("table: ") and got["flawed.shp"]["bounds"] is None and got["short.shp"]["error"] and got["bad.geojson"]["error"]
+    assert (got["none.geojson"]["bounds"], got["none.geojson"]["feature_count"]) == (None, 0) and len(got) == 10
 
 
 def test_reports(spark, tmp_path):
