@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docengine import constants as C
-from docengine.functions import fuzzy
 from docengine.functions import text as T
 from docengine.operators import casework as W
 from docengine.operators import evidence, validation
@@ -76,7 +75,8 @@ def same_directory(spark: SparkSession, sf: str) -> DataFrame:
 
 
 FARMS = ("Oak Farm", "Oak Farms", "Elm Ranch", "Oak Ranch")
-FARMS_ALIKE = ", ".join(f"('{a}', '{b}')" for a in FARMS for b in FARMS if fuzzy.ratio(a.lower(), b.lower()) >= 0.8)
+#: Names of at least 0.8 similarity, worked out by hand.
+FARMS_ALIKE = ", ".join(f"('{a}', '{b}')" for a, b in (("Oak Farm", "Oak Farm"), ("Oak Farms", "Oak Farms"), ("Elm Ranch", "Elm Ranch"), ("Oak Ranch", "Oak Ranch"), ("Oak Farm", "Oak Farms"), ("Oak Farms", "Oak Farm")))
 
 
 @query("jon09_duplicate_sessions", f"""WITH f AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS session, {list(FARMS)}[CAST(o_custkey % 4 AS INTEGER) + 1] AS name, CAST(o_orderkey % 7 + o_custkey % 2 * 100 AS VARCHAR) AS h FROM orders),

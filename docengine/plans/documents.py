@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docengine import constants as C
 from docengine.functions import canonical
 from docengine.functions import text as T
-from docengine.operators import chunking, discovery, extraction, mapping, spreadsheet
+from docengine.operators import chunking, discovery, extraction, mapping, prompts, spreadsheet
 from docengine.plans import adapters as A
 from docengine.sources import cache
 
@@ -125,16 +125,6 @@ def expected_sql() -> str:
     return f"CASE {cats} {ev} ELSE {A.sql_list(C.DEFAULT_CLASSES)} END"
 
 
-@query("src05_checklist_scope", f"WITH {A.REQUIREMENTS} SELECT scope, count(*) AS n, CAST(count(*) FILTER (mandatory) AS BIGINT) AS mandatory FROM requirements GROUP BY scope")
-def checklist_scope(spark: SparkSession, sf: str) -> DataFrame:
-    return A.requirements(spark).groupBy("scope").agg(F.count("*").alias("n"), F.count_if("mandatory").alias("mandatory"))
-
-
-@query("jon01_expected_classes", f"WITH {A.REQUIREMENTS}, e AS (SELECT requirement_id, {expected_sql()} AS classes FROM requirements) SELECT requirement_id, array_to_string(classes, ',') AS classes FROM e")
-def expected_classes(spark: SparkSession, sf: str) -> DataFrame:
-    return A.requirements(spark).select("requirement_id", F.array_join(mapping.expected_classes(F.col("category"), F.col("accepted_evidence")), ",").alias("classes"))
-
-
 MAPPINGS = f"""{A.DOC_INDEX}, {A.REQUIREMENTS}, docs AS (SELECT session || '-' || (pos % 7) AS session, pos, document_id, classification FROM doc_index),
 wanted AS (SELECT requirement_id, unnest(x) AS classification, generate_subscripts(x, 1) AS class_pos FROM (SELECT requirement_id, {expected_sql()} AS x FROM requirements)),
 classes AS (SELECT session, classification, count(*) AS n, arg_min(document_id, pos) AS first_document FROM docs GROUP BY ALL),
@@ -278,15 +268,60 @@ def keyword_sql() -> str:
     return "CASE " + " ".join(f"WHEN {' OR '.join(f"contains(t, '{w}')" for w in ws)} THEN '{k}'" for k, ws in C.FIELD_KEYWORDS) + " END"
 
 
-@query("txt18_field_config", f"WITH {A.REQUIREMENTS}, t AS (SELECT requirement_id, lower(category || ' of the landowner') AS t FROM requirements WHERE requirement_id < 'REQ-005' UNION ALL SELECT requirement_id, lower(category) FROM requirements WHERE requirement_id >= 'REQ-005') SELECT requirement_id, {keyword_sql()} AS config FROM t")
-def field_config(spark: SparkSession, sf: str) -> DataFrame:
-    r = A.requirements(spark)
-    t = F.lower(F.concat("category", F.when(F.col("requirement_id") < "REQ-005", " of the landowner").otherwise("")))
-    out = None
+#: Each document with the requirement that its number stands for: half of their texts name a landowner.
+ASKED = f"""asked AS (SELECT doc_id, source, r.*, category || CASE WHEN doc_id % 2 = 0 THEN ' of the landowner: ' ELSE ': ' END || coalesce(text, '') AS requirement_text FROM documents JOIN requirements r ON requirement_id = 'REQ-' || lpad(CAST(doc_id % 23 + 1 AS VARCHAR), 3, '0'))"""
+
+
+def asked(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.col("doc_id")
+    d = A.table(spark, sf, "documents").select("doc_id", "source", "text", F.concat(F.lit("REQ-"), F.lpad((n % 23 + 1).cast("string"), 3, "0")).alias("requirement_id")).join(A.requirements(spark), "requirement_id")
+    return d.withColumn("requirement_text", F.concat("category", F.when(n % 2 == 0, " of the landowner: ").otherwise(": "), F.coalesce("text", F.lit("")))).drop("text")
+
+
+def field_config_of(text: Column) -> Column:
+    """The first kind of field whose words a requirement has."""
+    out, low = None, F.lower(text)
     for name, words in C.FIELD_KEYWORDS:
-        test = T.contains_any(t, words)
+        test = T.contains_any(low, words)
         out = F.when(test, name) if out is None else out.when(test, name)
-    return r.select("requirement_id", out.alias("config"))
+    return out
+
+
+@query("txt18_field_config", f"WITH {A.REQUIREMENTS}, {ASKED}, t AS (SELECT doc_id, lower(requirement_text) AS t FROM asked) SELECT doc_id, {keyword_sql()} AS config FROM t")
+def field_config(spark: SparkSession, sf: str) -> DataFrame:
+    return asked(spark, sf).select("doc_id", field_config_of(F.col("requirement_text")).alias("config"))
+
+
+PROMPT_BUDGET = prompts.Budget(document=900, instructions=120, output=40, total=3000)
+PROMPT_OUTPUT = "Reply with a list of quotes as JSON."
+
+
+@query("txt18_prompts", f"""WITH {A.SNIPPETS}, {A.REQUIREMENTS}, m AS (SELECT session, requirement_id, pos, '## ' || document_id || chr(10) || text || chr(10) AS text FROM snippets),
+z AS (SELECT *, least(length(text), 980) AS size FROM m), l AS (SELECT *, 2836 - (sum(size) OVER (PARTITION BY session, requirement_id ORDER BY pos) - size) AS room FROM z),
+c AS (SELECT *, CASE WHEN size <= room THEN 900 ELSE least(900, room - 80) END AS cap FROM l WHERE room > 80), h AS (SELECT *, substr(text, 1, CAST(cap AS BIGINT)) AS head FROM c),
+k AS (SELECT *, CASE WHEN contains(head, chr(10) || chr(10)) AND instr(reverse(head), chr(10) || chr(10)) < length(head) - 1 THEN substr(head, 1, length(head) - instr(reverse(head), chr(10) || chr(10)) - 1) ELSE head END AS kept FROM h),
+p AS (SELECT session, requirement_id, count(*) AS n, string_agg(CASE WHEN length(text) <= cap THEN text ELSE kept || chr(10) || chr(10) || '_[showing first ' || length(kept) || ' of ' || length(text) || ' chars]_' || chr(10) END, '' ORDER BY pos) AS texts FROM k GROUP BY ALL)
+SELECT session, requirement_id, CAST(n AS INTEGER) AS n_parts, substr('Find evidence for ' || requirement_id || ', ' || category || '. Check: ' || validation_type || '. Accepted: ' || accepted_evidence || '.', 1, 120) || chr(10) || chr(10) || texts || chr(10) || chr(10) || '{PROMPT_OUTPUT}' AS prompt
+FROM p JOIN requirements USING (requirement_id)""")
+def requirement_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """A prompt for every requirement and session, with as many of its documents as the budget has room for."""
+    group = ("session", "requirement_id")
+    parts = A.snippets(spark, sf).select(*group, "pos", F.col("document_id").alias("name"), "text")
+    say = F.concat(F.lit("Find evidence for "), F.col("requirement_id"), F.lit(", "), F.col("category"), F.lit(". Check: "), F.col("validation_type"), F.lit(". Accepted: "), F.col("accepted_evidence"), F.lit("."))
+    requests = parts.select(*group).distinct().join(A.requirements(spark), "requirement_id").select(*group, say.alias("instructions"), F.lit(PROMPT_OUTPUT).alias("output"))
+    return prompts.assembled(requests, parts, group, PROMPT_BUDGET)
+
+
+@query("src05_checklist_scope", f"WITH {A.REQUIREMENTS}, {ASKED} SELECT source, scope, count(*) AS n, CAST(count(*) FILTER (mandatory) AS BIGINT) AS mandatory FROM asked GROUP BY source, scope")
+def checklist_scope(spark: SparkSession, sf: str) -> DataFrame:
+    return asked(spark, sf).groupBy("source", "scope").agg(F.count("*").alias("n"), F.count_if("mandatory").alias("mandatory"))
+
+
+@query("jon01_expected_classes", f"WITH {A.REQUIREMENTS}, {ASKED}, e AS (SELECT doc_id, {expected_sql()} AS classes FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN category ELSE 'Other' END AS category, requirement_text AS accepted_evidence FROM asked)) SELECT doc_id, array_to_string(classes, ',') AS classes FROM e")
+def expected_classes(spark: SparkSession, sf: str) -> DataFrame:
+    a = asked(spark, sf)
+    category = F.when(F.col("doc_id") % 3 == 0, F.col("category")).otherwise("Other")
+    return a.select("doc_id", F.array_join(mapping.expected_classes(category, F.col("requirement_text")), ",").alias("classes"))
 
 
 @query("flt12_project_slug", "SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(lower(p_name || ' (' || p_type || ')--'), '[^\\w\\s-]', '', 'g'), '[-\\s]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM part")

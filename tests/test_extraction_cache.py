@@ -169,3 +169,18 @@ def test_replayed_calls(spark):
     log = [("n", "k", 1, 0.0, "get", None, None), ("n", "k", 2, 1.0, "set", 10, "x"), ("n", "k", 3, 11.0, "get", None, None), ("n", "k", 4, 11.5, "get", None, None), ("n", "k", 5, 12.0, "set", None, "y"), ("n", "k", 6, 9e9, "get", None, None), ("n", "k", 7, 9e9, "delete", None, None), ("n", "k", 8, 9e9, "get", None, None), ("m", "k", 9, 0.0, "get", None, None)]
     rows = replay(spark.createDataFrame(log, "namespace string, key string, seq long, at double, call string, ttl long, value string")).collect()
     assert {r["seq"]: r["value"] for r in rows} == {1: None, 3: "x", 4: None, 6: "y", 8: None, 9: None} and {r["seq"] for r in rows if r["hit"]} == {3, 6}
+
+
+def test_prompts_stay_within_their_budget(spark):
+    from docengine.operators import prompts
+
+    budget = prompts.Budget(document=300, instructions=50, output=20, total=1200)
+    r = random.Random(3)
+    rows = [("g", i, f"d{i}", ("p" * r.randint(1, 120) + "\n\n") * r.randint(1, 6)) for i in range(30)] + [("one", 0, "big", "x" * 5000), ("tie", 1, "b", "B"), ("tie", 1, "a", "A"), ("tie", 0, "c", None)]
+    parts = spark.createDataFrame(rows, "k string, pos int, name string, text string")
+    requests = spark.createDataFrame([("g", "i" * 90, "o" * 90), ("one", "i", "o"), ("tie", None, "o"), ("none", "i", None)], "k string, instructions string, output string")
+    got = {x["k"]: x for x in prompts.assembled(requests, parts, ("k",), budget).collect()}
+    assert all(len(x["prompt"]) <= 1200 for x in got.values()) and got.keys() == {"g", "one", "tie", "none"}
+    assert got["g"]["prompt"].startswith("i" * 50 + "\n\n## d0\n") and got["g"]["prompt"].endswith("\n\n" + "o" * 20) and 1 < got["g"]["n_parts"] < 30
+    assert "_[showing first 300 of 5008 chars]_" in got["one"]["prompt"] and got["none"]["prompt"] == "i\n\n\n\n" and got["none"]["n_parts"] == 0
+    assert got["tie"]["prompt"] == "\n\n## a\nA\n## b\nB\n\n\no"
