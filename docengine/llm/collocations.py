@@ -27,10 +27,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docengine.llm.common import arrow_batches, buffers, chunks, fold_case, partitions, ranges, released, word_hashes, written
+from docengine.llm.common import arrow_batches, buffers, chunks, fold_case, new_path, partitions, ranges, released, remove, word_hashes, written
 
 #: Bytes of text of a shard, bytes of text for each bucket of words, and pairs of phrase and word that a bucket gets, about.
 SHARD_BYTES, BUCKET_BYTES, BUCKET_PAIRS = 4 << 20, 32 << 20, 1 << 20
@@ -98,7 +98,7 @@ def by_bucket(bucket: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]
 
 
 #: A shard's words in order: their positions and codes in its vocabulary, and the distinct words of each lang by bucket, a
-#: blank between words, with codes and counts. One row has the positions, the others the vocabulary.
+#: blank between words and compressed, with codes and counts. One row has the positions, the others the vocabulary.
 SHARDS = "shard long, n long, at binary, code binary, bucket int, lang string, words binary, codes binary, counts binary"
 
 
@@ -127,7 +127,7 @@ def _shards(buckets: int):
                     mine = mine[order]
                     for bucket, i, j in parts:
                         some = distinct.take(pa.array(pairs[mine[i:j]] // len(names)))
-                        entry = {"shard": shard, "n": int(count[mine[i:j]].sum()), "bucket": bucket, "lang": lang, "words": " ".join(some.to_pylist()).encode(), "codes": packed(mine[i:j].astype(np.uint32)), "counts": packed(count[mine[i:j]].astype(np.uint32))}
+                        entry = {"shard": shard, "n": int(count[mine[i:j]].sum()), "bucket": bucket, "lang": lang, "words": packed(np.frombuffer(" ".join(some.to_pylist()).encode(), np.uint8)), "codes": packed(mine[i:j].astype(np.uint32)), "counts": packed(count[mine[i:j]].astype(np.uint32))}
                         for c in fields:
                             made[c].append(entry.get(c))
                 yield pa.RecordBatch.from_arrays([pa.array(made[c], t) for c, t in fields.items()], names=list(fields))
@@ -152,7 +152,7 @@ def _frequent_words(buckets: int, least: int):
     @released
     def run(table: pa.Table) -> pa.Table:
         langs = table.column("lang").combine_chunks().dictionary_encode()
-        texts = pc.split_pattern(table.column("words").cast(pa.large_string()).combine_chunks(), " ")
+        texts = pc.split_pattern(pa.array([unpacked(x, np.uint8).tobytes() for x in table.column("words")], pa.large_binary()).cast(pa.large_string()), " ")
         lengths = pc.list_value_length(texts).to_numpy()
         words = pc.list_flatten(texts).dictionary_encode()
         key = words.indices.to_numpy().astype(np.int64) * len(langs.dictionary) + np.repeat(langs.indices.to_numpy(), lengths)
@@ -288,6 +288,14 @@ def _kept(lists: pa.Table, replies: pa.Table) -> pa.Table:
     return _lists(lists.column("shard")[0].as_py(), at[met[good]], ids[place[good]], (pairs[good] & LOW).astype(np.uint32))
 
 
+def _next(spark: SparkSession, lists: DataFrame, held: str) -> tuple[DataFrame, str]:
+    """Writes the lists of the next length and removes what they were made from, which nothing else reads."""
+    path = new_path(spark, "phrase-lists")
+    out = written(lists, "phrase-lists", path)
+    remove(spark, held)
+    return out, path
+
+
 def frequent_phrases(docs: DataFrame, most_words: int, least: int) -> tuple[DataFrame, DataFrame]:
     """lang, phrase, k (its number of words) and f of every phrase of up to most_words words that occurs least times or more,
     and lang and n, the number of words."""
@@ -295,13 +303,14 @@ def frequent_phrases(docs: DataFrame, most_words: int, least: int) -> tuple[Data
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(partitions(spark), -(-size // BUCKET_BYTES))
     with arrow_batches(spark, f"{SHARD_BYTES}b"):
-        shards = written(docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(_shards(buckets), SHARDS), "phrase-shards")
+        held = new_path(spark, "phrase-shards")
+        shards = written(docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(_shards(buckets), SHARDS), "phrase-shards", held)
         vocabulary = shards.filter("bucket IS NOT NULL").select("shard", "bucket", "lang", "words", "codes", "counts")
         words = written(vocabulary.groupBy("bucket").applyInArrow(_frequent_words(buckets, least), WORDS), "phrase-words")
         totals = written(shards.filter("bucket IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
         back = words.filter("shard IS NOT NULL").select("shard", "codes", "ids")
         texts = shards.filter("bucket IS NULL").select("shard", "at", "code")
-        lists = written(texts.groupBy("shard").cogroup(back.groupBy("shard")).applyInArrow(_word_lists, LISTS), "phrase-lists")
+        lists, held = _next(spark, texts.groupBy("shard").cogroup(back.groupBy("shard")).applyInArrow(_word_lists, LISTS), held)
         now = words.filter("shard IS NULL").select("lang", F.col("word").alias("phrase"), "id", "f")
         last = now.select(F.col("id").alias("w"), F.col("phrase").alias("word"))
         out = [now.select("lang", "phrase", F.lit(1).alias("k"), "f")]
@@ -313,11 +322,12 @@ def frequent_phrases(docs: DataFrame, most_words: int, least: int) -> tuple[Data
             replies = written(lists.mapInArrow(_send(buckets), PACKS).groupBy("bucket").applyInArrow(_frequent(buckets, least), REPLIES), "phrase-replies")
             if k < most_words:
                 back = replies.filter("shard IS NOT NULL").select("shard", "pairs", "ids")
-                lists = written(lists.groupBy("shard").cogroup(back.groupBy("shard")).applyInArrow(_kept, LISTS), "phrase-lists")
+                lists, held = _next(spark, lists.groupBy("shard").cogroup(back.groupBy("shard")).applyInArrow(_kept, LISTS), held)
             found = replies.filter("shard IS NULL").select(F.col("phrase").alias("new"), F.col("first").alias("id"), F.col("word").alias("w"), F.col("a").alias("f"))
             made = found.join(now.drop("f"), "id").join(last, "w").select("lang", F.concat_ws(" ", "phrase", "word").alias("phrase"), F.col("new").alias("id"), "f")
             now = written(made, "phrase-found")
             out.append(now.select("lang", "phrase", F.lit(k).alias("k"), "f"))
+    remove(spark, held)
     return reduce(DataFrame.unionByName, out), totals
 
 
