@@ -55,21 +55,31 @@ def same_directory(sessions: DataFrame) -> DataFrame:
 
 
 def duplicate_sessions(names: DataFrame, files: DataFrame, *, similarity: float = 0.8, overlap: float = 0.8) -> DataFrame:
-    """For each session the first other one of a similar name that has more than overlap of its files by content. A session
-    that misses so few of them has one of any few more, so sessions meet only at that many of the first one's rarest
-    files."""
-    distinct = files.select("session", "content_hash").distinct()
-    own = distinct.groupBy("session").agg(F.count("*").alias("n"))
-    rarity = distinct.groupBy("content_hash").agg(F.count("*").alias("sessions"))
-    w = Window.partitionBy("session").orderBy("sessions", "content_hash")
-    rare = distinct.join(rarity, "content_hash").join(own, "session").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= F.floor(F.col("n") * (1 - overlap) + 1e-9) + 1)
-    other = distinct.withColumnRenamed("session", "other")
-    pairs = rare.select("session", "content_hash", "n").join(other, "content_hash").filter("session <> other").select("session", "other", "n").distinct()
-    shared = pairs.join(distinct, "session").join(other, ["other", "content_hash"]).groupBy("session", "other", "n").agg(F.count("*").alias("c"))
-    close = shared.filter(F.col("c") / F.col("n") > overlap)
-    named = close.join(names.select("session", "name"), "session").join(names.select(F.col("session").alias("other"), F.col("name").alias("other_name")), "other")
-    alike = named.filter(ratio_column(F.lower("name"), F.lower("other_name")) >= similarity)
-    return alike.groupBy("session").agg(F.min("other").alias("duplicate_of"))
+    """For each session the first other one of a similar name that has more than overlap of its files by content; names has one
+    row a session. Sessions of one name, case apart, and equal files are one class: they have each other, and other classes
+    are found for the class. A class that misses so few of another's files has one of any few more of them, so classes meet
+    only at that many of the first one's rarest files; each two names are compared once."""
+    sets = files.select("session", "content_hash").groupBy("session").agg(F.sort_array(F.collect_set("content_hash")).alias("files"))
+    members = names.select("session", F.lower("name").alias("name")).join(sets.filter(F.size("files") > 0), "session")
+    classes = members.groupBy("name", "files").agg(F.min("session").alias("class"))
+    members = members.join(classes, ["name", "files"]).select("session", "class")
+    second = members.filter("session <> class").groupBy("class").agg(F.min("session").alias("second"))
+
+    each = classes.select("class", "name", F.size("files").alias("n"), F.explode("files").alias("content_hash"))
+    rarity = each.groupBy("content_hash").agg(F.count("*").alias("classes"))
+    w = Window.partitionBy("class").orderBy("classes", "content_hash")
+    rare = each.join(rarity, "content_hash").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= F.floor(F.col("n") * (1 - overlap) + 1e-9) + 1)
+    other = each.select(F.col("class").alias("other"), "content_hash", F.col("name").alias("other_name"))
+    met = rare.select("class", "name", "n", "content_hash").join(other, "content_hash").filter("class <> other").select("class", "name", "n", "other", "other_name").distinct()
+    compared = met.select("name", "other_name").distinct()
+    alike = compared.filter(F.col("name") == F.col("other_name")).unionByName(compared.filter(F.col("name") != F.col("other_name")).filter(ratio_column(F.col("name"), F.col("other_name")) >= similarity))
+    pairs = met.join(alike, ["name", "other_name"]).select("class", "n", "other")
+    shared = pairs.join(each.select("class", "content_hash"), "class").join(other.select("other", "content_hash"), ["other", "content_hash"]).groupBy("class", "other", "n").agg(F.count("*").alias("c"))
+    found = shared.filter(F.col("c") / F.col("n") > overlap).groupBy("class").agg(F.min("other").alias("found"))
+
+    own = F.when(F.col("session") == F.col("class"), F.col("second")).otherwise(F.col("class"))
+    out = members.join(second, "class", "left").join(found, "class", "left").select("session", F.least(own, "found").alias("duplicate_of"))
+    return out.filter("duplicate_of IS NOT NULL")
 
 
 # review state

@@ -206,3 +206,23 @@ def test_window_search_is_exact_at_random():
         want = windows(quote, source)
         if quote.strip() and quote.strip().lower() not in source.lower():
             assert fuzzy.best_window(quote, source) == want[1:]
+
+
+def test_duplicate_sessions_at_random(spark):
+    import random
+
+    from docengine.operators import casework
+
+    r = random.Random(11)
+    names = {f"s{i:02d}": r.choice(["Oak Farm", "oak farm", "Oak Farms", "Elm Ranch", "Oak Ranch"]) for i in range(40)}
+    base = [[f"h{k}" for k in r.sample(range(30), r.randint(1, 12))] for _ in range(6)]
+    files = {s: set(x for x in r.choice(base) if r.random() < 0.95) | ({f"x{s}"} if r.random() < 0.3 else set()) for s in names}
+    files["s00"] = set()
+    want = {}
+    for s, own in files.items():
+        found = [t for t, other in files.items() if t != s and own and len(own & other) / len(own) > 0.8 and SequenceMatcher(None, names[s].lower(), names[t].lower()).ratio() >= 0.8]
+        if found:
+            want[s] = min(found)
+    rows = [(s, h) for s, hs in files.items() for h in hs for _ in range(2)]
+    got = casework.duplicate_sessions(spark.createDataFrame(list(names.items()), "session string, name string"), spark.createDataFrame(rows, "session string, content_hash string")).collect()
+    assert {x["session"]: x["duplicate_of"] for x in got} == want and len(got) == len(want) > 10
