@@ -190,13 +190,19 @@ def capped_workbook(sections: DataFrame, cap: int = 60_000) -> DataFrame:
     return whole.select("workbook", F.when(n <= cap, F.col("text")).otherwise(F.concat(F.substring(F.col("text"), F.lit(1), cut), footer)).alias("text"))
 
 
-def material_cells(snippets: DataFrame) -> DataFrame:
+def material_cells(snippets: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """The cells of each requirement: value, primary source and up to three more; and its evidence, 1,000 characters cut at
-    a sentence. Without snippets there is no row."""
-    four = first_snippets(snippets, 4).groupBy("session", "requirement_id").agg(F.sort_array(F.collect_list(F.struct("rank", "value", "citation", "text"))).alias("s"))
-    first, rest = F.get("s", F.lit(0)), F.transform(F.slice("s", 2, 3), lambda x: x["citation"])
-    cell = F.concat_ws("<br>", first["value"], F.concat(F.lit("**Primary Documentation:** "), first["citation"]), F.when(F.size(rest) > 0, F.concat(F.lit("**Supplementary:** "), F.array_join(rest, "; "))))
-    return four.select("session", "requirement_id", cell.alias("material"), T.truncate_at_sentence(T.squeeze(first["text"]), 1000).alias("evidence"))
+    a sentence. With wanted (session, requirement_id, project_id) there is a row for each of these, sources begin with the
+    project's id where there is one, and what has no snippets says so."""
+    key = ["session", "requirement_id"]
+    four = first_snippets(snippets, 4).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("rank", "value", "citation", "text"))).alias("s"))
+    four = four.withColumn("project_id", F.lit(None).cast("string")) if wanted is None else wanted.select(*key, "project_id").join(four, key, "left")
+    prefix = F.coalesce(F.concat(F.lit("["), F.nullif("project_id", F.lit("")), F.lit("] ")), F.lit(""))
+    first, rest = F.get("s", F.lit(0)), F.transform(F.slice("s", 2, 3), lambda x: F.concat(prefix, x["citation"]))
+    cell = F.concat_ws("<br>", first["value"], F.concat(F.lit("**Primary Documentation:** "), prefix, first["citation"]), F.when(F.size(rest) > 0, F.concat(F.lit("**Supplementary:** "), F.array_join(rest, "; "))))
+    none = F.col("s").isNull()
+    evidence = F.coalesce(T.truncate_at_sentence(T.squeeze(first["text"]), 1000), F.lit(""))
+    return four.select(*key, F.when(none, "_No evidence found_").otherwise(cell).alias("material"), evidence.alias("evidence"))
 
 
 def centred(text: Column, width: int) -> Column:

@@ -250,13 +250,18 @@ def capped_workbook(spark: SparkSession, sf: str) -> DataFrame:
     return W.capped_workbook(p, 3000)
 
 
-@query("txt09_material_cells", f"""WITH {A.SNIPPETS}, r AS (SELECT *, row_number() OVER (PARTITION BY session, requirement_id ORDER BY pos) AS rank FROM snippets),
-g AS (SELECT session, requirement_id, max(CASE WHEN rank = 1 THEN 'value ' || pos END) AS v, max(CASE WHEN rank = 1 THEN citation END) AS c, string_agg(citation, '; ' ORDER BY rank) FILTER (rank > 1) AS more, max(CASE WHEN rank = 1 THEN trim(regexp_replace(text, '\\s+', ' ', 'g')) END) AS t FROM r WHERE rank <= 4 GROUP BY ALL),
+@query("txt09_material_cells", f"""WITH {A.SNIPPETS}, wanted AS (SELECT session, 'REQ-' || lpad(CAST(k AS VARCHAR), 3, '0') AS requirement_id, CASE WHEN length(session) % 2 = 0 THEN '[C06-' || substr(session, 4) || '] ' ELSE '' END AS prefix FROM (SELECT DISTINCT source AS session FROM documents), (SELECT unnest(range(1, 26)) AS k)),
+r AS (SELECT *, row_number() OVER (PARTITION BY session, requirement_id ORDER BY pos) AS rank FROM snippets),
+g AS (SELECT session, requirement_id, max(CASE WHEN rank = 1 THEN 'value ' || pos END) AS v, max(CASE WHEN rank = 1 THEN citation END) AS c, list(citation ORDER BY rank) FILTER (rank > 1) AS more, max(CASE WHEN rank = 1 THEN trim(regexp_replace(text, '\\s+', ' ', 'g')) END) AS t FROM r WHERE rank <= 4 GROUP BY ALL),
 h AS (SELECT *, substr(t, 1, 1000) AS head, strpos(reverse(substr(t, 1, 1000)), ' .') AS s, strpos(reverse(substr(t, 1, 1000)), ' ') AS b FROM g)
-SELECT session, requirement_id, concat_ws('<br>', v, '**Primary Documentation:** ' || c, '**Supplementary:** ' || more) AS material,
-  CASE WHEN length(t) <= 1000 THEN t WHEN s > 0 AND 999 - s > 500 THEN substr(head, 1, 1000 - s) WHEN b > 0 AND 1000 - b > 700 THEN substr(head, 1, 1000 - b) || '...' ELSE head || '...' END AS evidence FROM h""")
+SELECT w.session, w.requirement_id, CASE WHEN h.session IS NULL THEN '_No evidence found_' ELSE concat_ws('<br>', v, '**Primary Documentation:** ' || prefix || c, '**Supplementary:** ' || array_to_string(list_transform(more, lambda x: prefix || x), '; ')) END AS material,
+  coalesce(CASE WHEN length(t) <= 1000 THEN t WHEN s > 0 AND 999 - s > 500 THEN substr(head, 1, 1000 - s) WHEN b > 0 AND 1000 - b > 700 THEN substr(head, 1, 1000 - b) || '...' ELSE head || '...' END, '') AS evidence FROM wanted w LEFT JOIN h ON h.session = w.session AND h.requirement_id = w.requirement_id""")
 def material_cells(spark: SparkSession, sf: str) -> DataFrame:
-    return W.material_cells(A.snippets(spark, sf).withColumn("value", F.concat(F.lit("value "), text_of("pos"))))
+    """For all requirements of the checklist and two that no document is for; every other session has a project id."""
+    found = A.snippets(spark, sf).withColumn("value", F.concat(F.lit("value "), text_of("pos")))
+    asked = F.explode(F.transform(F.sequence(F.lit(1), F.lit(25)), lambda k: F.concat(F.lit("REQ-"), F.lpad(k.cast("string"), 3, "0"))))
+    project = F.when(F.length("session") % 2 == 0, F.concat(F.lit("C06-"), F.substr("session", F.lit(4))))
+    return W.material_cells(found, found.select("session").distinct().select("session", asked.alias("requirement_id"), project.alias("project_id")))
 
 
 @query("txt16_matrix_lines", """WITH p AS (SELECT doc_id, 'REQ-' || lpad(CAST(doc_id % 23 + 1 AS VARCHAR), 3, '0') AS r, source AS c, CASE WHEN doc_id % 3 = 0 THEN 'ok' ELSE '·' END AS i, CASE WHEN doc_id % 2 = 0 THEN 'open' ELSE 'yes' END AS s FROM documents)

@@ -482,10 +482,10 @@ def conversion_progress(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.conversion_progress(d.select(F.concat("session", F.lit("-"), (F.floor(n / 7) % 40).cast("string")).alias("session"), "filename", F.when(n % 5 != 0, "complete").otherwise("pending").alias("fast_status"), hq.alias("hq_status")))
 
 
-@query("agg24_completion", f"WITH {STATUS} SELECT session, CASE WHEN overall * 100 >= 90 AND missing = 0 AND total % 2 = 0 THEN 'READY' WHEN overall * 100 >= 80 AND missing <= 2 THEN 'CONDITIONAL' ELSE 'MAJOR REVISIONS' END AS assessment FROM cover")
+@query("agg24_completion", f"WITH {STATUS} SELECT session, CASE WHEN overall * 100 >= 90 AND missing = 0 AND length(session) % 2 = 0 THEN 'READY' WHEN overall * 100 >= 80 AND missing <= 2 THEN 'CONDITIONAL' ELSE 'MAJOR REVISIONS' END AS assessment FROM cover")
 def completion(spark: SparkSession, sf: str) -> DataFrame:
     c = coverage(spark, sf)
-    return c.select("session", metrics.completion(F.col("overall") * 100, F.col("missing"), F.col("total") % 2).alias("assessment"))
+    return c.select("session", metrics.completion(F.col("overall") * 100, F.col("missing"), F.length("session") % 2).alias("assessment"))
 
 
 @query("agg29_repeated_names", "SELECT c_mktsegment AS name, count(*) AS n FROM customer GROUP BY 1 HAVING count(*) > 1")
