@@ -220,6 +220,33 @@ def words_of(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return start, end, np.searchsorted(start, offsets)
 
 
+def spaced(body: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of words_of, each followed by one blank, and where each begins and the last ends."""
+    at = np.concatenate(([0], np.cumsum(end - start + 1)))
+    out = np.full(at[-1], 0x20, np.uint8)
+    letter = np.ones(at[-1], bool)
+    letter[at[1:] - 1] = False
+    out[letter] = body[~_SPACE[body]]
+    return out, at
+
+
+#: Bytes of the cryptographic digests that stand for whole texts or word sequences.
+DIGEST = 16
+
+
+def digests(body: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A cryptographic digest of every slice of some bytes, one after the other."""
+    view = memoryview(np.ascontiguousarray(body))
+    each = [hashlib.blake2b(view[a:b], digest_size=DIGEST).digest() for a, b in zip(start.tolist(), end.tolist())]
+    return np.frombuffer(bytearray().join(each), np.uint8) if each else np.zeros(0, np.uint8)
+
+
+def digest_column(data: np.ndarray) -> pa.Array:
+    """What digests returns, as a column."""
+    n = len(data) // DIGEST
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * DIGEST, DIGEST, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def word_hashes(body: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
     """A 64-bit hash of each word's bytes, by pieces of the text of bounded size (or one word). Sums modulo 2**64 can be
     equal for long words made to that end, so words beyond SHORT_WORD bytes have a cryptographic hash."""

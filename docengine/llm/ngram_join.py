@@ -1,9 +1,10 @@
 """Similarity join on word n-grams by adaptive multi-match prefixes.
 
-Documents whose sets are equal are one class, and only a class's smallest document takes part. Its n-grams are put in one
-order for all documents, rare ones first; two sets similar enough share at least l of their first n - needed + l n-grams,
-for every l. Each document picks the l for which its prefix costs least, by the known frequencies: a longer prefix has
-more n-grams to look up but asks more shared ones of a candidate before it is verified. Verification compares whole sets.
+Documents whose words are equal, by a cryptographic digest, are one class, and only its smallest document takes part. Its
+n-grams are put in one order for all documents, rare ones first; two sets similar enough share at least l of their first
+n - needed + l n-grams, for every l. Each document picks the l for which its prefix costs least, by the known frequencies: a
+longer prefix has more n-grams to look up but asks more shared ones of a candidate before it is verified. Verification
+compares whole sets, word by word; hashes of n-grams only find candidates.
 
 Frequencies are counted over all documents. They can be left out for a fixed share of the n-grams by hash, which the order
 then puts last: that is as valid, exchanges less, and forms more candidates. Candidates are verified
@@ -27,7 +28,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docengine.llm import packs
-from docengine.llm.common import GROUP_BYTES, SPACES, Rolling, bounded_batches, buffers, chunks, fold_case, groups_for, mix, ranges, released, signed, word_hashes, words_of, written
+from docengine.llm.common import (
+    GROUP_BYTES, SPACES, Rolling, bounded_batches, buffers, chunks, digests, fold_case, groups_for, mix, ranges, released, signed, spaced, word_hashes, words_of, written,
+)
 from docengine.llm.components import components
 from docengine.llm.substring_dedup import KEYS, key_columns, with_keys
 
@@ -40,22 +43,92 @@ BAND = 1.0
 U64 = np.uint64
 
 
-def sets_of(body: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row and value of every distinct n-gram, in order of both, and the number of each row."""
-    body = fold_case(body)
-    start, end, first = words_of(body, offsets)
-    rolling = Rolling(word_hashes(body, start, end))
-    words = np.diff(first)
-    grams = np.where(words >= n, words - n + 1, (words > 0).astype(np.int64))
-    at = ranges(first[:-1], grams)
-    row = np.repeat(np.arange(len(words)), grams)
-    size = np.minimum(words, n)[row]
-    value = mix(rolling.slices(at, at + size) ^ mix(size.astype(U64)))
+class Grams:
+    """The n-grams of some rows with what they hash to, in order of row and hash; words are numbered through all rows."""
+
+    def __init__(self, body: np.ndarray, offsets: np.ndarray, n: int):
+        self.body = fold_case(body)
+        self.start, self.end, self.first = words_of(self.body, offsets)
+        rolling = Rolling(word_hashes(self.body, self.start, self.end))
+        words = np.diff(self.first)
+        grams = np.where(words >= n, words - n + 1, (words > 0).astype(np.int64))
+        at = ranges(self.first[:-1], grams)
+        row = np.repeat(np.arange(len(words)), grams)
+        size = np.minimum(words, n)[row]
+        value = mix(rolling.slices(at, at + size) ^ mix(size.astype(U64)))
+        order = np.lexsort((value, row))
+        self.row, self.value, self.at, self.size = row[order], value[order], at[order], size[order]
+
+    def __len__(self) -> int:
+        return len(self.first) - 1
+
+    def words(self) -> pa.Array:
+        """All words, as bytes."""
+        text, at = spaced(self.body, self.start, self.end)
+        edges = at - np.arange(len(at))
+        letters = np.delete(text, at[1:] - 1)
+        return pa.Array.from_buffers(pa.large_binary(), len(self.start), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(letters)])
+
+
+def word_numbers(*sides: Grams) -> list[np.ndarray]:
+    """For each side a number of each of its words; equal numbers are equal words, on all sides."""
+    numbers = pa.concat_arrays([g.words() for g in sides]).dictionary_encode().indices.to_numpy()
+    return np.split(numbers, np.cumsum([len(g.start) for g in sides])[:-1])
+
+
+def equal_grams(x: np.ndarray, at: np.ndarray, size: np.ndarray, y: np.ndarray, other: np.ndarray, other_size: np.ndarray) -> np.ndarray:
+    """Whether the n-grams that begin at the words at of x are those that begin at other of y, word by word."""
+    out = size == other_size
+    for k in range(int(size.max(initial=0))):
+        i = np.flatnonzero(out & (size > k))
+        out[i] = x[at[i] + k] == y[other[i] + k]
+    return out
+
+
+def distinct(g: Grams, numbers: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which n-grams are the first of their hash in their row, how many distinct ones each row has, and the rows where
+    different n-grams have one hash, whose number is counted by the words themselves."""
+    keep = packs.runs_of(g.row, g.value)
+    sizes = np.bincount(g.row[keep], minlength=len(g))
+    again = np.ones(len(g.row), bool)
+    again[keep] = False
+    i = np.flatnonzero(again)
+    if not len(i):
+        return keep, sizes, i
+    numbers = word_numbers(g)[0] if numbers is None else numbers
+    apart = np.unique(g.row[i[~equal_grams(numbers, g.at[i], g.size[i], numbers, g.at[i - 1], g.size[i - 1])]])
+    for r in apart.tolist():
+        sizes[r] = len(gram_set(g, numbers, r))
+    return keep, sizes, apart
+
+
+def gram_set(g: Grams, numbers: np.ndarray, row: int) -> set[tuple[int, ...]]:
+    a, b = np.searchsorted(g.row, [row, row + 1])
+    return {tuple(numbers[i : i + k].tolist()) for i, k in zip(g.at[a:b].tolist(), g.size[a:b].tolist())}
+
+
+def common_grams(left: Grams, right: Grams) -> tuple[np.ndarray, np.ndarray]:
+    """How many distinct n-grams the two sides share in each row, and how many they have in all, counted on each side."""
+    x, y = word_numbers(left, right)
+    (i, n, odd), (j, m, odder) = distinct(left, x), distinct(right, y)
+    row, value, place = (np.concatenate(z) for z in ((left.row[i], right.row[j]), (left.value[i], right.value[j]), (i, j)))
     order = np.lexsort((value, row))
-    row, value = row[order], value[order]
-    keep = packs.runs_of(row, value)
-    row, value = row[keep], value[keep]
-    return row, value, np.bincount(row, minlength=len(words))
+    row, value, place = row[order], value[order], place[order]
+    # lexsort is stable, so of two equal ones the left side's comes first
+    both = np.flatnonzero((row[1:] == row[:-1]) & (value[1:] == value[:-1]))
+    i, j = place[both], place[both + 1]
+    alike = equal_grams(x, left.at[i], left.size[i], y, right.at[j], right.size[j])
+    common = np.bincount(row[both], minlength=len(left))
+    for r in np.unique(np.concatenate((odd, odder, row[both[~alike]]))).tolist():
+        common[r] = len(gram_set(left, x, r) & gram_set(right, y, r))
+    return common, n + m
+
+
+def sets_of(body: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and value of every distinct n-gram's hash, in order of both, and the number of each row."""
+    g = Grams(body, offsets, n)
+    keep = packs.runs_of(g.row, g.value)
+    return g.row[keep], g.value[keep], np.bincount(g.row[keep], minlength=len(g))
 
 
 def in_band(values: np.ndarray, share: float) -> np.ndarray:
@@ -68,6 +141,7 @@ def needed(n: np.ndarray | int, percent: int):
     return -(-percent * n // 100)
 
 
+#: s1 and s2 are the halves of a digest of a text's words.
 INFO = "doc_id long, text_key long, n_shingles long, s1 long, s2 long"
 
 
@@ -76,16 +150,14 @@ def _info(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             body, offsets = buffers(batch.column(2))
-            sizes, sums = [], ([], [])
+            sizes, marks = [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)]
             for a, b in chunks(offsets):
-                row, value, size = sets_of(body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)
-                edge = np.concatenate(([0], np.cumsum(size)))
-                for k, lane in enumerate((value, mix(value ^ U64(0x5851F42D4C957F2D)))):
-                    total = np.concatenate((np.zeros(1, U64), np.cumsum(lane)))
-                    sums[k].append(total[edge[1:]] - total[edge[:-1]])
-                sizes.append(size)
-            cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-            columns = [pa.array(cat(sizes, np.int64), pa.int64()), *(pa.array(signed(cat(x, U64))) for x in sums)]
+                g = Grams(body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)
+                sizes.append(distinct(g)[1])
+                text, at = spaced(g.body, g.start, g.end)
+                marks.append(digests(text, at[g.first[:-1]], at[g.first[1:]]))
+            halves = np.concatenate(marks).view(np.int64).reshape(-1, 2)
+            columns = [pa.array(np.concatenate(sizes), pa.int64()), *(pa.array(np.ascontiguousarray(halves[:, k])) for k in (0, 1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=[*KEYS, "n_shingles", "s1", "s2"])
 
     return run
@@ -131,7 +203,7 @@ def _prefixes(n: int, percent: int, share: float):
         known, counts = packs.unpack_values(other.column("fps")), packs.unpack(other.column("counts"), np.uint32)
         order = np.argsort(known)
         known, counts = known[order], counts[order].astype(np.int64)
-        rep = {(a, b) for a, b in zip(other.column("doc_id").to_pylist(), other.column("text_key").to_pylist()) if b is not None}
+        rep = {(a, b): c for a, b, c in zip(*(other.column(c).to_pylist() for c in (*KEYS, "n_shingles"))) if b is not None}
         out: dict[str, list] = {k: [] for k in ("token", "doc_id", "text_key", "n_shingles", "place", "level", "matches")}
         texts: dict[str, list] = {k: [] for k in ("doc_id", "text_key", "n_shingles", "text")}
         for batch in docs.to_batches():
@@ -146,7 +218,7 @@ def _prefixes(n: int, percent: int, share: float):
                     key = (ids[i], keys[i])
                     if not size or key not in rep:
                         continue
-                    rep.discard(key)
+                    hashed, size = size, rep.pop(key)
                     band = in_band(value, share)
                     frequency = np.where(band, 1, 2)
                     if len(known):
@@ -156,7 +228,8 @@ def _prefixes(n: int, percent: int, share: float):
                         frequency[found] = counts[place[found]]
                     base = size - int(needed(size, percent)) + 1
                     put = np.lexsort((value, frequency, ~band))[: base + MOST_MATCHES - 1]
-                    matches = matches_for(frequency[put], size, base)
+                    # a set that has fewer hashes than n-grams may share fewer of them: then one is enough
+                    matches = matches_for(frequency[put], size, base) if hashed == size else 1
                     put = put[: base + matches - 1]
                     level = np.maximum(np.arange(len(put)) - base + 2, 1)
                     shared = frequency[put] > 1
@@ -190,17 +263,7 @@ def _verified(n: int, percent: int):
             good = np.zeros(len(batch), bool)
             left, right = buffers(batch.column(2)), buffers(batch.column(3))
             for a, b in chunks(left[1] + right[1]):
-                rows, values, sizes = [], [], np.zeros(b - a, np.int64)
-                for body, offsets in (left, right):
-                    row, value, size = sets_of(body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)
-                    rows.append(row)
-                    values.append(value)
-                    sizes += size
-                row, value = np.concatenate(rows), np.concatenate(values)
-                order = np.lexsort((value, row))
-                row, value = row[order], value[order]
-                both = (row[1:] == row[:-1]) & (value[1:] == value[:-1])
-                common = np.bincount(row[1:][both], minlength=b - a)
+                common, sizes = common_grams(*(Grams(body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n) for body, offsets in (left, right)))
                 good[a:b] = 100 * common >= percent * (sizes - common)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(good))
 
@@ -274,7 +337,7 @@ def similar_groups(docs: DataFrame, *, n: int, percent: int, by_row: bool = Fals
     group = F.pmod(F.xxhash64(*KEYS), F.lit(p)).cast("int").alias("g")
     grouped = docs.select(group, *KEYS, "text")
     wanted = packs.repeated_by_group(grouped.select("g", "text").mapInArrow(_send(p, n, share), packs.SCHEMA))
-    reps = classes.select(F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_key").alias("text_key")).select(group, *KEYS)
+    reps = classes.select(F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_key").alias("text_key"), "n_shingles").select(group, *KEYS, "n_shingles")
     other = wanted.unionByName(reps, allowMissingColumns=True)
     both = written(grouped.groupBy("g").cogroup(other.groupBy("g")).applyInArrow(_prefixes(n, percent, share), PREFIXES), "ngram-prefixes")
     prefixes, texts = both.filter("token IS NOT NULL").drop("text"), both.filter("token IS NULL").select(*KEYS, "text")

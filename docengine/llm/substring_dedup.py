@@ -6,8 +6,8 @@ fingerprints needs about one entry for fourteen windows and misses no repeated w
 
 The index holds sorted immutable runs of (fingerprint, count), bucketed by fingerprint. A new batch makes a run; its
 fingerprints that occur twice, or in an earlier run, are found by merge joins of the sorted runs and kept as hits; when a
-level has several runs they are merged into one of the next level. Hits are then verified: the whole word sequence of all
-windows that share a fingerprint is hashed, and where such a sequence occurs once only, its windows are hashed singly.
+level has several runs they are merged into one of the next level. Hits are then verified by cryptographic digests: of the
+whole word sequence of all windows that share a fingerprint, and where such a sequence occurs once only, of its windows.
 FingerprintIndex.add_documents does all that for one batch, in this session or a later one; dedup adds the documents of one
 table in batches and verifies once, as there earlier batches lose the words that later ones repeat.
 
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docengine.llm.common import (
-    Rolling, bounded_batches, buffers, chunks, covered, first_least, mix, new_path, partitions, present, ranges, released, remove, signed, word_hashes, words_of, written,
+    Rolling, bounded_batches, buffers, chunks, covered, digest_column, digests, first_least, mix, new_path, partitions, present, ranges, released, remove, signed, spaced, word_hashes, words_of, written,
 )
 
 WINDOW = 35
@@ -38,7 +38,6 @@ SHINGLE = 8
 #: Batches that the documents of one call are added in, and runs of a level that are merged into one.
 BATCHES, FAN_OUT = 3, 2
 
-U64 = np.uint64
 KEYS = ["doc_id", "text_key"]
 
 
@@ -53,11 +52,12 @@ def with_keys(docs: DataFrame) -> DataFrame:
 
 
 class Windows:
-    """The word windows of some rows: start places of windows, and what their words hash to."""
+    """The word windows of some rows: start places of windows, what their words hash to, and digests of word sequences."""
 
     def __init__(self, body: np.ndarray, offsets: np.ndarray, window: int = WINDOW, shingle: int = SHINGLE):
         start, end, self.first = words_of(body, offsets)
         self.hashes = word_hashes(body, start, end)
+        self.text, self.at = spaced(body, start, end)
         self.rolling = Rolling(self.hashes)
         counts = np.diff(self.first)
         self.n_windows = np.maximum(counts - window + 1, 0)
@@ -65,13 +65,17 @@ class Windows:
         self.rows = np.repeat(np.arange(len(counts)), self.n_windows)
         self.window, self.shingle = window, shingle
 
+    def sequences(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Digests of the words from first to before end, for each pair of places."""
+        return digests(self.text, self.at[first], self.at[end])
+
     def groups(self) -> tuple[np.ndarray, ...]:
-        """Row, first and last window (by place in the row), fingerprint and sequence hash of each run of neighbouring
-        windows with one fingerprint."""
+        """Row, first and last window (by place in the row), fingerprint and digest of the word sequence of each run of
+        neighbouring windows with one fingerprint."""
         w, k = self.window, self.shingle
         if not len(self.starts):
             z = np.zeros(0, np.int64)
-            return z, z, z, z, z
+            return z, z, z, z, np.zeros(0, np.uint8)
         at = np.arange(len(self.hashes) - k + 1)
         short = mix(self.rolling.slices(at, at + k))
         place = first_least(short, w - k + 1)[self.starts]
@@ -79,12 +83,11 @@ class Windows:
         begin = np.flatnonzero(new)
         last = np.concatenate((begin[1:], [len(new)])) - 1
         a, b, p = self.starts[begin], self.starts[last], place[begin]
-        sequence = mix(self.rolling.slices(a, b + w) ^ mix(((p - a) * 4096 + (b - a)).astype(U64)))
         base = self.first[:-1][self.rows[begin]]
-        return self.rows[begin], a - base, b - base, signed(short[p]), signed(sequence)
+        return self.rows[begin], a - base, b - base, signed(short[p]), self.sequences(a, b + w)
 
 
-FINGERPRINTS = "doc_id long, text_key long, first int, last int, fingerprint long, sequence long"
+FINGERPRINTS = "doc_id long, text_key long, first int, last int, fingerprint long, sequence binary"
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -97,8 +100,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             body, offsets = buffers(batch.column(2))
             for a, b in chunks(offsets):
                 row, first, last, mark, sequence = Windows(body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]).groups()
-                columns = (ids[a + row], keys[a + row], first.astype(np.int32), last.astype(np.int32), mark, sequence)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["doc_id", "text_key", "first", "last", "fingerprint", "sequence"])
+                columns = (ids[a + row], keys[a + row], first.astype(np.int32), last.astype(np.int32), mark)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in columns), digest_column(sequence)], names=["doc_id", "text_key", "first", "last", "fingerprint", "sequence"])
 
     return docs.mapInArrow(run, FINGERPRINTS)
 
@@ -240,14 +243,13 @@ def verified_spans(docs: DataFrame, candidates: DataFrame) -> DataFrame:
                 p = listed[i].values.flatten()
                 first, last, single, mark = (x.to_numpy(zero_copy_only=False) for x in p)
                 at = ranges(first, last - first + 1)
-                seq = signed(mix(w.rolling.slices(at, at + WINDOW)))
                 n = len(at)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, ids[i].as_py())), pa.array(np.full(n, keys[i].as_py())), pa.array(at.astype(np.int32)), *(pa.array(np.repeat(x, last - first + 1)) for x in (single, mark)), pa.array(seq)],
+                    [pa.array(np.full(n, ids[i].as_py())), pa.array(np.full(n, keys[i].as_py())), pa.array(at.astype(np.int32)), *(pa.array(np.repeat(x, last - first + 1)) for x in (single, mark)), digest_column(w.sequences(at, at + WINDOW))],
                     names=[*KEYS, "first", "single", "fingerprint", "words"],
                 )
 
-    windows = written(joined.mapInArrow(run, "doc_id long, text_key long, first int, single boolean, fingerprint long, words long").distinct(), "windows")
+    windows = written(joined.mapInArrow(run, "doc_id long, text_key long, first int, single boolean, fingerprint long, words binary").distinct(), "windows")
     again = windows.groupBy("fingerprint", "words").agg(F.count("*").alias("n")).filter("n > 1").select("fingerprint", "words")
     singles = windows.filter("single").join(again, ["fingerprint", "words"], "left_semi").select(*KEYS, "first", (F.col("first") + WINDOW).alias("end"))
     return spans.union(singles)

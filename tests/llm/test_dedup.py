@@ -292,3 +292,47 @@ def test_index_outlives_a_lost_session(spark, documents, monkeypatch, lost):
     index._drop(name, at)
     with pytest.raises(FileNotFoundError):
         substring_dedup.FingerprintIndex.open(spark, path)
+
+
+def arrow(texts):
+    n = len(texts)
+    return pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([7] * n, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text_key", "text"])
+
+
+@pytest.mark.parametrize("kinds", [1, 3, 1 << 60])
+@pytest.mark.parametrize("n", [3, 5])
+def test_grams_of_equal_hash_are_told_apart(monkeypatch, kinds, n):
+    """Sets are counted and compared by words, however few values the hashes have."""
+    true = common.word_hashes
+    monkeypatch.setattr(ngram_join, "word_hashes", lambda *a: true(*a) % np.uint64(kinds))
+    r = random.Random(n)
+    texts = [" ".join(r.choice("abcde") * r.randint(1, 2) for _ in range(r.randint(0, 30))) for _ in range(80)] + ["", None, " \t", "A b", "a B c", "a b"]
+    others = [t if i % 3 == 0 else r.choice(texts) for i, t in enumerate(texts)]
+    sets = lambda t: {tuple(w[i : i + n]) for w in [words((t or "").lower())] for i in range(max(len(w) - n + 1, min(len(w), 1)))}
+    info = next(ngram_join._info(n)(iter([arrow(texts)])))
+    assert info.column(2).to_pylist() == [len(sets(t)) for t in texts]
+    marks = dict(zip(zip(*(info.column(c).to_pylist() for c in (3, 4))), (tuple(words((t or "").lower())) for t in texts)))
+    assert len(marks) == len({tuple(words((t or "").lower())) for t in texts})
+    sides = [ngram_join.Grams(*buffers(pa.array(x, pa.string())), n) for x in (texts, others)]
+    common_n, both = ngram_join.common_grams(*sides)
+    assert common_n.tolist() == [len(sets(a) & sets(b)) for a, b in zip(texts, others)]
+    assert both.tolist() == [len(sets(a)) + len(sets(b)) for a, b in zip(texts, others)]
+
+
+@pytest.mark.parametrize("kinds", [1, 2])
+def test_windows_of_equal_hash_are_told_apart(monkeypatch, kinds):
+    """A sequence's digest is that of its words, however few values the hashes have."""
+    true = common.word_hashes
+    monkeypatch.setattr(substring_dedup, "word_hashes", lambda *a: true(*a) % np.uint64(kinds))
+    r = random.Random(kinds)
+    base = [r.choice("abcdef") for _ in range(80)]
+    rows = [base, base[10:60], base[:40] + ["x"] + base[41:], ["ab"] + base[1:], base[5:20], []]
+    w = substring_dedup.Windows(*buffers(pa.array([" \n".join(x) for x in rows])))
+    row, first, last, _, data = w.groups()
+    got = {}
+    for i, (d, a, b) in enumerate(zip(row.tolist(), first.tolist(), last.tolist())):
+        got.setdefault(data[16 * i : 16 * i + 16].tobytes(), set()).add(tuple(rows[d][a : b + 35]))
+    assert all(len(x) == 1 for x in got.values()) and len(got) == len({x for s in got.values() for x in s})
+    singles = w.sequences(w.starts, w.starts + 35).reshape(-1, 16)
+    at = [tuple(rows[d][i : i + 35]) for d in range(len(rows)) for i in range(len(rows[d]) - 34)]
+    assert len({(x.tobytes(), t) for x, t in zip(singles, at)}) == len({x.tobytes() for x in singles}) == len(set(at))
