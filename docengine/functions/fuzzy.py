@@ -65,6 +65,50 @@ def owner_similarity(a: str, b: str) -> float:
     return max(partial_ratio(a, b), token_set_ratio(a, b)) / 100
 
 
+class OwnerNames:
+    """Names by number, for the best match of one among others. A similarity is at most what the names' characters allow:
+    they share no more than both have, in BINS kinds of characters. Names with a common word are exempt, as few other words can
+    make theirs higher. Others are compared in order of what they allow, until that is less than the best."""
+
+    BINS = 64
+
+    def __init__(self, names: list[str]):
+        self.names = [n.lower() for n in names]
+        self.bags = np.zeros((len(names), self.BINS), np.int32)
+        self.sizes, self.words = np.zeros((2, len(names)), np.int64), {}
+        for i, name in enumerate(self.names):
+            letters = [0 if c.isspace() else 1 + ord(c) % (self.BINS - 1) for c in name]
+            self.bags[i] = np.bincount(np.array(letters, np.int64), minlength=self.BINS)
+            own = set(name.split())
+            self.sizes[:, i] = len(name), len(" ".join(own))
+            for w in own:
+                self.words.setdefault(w, set()).add(i)
+
+    def most(self, i: int, others: np.ndarray) -> np.ndarray:
+        """The highest similarity that each of the others may have."""
+        shared = np.minimum(self.bags[i], self.bags[others]).sum(axis=1)
+        (a, p), (b, q) = self.sizes[:, i], self.sizes[:, others]
+        least = np.minimum(a, b)
+        within = np.minimum(shared, least)
+        part = np.where(least > 0, 2 * within / np.maximum(least + within, 1), 1.0)
+        sets = 2 * np.minimum(shared, np.minimum(p, q)) / np.maximum(p + q, 1)
+        met = set().union(*(self.words[w] for w in self.names[i].split()))
+        return np.where(np.isin(others, list(met)), 1.0, np.maximum(part, sets))
+
+    def best(self, i: int, others: list[int], threshold: float) -> int | None:
+        """The most similar of the others, the first of equal ones, if any has the threshold."""
+        at = np.array(others, np.int64)
+        most = self.most(i, at)
+        found, place = threshold, None
+        for k in np.argsort(-most, kind="stable").tolist():
+            if most[k] < found - 1e-9 or found == 1.0 and place is not None and k > place:
+                break
+            score = owner_similarity(self.names[others[k]], self.names[i])
+            if score > found or score == found and (place is None or k < place):
+                found, place = score, k
+        return None if place is None else others[place]
+
+
 def surname_similarity(a: str, b: str) -> float:
     """The ratio, raised to 0.85 for names that share their last word."""
     x, y = a.lower().strip(), b.lower().strip()

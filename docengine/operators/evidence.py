@@ -87,23 +87,26 @@ def valid_project_id(value, raw_text):
 
 
 def fuzzy_owners(fields: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """Owner names of a document, names alike merged in order of pos, then of value: the more confident of two stays. A document's names are
-    one small group; values are made distinct first, so repeats don't add to it."""
+    """Owner names of a document, in order of pos, then of value. Each is held against the names that stand: if the most
+    similar one, the first of equal ones, has the threshold, the more confident of the two stands, else both. A name that
+    takes another's place stands last. A document's names are one group; a name's repeats count once, at the first place and
+    with the highest confidence, so they don't add to it. Null names are left out."""
     import pandas as pd
 
-    from docengine.functions.fuzzy import owner_similarity
+    from docengine.functions.fuzzy import OwnerNames
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[dict] = []
-        for row in pdf.sort_values(["pos", "value"]).to_dict("records"):
-            for i, k in enumerate(kept):
-                if owner_similarity(row["value"], k["value"]) >= threshold:
-                    if row["confidence"] > k["confidence"]:
-                        kept[i] = row
-                    break
-            else:
-                kept.append(row)
-        return pd.DataFrame(kept, columns=pdf.columns)
-
-    names = fields.groupBy("session", "document_id", "value").agg(F.max("confidence").alias("confidence"), F.min("pos").alias("pos"))
+        pdf = pdf.sort_values(["pos", "value"]).reset_index(drop=True)
+        names, confidence = OwnerNames(pdf["value"].tolist()), pdf["confidence"].tolist()
+        standing: dict[int, None] = {}
+        for i in range(len(pdf)):
+            match = names.best(i, list(standing), threshold) if standing else None
+            if match is None:
+                standing[i] = None
+            elif confidence[i] > confidence[match]:
+                del standing[match]
+                standing[i] = None
+        return pdf.iloc[list(standing)]
+
+    names = fields.filter("value IS NOT NULL").groupBy("session", "document_id", "value").agg(F.max("confidence").alias("confidence"), F.min("pos").alias("pos"))
     return names.groupBy("session", "document_id").applyInPandas(run, names.schema)

@@ -1,5 +1,6 @@
 """Queries that SQL can't express, over whole tables, against plain loops."""
 
+import random
 import re
 from difflib import SequenceMatcher
 
@@ -7,6 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from docengine.functions import fuzzy
+from docengine.operators import evidence
 from docengine.plans import registry
 
 
@@ -77,6 +79,30 @@ def test_land_tenure(spark, sf_dir):
     assert {r["session"]: (r["n"], r["similarity"], r["status"], r["flagged"]) for r in found(spark, sf_dir, "leg02_land_tenure")} == want
 
 
+def owners_kept(rows):
+    """The rows (value, confidence, ...) that stand, each held against all that stand before it."""
+    kept = []
+    for row in rows:
+        alike = [max(partial(a, b), token_set(a, b)) for k in kept for a, b in [(k[0].lower(), row[0].lower())]]
+        best = max(alike, default=0)
+        if best < 75:
+            kept.append(row)
+        elif row[1] > kept[alike.index(best)][1]:
+            kept = [k for i, k in enumerate(kept) if i != alike.index(best)] + [row]
+    return kept
+
+
+def test_owners_best_match(spark):
+    r = random.Random(5)
+    parts = ["Nick", "Nicholas", "Nic", "Denman", "Denham", "Smith", "Smyth", "Farm", "of", "the", "Hill", "É", "Ltd"]
+    rows = [("s", f"D{d}", v, r.randint(0, 9) / 10, p) for d in range(2) for p, v in enumerate(dict.fromkeys(" ".join(r.choices(parts, k=r.randint(1, 3))) for _ in range(35)))]
+    # the second name is like the first, the third more like the second
+    rows += [("s", "E", "Nicholas Denman", 0.5, 0), ("s", "E", "Farm Hill", 0.4, 1), ("s", "E", "Farm Hills Denmark", 0.9, 2), ("s", "E", None, 1.0, 3), ("s", "E", "", 0.1, 4)]
+    got = evidence.fuzzy_owners(spark.createDataFrame(rows, "session string, document_id string, value string, confidence double, pos long")).collect()
+    want = {(d, *k) for d in {x[1] for x in rows} for k in owners_kept([x[2:] for x in sorted((x for x in rows if x[1] == d and x[2]), key=lambda x: x[4])])}
+    assert {(x["document_id"], x["value"], x["confidence"], x["pos"]) for x in got if x["value"]} == want
+
+
 def test_owners(spark, sf_dir):
     values = {}
     for r in read(sf_dir, "lineitem", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_returnflag"):
@@ -87,16 +113,7 @@ def test_owners(spark, sf_dir):
         seen[name] = (max(best[0], r["l_suppkey"] % 10 / 10.0), min(best[1], pos))
     want = set()
     for key, names in values.items():
-        kept = []
-        for value, (confidence, pos) in sorted(names.items(), key=lambda x: (x[1][1], x[0])):
-            for i, k in enumerate(kept):
-                a, b = value.lower(), k[0].lower()
-                if max(partial(a, b), token_set(a, b)) >= 75:
-                    if confidence > k[1]:
-                        kept[i] = (value, confidence, pos)
-                    break
-            else:
-                kept.append((value, confidence, pos))
+        kept = owners_kept([(v, *x) for v, x in sorted(names.items(), key=lambda x: (x[1][1], x[0]))])
         want |= {(*key, *k) for k in kept}
     got = found(spark, sf_dir, "agg12_fuzzy_owners")
     assert {(r["session"], r["document_id"], r["value"], r["confidence"], r["pos"]) for r in got} == want and len(got) == len(want)
