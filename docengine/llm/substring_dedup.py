@@ -283,7 +283,8 @@ def dedup(docs: DataFrame, *, batches: int = BATCHES) -> DataFrame:
     """Adds docs to a new index batch by batch, and removes every word that a repeated window covers."""
     bounded_batches(docs.sparkSession, "4m")
     keyed = with_keys(docs)
-    marks = written(fingerprints(keyed), "fingerprints")
+    at = new_path(docs.sparkSession, "fingerprints")
+    marks = written(fingerprints(keyed), "fingerprints", at)
     index = FingerprintIndex(docs.sparkSession)
     for b in range(batches):
         index.add(marks.filter(F.pmod("doc_id", F.lit(batches)) == b))
@@ -292,6 +293,7 @@ def dedup(docs: DataFrame, *, batches: int = BATCHES) -> DataFrame:
     repeated = written(index.repeated(), "repeated-fingerprints")
     candidates = written(marks.join(repeated, "fingerprint", "left_semi"), "candidates")
     index.close()
+    remove(docs.sparkSession, at)  # the candidates have replaced it
     return remove_spans(keyed, verified_spans(keyed, candidates))
 
 
