@@ -29,17 +29,37 @@ def fixed(x: Column, digits: int) -> Column:
     return F.bround(x.cast("decimal(20,10)"), digits).cast(f"decimal(20,{digits})").cast("string")
 
 
-def requirement_lines(found: DataFrame) -> DataFrame:
-    """The lines of each requirement's block, with their places."""
-    c = F.col("citations")
-    lines = F.array(
+def requirement_block(*, detailed: bool = False) -> Column:
+    """The lines of a requirement's block, of the columns of findings and title; detailed ones have confidence and summary
+    too, and all of citations in one line."""
+    c, percent = F.col("citations"), F.concat(fixed(100 * F.col("confidence"), 0), F.lit("%"))
+    more = F.concat(F.lit("(and "), (F.size(c) - 3).cast("string"), F.lit(" more)"))
+    cites = F.concat(F.lit("**Citations:** "), F.concat_ws(", ", F.slice(c, 1, 3)))
+    head = [
         F.concat(F.lit("### "), F.col("requirement_id"), F.lit(": "), F.substring("title", 1, 80), F.when(F.length("title") > 80, "...").otherwise("")),
         F.concat(F.lit("**Status:** "), F.initcap("status")),
-        F.concat(F.lit("**Evidence:** "), F.col("n_snippets").cast("string"), F.lit(" snippet(s) from "), F.col("n_documents").cast("string"), F.lit(" document(s)")),
-        F.when(F.size(c) > 0, F.concat(F.lit("**Citations:** "), F.concat_ws(", ", F.slice(c, 1, 3)))),
-        F.when(F.size(c) > 3, F.concat(F.lit("  (and "), (F.size(c) - 3).cast("string"), F.lit(" more)"))),
-    )
-    return found.select("session", "requirement_id", F.posexplode(F.filter(lines, lambda x: x.isNotNull())).alias("line_no", "line"))
+    ]
+    evidence = F.concat(F.lit("**Evidence:** "), F.col("n_snippets").cast("string"), F.lit(" snippet(s) from "), F.col("n_documents").cast("string"), F.lit(" document(s)"))
+    if detailed:
+        confidence = F.concat(F.lit("**Confidence:** "), fixed(F.col("confidence"), 2), F.lit(" ("), percent, F.lit(")"))
+        one_line = F.when(F.size(c) > 3, F.concat(cites, F.lit(" "), more)).otherwise(cites)
+        lines = [*head, confidence, evidence, F.concat(F.lit("**Summary:** "), evidence_summary()), F.when(F.size(c) > 0, one_line)]
+    else:
+        lines = [*head, evidence, F.when(F.size(c) > 0, cites), F.when(F.size(c) > 3, F.concat(F.lit("  "), more))]
+    return F.filter(F.array(*lines), lambda x: x.isNotNull())
+
+
+def evidence_summary() -> Column:
+    c, n = F.col("confidence"), F.col("n_documents").cast("string")
+    return (
+        F.when(c >= 0.8, F.concat(F.lit("Strong evidence found across "), n, F.lit(" document(s)")))
+        .when(c >= 0.5, F.concat(F.lit("Partial evidence found in "), n, F.lit(" document(s)"))).otherwise("Limited or no evidence found")
+    )
+
+
+def requirement_lines(found: DataFrame) -> DataFrame:
+    """The lines of each requirement's block, with their places."""
+    return found.select("session", "requirement_id", F.posexplode(requirement_block()).alias("line_no", "line"))
 
 
 def check_lines(checks: DataFrame) -> DataFrame:
