@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,6 +21,10 @@ from docengine.functions import text as T
 from docengine.operators import session_reports as S
 
 
+#: Times that removing staged files is tried again while tasks of a failed job still write.
+TRIES = 5
+
+
 @dataclass
 class Written(WriterCommitMessage):
     """Files that a task has staged: (staged, final) paths."""
@@ -47,6 +52,8 @@ class SessionFiles(DataSource):
 class SessionWriter(DataSourceWriter):
     def __init__(self, path: str, file: str, overwrite: bool):
         self.path, self.file, self.overwrite, self.job = path, file, overwrite, uuid.uuid4().hex
+        where, root = self._open()
+        where.create_dir(self._staging(root))
 
     def _open(self) -> tuple[afs.FileSystem, str]:
         return afs.FileSystem.from_uri(self.path if "://" in self.path else os.path.abspath(self.path))
@@ -57,7 +64,8 @@ class SessionWriter(DataSourceWriter):
     def write(self, iterator: Iterator) -> Written:
         where, root = self._open()
         attempt, files = f"{self._staging(root)}/{uuid.uuid4().hex}", []
-        where.create_dir(attempt)
+        # not recursive: a task that outlives its job finds no folder to write to
+        where.create_dir(attempt, recursive=False)
         for i, row in enumerate(iterator):
             if row["session"] in (None, "", ".", ".."):
                 raise ValueError(f"no file for a session named {row['session']!r}")
@@ -88,8 +96,15 @@ class SessionWriter(DataSourceWriter):
 
     def _clear(self) -> None:
         where, root = self._open()
-        if where.get_file_info(self._staging(root)).type != afs.FileType.NotFound:
-            where.delete_dir(self._staging(root))
+        for left in range(TRIES, -1, -1):
+            try:
+                if where.get_file_info(self._staging(root)).type != afs.FileType.NotFound:
+                    where.delete_dir(self._staging(root))
+                return
+            except OSError:  # a task still writes there
+                if not left:
+                    raise
+                time.sleep(0.2)
 
 
 def write_session_files(contents: DataFrame, path: str, file: str, mode: str = "append") -> None:
