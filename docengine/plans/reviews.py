@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docengine import constants as C
 from docengine.functions import canonical
 from docengine.functions import text as T
-from docengine.operators import evidence, metrics, report, review, validation
+from docengine.operators import evidence, metrics, report, review, session_reports, validation
 from docengine.plans import adapters as A
 
 Q: dict = {}
@@ -549,6 +549,38 @@ def preview_counts(spark: SparkSession, sf: str) -> DataFrame:
     return report.preview_counts(requirement_status(spark, sf))
 
 
+#: Projects and checks of each source: a check for each language on how long its documents are.
+REPORTED = f"""{LINES}, langs AS (SELECT source AS session, coalesce(lang, '-') AS lang, count(*) AS n, min(coalesce(n_chars, 0)) AS least, max(coalesce(n_chars, 0)) AS most FROM documents WHERE source IS NOT NULL GROUP BY ALL),
+checks AS (SELECT session, CASE WHEN lang = 'en' THEN 'date_alignment' ELSE 'project_id' END AS check_type, CASE WHEN least >= 200 THEN 'pass' WHEN most >= 200 THEN 'warning' ELSE 'fail' END AS status, lang || ' in ' || n || ' documents' AS message FROM langs),
+projects AS (SELECT session, 'Project | ' || session AS project_name, CASE WHEN length(session) % 2 = 0 THEN 'C06-' || session END AS project_id, count(*) AS n_documents FROM langs GROUP BY session)"""
+
+
+@query("snk03_markdown_reports", f"""WITH {REPORTED},
+t AS (SELECT session, count(*) AS total, count(*) FILTER (status = 'covered') AS covered, count(*) FILTER (status = 'partial') AS partial, count(*) FILTER (status = 'missing') AS missing, sum(n_snippets) AS snippets, count(*) FILTER (review) AS to_review FROM titled GROUP BY session),
+k AS (SELECT session, count(*) AS n, count(*) FILTER (status = 'pass') AS passed, count(*) FILTER (status = 'warning') AS warnings, count(*) FILTER (status = 'fail') AS failed FROM checks GROUP BY session),
+heads AS (SELECT p.session, array_to_string(list_filter(['# Registry Agent Review', '', '## Project Metadata', '- **Project Name:** ' || project_name, '- **Project ID:** ' || project_id, '- **Methodology:** soil', '- **Review Date:** 2024-05-06 07:08:09 UTC', '', '## Summary', '', '### Requirements Coverage',
+  '- **Total Requirements:** ' || total, '- **Covered:** ' || covered || format(' ({{:.1f}}%)', 100.0::DOUBLE * covered / total), '- **Partial:** ' || partial || format(' ({{:.1f}}%)', 100.0::DOUBLE * partial / total), '- **Missing:** ' || missing || format(' ({{:.1f}}%)', 100.0::DOUBLE * missing / total),
+  '- **Overall Coverage:** ' || format('{{:.1f}}%', 100.0::DOUBLE * (covered + 0.5::DOUBLE * partial) / total), '', '### Cross-Document Validation', '- **Total Checks:** ' || n, '- **Passed:** ' || passed, '- **Warnings:** ' || warnings, '- **Failed:** ' || failed, '',
+  '### Review Statistics', '- **Documents Reviewed:** ' || n_documents, '- **Evidence Snippets Extracted:** ' || snippets, '- **Items Requiring Human Review:** ' || to_review, ''], lambda x: x IS NOT NULL), chr(10)) AS head FROM projects p JOIN t ON t.session = p.session JOIN k ON k.session = p.session),
+b AS (SELECT l.session, status, string_agg(array_to_string(ls, chr(10)) || chr(10), chr(10) ORDER BY l.requirement_id) AS block FROM lines l JOIN status s ON s.session = l.session AND s.requirement_id = l.requirement_id GROUP BY ALL),
+blocks AS (SELECT session, max('## Covered Requirements' || chr(10) || chr(10) || block) FILTER (status = 'covered') AS covered, max('## Partially Covered Requirements' || chr(10) || chr(10) || block) FILTER (status = 'partial') AS partial, max('## Missing Requirements' || chr(10) || chr(10) || block) FILTER (status = 'missing') AS missing FROM b GROUP BY session),
+c AS (SELECT session, check_type, string_agg('- **' || CASE status WHEN 'pass' THEN 'PASS:**' WHEN 'warning' THEN 'WARNING:** [Review]' ELSE 'FAIL:** [Review]' END || ' ' || message, chr(10) ORDER BY '- **' || CASE status WHEN 'pass' THEN 'PASS:**' WHEN 'warning' THEN 'WARNING:** [Review]' ELSE 'FAIL:** [Review]' END || ' ' || message) AS ls FROM checks GROUP BY ALL),
+results AS (SELECT session, '## Cross-Document Validation Results' || chr(10) || chr(10) || string_agg(CASE check_type WHEN 'project_id' THEN '### Project Ids' ELSE '### Date Alignments' END || chr(10) || chr(10) || ls || chr(10), chr(10) ORDER BY check_type) || chr(10) AS results FROM c GROUP BY session),
+i AS (SELECT session, requirement_id, row_number() OVER (PARTITION BY session ORDER BY requirement_id) || '. ' || requirement_id || ': ' || substr(title, 1, 80) || '... (Status: ' || status || ', Confidence: ' || format('{{:.2f}}', confidence) || ')' AS item FROM titled WHERE review),
+items AS (SELECT session, '## Items Requiring Human Review' || chr(10) || chr(10) || string_agg(item, chr(10) ORDER BY requirement_id) || chr(10) AS items FROM i GROUP BY session)
+SELECT h.session, concat_ws(chr(10), head, covered, partial, missing, results, items, array_to_string(['## Next Steps', '', '1. Review items flagged for human review', '2. Verify partial requirements have sufficient evidence', '3. Address any validation warnings or failures', '4. Make final approval decision', ''], chr(10))) AS text
+FROM heads h LEFT JOIN blocks b ON b.session = h.session LEFT JOIN results r ON r.session = h.session LEFT JOIN items i ON i.session = h.session""")
+def markdown_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole reports of all sources, each one text."""
+    lang, n = F.coalesce("lang", F.lit("-")), F.coalesce("n_chars", F.lit(0))
+    langs = A.table(spark, sf, "documents").filter("source IS NOT NULL").groupBy(F.col("source").alias("session"), lang.alias("lang")).agg(F.count("*").alias("n"), F.min(n).alias("least"), F.max(n).alias("most"))
+    status = F.when(F.col("least") >= 200, "pass").when(F.col("most") >= 200, "warning").otherwise("fail")
+    checks = langs.select("session", F.when(F.col("lang") == "en", "date_alignment").otherwise("project_id").alias("check_type"), status.alias("status"), (status != "pass").alias("flagged"), F.concat("lang", F.lit(" in "), F.col("n").cast("string"), F.lit(" documents")).alias("message"))
+    project = F.when(F.length("session") % 2 == 0, F.concat(F.lit("C06-"), "session"))
+    projects = langs.groupBy("session").agg(F.sort_array(F.collect_list("lang")).alias("documents")).select("session", F.concat(F.lit("Project | "), "session").alias("project_name"), project.alias("project_id"), F.lit("soil").alias("methodology"), F.lit("2024-05-06 07:08:09").alias("reviewed_at"), "documents")
+    return session_reports.markdown_texts(projects, titled(spark, sf), checks)
+
+
 @query("txt10_snippet_value", """WITH f AS (SELECT doc_id, text, CASE doc_id % 4 WHEN 0 THEN MAP {'owner_name': 'Ann ' || doc_id} WHEN 1 THEN MAP {'zeta': 'z', 'alpha': 'a' || doc_id} ELSE MAP {'area': ''} END AS m, CASE WHEN doc_id % 8 = 2 THEN 'x' || doc_id END AS ex, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS c FROM documents)
 SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'Ann ' || doc_id WHEN doc_id % 4 = 1 THEN 'a' || doc_id WHEN ex IS NOT NULL THEN ex WHEN strpos(c, '. ') - 1 > 0 AND strpos(c, '. ') - 1 < 200 THEN substr(c, 1, strpos(c, '. ')) WHEN length(c) <= 200 THEN c ELSE 'cut' END AS value FROM f""")
 def snippet_value(spark: SparkSession, sf: str) -> DataFrame:
