@@ -1,6 +1,8 @@
 """Byte-level BPE by dynamic programming over prefixes: for every prefix of a piece of text the one token that ends its
 encoding is found among the tokens that are suffixes of the prefix, which an automaton lists; a token fits if it and the
 last token of what precedes it stay apart when merged together. Back-pointers then give the ids, the same as from merging.
+The table of a prefix serves all pieces that begin with it: new pieces of some texts are encoded in order, each from where
+it departs from the one before.
 
 Pieces are split off by the tokenizer file's pattern, and special tokens' strings are cut out first, as the tokenizers
 library does. Defined cases: a null text is empty and has no tokens. Repeated rows are encoded alike, extra columns are
@@ -11,10 +13,11 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 from functools import cached_property, lru_cache
+from itertools import chain
 
-import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -24,8 +27,14 @@ from docengine.llm.common import bounded_batches, released
 
 #: Fixed value: the pattern of the byte-level pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces of text that a worker remembers; it forgets the older half beyond that.
-REMEMBERED = 100_000
+#: The same for texts of ASCII characters alone.
+ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
+#: Characters of the texts whose new pieces are encoded together, about.
+TOGETHER = 2 << 20
+#: Pieces of text that a worker remembers, about; it forgets the older half beyond that. Longer ones than SHORT are not kept.
+REMEMBERED, SHORT = 200_000, 64
+#: Steps of the automaton that a worker remembers, besides those along a token.
+STEPS = 500_000
 #: Pairs of tokens whose fit a worker remembers; it forgets them all beyond that.
 PAIRS = 200_000
 
@@ -58,23 +67,54 @@ class Codec:
                 self.parts[whole], self.made_at[whole] = (left, right), n
         self.special_text = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
         self.pieces = regex.compile(PATTERN)
-        self.apart: dict[tuple[int, int], bool] = {}
+        #: By left id and right id, in one number, whether the two stay apart.
+        self.apart: dict[int, bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     @cached_property
-    def suffixes(self) -> ahocorasick.Automaton:
-        """Lists, for every prefix of a text, the tokens that end it."""
-        a = ahocorasick.Automaton()
-        for b, i in self.ids.items():
-            a.add_word(b.decode("latin-1"), (len(b), i))
-        a.make_automaton()
-        return a
+    def automaton(self) -> tuple[dict[int, int], list[tuple[tuple[int, int], ...]], list[int]]:
+        """By state and byte, in one number, the state behind it; by state the length and id of each token that ends a text
+        there, the longest first, and the state of the longest shorter suffix. State 0 is the empty text's."""
+        steps, token_at, made = {}, [-1], []
+        for token, i in self.ids.items():
+            state = 0
+            for depth, byte in enumerate(token):
+                key = state << 8 | byte
+                after = steps.get(key)
+                if after is None:
+                    after = steps[key] = len(token_at)
+                    token_at.append(-1)
+                    made.append((depth, key, after))
+                state = after
+            token_at[state] = i
+        shorter, ends = [0] * len(token_at), [()] * len(token_at)
+        for depth, key, state in sorted(made):
+            byte, before = key & 255, key >> 8
+            if depth:
+                at = shorter[before]
+                while at and at << 8 | byte not in steps:
+                    at = shorter[at]
+                shorter[state] = steps.get(at << 8 | byte, 0)
+            own = ((depth + 1, token_at[state]),) if token_at[state] >= 0 else ()
+            ends[state] = own + ends[shorter[state]]
+        return steps, ends, shorter
+
+    def step(self, state: int, byte: int) -> int:
+        """The state behind a byte that goes along no token from a state on."""
+        steps, _, shorter = self.automaton
+        key = state << 8 | byte
+        while (after := steps.get(state << 8 | byte)) is None and state:
+            state = shorter[state]
+        if len(steps) < len(shorter) + STEPS:
+            steps[key] = after or 0
+        return after or 0
 
     def stay_apart(self, left: int, right: int) -> bool:
         """Whether the text of two neighbouring tokens is encoded as just these two: no merge across their border may
         come before the merges that built the parts next to it. Undoes the latest merge beside the border, again and
         again, and looks up the pair at the border each time."""
-        key = (left, right)
+        key = left << 24 | right
         at, parts, place, none = self.made_at, self.parts, self.place, -1
         until = len(self.place) + 1
         fits = True
@@ -96,68 +136,103 @@ class Codec:
         self.apart[key] = fits
         return fits
 
-    def encode_piece(self, piece: str) -> tuple[int, ...]:
-        """The ids of one piece, by the table of last tokens over its prefixes. The automaton lists the ends in order,
-        and the longest token first at each."""
-        letters = piece if piece.isascii() else piece.encode().decode("latin-1")
-        last, apart = [-1] * (len(letters) + 1), self.apart
-        for at, (length, token) in self.suffixes.iter(letters):
-            at += 1
-            if last[at] >= 0:
-                continue
-            before = last[at - length]
-            if at == length:
-                last[at] = token
-            elif before >= 0:
-                fits = apart.get((before, token))
-                if fits or (fits is None and self.stay_apart(before, token)):
-                    last[at] = token
-        out, end = [], len(letters)
-        while end:
-            out.append(last[end])
-            end -= len(self.bytes_of[last[end]])
-        out.reverse()
-        return tuple(out)
-
-    def encode_text(self, text: str) -> list[int]:
-        """The ids of a text without special tokens in it."""
-        known, out = self.known, []
-        for piece in self.pieces.findall(text):
-            ids = known.get(piece)
-            if ids is None:
-                ids = self.encode_piece(piece)
-                if len(piece) <= 64:
-                    if len(known) >= REMEMBERED:
-                        for k in list(known)[: REMEMBERED // 2]:
-                            del known[k]
-                    known[piece] = ids
-            out += ids
-        return out
+    def encode_sorted(self, pieces: Iterable[str]) -> Iterator[tuple[int, ...]]:
+        """The ids of pieces, by the table of last tokens over their prefixes. What a piece begins with in common with the
+        one before it is in the table already."""
+        steps, ends, _ = self.automaton
+        step, apart, lengths = steps.get, self.apart.get, self.lengths
+        earlier, last, states = b"", [], []
+        for piece in pieces:
+            data, same = piece.encode(), 0
+            for a, b in zip(data, earlier):
+                if a != b:
+                    break
+                same += 1
+            del last[same:], states[same:]
+            earlier, state = data, states[-1] if same else 0
+            for at in range(same, len(data)):
+                after = step(state << 8 | data[at])
+                state = self.step(state, data[at]) if after is None else after
+                states.append(state)
+                fitting = -1
+                for length, token in ends[state]:
+                    if length > at:
+                        fitting = token
+                        break
+                    before = last[at - length]
+                    if before >= 0:
+                        fits = apart(before << 24 | token)
+                        if fits or (fits is None and self.stay_apart(before, token)):
+                            fitting = token
+                            break
+                last.append(fitting)
+            out, end = [], len(data) - 1
+            while end >= 0:
+                token = last[end]
+                out.append(token)
+                end -= lengths[token]
+            out.reverse()
+            yield tuple(out)
 
-    def encode(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        if self.special_text is None:
-            return self.encode_text(text)
+    def pieces_of(self, text: str) -> list[str]:
+        """The pieces of a text, special tokens' strings among them."""
+        split = ASCII_PIECES.findall if text.isascii() else self.pieces.findall
         out, at = [], 0
-        for m in self.special_text.finditer(text):
-            out += self.encode_text(text[at : m.start()])
-            out.append(self.specials[m[0]])
+        for m in self.special_text.finditer(text) if self.special_text else ():
+            out += split(text[at : m.start()])
+            out.append(m[0])
             at = m.end()
-        return out + self.encode_text(text[at:])
+        return out + split(text[at:]) if at else split(text)
+
+    def encode_texts(self, texts: list[str | None]) -> Iterator[list[int]]:
+        """The ids of each of some texts; a piece is looked up or encoded once for all of them."""
+        pieces = [self.pieces_of(t) if t else [] for t in texts]
+        ids: dict[str, tuple[int, ...]] = {}
+        new = []
+        for p in set(chain.from_iterable(pieces)).difference(self.specials):
+            found = self.known.get(p) or self.older.get(p)
+            if found is None:
+                new.append(p)
+            else:
+                ids[p] = found
+        new.sort()
+        ids.update(zip(new, self.encode_sorted(new)))
+        self.known.update((p, x) for p, x in ids.items() if len(p) <= SHORT)
+        if len(self.known) >= REMEMBERED // 2:
+            self.known, self.older = {}, self.known
+        ids.update((t, (i,)) for t, i in self.specials.items())
+        for own in pieces:
+            yield list(chain.from_iterable(map(ids.__getitem__, own)))
+
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[list[int]]:
+        """The ids of each text, some texts at a time."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text or "")
+            if size >= TOGETHER:
+                yield from self.encode_texts(held)
+                held, size = [], 0
+        yield from self.encode_texts(held)
+
+    def encode(self, text: str | None) -> list[int]:
+        return next(self.encode_texts([text]))
 
     @cached_property
     def all_bytes(self) -> dict[int, bytes]:
         return self.bytes_of | {i: t.encode() for t, i in self.specials.items()}
 
+    @cached_property
+    def lengths(self) -> dict[int, int]:
+        return {i: len(b) for i, b in self.bytes_of.items()}
+
     @cached_property
     def decimals(self) -> dict[int, str]:
         return {i: str(i) for i in self.all_bytes}
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are not UTF-8 become replacement characters. Special tokens become their strings."""
-        table = self.all_bytes
-        return b"".join([table[i] for i in ids]).decode("utf-8", "replace")
+        return b"".join(map(self.all_bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
@@ -183,10 +258,9 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, *, with_ids: bool = F
         decimals = c.decimals
         for batch in batches:
             rows: list[list] = [[], [], [], []]
-            for text in batch.column(1).to_pylist():
-                ids = c.encode(text)
+            for ids in c.encode_all(batch.column(1).to_pylist()):
                 rows[0].append(len(ids))
-                rows[1].append(hashlib.sha256(",".join([decimals[i] for i in ids]).encode()).hexdigest())
+                rows[1].append(hashlib.sha256(",".join(map(decimals.__getitem__, ids)).encode()).hexdigest())
                 rows[2].append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
                 if with_ids:
                     rows[3].append(ids)

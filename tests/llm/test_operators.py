@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import json
 import os
 import random
 import re
@@ -131,6 +132,37 @@ def test_bpe_matches_library(spark, documents, hard_rows, library):
     assert got == want
 
 
+def test_bpe_goes_through_shared_prefixes_once(monkeypatch, library):
+    """New pieces of some texts are encoded once, in order; what they begin with in common takes no further steps."""
+    r = random.Random(4)
+    texts = [None, "", *("".join(r.choice([" ", "  ", "\n", "the", "thé", "ing", "er", "a", "12", "'ll", "\x1c", "\u3000", "<|endoftext|>", "🙂"]) for _ in range(r.randint(0, 60))) for _ in range(300))]
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    c, seen = bpe.Codec(json.loads(bpe.load_spec(queries.tokenizer_path()))), []
+    plain = c.encode_sorted
+    monkeypatch.setattr(c, "encode_sorted", lambda pieces: plain(seen.extend(pieces) or pieces))
+    assert list(c.encode_all(texts)) == want
+    assert list(c.encode_all(texts)) == want
+    assert seen == sorted(set(seen))
+    for name, bound in (("TOGETHER", 100), ("REMEMBERED", 20), ("STEPS", 5), ("PAIRS", 5)):
+        monkeypatch.setattr(bpe, name, bound)
+    tight = bpe.Codec(json.loads(bpe.load_spec(queries.tokenizer_path())))
+    assert list(tight.encode_all(texts)) == want
+    assert len(tight.apart) <= 5 and len(tight.known) < 200
+    begin = "antidisestablishmentarian" * 8
+    visited = []
+
+    class Ends(list):
+        def __getitem__(self, state):
+            visited.append(state)
+            return super().__getitem__(state)
+
+    steps, ends, shorter = c.automaton
+    c.automaton = steps, Ends(ends), shorter
+    pieces = [begin + x for x in ("a", "b", "c")]
+    assert [list(x) for x in c.encode_sorted(pieces)] == [library.encode(x, add_special_tokens=False).ids for x in pieces]
+    assert len(visited) == len(begin) + 3
+
+
 def distance(p, t):
     prev = [0] * (len(t) + 1)
     for i, a in enumerate(p, 1):
