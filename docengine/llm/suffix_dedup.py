@@ -5,8 +5,9 @@ Only text that may repeat is sorted. Every window of the string's length has a f
 byte run in it, so equal windows have equal ones; the groups of documents learn which of their fingerprints occur twice or
 more. The text around those goes, by fingerprint, to shards, so that equal windows meet in one shard, and each shard's
 suffixes are sorted by external induced sorting (see suffix_array), which carries the common prefixes of neighbours along.
-Neighbours that have the string's length in common are the repeats, and of those the smallest doc_id keeps its bytes. A
-group sends a region of text once, whether one of its documents has it or a third of all: a shard gets no more copies than
+Neighbours that have the string's length in common are the repeats, and of those the smallest doc_id keeps its bytes.
+Regions alike are one; those that differ are sorted if they have enough around their least byte run in common, as else no
+window of theirs can be equal. A group sends a region of text once, whether one of its documents has it or a third of all: a shard gets no more copies than
 there are groups, and sorts a region once. At the edge of a shared passage regions reach into each document's own text and
 nearly all differ. So where a fingerprint occurs more than HOT times its windows are compared one by one, by 128 bits of
 hash, and dealt out by that hash: of one fingerprint a shard gets no more than HOT regions to sort.
@@ -46,13 +47,13 @@ U64 = np.uint64
 
 
 def window_groups(body: np.ndarray, offsets: np.ndarray, length: int = LENGTH, shingle: int = SHINGLE) -> tuple[np.ndarray, ...]:
-    """Row, first and last window (by place in the row) and fingerprint of each run of neighbouring windows that share
-    their least short run."""
+    """Row, first and last window (by place in the row), fingerprint and least short run (by place from the first window) of
+    each run of neighbouring windows that share their least short run."""
     n_windows = np.maximum(np.diff(offsets) - length + 1, 0)
     starts = ranges(offsets[:-1], n_windows)
     if not len(starts):
         z = np.zeros(0, np.int64)
-        return z, z, z, z.view(U64)
+        return z, z, z, z.view(U64), z
     rows = np.repeat(np.arange(len(n_windows)), n_windows)
     at = np.arange(len(body) - shingle + 1)
     short = mix(Rolling(BYTE_VALUES[0][body]).slices(at, at + shingle))
@@ -60,7 +61,7 @@ def window_groups(body: np.ndarray, offsets: np.ndarray, length: int = LENGTH, s
     begin = packs.runs_of(place, rows)
     last = np.concatenate((begin[1:], [len(place)])) - 1
     base = offsets[:-1][rows[begin]]
-    return rows[begin], starts[begin] - base, starts[last] - base, short[place[begin]]
+    return rows[begin], starts[begin] - base, starts[last] - base, short[place[begin]], place[begin] - starts[begin]
 
 
 def _send(groups: int):
@@ -71,7 +72,7 @@ def _send(groups: int):
             g = batch.column(0).to_numpy()
             body, offsets = buffers(batch.column(1))
             for a, b in chunks(offsets):
-                row, _, _, marks = window_groups(body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                row, _, _, marks, _ = window_groups(body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 yield from packer.add(g[a + row].astype(np.int64), marks)
         yield from packer.flush()
 
@@ -85,26 +86,27 @@ def region_keys(body: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[n
 
 
 def _hits(table: pa.Table, known):
-    """By pieces of a group's text: row, first place, size and keys of the regions, and the marks, where known says so."""
+    """By pieces of a group's text: row, first place, size and keys of the regions, their marks and least runs, where known says so."""
     body, offsets = buffers(whole(table.column("text")))
     for a, b in chunks(offsets):
         part, at = body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-        row, first, last, marks = window_groups(part, at)
+        row, first, last, marks, least_run = window_groups(part, at)
         begin = at[row] + first
-        yield from known(a, part, row, first, begin, begin + last - first + LENGTH, marks)
+        yield from known(a, part, row, first, begin, begin + last - first + LENGTH, marks, least_run)
 
 
-def single_windows(hot: np.ndarray, row: np.ndarray, first: np.ndarray, begin: np.ndarray, end: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The regions with each hot one replaced by its windows."""
+def single_windows(hot: np.ndarray, row: np.ndarray, first: np.ndarray, begin: np.ndarray, end: np.ndarray, marks: np.ndarray, least_run: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The regions with each hot one replaced by its windows, which have no least run of their own."""
     n = np.where(hot, end - begin - LENGTH + 1, 1)
     of, step = np.repeat(np.arange(len(row)), n), ranges(np.zeros(len(row), np.int64), n)
     begin, hot = begin[of] + step, hot[of]
-    return hot, row[of], first[of] + step, begin, np.where(hot, begin + LENGTH, end[of]), marks[of]
+    return hot, row[of], first[of] + step, begin, np.where(hot, begin + LENGTH, end[of]), marks[of], np.where(hot, 0, least_run[of])
 
 
-#: hot: keys and fingerprints of the windows of hot fingerprints, which come last and have no bytes in body.
-REGIONS = "shard int, g int, least binary, most binary, sizes binary, body binary, hot binary"
-FORMS = {"least": np.int64, "most": np.int64, "sizes": np.uint8, "body": np.uint8, "hot": U64}
+#: runs: where each region's least short run begins in it. hot: keys and fingerprints of the windows of hot fingerprints,
+#: which come last and have no bytes in body.
+REGIONS = "shard int, g int, least binary, most binary, sizes binary, runs binary, body binary, hot binary"
+FORMS = {"least": np.int64, "most": np.int64, "sizes": np.uint8, "runs": np.uint8, "body": np.uint8, "hot": U64}
 
 
 def _regions(shards: int, most_alike: int = HOT):
@@ -119,17 +121,17 @@ def _regions(shards: int, most_alike: int = HOT):
         known, counts = known[order], counts[order]
         found: list[tuple] = []
 
-        def repeated(a, part, row, first, begin, end, marks):
+        def repeated(a, part, row, first, begin, end, marks, least_run):
             marks = packs.sent(marks)
             at = np.minimum(np.searchsorted(known, marks), len(known) - 1)
             hit = known[at] == marks
-            row, first, begin, end, marks, hot = row[hit], first[hit], begin[hit], end[hit], marks[hit], counts[at[hit]] > most_alike
+            row, first, begin, end, marks, least_run, hot = row[hit], first[hit], begin[hit], end[hit], marks[hit], least_run[hit], counts[at[hit]] > most_alike
             if len(row):
                 if hot.any():
-                    hot, row, first, begin, end, marks = single_windows(hot, row, first, begin, end, marks)
+                    hot, row, first, begin, end, marks, least_run = single_windows(hot, row, first, begin, end, marks, least_run)
                 k0, k1 = region_keys(part, begin, end)
                 shard = np.where(hot, packs.bucket_of(k0, shards) * U64(2) + U64(1), packs.bucket_of(marks, shards) * U64(2))
-                yield a + row, first, (end - begin).astype(np.int32), k0, k1, shard.astype(np.int32), marks
+                yield a + row, first, (end - begin).astype(np.int32), k0, k1, shard.astype(np.int32), marks, least_run.astype(np.uint8)
 
         if len(known) and docs.num_rows:
             found = list(_hits(docs, repeated))
@@ -137,13 +139,13 @@ def _regions(shards: int, most_alike: int = HOT):
         if found:
             ids, g = docs.column("__doc_id").to_numpy(), docs.column("__g")[0].as_py()
             body, offsets = buffers(whole(docs.column("text")))
-            row, first, sizes, k0, k1, shard, marks = (np.concatenate(x) for x in zip(*found))
+            row, first, sizes, k0, k1, shard, marks, runs = (np.concatenate(x) for x in zip(*found))
             order = np.lexsort((k1, k0, shard))
             one = packs.runs_of(shard[order], k0[order], k1[order])
             owners = ids[row[order]]
             least, most = np.minimum.reduceat(owners, one), np.maximum.reduceat(owners, one)
             order = order[one]
-            start, sizes, shard, k0, k1, marks = (offsets[row] + first)[order], sizes[order], shard[order], k0[order], k1[order], marks[order]
+            start, sizes, shard, k0, k1, marks, runs = (offsets[row] + first)[order], sizes[order], shard[order], k0[order], k1[order], marks[order], runs[order]
             cut = packs.runs_of(shard // 2).tolist()
             press = zstandard.ZstdCompressor(level=3)
             for i, j in zip(cut, [*cut[1:], len(shard)]):
@@ -151,7 +153,7 @@ def _regions(shards: int, most_alike: int = HOT):
                 out["shard"].append(int(shard[i]) // 2)
                 out["g"].append(g)
                 bytes_of, keys_of = body[ranges(start[i:hot], sizes[i:hot])], np.concatenate((k0[hot:j], k1[hot:j], marks[hot:j]))
-                for (k, form), x in zip(FORMS.items(), (least[i:j], most[i:j], sizes[i:j], bytes_of, keys_of)):
+                for (k, form), x in zip(FORMS.items(), (least[i:j], most[i:j], sizes[i:j], runs[i:hot], bytes_of, keys_of)):
                     out[k].append(press.compress(x.astype(form).tobytes()))
         return pa.table([pa.array(x, t) for x, t in zip(out.values(), (pa.int32(), pa.int32(), *[pa.binary()] * 6))], names=list(out))
 
@@ -216,11 +218,45 @@ def _joined(parts: list[np.ndarray], form) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, form)
 
 
-def runs_of_owners(body: np.ndarray, sizes: np.ndarray, owner: np.ndarray, most: np.ndarray, length: int = LENGTH, memory: int = MEMORY) -> tuple[np.ndarray, ...]:
-    """Region, first place, end and least id of the runs of windows, in each of some regions, that belong to a smaller id
-    than most."""
-    starts, group, least = least_owners(body, sizes, owner, length, memory)
-    windows, found = sizes.astype(np.int64) - length + 1, []
+def may_meet(body: np.ndarray, sizes: np.ndarray, runs: np.ndarray, length: int = LENGTH, shingle: int = SHINGLE) -> np.ndarray:
+    """Which of some regions that all differ may have a window in common with another. Equal windows have their least short
+    run at one place, with half of the window's other bytes or more on one side of it: the run and that half are then in both
+    regions, before the run or behind it."""
+    half, shared = (length - shingle) // 2, np.zeros(len(sizes), bool)
+    sides = [np.zeros(len(sizes), U64), np.zeros(len(sizes), U64)]
+    runs, sizes, done = runs.astype(np.int64), sizes.astype(np.int64), 0
+    for a, b in _parts(sizes):
+        ends = np.cumsum(sizes[a:b])
+        part, place = body[done : done + ends[-1]], ends - sizes[a:b] + runs[a:b]
+        rolling, done = Rolling(BYTE_VALUES[0][part]), done + int(ends[-1])
+        for side, first in zip(sides, (place - half, place)):
+            first = np.clip(first, 0, len(part) - shingle - half)
+            side[a:b] = mix(rolling.slices(first, first + shingle + half))
+    for side, on in zip(sides, (runs >= half, runs + shingle + half <= sizes)):
+        own = np.flatnonzero(on)
+        _, kind, counts = np.unique(side[own], return_inverse=True, return_counts=True)
+        shared[own] |= counts[kind] > 1
+    return shared
+
+
+def _gathered(source: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> Column:
+    """The bytes of some regions of a text, one after the other."""
+    body = Column(np.uint8)
+    for a, b in _parts(sizes):
+        body.append(source[ranges(at[a:b], sizes[a:b])])
+    return body
+
+
+def runs_of_owners(body: np.ndarray, sizes: np.ndarray, runs: np.ndarray, owner: np.ndarray, most: np.ndarray, length: int = LENGTH, memory: int = MEMORY) -> tuple[np.ndarray, ...]:
+    """Region, first place, end and least id of the runs of windows, in each of some regions that all differ, that belong to
+    a smaller id than most. Regions that have no window in common with another belong to their own least id."""
+    meets = may_meet(body, sizes, runs, length)
+    alone, of = np.flatnonzero(~meets & (owner < most)), np.flatnonzero(meets)
+    found = [(alone, np.zeros(len(alone), np.int32), sizes[alone].astype(np.int32), owner[alone])]
+    text = _gathered(body, (np.cumsum(sizes, dtype=np.int64) - sizes)[of], sizes[of])
+    sizes, most = sizes[of], most[of]
+    starts, group, least = least_owners(text.array(), sizes, owner[of], length, memory)
+    windows = sizes.astype(np.int64) - length + 1
     for a, b in _parts(sizes):
         region, place = np.repeat(np.arange(a, b), windows[a:b]), ranges(np.zeros(b - a, np.int64), windows[a:b])
         below = least[group[starts[region] + place]]
@@ -228,8 +264,10 @@ def runs_of_owners(body: np.ndarray, sizes: np.ndarray, owner: np.ndarray, most:
         last = np.concatenate((new[1:], [len(place)])) - 1
         on = below[new] < most[region[new]]
         new, last = new[on], last[on]
-        found.append((region[new], place[new].astype(np.int32), (place[last] + length).astype(np.int32), below[new]))
-    return tuple(np.concatenate(x) for x in zip(*found)) if found else tuple(np.zeros(0, np.int64) for _ in range(4))
+        found.append((of[region[new]], place[new].astype(np.int32), (place[last] + length).astype(np.int32), below[new]))
+    region, *rest = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(region, kind="stable")
+    return region[order], *(x[order] for x in rest)
 
 
 def match_windows(least: np.ndarray, k0: np.ndarray, k1: np.ndarray) -> np.ndarray:
@@ -247,14 +285,14 @@ def _sort_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     texts, held, hot = Column(np.uint8), [], []
     for batch in batches:
         columns = {k: _unpack(batch.column(k), form) for k, form in FORMS.items()}
-        for g, least, most, sizes, body, keys in zip(batch.column("g").to_pylist(), *columns.values()):
+        for g, least, most, sizes, runs, body, keys in zip(batch.column("g").to_pylist(), *columns.values()):
             keys = keys.reshape(3, -1)
             m = len(sizes) - keys.shape[1]
             ends = np.cumsum(sizes[:m], dtype=np.int64)
-            held.append((np.full(m, g, np.int32), least[:m], most[:m], sizes[:m], texts.n + ends - sizes[:m], *region_keys(body, ends - sizes[:m], ends)))
+            held.append((np.full(m, g, np.int32), least[:m], most[:m], sizes[:m], runs, texts.n + ends - sizes[:m], *region_keys(body, ends - sizes[:m], ends)))
             hot.append((np.full(len(sizes) - m, g, np.int32), least[m:], most[m:], *keys))
             texts.append(body)
-    g, least, most, sizes, at, k0, k1 = (np.concatenate(x) for x in zip(*held))
+    g, least, most, sizes, least_runs, at, k0, k1 = (np.concatenate(x) for x in zip(*held))
     del held
     # regions alike are sorted once, under their least id, in the order in which they came
     order = np.lexsort((k1, k0))
@@ -266,12 +304,9 @@ def _sort_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind[order] = np.repeat(place_of, np.diff(np.append(one, len(g))))
     owner, top = (np.minimum.reduceat(least[order], one)[rank], np.maximum.reduceat(most[order], one)[rank]) if len(one) else (least, most)
     kept = kept[rank]
-    source, body = texts.array(), Column(np.uint8)
-    for a, b in _parts(sizes[kept]):
-        body.append(source[ranges(at[kept[a:b]], sizes[kept[a:b]])])
+    body = _gathered(texts.array(), at[kept], sizes[kept])
     texts.close()
-    del source
-    region, first, end, below = runs_of_owners(body.array(), sizes[kept], owner, top)
+    region, first, end, below = runs_of_owners(body.array(), sizes[kept], least_runs[kept], owner, top)
     edge = np.searchsorted(region, np.arange(len(kept) + 1))
     hot_g, hot_least, hot_most, *hot_keys = (np.concatenate(x) for x in zip(*hot))
     hot_owner = match_windows(hot_least, *hot_keys[:2]) if len(hot_g) else hot_least
@@ -311,11 +346,11 @@ def _gone(docs: pa.Table, spans: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     keys0, keys1, counts, run_at = keys0[order], keys1[order], counts[order], run_at[order]
     ids = docs.column("__doc_id").to_numpy()
 
-    def mine(a, part, row, first, begin, end, marks):
+    def mine(a, part, row, first, begin, end, marks, least_run):
         if len(hot_marks):
             hot = np.isin(packs.sent(marks), hot_marks)
             if hot.any():
-                _, row, first, begin, end, _ = single_windows(hot, row, first, begin, end, marks)
+                _, row, first, begin, end, *_ = single_windows(hot, row, first, begin, end, marks, least_run)
         k0, k1 = region_keys(part, begin, end)
         at = np.searchsorted(keys0, k0)
         while True:

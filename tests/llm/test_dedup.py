@@ -193,6 +193,35 @@ def test_hot_windows_match_brute_force(documents, hard_rows):
     assert got(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_suffix(rows)
 
 
+@pytest.mark.parametrize("letters", ["ab", "abcdefghijklmnop "])
+def test_only_regions_that_may_share_a_window_are_sorted(monkeypatch, letters):
+    """Regions of a fingerprint that differ, cut from one passage at all places, among regions that are alone."""
+    r = random.Random(len(letters))
+    own = lambda n: "".join(r.choice(letters) for _ in range(n))
+    passage = own(120)
+    cuts = [sorted((r.randrange(121), r.randrange(121))) for _ in range(150)]
+    texts = pa.array([own(30) + passage[a:b] + own(30) for a, b in cuts] + [own(90) for _ in range(150)])
+    body, offsets = buffers(texts)
+    row, first, last, _, runs = suffix_dedup.window_groups(body, offsets)
+    assert ((runs >= 0) & (runs <= 30)).all()
+    regions = {body[offsets[i] + a : offsets[i] + b + suffix_dedup.LENGTH].tobytes(): at for i, a, b, at in zip(row, first, last, runs)}
+    sizes, ids = np.array([len(x) for x in regions], np.uint8), np.array([r.randrange(1000) for _ in regions])
+    least, most = {}, ids + np.array([r.randrange(3) for _ in regions])
+    windows = lambda x: [x[i : i + suffix_dedup.LENGTH] for i in range(len(x) - suffix_dedup.LENGTH + 1)]
+    for x, d in zip(regions, ids):
+        for w in windows(x):
+            least[w] = min(least.get(w, d), d)
+    want = {(k, i, least[w]) for k, x in enumerate(regions) for i, w in enumerate(windows(x)) if least[w] < most[k]}
+    taken, plain = [], suffix_dedup.least_owners
+    monkeypatch.setattr(suffix_dedup, "least_owners", lambda text, *rest: taken.append(len(text)) or plain(text, *rest))
+    found = suffix_dedup.runs_of_owners(np.frombuffer(b"".join(regions), np.uint8), sizes, np.array(list(regions.values()), np.uint8), ids, most)
+    assert (np.diff(found[0]) >= 0).all()
+    assert {(k, i, d) for k, a, b, d in zip(*(x.tolist() for x in found)) for i in range(a, b - suffix_dedup.LENGTH + 1)} == want
+    shared = Counter(w for x in regions for w in windows(x))
+    meeting = sum(len(x) for x in regions if any(shared[w] > 1 for w in windows(x)))
+    assert 0 < meeting <= taken[0] < 0.8 * sizes.sum()
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(100, 140)] + [(5, 3), (3, 9), (7, 7)]
     out = {r["id"]: r["root"] for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
