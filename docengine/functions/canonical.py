@@ -11,20 +11,21 @@ from pyspark.sql import types as T
 SHORT = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
 
 
-def _escaped(x: Column) -> Column:
-    code = F.ascii(x)
-    over = code - 0x10000
-    hexed = lambda c: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(c)), 4, "0"))
-    short = F.create_map(*(F.lit(c) for pair in SHORT.items() for c in pair))
-    pair = F.concat(hexed(F.shiftright(over, 10) + 0xD800), hexed(over.bitwiseAND(0x3FF) + 0xDC00))
-    return F.coalesce(F.element_at(short, x), F.when(code.between(0x20, 0x7E), x).when(code > 0xFFFF, pair).otherwise(hexed(code)))
+def _escaped(run: Column) -> Column:
+    """Characters of which none is printable ASCII: the hexadecimal digits of their UTF-16 units, or a short escape."""
+    out = F.regexp_replace(F.lower(F.hex(F.encode(run, "UTF-16BE"))), "(....)", r"\\u$1")
+    for c, short in SHORT.items():
+        if not " " <= c <= "~":
+            out = F.replace(out, F.lit(f"\\u{ord(c):04x}"), F.lit(short))
+    return out
 
 
 def json_text(text: Column) -> Column:
-    """A string; null becomes null's word."""
-    plain = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    other = F.array_join(F.transform(F.split(text, ""), _escaped), "")
-    body = F.when(text.rlike(r"\A[ -~]*\z"), plain).otherwise(other)
+    """A string; null becomes null's word. A text is escaped by runs of printable ASCII and of other characters."""
+    plain = lambda x: F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    runs = F.regexp_extract_all(text, F.lit("[ -~]+|[^ -~]+"), F.lit(0))
+    other = F.array_join(F.transform(runs, lambda x: F.when(x.rlike(r"\A[ -~]"), plain(x)).otherwise(_escaped(x))), "")
+    body = F.when(text.rlike(r"\A[ -~]*\z"), plain(text)).otherwise(other)
     return F.coalesce(F.concat(F.lit('"'), body, F.lit('"')), F.lit("null"))
 
 

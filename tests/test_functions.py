@@ -1,10 +1,13 @@
 """Published cases of the text, similarity, chunking and validation functions."""
 
+import json
+
 from pyspark.sql import functions as F
 
-from docengine.functions import fuzzy
+from docengine.functions import canonical, fuzzy
 from docengine.functions import text as T
 from docengine.operators import chunking, evidence, mapping, validation
+from docengine.plans import registry
 
 
 def one(spark, column):
@@ -114,3 +117,14 @@ def test_chunk_boundaries():
     assert at == 39 and text[at] == " "
     assert chunking.boundary("x" * 80, 0, 60, 100) == 60
     assert chunking.boundary("x. " * 80, 0, 15, 100) == 15
+
+
+def test_json_text_of_runs(spark):
+    texts = ["", "plain \"a\\b\"", "é", "tab\t\u007f\x01é\r\n\b\f", "Ж слово \"ю\\\" 😀x😀", "\\u000aé", "中文 and more\n中"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, t string").select("i", canonical.json_text(F.col("t")).alias("j")).orderBy("i").collect()
+    assert [r.j for r in got] == [json.dumps(t) for t in [*texts, None]]
+
+
+def test_reply_is_read_once(spark, sf_dir):
+    plan = registry.QUERIES["llm02_synthesis_results"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1
