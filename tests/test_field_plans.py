@@ -8,7 +8,10 @@ from docengine.operators import evidence, validation
 from docengine.plans import registry
 
 #: How often rows made of fields are moved on a small table: summaries of groups, and the names of fields with several.
-MOVES = {"str10_structural_checks": 0}
+MOVES = {
+    "str10_structural_checks": 0,
+    "agg15_layer_summary": 2,
+}
 
 
 def moves(df) -> int:
