@@ -11,6 +11,7 @@ from docengine.plans import registry
 MOVES = {
     "str10_structural_checks": 0,
     "agg15_layer_summary": 2,
+    "agg10_last_by_document": 0,
 }
 
 
