@@ -12,6 +12,7 @@ MOVES = {
     "str10_structural_checks": 0,
     "agg15_layer_summary": 2,
     "agg10_last_by_document": 0,
+    "crd01_session_validation": 2,
 }
 
 
