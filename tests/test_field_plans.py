@@ -13,6 +13,7 @@ MOVES = {
     "agg15_layer_summary": 2,
     "agg10_last_by_document": 0,
     "crd01_session_validation": 2,
+    "idx01_check_ids": 0,
 }
 
 
