@@ -14,6 +14,7 @@ MOVES = {
     "agg10_last_by_document": 0,
     "crd01_session_validation": 2,
     "idx01_check_ids": 0,
+    "agg14_validation_summary": 2,
 }
 
 
