@@ -15,6 +15,7 @@ MOVES = {
     "crd01_session_validation": 2,
     "idx01_check_ids": 0,
     "agg14_validation_summary": 2,
+    "xdc05_cross_document": 1,
 }
 
 
