@@ -16,6 +16,7 @@ MOVES = {
     "idx01_check_ids": 0,
     "agg14_validation_summary": 2,
     "xdc05_cross_document": 1,
+    "agg16_checks_by_type": 1,
 }
 
 
