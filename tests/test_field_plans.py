@@ -17,6 +17,7 @@ MOVES = {
     "agg14_validation_summary": 2,
     "xdc05_cross_document": 1,
     "agg16_checks_by_type": 1,
+    "str01_required_fields": 0,
 }
 
 
