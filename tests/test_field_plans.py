@@ -18,6 +18,7 @@ MOVES = {
     "xdc05_cross_document": 1,
     "agg16_checks_by_type": 1,
     "str01_required_fields": 0,
+    "str08_period_consistency": 0,
 }
 
 
