@@ -19,6 +19,7 @@ MOVES = {
     "agg16_checks_by_type": 1,
     "str01_required_fields": 0,
     "str08_period_consistency": 0,
+    "agg11_dedup_values": 0,
 }
 
 
