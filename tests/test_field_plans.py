@@ -20,6 +20,7 @@ MOVES = {
     "str01_required_fields": 0,
     "str08_period_consistency": 0,
     "agg11_dedup_values": 0,
+    "snk06_check_lines": 0,
 }
 
 
