@@ -21,6 +21,7 @@ MOVES = {
     "str08_period_consistency": 0,
     "agg11_dedup_values": 0,
     "snk06_check_lines": 0,
+    "agg07_merge_best": 0,
 }
 
 
