@@ -22,6 +22,7 @@ MOVES = {
     "agg11_dedup_values": 0,
     "snk06_check_lines": 0,
     "agg07_merge_best": 0,
+    "xdc01_date_alignment": 0,
 }
 
 
